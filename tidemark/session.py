@@ -40,3 +40,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
     return df.checkpoint()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A folder all executors can reach: the checkpoint setting, or a temporary
+    folder when the session is local and names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return tempfile.mkdtemp(prefix="tidemark-shared-")

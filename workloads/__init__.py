@@ -1,0 +1,14 @@
+"""Queries over the given tables, one or more per operator."""
+
+import importlib
+
+MODULES = ("tables",)
+
+
+def load():
+    """Import every query module; returns (queries, SQL checks)."""
+    for name in MODULES:
+        importlib.import_module(f"workloads.{name}")
+    from workloads.registry import ORACLES, QUERIES
+
+    return QUERIES, ORACLES
