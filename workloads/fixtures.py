@@ -1,7 +1,8 @@
 """The series the queries run on, derived from the given tables.
 
 Each fixture exists twice: as a DataFrame and as SQL text for the check. SQL
-texts are CTE bodies; `ctes("a", "b")` turns them into a WITH clause.
+texts are CTE bodies; sums of money are rounded to cents on both sides, so
+that later steps start from equal numbers; `ctes("a", "b")` turns them into a WITH clause.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 SQL = {
     "daily_events": """
-        SELECT event_type, CAST(ts AS DATE) AS d, sum(value) AS v, avg(value) AS a, count(*) AS n
+        SELECT event_type, CAST(ts AS DATE) AS d, round(sum(value), 2) AS v, round(sum(value), 2) / count(*) AS a, count(*) AS n
         FROM events GROUP BY 1, 2""",
     "holed_events": """
         SELECT event_type, d,
@@ -18,14 +19,14 @@ SQL = {
                CASE WHEN day(d) % 5 = 0 THEN NULL ELSE a END AS a, n
         FROM daily_events WHERE day(d) % 4 <> 0""",
     "hourly_user": """
-        SELECT user_id, date_trunc('hour', ts) AS h, sum(value) AS v FROM events GROUP BY 1, 2""",
+        SELECT user_id, date_trunc('hour', ts) AS h, round(sum(value), 2) AS v FROM events GROUP BY 1, 2""",
     "daily_orders": """
-        SELECT CAST(o_orderdate AS DATE) AS d, sum(o_totalprice) / 1e6 AS total, count(*) AS n,
+        SELECT CAST(o_orderdate AS DATE) AS d, round(sum(o_totalprice), 2) / 1e6 AS total, count(*) AS n,
                count(DISTINCT o_custkey) AS customers
         FROM orders GROUP BY 1""",
     "segment_orders": """
-        SELECT c_mktsegment AS seg, CAST(o_orderdate AS DATE) AS d, sum(o_totalprice) / 1e6 AS total,
-               count(*) AS n, avg(c_acctbal) / 1e4 AS bal
+        SELECT c_mktsegment AS seg, CAST(o_orderdate AS DATE) AS d, round(sum(o_totalprice), 2) / 1e6 AS total,
+               count(*) AS n, round(sum(c_acctbal), 2) / count(*) / 1e4 AS bal
         FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2""",
     "market": """
         SELECT x.d, x.a AS target, y.a AS exo
@@ -77,7 +78,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def daily_events(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy("event_type", F.to_date("ts").alias("d")).agg(
-        F.sum("value").alias("v"), F.avg("value").alias("a"), F.count(F.lit(1)).alias("n"))
+        F.round(F.sum("value"), 2).alias("v"), (F.round(F.sum("value"), 2) / F.count(F.lit(1))).alias("a"), F.count(F.lit(1)).alias("n"))
 
 
 def holed_events(spark: SparkSession, sf: str) -> DataFrame:
@@ -88,19 +89,19 @@ def holed_events(spark: SparkSession, sf: str) -> DataFrame:
 
 def hourly_user(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy("user_id", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("h")).agg(
-        F.sum("value").alias("v"))
+        F.round(F.sum("value"), 2).alias("v"))
 
 
 def daily_orders(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("d")).agg(
-        (F.sum("o_totalprice") / 1e6).alias("total"), F.count(F.lit(1)).alias("n"),
+        (F.round(F.sum("o_totalprice"), 2) / 1e6).alias("total"), F.count(F.lit(1)).alias("n"),
         F.count_distinct("o_custkey").alias("customers"))
 
 
 def segment_orders(spark: SparkSession, sf: str) -> DataFrame:
     joined = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     return joined.groupBy(F.col("c_mktsegment").alias("seg"), F.to_date("o_orderdate").alias("d")).agg(
-        (F.sum("o_totalprice") / 1e6).alias("total"), F.count(F.lit(1)).alias("n"), (F.avg("c_acctbal") / 1e4).alias("bal"))
+        (F.round(F.sum("o_totalprice"), 2) / 1e6).alias("total"), F.count(F.lit(1)).alias("n"), (F.round(F.sum("c_acctbal"), 2) / F.count(F.lit(1)) / 1e4).alias("bal"))
 
 
 def one_type(spark: SparkSession, sf: str, kind: str, name: str) -> DataFrame:
@@ -124,7 +125,7 @@ def contact(spark: SparkSession, sf: str) -> DataFrame:
 def contact_forecast(spark: SparkSession, sf: str) -> DataFrame:
     d = F.to_date("o_orderdate")
     return table(spark, sf, "orders").groupBy(F.date_sub(d, F.dayofweek(d) - 1).alias("week")).agg(
-        (F.sum("o_totalprice") / 1e6).alias("tot_na_fcst"))
+        (F.round(F.sum("o_totalprice"), 2) / 1e6).alias("tot_na_fcst"))
 
 
 def shipments(spark: SparkSession, sf: str) -> DataFrame:

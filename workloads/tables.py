@@ -19,10 +19,10 @@ from workloads.registry import flat, query
 # --- sources and sinks
 
 
-@query("a1_land", ctes("daily_orders") + " SELECT CAST(d AS VARCHAR) AS d, round(total, 6) AS total, n, customers FROM daily_orders")
+@query("a1_land", ctes("daily_orders") + " SELECT CAST(d AS VARCHAR) AS d, round(total, 8) AS total, n, customers FROM daily_orders")
 def a1(spark, sf):
     store = Store(spark, shared_dir(spark))
-    return flat(land(spark, lambda s: fx.daily_orders(s, sf), store))
+    return flat(land(spark, lambda s: fx.daily_orders(s, sf), store), 8)
 
 
 @query("a2_csv_series", ctes("daily_orders") + """
