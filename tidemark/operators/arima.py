@@ -38,13 +38,13 @@ def _differences(df: DataFrame, s: Series, cols: Sequence[str], max_d: int) -> D
     def build(r: DataFrame, w: WindowSpec) -> DataFrame:
         lagged = {(c, k): (F.lag(col(c), k).over(w) if k else col(c)) for c in cols for k in range(max_d + 1)}
         r = r.withColumns({f"__{i}_{k}": v.cast("double") for (c, k), v in lagged.items() for i in [cols.index(c)]})
-        orders = [F.struct(F.lit(d).alias("d"), *[
+        orders = [F.struct(F.lit(d).alias("tm_d"), *[
             sum((F.col(f"__{i}_{k}") * b for k, b in enumerate(_binomial(d))), F.lit(0.0)).alias(f"z{i}")
             for i in range(len(cols))]) for d in range(max_d + 1)]
         return r.withColumn("__o", F.explode(F.array(*orders)))
 
     out = over_neighbours(df.select(*s.keys, s.ts, *[col(c) for c in cols]), s, max(max_d, 1), build)
-    return out.select(*s.keys, s.ts, "__o.d", *[f"__o.z{i}" for i in range(len(cols))])
+    return out.select(*s.keys, s.ts, "__o.tm_d", *[f"__o.z{i}" for i in range(len(cols))])
 
 
 def _with_lags(df: DataFrame, s: Series, spec: Mapping[str, int]) -> DataFrame:
@@ -63,7 +63,7 @@ def fit_arimax(df: DataFrame, s: Series, target: str, exog: Sequence[str] = (),
     rows = complete_rows(df, names)
     reach = max_p + max_q + 2
     diffs = complete_rows(_differences(rows, s, names, max_d), [f"z{i}" for i in range(len(names))])
-    sd = s.within("d")
+    sd = s.within("tm_d")
     x = [f"z{i}" for i in range(1, len(names))]
     reg = fit_linear(diffs, sd.keys, "z0", x, [candidate()]).select(
         *sd.keys, F.col("coef").alias("beta"), F.col("intercept").alias("mean"))
@@ -80,13 +80,13 @@ def fit_arimax(df: DataFrame, s: Series, target: str, exog: Sequence[str] = (),
     cols = [*terms, "u"]
     m = moments(complete_rows(d, cols), sd.keys, cols, [0.0] * len(cols))
     at, nk = np.zeros(len(cols)), len(sd.keys)
-    schema = f"{_key_schema(rows, keys)}d int, p int, q int, ar array<double>, ma array<double>, aic double, n long"
+    schema = f"{_key_schema(rows, keys)}tm_d int, p int, q int, ar array<double>, ma array<double>, aic double, n long"
 
     def orders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                mom = Moments(np.array(r.m), at)
+                mom = Moments(np.array(r.tm_m), at)
                 for p in range(max_p + 1):
                     for q in range(max_q + 1):
                         ids = [*range(p), *range(max_p, max_p + q)]
@@ -98,12 +98,13 @@ def fit_arimax(df: DataFrame, s: Series, target: str, exog: Sequence[str] = (),
                         aic = mom.n * math.log(rss / mom.n) + 2 * (p + q + 1)
                         if _settled(w[:p]):
                             out.append((*r[:nk], p, q, w[:p], w[p:], aic, int(mom.n)))
-            yield pd.DataFrame(out, columns=[*keys, "d", "p", "q", "ar", "ma", "aic", "n"])
+            yield pd.DataFrame(out, columns=[*keys, "tm_d", "p", "q", "ar", "ma", "aic", "n"])
 
     tried = m.mapInPandas(orders, schema)
-    chosen = F.min_by(F.struct("p", "d", "q", "ar", "ma", "aic", "n"), F.struct("aic", "d", "p", "q"))
+    chosen = F.min_by(F.struct("p", "tm_d", "q", "ar", "ma", "aic", "n"), F.struct("aic", "tm_d", "p", "q"))
     best = tried.groupBy(*keys).agg(chosen.alias("o")).select(*keys, "o.*")
     parts = join_on(best, join_on(reg, far.select(*sd.keys, F.col("coef").alias("far")), sd.keys), sd.keys)
+    parts = parts.withColumnRenamed("tm_d", "d")
     return _with_state(rows, s, parts, target, exog, max_p + max_d, max_q, reach)
 
 

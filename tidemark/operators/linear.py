@@ -51,21 +51,21 @@ def _pairs(p: int) -> list[tuple[int, int]]:
 def _terms(cols: Sequence[str], shift: Sequence[float]) -> dict[str, Column]:
     """Row-level terms whose sums are the moments of the shifted columns."""
     z = [col(c).cast("double") - F.lit(m) for c, m in zip(cols, shift)]
-    terms = {"n": F.lit(1.0)}
-    terms |= {f"s{i}": v for i, v in enumerate(z)}
-    terms |= {f"m{i}_{j}": z[i] * z[j] for i, j in _pairs(len(cols))}
+    terms = {"tm_n": F.lit(1.0)}
+    terms |= {f"tm_s{i}": v for i, v in enumerate(z)}
+    terms |= {f"tm_m{i}_{j}": z[i] * z[j] for i, j in _pairs(len(cols))}
     return terms
 
 
 def _names(p: int) -> list[str]:
-    return ["n", *[f"s{i}" for i in range(p)], *[f"m{i}_{j}" for i, j in _pairs(p)]]
+    return ["tm_n", *[f"tm_s{i}" for i in range(p)], *[f"tm_m{i}_{j}" for i, j in _pairs(p)]]
 
 
 def _extremes(cols: Sequence[str]) -> dict[str, tuple[str, Column]]:
     out: dict[str, tuple[str, Column]] = {}
     for i, c in enumerate(cols):
         v = col(c).cast("double")
-        out |= {f"lo{i}": ("min", v), f"hi{i}": ("max", v)}
+        out |= {f"tm_lo{i}": ("min", v), f"tm_hi{i}": ("max", v)}
     return out
 
 
@@ -73,7 +73,7 @@ _FOLD = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
 def moments(df: DataFrame, group: Sequence[str], cols: Sequence[str], shift: Sequence[float], ranges: bool = False) -> DataFrame:
-    """One row per group with packed arrays: `m` (n, sums, products), `lo`, `hi`."""
+    """One row per group with packed arrays: `tm_m` (n, sums, products), `tm_lo`, `tm_hi`."""
     parts = {o: ("sum", c) for o, c in _terms(cols, shift).items()} | (_extremes(cols) if ranges else {})
     agg = df.groupBy(*group).agg(*[_FOLD[k](c).alias(o) for o, (k, c) in parts.items()])
     return _packed(agg, group, len(cols), ranges)
@@ -81,8 +81,8 @@ def moments(df: DataFrame, group: Sequence[str], cols: Sequence[str], shift: Seq
 
 def _packed(df: DataFrame, keep: Sequence[str], p: int, ranges: bool) -> DataFrame:
     empty = F.array().cast("array<double>")
-    lo, hi = [(F.array(*[F.col(f"{e}{i}") for i in range(p)]) if ranges else empty).alias(e) for e in ("lo", "hi")]
-    return df.select(*keep, F.array(*[F.col(c) for c in _names(p)]).alias("m"), lo, hi)
+    lo, hi = [(F.array(*[F.col(f"tm_{e}{i}") for i in range(p)]) if ranges else empty).alias(f"tm_{e}") for e in ("lo", "hi")]
+    return df.select(*keep, F.array(*[F.col(c) for c in _names(p)]).alias("tm_m"), lo, hi)
 
 
 class Moments:
@@ -178,15 +178,15 @@ def fit_linear(df: DataFrame, keys: Sequence[str], target: str, cols: Sequence[s
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                if not r.m[0]:
+                if not r.tm_m[0]:
                     continue
-                mom = Moments(np.array(r.m), at, np.array(r.lo), np.array(r.hi))
+                mom = Moments(np.array(r.tm_m), at, np.array(r.tm_lo), np.array(r.tm_hi))
                 for k, c in enumerate(candidates):
                     w, b = mom.raw(*mom.solve(c))
                     out.append((*r[:len(keys)], k, w, b, int(mom.n)))
             yield pd.DataFrame(out, columns=[*keys, "candidate", "coef", "intercept", "n"])
 
-    m = m.withColumn("m", F.transform("m", lambda v: F.coalesce(v, F.lit(0.0))))
+    m = m.withColumn("tm_m", F.transform("tm_m", lambda v: F.coalesce(v, F.lit(0.0))))
     return m.mapInPandas(solve, f"{_key_schema(df, keys)}{_MODEL}, n long")
 
 
@@ -249,38 +249,38 @@ def _blocks(rows, s, names, shift, candidates, scheme, k, mode, max_train, metri
             *keys, "fold", F.lit(-1).cast("long").alias("train_lo"), F.lit(-1).cast("long").alias("train_hi"), "test_lo", "test_hi")
     bounds = ("train_lo", "train_hi", "test_lo", "test_hi")
     table = folds.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("fold", *bounds))).alias("folds"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array(*bounds))))).alias("edges"))
+        F.array_sort(F.collect_list(F.struct("fold", *bounds))).alias("tm_folds"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array(*bounds))))).alias("tm_edges"))
     # Rows between two neighbouring fold borders form one segment.
-    d = attach(number_rows(rows, s, "__rn"), table, keys).filter("edges IS NOT NULL")
-    seg = F.size(F.filter("edges", lambda e: e <= F.col("__rn") - 1)).cast("long")
-    d = d.withColumn("seg", seg)
+    d = attach(number_rows(rows, s, "__rn"), table, keys).filter("tm_edges IS NOT NULL")
+    seg = F.size(F.filter("tm_edges", lambda e: e <= F.col("__rn") - 1)).cast("long")
+    d = d.withColumn("tm_seg", seg)
     if not scaled and metric in ("mse", "neg_mean_squared_error"):
-        d = d.drop("folds", "edges")
-    seg_moments = moments(d, [*keys, "seg"], names, shift, scaled)
+        d = d.drop("tm_folds", "tm_edges")
+    seg_moments = moments(d, [*keys, "tm_seg"], names, shift, scaled)
     # At most 2k+2 segments per series, so a series' segments are a short list.
-    packed = seg_moments.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seg", "m", "lo", "hi"))).alias("segs"))
+    packed = seg_moments.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("tm_seg", "tm_m", "tm_lo", "tm_hi"))).alias("tm_segs"))
     packed = attach(packed, table, keys)
     by_moments = metric_of(metric) is metric_of("mse")
     at = np.array(shift)
     nk = len(keys)
 
     def per_fold(r: Any) -> Iterator[tuple[int, Moments, Moments]]:
-        edges = list(r.edges)
-        segs = {g["seg"]: g for g in r.segs}
-        empty = np.zeros(len(r.segs[0]["m"]))
+        edges = list(r.tm_edges)
+        segs = {g["tm_seg"]: g for g in r.tm_segs}
+        empty = np.zeros(len(r.tm_segs[0]["tm_m"]))
 
         def span(ids: Sequence[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             got = [segs[i] for i in ids if i in segs]
-            m = sum((np.array(g["m"]) for g in got), empty)
+            m = sum((np.array(g["tm_m"]) for g in got), empty)
             if not scaled or not got:
                 return m, np.array([]), np.array([])
-            return m, np.min([g["lo"] for g in got], axis=0), np.max([g["hi"] for g in got], axis=0)
+            return m, np.min([g["tm_lo"] for g in got], axis=0), np.max([g["tm_hi"] for g in got], axis=0)
 
         def ids(lo: int, hi: int) -> list[int]:
             return [i for i in range(len(edges) + 1) if i > 0 and lo <= edges[i - 1] and (i < len(edges) and edges[i] <= hi)]
 
-        for f in r.folds:
+        for f in r.tm_folds:
             test = ids(f["test_lo"], f["test_hi"])
             train = ids(f["train_lo"], f["train_hi"]) if scheme == "equal" else [i for i in segs if i not in test]
             a, lo, hi = span(train)
@@ -312,7 +312,7 @@ def _blocks(rows, s, names, shift, candidates, scheme, k, mode, max_train, metri
 
     models = packed.mapInPandas(fit, f"{_key_schema(rows, keys)}{_FOLD_MODEL}")
     # A row is tested in one fold only: find it on the short fold list.
-    mine = F.filter("folds", lambda f: (f["test_lo"] <= F.col("__rn") - 1) & (F.col("__rn") - 1 < f["test_hi"]))
+    mine = F.filter("tm_folds", lambda f: (f["test_lo"] <= F.col("__rn") - 1) & (F.col("__rn") - 1 < f["test_hi"]))
     tests = d.withColumn("fold", F.get(mine, F.lit(0))["fold"]).filter("fold IS NOT NULL")
     return _score_rows(tests, models, [*keys, "fold"], keys, names, metric)
 
@@ -368,7 +368,7 @@ def _rolling(rows, s, names, shift, candidates, window, step, horizons, mode, me
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                train = Moments(np.array(r.m), at, np.array(r.lo), np.array(r.hi))
+                train = Moments(np.array(r.tm_m), at, np.array(r.tm_lo), np.array(r.tm_hi))
                 for j, c in enumerate(candidates):
                     out.append((*r[:nk], r.fold, r[nk + 1], j, *train.raw(*train.solve(c)), float(train.lo[-1]), float(train.unit[-1])))
             yield pd.DataFrame(out, columns=[*keys, "fold", "cut_row", "candidate", "coef", "intercept", "y_lo", "y_unit"])

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("tables", "series")
+MODULES = ("tables", "series", "modelling", "shapes")
 
 
 def load():
