@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("tables", "series", "modelling", "shapes")
+MODULES = ("tables", "series", "modelling", "shapes", "pipelines")
 
 
 def load():
