@@ -67,8 +67,15 @@ def join_on(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "
 
 
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast `df` if a count shows it is small, else leave the choice to Spark."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    """Broadcast `df` if it is proven small, else leave the join to Spark.
+
+    The proof is reading at most `max_rows` + 1 rows. A table that passes is
+    kept as read, so its statistics are not computed a second time.
+    """
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
 def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:

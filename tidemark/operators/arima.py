@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, WindowSpec, functions as F
 
 from tidemark.columns import attach, col, join_on
-from tidemark.operators.linear import _key_schema, _solve, Moments, candidate, centre, complete_rows, dot, fit_linear, moments
+from tidemark.operators.linear import Moments, _key_schema, candidate, complete_rows, dot, fit_linear, least_squares, moments
 from tidemark.operators.ordered import number_rows, over_neighbours
 from tidemark.series import Series
 
@@ -93,7 +93,7 @@ def fit_arimax(df: DataFrame, s: Series, target: str, exog: Sequence[str] = (),
                         if mom.n <= len(ids) + 2:
                             continue
                         g, b = mom.m[np.ix_(ids, ids)], mom.m[ids, -1]
-                        w = _solve(g, b, mom.n, 0.0, 0.0) if ids else np.zeros(0)
+                        w = least_squares(g, b) if ids else np.zeros(0)
                         rss = max(float(mom.m[-1, -1] - b @ w), 1e-300)
                         aic = mom.n * math.log(rss / mom.n) + 2 * (p + q + 1)
                         if _settled(w[:p]):

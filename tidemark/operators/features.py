@@ -40,15 +40,40 @@ class OneHot:
     frequent: Mapping[str, tuple[str | None, ...]]
     rare: Mapping[str, tuple[str | None, ...] | DataFrame]
 
+    @classmethod
+    def from_counts(cls, cols: Sequence[str], counts: Sequence[tuple[str, str | None, int]],
+                    min_frequency: float | int | None = None, max_columns: int = 2_000) -> OneHot:
+        """Pick categories from (column, value, count) triples of the train part.
+
+        A fraction is a share of all rows, an integer a number of rows; below
+        it a category is rare.
+        """
+        order = lambda values: tuple(sorted(values, key=lambda v: (v is None, v)))
+        frequent, rare = {}, {}
+        for c in cols:
+            mine = [(v, n) for name, v, n in counts if name == c]
+            floor = min_frequency * sum(n for _, n in mine) if isinstance(min_frequency, float) else (min_frequency or 0)
+            frequent[c] = order(v for v, n in mine if n >= floor)
+            few = order(v for v, n in mine if n < floor)
+            if few:
+                rare[c] = few
+        wide = {c: len(v) for c, v in frequent.items() if len(v) > max_columns}
+        if wide:
+            raise ValueError(f"too many categories for columns {wide}; raise min_frequency")
+        return cls(frequent, rare)
+
     @classmethod
     def fit(cls, df: DataFrame, cols: Sequence[str], min_frequency: float | int | None = None,
             max_columns: int = 2_000, max_listed: int = 2_000) -> OneHot:
         if not cols:
             return cls({}, {})
         train = df.filter(F.col("split") == TRAIN) if "split" in df.columns else df
-        text = train.select(*[col(c).cast("string").alias(c) for c in cols])
-        counts = text.unpivot([], list(cols), "column", "value").groupBy("column", "value").count().persist()
+        counts = category_counts(train, cols).persist()
         try:
+            # Usually there are few values and one small read says it all.
+            few_rows = counts.limit(max_listed + 1).collect()
+            if len(few_rows) <= max_listed:
+                return cls.from_counts(cols, [tuple(r) for r in few_rows], min_frequency, max_columns)
             total = counts.groupBy("column").agg(F.sum("count").alias("total"))
             if isinstance(min_frequency, float):
                 floor = F.lit(min_frequency) * F.col("total")
@@ -104,6 +129,12 @@ class OneHot:
         return df.select(*kept, *[f.cast("double").alias(n) for n, f in flags.items()])
 
 
+def category_counts(train: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Rows (column, value, count) over several columns, in one pass."""
+    text = train.select(*[col(c).cast("string").alias(c) for c in cols])
+    return text.unpivot([], list(cols), "column", "value").groupBy("column", "value").count()
+
+
 def _rare_values(train: DataFrame, c: str, min_frequency: float | int | None) -> DataFrame:
     counts = train.groupBy(col(c).cast("string").alias("__value")).count()
     if isinstance(min_frequency, float):

@@ -72,11 +72,66 @@ def _extremes(cols: Sequence[str]) -> dict[str, tuple[str, Column]]:
 _FOLD = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
+# More aggregates than this and Spark leaves generated code for slow ones.
+JVM_TERMS = 90
+
+
 def moments(df: DataFrame, group: Sequence[str], cols: Sequence[str], shift: Sequence[float], ranges: bool = False) -> DataFrame:
-    """One row per group with packed arrays: `tm_m` (n, sums, products), `tm_lo`, `tm_hi`."""
-    parts = {o: ("sum", c) for o, c in _terms(cols, shift).items()} | (_extremes(cols) if ranges else {})
-    agg = df.groupBy(*group).agg(*[_FOLD[k](c).alias(o) for o, (k, c) in parts.items()])
-    return _packed(agg, group, len(cols), ranges)
+    """One row per group with packed arrays: `tm_m` (n, sums, products), `tm_lo`, `tm_hi`.
+
+    A few columns are summed in generated code. For many columns each task
+    first multiplies its rows in numpy and hands on one partial row per group.
+    """
+    p = len(cols)
+    x = [col(c).cast("double") for c in cols]
+    group = list(group)
+    rows = df.select(*[col(g) for g in group], *[v.alias(f"tm_x{i}") for i, v in enumerate(x)])
+    if len(_names(p)) + (2 * p if ranges else 0) > JVM_TERMS:
+        part = _partial_moments(rows, group, p, shift)
+        sums = [f"sum(tm_m[{k}])" for k in range(len(_names(p)))]
+        ends = [[f"{f}({a}[{i}])" for i in range(p)] for f, a in (("min", "tm_lo"), ("max", "tm_hi"))]
+    else:
+        part = rows.withColumns({f"tm_z{i}": F.col(f"tm_x{i}") - F.lit(m) for i, m in enumerate(shift)})
+        sums = ["CAST(count(1) AS DOUBLE)", *[f"sum(tm_z{i})" for i in range(p)], *[f"sum(tm_z{i} * tm_z{j})" for i, j in _pairs(p)]]
+        ends = [[f"{f}(tm_x{i})" for i in range(p)] for f in ("min", "max")]
+    return part.groupBy(*[col(g) for g in group]).agg(
+        F.expr(f"array({', '.join(sums)})").alias("tm_m"),
+        *[F.expr(f"CAST(array({', '.join(e) if ranges else ''}) AS array<double>)").alias(n) for e, n in zip(ends, ("tm_lo", "tm_hi"))])
+
+
+def _partial_moments(rows: DataFrame, group: Sequence[str], p: int, shift: Sequence[float], held_groups: int = 2_000) -> DataFrame:
+    """Moments per task and group; sums are handed on when many groups are open."""
+    at, (iu, ju), names = np.array(shift), np.triu_indices(p), [*group, "tm_m", "tm_lo", "tm_hi"]
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, list[np.ndarray]] = {}
+        flush = lambda: pd.DataFrame([(*k, *v) for k, v in held.items()], columns=names)
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            code = pdf.groupby(list(group), dropna=False, sort=False).ngroup().to_numpy() if group else np.zeros(len(pdf), int)
+            order = np.argsort(code, kind="stable")
+            start = np.flatnonzero(np.diff(code[order], prepend=-1))
+            x = pdf.iloc[:, len(group):].to_numpy(float)[order]
+            z = x - at
+            count = np.diff(np.append(start, len(x)))[:, None]
+            sums = np.hstack([count, np.add.reduceat(z, start), np.add.reduceat(z[:, iu] * z[:, ju], start)])
+            lo, hi = np.minimum.reduceat(x, start), np.maximum.reduceat(x, start)
+            labels = pdf.iloc[order[start], :len(group)].astype(object)
+            labels = labels.where(labels.notna(), None).itertuples(index=False, name=None) if group else [()]
+            for k, key in enumerate(labels):
+                if key in held:
+                    old = held[key]
+                    held[key] = [old[0] + sums[k], np.minimum(old[1], lo[k]), np.maximum(old[2], hi[k])]
+                else:
+                    held[key] = [sums[k], lo[k], hi[k]]
+            if len(held) > held_groups:
+                yield flush()
+                held.clear()
+        if held:
+            yield flush()
+
+    return rows.mapInPandas(partial, f"{_key_schema(rows, group)}tm_m array<double>, tm_lo array<double>, tm_hi array<double>")
 
 
 def _packed(df: DataFrame, keep: Sequence[str], p: int, ranges: bool) -> DataFrame:
@@ -99,50 +154,84 @@ class Moments:
         span = (hi - lo) if self.scaled else np.ones(p)
         self.unit = np.where(span == 0, 1.0, span)
 
-    def solve(self, c: Mapping[str, Any]) -> tuple[np.ndarray, float]:
-        """Coefficients and intercept in (optionally min-max scaled) units."""
+    def solve(self, candidates: Sequence[Mapping[str, Any]]) -> tuple[np.ndarray, np.ndarray]:
+        """Coefficients (one row per candidate) and intercepts of all candidates,
+        fitted in scaled units and returned for the columns as they are."""
         s, m, n = self.s / self.unit, self.m / np.outer(self.unit, self.unit), self.n
-        if c["fit_intercept"]:
-            g = m - np.outer(s, s) / n
-        else:
-            d = (self.shift - self.lo) / self.unit
-            g = m + np.outer(d, s) + np.outer(s, d) + n * np.outer(d, d)
-        w = _solve(g[:-1, :-1], g[:-1, -1], n, c["alpha"], c["l1_ratio"])
-        if not c["fit_intercept"]:
-            return w, 0.0
-        mean = s / n + (self.shift - self.lo) / self.unit
-        return w, float(mean[-1] - w @ mean[:-1])
-
-    def raw(self, w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
-        """The same model on unscaled columns."""
+        offset = (self.shift - self.lo) / self.unit
+        w, b = np.zeros((len(candidates), len(s) - 1)), np.zeros(len(candidates))
+        for intercept in (True, False):
+            ids = [i for i, c in enumerate(candidates) if c["fit_intercept"] is intercept]
+            if not ids:
+                continue
+            if intercept:
+                g = m - np.outer(s, s) / n
+            else:
+                g = m + np.outer(offset, s) + np.outer(s, offset) + n * np.outer(offset, offset)
+            alpha = np.array([candidates[i]["alpha"] for i in ids])
+            l1 = np.array([candidates[i]["l1_ratio"] for i in ids])
+            w[ids] = solve_all(g[:-1, :-1], g[:-1, -1], n, alpha, l1)
+            if intercept:
+                mean = s / n + offset
+                b[ids] = mean[-1] - w[ids] @ mean[:-1]
         v = w * self.unit[-1] / self.unit[:-1]
-        return v, float(self.lo[-1] + b * self.unit[-1] - v @ self.lo[:-1])
+        return v, self.lo[-1] + b * self.unit[-1] - v @ self.lo[:-1]
 
-    def squared_error(self, v: np.ndarray, b: float) -> float:
-        """Sum of squared errors of raw coefficients on these rows."""
-        a = np.append(-v, 1.0)
+    def squared_errors(self, v: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Sum of squared errors on these rows, per candidate."""
+        a = np.hstack([-v, np.ones((len(v), 1))])
         off = b - a @ self.shift
-        return float(a @ self.m @ a - 2 * off * (a @ self.s) + self.n * off * off)
+        return np.einsum("ci,ij,cj->c", a, self.m, a) - 2 * off * (a @ self.s) + self.n * off * off
+
 
+def least_squares(g: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Solve g w = q for a Gram matrix that may be singular."""
+    size = np.sqrt(np.maximum(np.diag(g), 0))
+    size = np.where(size > 0, size, 1.0)
+    value, vector = np.linalg.eigh(g / np.outer(size, size))
+    keep = value > 1e-11 * max(value.max(initial=0.0), 1e-300)
+    part = vector[:, keep]
+    return part @ ((part.T @ (q / size)) / value[keep]) / size
 
-def _solve(g: np.ndarray, q: np.ndarray, n: float, alpha: float, l1: float) -> np.ndarray:
+
+def solve_all(g: np.ndarray, q: np.ndarray, n: float, alpha: np.ndarray, l1: np.ndarray) -> np.ndarray:
+    """One row of coefficients per (alpha, l1_ratio), for one Gram matrix.
+
+    No penalty: least squares. Squared penalty: a shifted solve. Absolute
+    penalty: coordinate descent on the Gram matrix (Friedman et al. 2010), for
+    all penalties side by side.
+    """
     p = len(q)
-    if alpha == 0 or p == 0:
-        return np.linalg.lstsq(g, q, rcond=None)[0]
-    if l1 == 0:
-        return np.linalg.lstsq(g + alpha * np.eye(p), q, rcond=None)[0]
-    h, r, w = g / n, q / n, np.zeros(p)
-    lasso, ridge = alpha * l1, alpha * (1 - l1)
-    for _ in range(10_000):
-        biggest = 0.0
+    w = np.zeros((len(alpha), p))
+    if p == 0:
+        return w
+    plain, ridge = alpha == 0, (alpha > 0) & (l1 == 0)
+    if plain.any():
+        w[plain] = least_squares(g, q)
+    if ridge.any():
+        w[ridge] = np.linalg.solve(g + alpha[ridge][:, None, None] * np.eye(p), np.broadcast_to(q[:, None], (ridge.sum(), p, 1)))[..., 0]
+    rest = np.flatnonzero(~plain & ~ridge)
+    if not len(rest):
+        return w
+    h, r = g / n, q / n
+    lasso, square = (alpha * l1)[rest], (alpha * (1 - l1))[rest]
+    v = np.zeros((len(rest), p))
+    open_rows = np.arange(len(rest))
+    for _ in range(20_000):
+        now = v[open_rows]
+        moved = np.zeros(len(open_rows))
         for j in range(p):
-            if h[j, j] + ridge <= 0:
-                continue
-            rho = r[j] - h[j] @ w + h[j, j] * w[j]
-            new = math.copysign(max(abs(rho) - lasso, 0.0), rho) / (h[j, j] + ridge)
-            biggest, w[j] = max(biggest, abs(new - w[j])), new
-        if biggest <= 1e-12 * max(1.0, np.abs(w).max()):
+            weight = h[j, j] + square[open_rows]
+            rho = r[j] - now @ h[j] + h[j, j] * now[:, j]
+            new = np.sign(rho) * np.maximum(np.abs(rho) - lasso[open_rows], 0) / np.where(weight > 0, weight, 1.0)
+            new = np.where(weight > 0, new, 0.0)
+            moved = np.maximum(moved, np.abs(new - now[:, j]))
+            now[:, j] = new
+        v[open_rows] = now
+        open_rows = open_rows[moved > 1e-11 * np.maximum(1.0, np.abs(now).max(axis=1))]
+        if not len(open_rows):
             break
+    w[rest] = v
     return w
 
 
@@ -161,7 +250,7 @@ def complete_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def fit_linear(df: DataFrame, keys: Sequence[str], target: str, cols: Sequence[str],
-               candidates: Sequence[Mapping[str, Any]] = (), scaled: bool = False) -> DataFrame:
+               candidates: Sequence[Mapping[str, Any]] = (), scaled: bool = False, shift: Sequence[float] | None = None) -> DataFrame:
     """One row per series and candidate: keys, candidate, coef, intercept, n.
 
     With `scaled` the columns are min-max scaled for the fit and the returned
@@ -170,7 +259,7 @@ def fit_linear(df: DataFrame, keys: Sequence[str], target: str, cols: Sequence[s
     candidates = list(candidates) or [candidate()]
     names = [*cols, target]
     rows = complete_rows(df, names)
-    shift = centre(rows, names)
+    shift = centre(rows, names) if shift is None else shift
     m = moments(rows, keys, names, shift, scaled)
     at = np.array(shift)
 
@@ -181,9 +270,8 @@ def fit_linear(df: DataFrame, keys: Sequence[str], target: str, cols: Sequence[s
                 if not r.tm_m[0]:
                     continue
                 mom = Moments(np.array(r.tm_m), at, np.array(r.tm_lo), np.array(r.tm_hi))
-                for k, c in enumerate(candidates):
-                    w, b = mom.raw(*mom.solve(c))
-                    out.append((*r[:len(keys)], k, w, b, int(mom.n)))
+                w, b = mom.solve(candidates)
+                out += [(*r[:len(keys)], k, w[k], float(b[k]), int(mom.n)) for k in range(len(candidates))]
             yield pd.DataFrame(out, columns=[*keys, "candidate", "coef", "intercept", "n"])
 
     m = m.withColumn("tm_m", F.transform("tm_m", lambda v: F.coalesce(v, F.lit(0.0))))
@@ -210,17 +298,18 @@ _FOLD_MODEL = "fold long, candidate int, coef array<double>, intercept double, y
 def cross_validate(df: DataFrame, s: Series, target: str, cols: Sequence[str], candidates: Sequence[Mapping[str, Any]],
                    scheme: str = "equal", k: int = 5, mode: str = EXPANDING, max_train: int | None = None,
                    window: int | None = None, step: int | None = None, horizons: Sequence[int] | None = None,
-                   metric: str = "mse", scaled: bool = False) -> DataFrame:
+                   metric: str = "mse", scaled: bool = False, shift: Sequence[float] | None = None) -> DataFrame:
     """Score of every candidate on every fold: keys, candidate, fold, score.
 
     Schemes: `equal` (k equal test blocks), `kfold` (contiguous blocks, train is
     the rest) and `rolling` (moving origin). With `scaled`, predictors and
     target are min-max scaled on the fold's train rows and the score is taken
-    in scaled units.
+    in scaled units. `shift` are numbers near the column means (`centre`); they
+    only keep the arithmetic accurate.
     """
     names = [*cols, target]
     rows = complete_rows(df, names)
-    shift = centre(rows, names)
+    shift = centre(rows, names) if shift is None else shift
     if scheme == "rolling":
         return _rolling(rows, s, names, shift, candidates, window, step, horizons, mode, metric, scaled, k)
     if scheme not in ("equal", "kfold"):
@@ -251,6 +340,7 @@ def _blocks(rows, s, names, shift, candidates, scheme, k, mode, max_train, metri
     table = folds.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("fold", *bounds))).alias("tm_folds"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array(*bounds))))).alias("tm_edges"))
+    table = small_side(table)
     # Rows between two neighbouring fold borders form one segment.
     d = attach(number_rows(rows, s, "__rn"), table, keys).filter("tm_edges IS NOT NULL")
     seg = F.size(F.filter("tm_edges", lambda e: e <= F.col("__rn") - 1)).cast("long")
@@ -293,9 +383,8 @@ def _blocks(rows, s, names, shift, candidates, scheme, k, mode, max_train, metri
             out = []
             for r in pdf.itertuples(index=False):
                 for fold, train, test in per_fold(r):
-                    for j, c in enumerate(candidates):
-                        err = test.squared_error(*train.raw(*train.solve(c))) / test.n / train.unit[-1] ** 2
-                        out.append((*r[:nk], j, fold, err))
+                    err = test.squared_errors(*train.solve(candidates)) / test.n / train.unit[-1] ** 2
+                    out += [(*r[:nk], j, fold, float(v)) for j, v in enumerate(err)]
             yield pd.DataFrame(out, columns=[*keys, "candidate", "fold", "score"])
 
     if by_moments:
@@ -306,8 +395,8 @@ def _blocks(rows, s, names, shift, candidates, scheme, k, mode, max_train, metri
             out = []
             for r in pdf.itertuples(index=False):
                 for fold, train, _ in per_fold(r):
-                    for j, c in enumerate(candidates):
-                        out.append((*r[:nk], fold, j, *train.raw(*train.solve(c)), float(train.lo[-1]), float(train.unit[-1])))
+                    w, b = train.solve(candidates)
+                    out += [(*r[:nk], fold, j, w[j], float(b[j]), float(train.lo[-1]), float(train.unit[-1])) for j in range(len(w))]
             yield pd.DataFrame(out, columns=[*keys, "fold", "candidate", "coef", "intercept", "y_lo", "y_unit"])
 
     models = packed.mapInPandas(fit, f"{_key_schema(rows, keys)}{_FOLD_MODEL}")
@@ -369,8 +458,8 @@ def _rolling(rows, s, names, shift, candidates, window, step, horizons, mode, me
             out = []
             for r in pdf.itertuples(index=False):
                 train = Moments(np.array(r.tm_m), at, np.array(r.tm_lo), np.array(r.tm_hi))
-                for j, c in enumerate(candidates):
-                    out.append((*r[:nk], r.fold, r[nk + 1], j, *train.raw(*train.solve(c)), float(train.lo[-1]), float(train.unit[-1])))
+                w, b = train.solve(candidates)
+                out += [(*r[:nk], r.fold, r[nk + 1], j, w[j], float(b[j]), float(train.lo[-1]), float(train.unit[-1])) for j in range(len(w))]
             yield pd.DataFrame(out, columns=[*keys, "fold", "cut_row", "candidate", "coef", "intercept", "y_lo", "y_unit"])
 
     schema = f"{_key_schema(rows, keys)}fold long, cut_row long, candidate int, coef array<double>, intercept double, y_lo double, y_unit double"

@@ -49,13 +49,22 @@ def actual_vs_predicted(df: DataFrame, keys: Sequence[str], ts: str, target: str
     return df.select(*keys, ts, "split", F.col(target).cast("double").alias("actual"), F.col(predicted).alias("predicted"))
 
 
+def split_losses(actual: Column, predicted: Column, metrics: Mapping[str, str | Metric]) -> Column:
+    """Array of one struct per split: name, row count and losses.
+
+    Each loss sees NULL for rows of other splits, which aggregates skip, so all
+    splits are scored in one aggregate and an empty split has NULL losses.
+    """
+    parts = []
+    for name in (TRAIN, VAL, TEST):
+        here = (F.col("split") == name) & actual.isNotNull() & predicted.isNotNull()
+        y, p = F.when(here, actual), F.when(here, predicted)
+        parts.append(F.struct(F.lit(name).alias("split"), F.count_if(here).alias("rows"),
+                              *[metric_of(m)(y, p).alias(n) for n, m in metrics.items()]))
+    return F.array(*parts)
+
+
 def evaluate(pred: DataFrame, metrics: Mapping[str, str | Metric], keys: Sequence[str] = ()) -> DataFrame:
     """Losses per split; a split without rows is there with NULL losses."""
-    y, p = F.col("actual"), F.col("predicted")
-    scored = pred.groupBy(*keys, "split").agg(
-        F.count(F.lit(1)).alias("rows"), *[metric_of(m)(y, p).alias(name) for name, m in metrics.items()])
-    # Three names per series, generated from the scores themselves.
-    names = F.explode(F.array(F.lit(TRAIN), F.lit(VAL), F.lit(TEST))).alias("split")
-    grid = pred.select(*keys).distinct().select(*keys, names) if keys else pred.sparkSession.range(1).select(names)
-    from tidemark.columns import join_on
-    return join_on(grid, scored, [*keys, "split"], "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    scored = pred.groupBy(*keys).agg(split_losses(F.col("actual"), F.col("predicted"), metrics).alias("__s"))
+    return scored.select(*keys, F.inline("__s"))

@@ -65,6 +65,20 @@ def boxplot_limits(df: DataFrame, keys: Sequence[str], value: str, group_rows: i
     return q.select(*keys, (F.col("q")[0] - 1.5 * iqr).alias("lower"), (F.col("q")[1] + 1.5 * iqr).alias("upper"))
 
 
+def column_fences(df: DataFrame, cols: Sequence[str], group_rows: int = 1_000_000) -> dict[str, tuple[float, float]]:
+    """Tukey fences of several columns over the whole table, together if it is
+    small enough for exact percentiles in one aggregate."""
+    if df.limit(group_rows + 1).count() <= group_rows:
+        quartiles = F.array(F.lit(0.25), F.lit(0.75))
+        clean = [F.when(~F.isnan(v), v) for v in (col(c).cast("double") for c in cols)]
+        row = df.agg(*[F.percentile(v, quartiles) for v in clean]).first()
+        found = {c: q for c, q in zip(cols, row) if q is not None}
+    else:
+        rows = {c: exact_quantiles(df, (), c, (0.25, 0.75), group_rows).first() for c in cols}
+        found = {c: r["q"] for c, r in rows.items() if r is not None}
+    return {c: (a - 1.5 * (b - a), b + 1.5 * (b - a)) for c, (a, b) in found.items()}
+
+
 def _train(df: DataFrame) -> DataFrame:
     return df.filter(F.col("split") == TRAIN) if "split" in df.columns else df
 
@@ -77,9 +91,9 @@ def flag_outliers(df: DataFrame, method: str, cols: Sequence[str], z: float = 3.
                   id_cols: Sequence[str] = (), **forest) -> DataFrame:
     """Add a boolean `is_outlier`; limits come from the train part."""
     if method == "boxplot":
-        limits = {c: boxplot_limits(_train(df), (), c).first() for c in cols}
-        outside = [(col(c) < r.lower) | (col(c) > r.upper) for c, r in limits.items() if r is not None]
-        return df.withColumn("is_outlier", _any(outside))
+        limits = column_fences(_train(df), cols)
+        outside = [(col(c) < lower) | (col(c) > upper) for c, (lower, upper) in limits.items()]
+        return df.withColumn("is_outlier", _any(outside) if outside else F.lit(False))
     if method == "zscore":
         row = _train(df).agg(*[f(col(c)) for c in cols for f in (F.avg, F.stddev_pop)]).first()
         far = [F.abs(col(c) - row[2 * i]) > z * row[2 * i + 1] for i, c in enumerate(cols) if row[2 * i + 1]]
@@ -111,27 +125,27 @@ def average_path(n: np.ndarray) -> np.ndarray:
 
 
 def _grow(x: np.ndarray, depth: int, rng: np.random.Generator) -> dict[str, list]:
-    """Random splits of a small sample, stored as flat arrays."""
-    tree: dict[str, list] = {"feature": [], "cut": [], "left": [], "right": [], "path": []}
-    todo = [(np.arange(len(x)), 0, None, "")]
+    """Random splits of a small sample as a complete tree in heap order.
+
+    Node k has the children 2k+1 and 2k+2. Below an early leaf every split
+    sends all points left, so a walk always takes `depth` steps.
+    """
+    inner = 2**depth - 1
+    feature, cut, path = np.zeros(inner, int), np.full(inner, np.inf), np.zeros(2**depth)
+    todo = [(np.arange(len(x)), 0, 0)]
     while todo:
-        rows, level, parent, side = todo.pop()
-        node = len(tree["feature"])
-        if parent is not None:
-            tree[side][parent] = node
+        rows, level, node = todo.pop()
         lo, hi = x[rows].min(axis=0), x[rows].max(axis=0)
         open_features = np.flatnonzero(hi > lo)
-        leaf = level >= depth or len(rows) <= 1 or not len(open_features)
-        f = -1 if leaf else int(rng.choice(open_features))
-        cut = 0.0 if leaf else float(rng.uniform(lo[f], hi[f]))
-        for name, v in (("feature", f), ("cut", cut), ("left", node), ("right", node),
-                        ("path", level + float(average_path(len(rows))) if leaf else 0.0)):
-            tree[name].append(v)
-        if not leaf:
-            down = x[rows, f] <= cut
-            todo.append((rows[~down], level + 1, node, "right"))
-            todo.append((rows[down], level + 1, node, "left"))
-    return tree
+        if level == depth or len(rows) <= 1 or not len(open_features):
+            path[(node + 1) * 2 ** (depth - level) - 2**depth] = level + float(average_path(len(rows)))
+            continue
+        f = int(rng.choice(open_features))
+        feature[node], cut[node] = f, rng.uniform(lo[f], hi[f])
+        down = x[rows, f] <= cut[node]
+        todo.append((rows[~down], level + 1, 2 * node + 2))
+        todo.append((rows[down], level + 1, 2 * node + 1))
+    return {"feature": feature.tolist(), "cut": cut.tolist(), "path": path.tolist()}
 
 
 @dataclass(frozen=True)
@@ -175,31 +189,27 @@ class IsolationForest:
             grown = _grow(pdf[[f"x{i}" for i in range(width)]].to_numpy(float), depth, np.random.default_rng([seed, t]))
             return pd.DataFrame([{"tree": t, **grown}])
 
-        schema = "tree int, feature array<int>, cut array<double>, left array<int>, right array<int>, path array<double>"
-        # At most 100 trees of 511 nodes: a bounded model, as in any fit.
+        schema = "tree int, feature array<int>, cut array<double>, path array<double>"
+        # 100 trees of 511 numbers: a bounded model, as in any fit.
         rows = taken.groupBy("tree").applyInPandas(build, schema).orderBy("tree").collect()
-        return cls(cols, tuple({k: list(r[k]) for k in ("feature", "cut", "left", "right", "path")} for r in rows), psi)
+        return cls(cols, tuple({k: list(r[k]) for k in ("feature", "cut", "path")} for r in rows), psi)
 
     def score(self) -> Column:
         """Anomaly score in (0, 1); NULL if a value is missing."""
-        trees = [{k: np.array(v) for k, v in t.items()} for t in self.trees]
+        trees = [(np.array(t["feature"], np.int32), np.array(t["cut"]), np.array(t["path"])) for t in self.trees]
         unit = float(average_path(self.sample)) or 1.0
 
         @F.pandas_udf(T.DoubleType())
         def path_score(parts: pd.DataFrame) -> pd.Series:
             x = parts.to_numpy(dtype=float)
-            rows = np.arange(len(x))
+            flat, start = x.ravel(), np.arange(len(x), dtype=np.int32) * x.shape[1]
             total = np.zeros(len(x))
-            for t in trees:
-                node = np.zeros(len(x), dtype=int)
-                while True:
-                    f = t["feature"][node]
-                    inner = f >= 0
-                    if not inner.any():
-                        break
-                    down = x[rows, np.maximum(f, 0)] <= t["cut"][node]
-                    node = np.where(down, t["left"][node], t["right"][node])
-                total += t["path"][node]
+            for feature, cut, path in trees:
+                node = np.zeros(len(x), dtype=np.int32)
+                for _ in range(len(path).bit_length() - 1):
+                    right = flat.take(start + feature.take(node)) > cut.take(node)
+                    node = 2 * node + 1 + right
+                total += path.take(node - len(feature))
             s = pd.Series(2.0 ** (-total / len(trees) / unit))
             return s.mask(np.isnan(x).any(axis=1))
 

@@ -16,7 +16,7 @@ from typing import Any
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.columns import numeric_columns
+from tidemark.columns import attach, numeric_columns, quoted
 from tidemark.operators import arima, features, folds as fold_ops, linear, metrics, models, outliers, prepare, search
 from tidemark.operators.aggregate import MISSING_THRESHOLD, missing_profile
 from tidemark.series import Series
@@ -107,49 +107,94 @@ def _split(e: Experiment, df: DataFrame, original: DataFrame, s: Series) -> Data
     return df.withColumn("split", F.when(first, TRAIN).when(second, VAL).otherwise(TEST))
 
 
+def build_features(e: Experiment, p: Prepared, params: Mapping[str, Any]) -> DataFrame:
+    """Hook, split, imputation and features of one trial."""
+    d = _split(e, e.preprocess(params, p.data, p.series), p.data, p.series)
+    d = prepare.impute(d, params["imputer"], p.series, e.target)
+    return features.apply_features(d, p.series, e.make_features, params)
+
+
+def to_encode(e: Experiment, d: DataFrame) -> list[str]:
+    return features.encodable(d, e.categorical, [*e.keys, e.ts])
+
+
+def finish_table(e: Experiment, s: Series, d: DataFrame, encoder: features.OneHot, outlier_method: str | None) -> DataFrame:
+    """Encoding and outlier removal."""
+    d = encoder.transform(d)
+    options = {"id_cols": [*s.keys, s.ts]} if outlier_method == "isolationforest" else {}
+    return outliers.remove_outliers(d, outlier_method, numeric_columns(d, {*s.keys, s.ts}), e.seq_len, e.seq_sampling, **options)
+
+
 def build_table(e: Experiment, p: Prepared, params: Mapping[str, Any]) -> DataFrame:
-    """Hook, split, impute, features, encoding and outlier removal of one trial."""
-    s = p.series
-    d = _split(e, e.preprocess(params, p.data, s), p.data, s)
-    d = prepare.impute(d, params["imputer"], s, e.target)
-    d = features.apply_features(d, s, e.make_features, params)
-    encode = features.encodable(d, e.categorical, [*s.keys, s.ts])
-    d = features.OneHot.fit(d, encode, params["min_frequency"]).transform(d)
-    inputs = numeric_columns(d, {*s.keys, s.ts})
-    return outliers.remove_outliers(d, params["outlier_method"], inputs, e.seq_len, e.seq_sampling,
-                                    **({"id_cols": [*s.keys, s.ts]} if params["outlier_method"] == "isolationforest" else {}))
+    """Everything between landing and modelling for one trial."""
+    d = build_features(e, p, params)
+    encoder = features.OneHot.fit(d, to_encode(e, d), params["min_frequency"])
+    return finish_table(e, p.series, d, encoder, params["outlier_method"])
 
 
 def _inner_candidates(spark: SparkSession, e: Experiment, model: str) -> list[dict[str, Any]]:
+    """The inner random search of one model: the same draws in every trial."""
     space = e.model_spaces[model]
     drawn = search.sample_space(spark, space, e.inner_trials, e.seed).orderBy("trial").collect()
     seen = {json.dumps({k: r[k] for k in space}, sort_keys=True, default=str): {k: r[k] for k in space} for r in drawn}
     return list(seen.values())
 
 
-def _metrics(pred: DataFrame, e: Experiment) -> dict[str, float | None]:
-    rows = metrics.evaluate(pred, {"loss": e.metric}).collect()
-    return {r["split"]: r["loss"] for r in rows}
+def _losses(pred: DataFrame, e: Experiment) -> dict[str, float | None]:
+    return {r["split"]: r["loss"] for r in metrics.evaluate(pred, {"loss": e.metric}).collect()}
 
 
-def run_model(e: Experiment, table: DataFrame, s: Series, model: str, scaler: str | None) -> dict[str, Any]:
-    """Tune by cross-validation on train, fit on all of train, score every split."""
-    spark = table.sparkSession
-    candidates = _inner_candidates(spark, e, model)
+Draws = Mapping[str, Sequence[Mapping[str, Any]]]
+
+
+def run_linear(e: Experiment, table: DataFrame, s: Series, names: Sequence[str], scaler: str | None, drawn: Draws,
+               save: Callable[[DataFrame], Any] | None = None) -> dict[str, dict[str, Any]]:
+    """Tune, fit and score several linear models together.
+
+    All candidates of all models are scored from one set of fold moments, the
+    winners are fitted from one more, and one pass over the table scores them.
+    """
+    tried = [(m, c) for m in names for c in drawn[m]]
     cols = numeric_columns(table, {*s.keys, s.ts, e.target})
     train = table.filter(F.col("split") == TRAIN)
-    if model in LINEAR:
-        options = [linear.candidate(model, **c) for c in candidates]
-        scores = linear.cross_validate(train, s, e.target, cols, options, e.cv_scheme, e.cv_folds, e.cv_mode, None, e.cv_window,
-                                       e.cv_step, e.horizons, e.metric, scaled=scaler == "minmax")
-        ranked = linear.cv_score(scores).withColumnRenamed("candidate", "trial")
-        best = search.best_trial(ranked, "cv_score").first()
-        if best is None:
+    options = [linear.candidate(m, **c) for m, c in tried]
+    shift = linear.centre(train, [*cols, e.target])
+    scores = linear.cross_validate(train, s, e.target, cols, options, e.cv_scheme, e.cv_folds, e.cv_mode, None, e.cv_window,
+                                   e.cv_step, e.horizons, e.metric, scaled=scaler == "minmax", shift=shift)
+    # One row per candidate.
+    cv = {r["candidate"]: r["cv_score"] for r in linear.cv_score(scores).collect()}
+    best = {}
+    for m in names:
+        mine = [i for i, (n, _) in enumerate(tried) if n == m and cv.get(i) is not None]
+        if not mine:
             raise ValueError("too few train rows for the cross-validation folds")
-        fitted = linear.fit_linear(train, s.keys, e.target, cols, [options[best.trial]], scaled=scaler == "minmax")
-        pred = linear.predict_linear(linear.complete_rows(table, [*cols, e.target]), fitted, s.keys, cols)
-        params, cv = candidates[best.trial], best.cv_score
-    elif model in BOOSTED:
+        best[m] = min(mine, key=lambda i: (cv[i], i))
+    fitted = linear.fit_linear(train, s.keys, e.target, cols, [options[best[m]] for m in names],
+                               scaled=scaler == "minmax", shift=shift)
+    per_series = fitted.groupBy(*s.keys).agg(
+        F.array_sort(F.collect_list(F.struct("candidate", "coef", "intercept"))).alias("__fits"))
+    d = attach(linear.complete_rows(table, [*cols, e.target]), per_series, s.keys)
+    y = F.col(quoted(e.target)).cast("double")
+    guesses = {m: linear.dot(F.col("__fits")[k]["coef"], cols) + F.col("__fits")[k]["intercept"] for k, m in enumerate(names)}
+    if save is not None:
+        save(d.select(*s.keys, s.ts, "split", y.alias("actual"), guesses[names[0]].alias("predicted")))
+    row = d.agg(*[metrics.split_losses(y, g, {"loss": e.metric}).alias(m) for m, g in guesses.items()]).first()
+    out = {}
+    for m in names:
+        loss = {p["split"]: p["loss"] for p in row[m]}
+        out[m] = search.performance_row(tried[best[m]][1], loss[TRAIN], loss[VAL], loss[TEST], cv[best[m]])
+    return out
+
+
+def run_model(e: Experiment, table: DataFrame, s: Series, model: str, scaler: str | None, drawn: Draws,
+              save: Callable[[DataFrame], Any] | None = None) -> dict[str, Any]:
+    """Tune by cross-validation on train, fit on all of train, score every split."""
+    if model in LINEAR:
+        return run_linear(e, table, s, [model], scaler, drawn, save)[model]
+    candidates = drawn[model]
+    cols = numeric_columns(table, {*s.keys, s.ts, e.target})
+    train = table.filter(F.col("split") == TRAIN)
+    if model in BOOSTED:
         params, cv = _tune_boosted(e, train, s, cols, candidates)
         pred = models.predict_gbt(models.fit_gbt(train, e.target, cols, params), table.na.drop(subset=[e.target]), cols)
     else:
@@ -158,8 +203,11 @@ def run_model(e: Experiment, table: DataFrame, s: Series, model: str, scaler: st
         later = table.filter(F.col("split") != TRAIN)
         pred = arima.forecast_arimax(fitted, later, s, cols)
         pred = pred.unionByName(arima.fitted_arimax(fitted, train, s, e.target, cols, **params)).filter("predicted IS NOT NULL")
-    loss = _metrics(metrics.actual_vs_predicted(pred, s.keys, s.ts, e.target), e)
-    return search.performance_row(params, loss.get(TRAIN), loss.get(VAL), loss.get(TEST), cv)
+    pred = metrics.actual_vs_predicted(pred, s.keys, s.ts, e.target)
+    if save is not None:
+        save(pred)
+    loss = _losses(pred, e)
+    return search.performance_row(params, loss[TRAIN], loss[VAL], loss[TEST], cv)
 
 
 def _numbered_folds(e: Experiment, train: DataFrame, s: Series) -> DataFrame:
@@ -205,6 +253,59 @@ def _tune_arima(e: Experiment, train: DataFrame, s: Series, cols: Sequence[str],
     return dict(candidates[best]), means[best]
 
 
+def _run_trials(e: Experiment, p: Prepared, trials: Sequence[Mapping[str, Any]], drawn: Draws) -> list[tuple]:
+    """Score all trials, computing every shared stage once.
+
+    Trials share features by imputer and hook parameters, and a model table
+    when their frequency thresholds pick the same categories. Independent
+    tables run in a small thread pool.
+    """
+    shared: dict[str, list[Mapping[str, Any]]] = {}
+    for t in trials:
+        shape = {k: str(t[k]) for k in ("imputer", *e.hook_space)}
+        shared.setdefault(json.dumps(shape, sort_keys=True), []).append(t)
+
+    def encoders(members: list[Mapping[str, Any]]) -> tuple[DataFrame, list[tuple[Any, list[Mapping[str, Any]]]]]:
+        d = build_features(e, p, members[0]).persist()
+        cols = to_encode(e, d)
+        groups: dict[str, tuple[Any, list[Mapping[str, Any]]]] = {}
+        fitted: dict[float, features.OneHot] = {}
+        counts = features.category_counts(d.filter(F.col("split") == TRAIN), cols).limit(2_001).collect() if cols else []
+        for t in members:
+            f = t["min_frequency"]
+            if f not in fitted:
+                few = len(counts) <= 2_000
+                fitted[f] = (features.OneHot.from_counts(cols, [tuple(c) for c in counts], f) if few
+                             else features.OneHot.fit(d, cols, f))
+            same = repr((fitted[f].frequent, fitted[f].rare, t["outlier_method"]))
+            groups.setdefault(same, (fitted[f], []))[1].append(t)
+        return d, list(groups.values())
+
+    def run_group(job: tuple[DataFrame, features.OneHot, list[Mapping[str, Any]]]) -> list[tuple]:
+        d, encoder, members = job
+        table = finish_table(e, p.series, d, encoder, members[0]["outlier_method"]).persist()
+        done: dict[tuple, dict[str, Any]] = {}
+        try:
+            for scaler in {t["scaler"]: None for t in members}:
+                wanted = list(dict.fromkeys(t["model"] for t in members if t["scaler"] == scaler))
+                together = [m for m in wanted if m in LINEAR]
+                got = run_linear(e, table, p.series, together, scaler, drawn) if together else {}
+                got |= {m: run_model(e, table, p.series, m, scaler, drawn) for m in wanted if m not in LINEAR}
+                done |= {(m, scaler): r for m, r in got.items()}
+            return [_trial_row(t, done[t["model"], t["scaler"]], e) for t in members]
+        finally:
+            table.unpersist()
+
+    with ThreadPoolExecutor(max(1, e.threads)) as pool:
+        stages = list(pool.map(inheritable_thread_target(encoders), shared.values()))
+        jobs = [(d, encoder, members) for d, groups in stages for encoder, members in groups]
+        try:
+            return [r for part in pool.map(inheritable_thread_target(run_group), jobs) for r in part]
+        finally:
+            for d, _ in stages:
+                d.unpersist()
+
+
 def search_pipelines(spark: SparkSession, e: Experiment, store: Store, n_trials: int = 100,
                      direction: str = "minimize") -> tuple[DataFrame, dict[str, Any]]:
     """Random search over whole pipelines.
@@ -221,30 +322,8 @@ def search_pipelines(spark: SparkSession, e: Experiment, store: Store, n_trials:
     for r in drawn:
         params = {**r.asDict(), **{k: v[r[k]] for k, v in names.items()}}
         trials.append(params)
-    shaping = ["imputer", "outlier_method", "min_frequency", *e.hook_space]
-    groups: dict[str, list[dict[str, Any]]] = {}
-    has_text = bool(features.encodable(prepared.data, e.categorical, [*e.keys, e.ts])) or e.make_features is not _unchanged
-    for t in trials:
-        # Without anything to encode the frequency threshold shapes nothing.
-        shape = {k: str(t[k]) for k in shaping if k != "min_frequency" or has_text}
-        groups.setdefault(json.dumps(shape, sort_keys=True), []).append(t)
-
-    def run_group(members: list[dict[str, Any]]) -> list[tuple]:
-        table = build_table(e, prepared, members[0]).persist()
-        done: dict[tuple, dict[str, Any]] = {}
-        out = []
-        try:
-            for t in members:
-                key = (t["model"], t["scaler"])
-                if key not in done:
-                    done[key] = run_model(e, table, prepared.series, t["model"], t["scaler"])
-                out.append(_trial_row(t, done[key], e))
-        finally:
-            table.unpersist()
-        return out
-
-    with ThreadPoolExecutor(max(1, e.threads)) as pool:
-        rows = [r for part in pool.map(inheritable_thread_target(run_group), groups.values()) for r in part]
+    inner = {m: _inner_candidates(spark, e, m) for m in {t["model"]: None for t in trials}}
+    rows = _run_trials(e, prepared, trials, inner)
     schema = ("trial long, imputer string, outlier_method string, scaler string, min_frequency double, model string, "
               "hook_params string, model_params string, train double, val double, test double, train_cv_score double, score double")
     table = store.write(spark.createDataFrame(rows, schema), "trials")
@@ -253,7 +332,9 @@ def search_pipelines(spark: SparkSession, e: Experiment, store: Store, n_trials:
         raise ValueError(f"no trial has a score on {e.scored_on}")
     chosen = next(t for t in trials if t["trial"] == best.trial)
     final_table = build_table(e, prepared, chosen)
-    final = run_model(e, final_table, prepared.series, chosen["model"], chosen["scaler"])
+    # The rerun keeps what the search did not: the predictions of every split.
+    final = run_model(e, final_table, prepared.series, chosen["model"], chosen["scaler"], inner,
+                      save=lambda pred: store.write(pred, "modeling", chosen["trial"]))
     store.write_result(final, "_".join(["modeling", *[f"{k}_{v}" for k, v in final["best_params"].items()]]))
     return table, {**{k: chosen[k] for k in ("imputer", "outlier_method", "scaler", "min_frequency", *e.hook_space)},
                    "model": (chosen["model"], (json.loads(best.model_params), best.train_cv_score)), "performance": final}
