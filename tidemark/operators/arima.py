@@ -25,6 +25,8 @@ from tidemark.series import Series
 
 # Rows one forecast task writes.
 FORECAST_BLOCK = 100_000
+# Columns of a model table; keys need other names.
+RESERVED = ("p", "d", "q", "ar", "ma", "aic", "n", "beta", "mean", "far", "tail")
 
 
 def _binomial(d: int) -> list[float]:
@@ -39,12 +41,12 @@ def _differences(df: DataFrame, s: Series, cols: Sequence[str], max_d: int) -> D
         lagged = {(c, k): (F.lag(col(c), k).over(w) if k else col(c)) for c in cols for k in range(max_d + 1)}
         r = r.withColumns({f"__{i}_{k}": v.cast("double") for (c, k), v in lagged.items() for i in [cols.index(c)]})
         orders = [F.struct(F.lit(d).alias("tm_d"), *[
-            sum((F.col(f"__{i}_{k}") * b for k, b in enumerate(_binomial(d))), F.lit(0.0)).alias(f"z{i}")
+            sum((F.col(f"__{i}_{k}") * b for k, b in enumerate(_binomial(d))), F.lit(0.0)).alias(f"tm_z{i}")
             for i in range(len(cols))]) for d in range(max_d + 1)]
         return r.withColumn("__o", F.explode(F.array(*orders)))
 
     out = over_neighbours(df.select(*s.keys, s.ts, *[col(c) for c in cols]), s, max(max_d, 1), build)
-    return out.select(*s.keys, s.ts, "__o.tm_d", *[f"__o.z{i}" for i in range(len(cols))])
+    return out.select(*s.keys, s.ts, "__o.tm_d", *[f"__o.tm_z{i}" for i in range(len(cols))])
 
 
 def _with_lags(df: DataFrame, s: Series, spec: Mapping[str, int]) -> DataFrame:
@@ -59,25 +61,28 @@ def fit_arimax(df: DataFrame, s: Series, target: str, exog: Sequence[str] = (),
     """One row per series: orders p, d, q chosen by AIC, coefficients, and the
     last values a forecast starts from."""
     keys = list(s.keys)
+    taken = set(keys) & set(RESERVED)
+    if taken:
+        raise ValueError(f"key columns {sorted(taken)} have the names of model columns; rename them")
     names = [target, *exog]
     rows = complete_rows(df, names)
     reach = max_p + max_q + 2
-    diffs = complete_rows(_differences(rows, s, names, max_d), [f"z{i}" for i in range(len(names))])
+    diffs = complete_rows(_differences(rows, s, names, max_d), [f"tm_z{i}" for i in range(len(names))])
     sd = s.within("tm_d")
-    x = [f"z{i}" for i in range(1, len(names))]
-    reg = fit_linear(diffs, sd.keys, "z0", x, [candidate()]).select(
+    x = [f"tm_z{i}" for i in range(1, len(names))]
+    reg = fit_linear(diffs, sd.keys, "tm_z0", x, [candidate()]).select(
         *sd.keys, F.col("coef").alias("beta"), F.col("intercept").alias("mean"))
     d = attach(diffs, reg, sd.keys)
     fitted = dot(F.col("beta"), x) if x else F.lit(0.0)
-    d = d.withColumn("u", F.col("z0") - F.col("mean") - fitted).select(*sd.keys, s.ts, "u", "beta", "mean")
-    d = _with_lags(d, sd, {"u": reach})
-    long_lags = [f"u_{k}" for k in range(1, reach + 1)]
-    far = fit_linear(complete_rows(d, long_lags), sd.keys, "u", long_lags, [candidate(fit_intercept=False)])
+    d = d.withColumn("tm_u", F.col("tm_z0") - F.col("mean") - fitted).select(*sd.keys, s.ts, "tm_u", "beta", "mean")
+    d = _with_lags(d, sd, {"tm_u": reach})
+    long_lags = [f"tm_u_{k}" for k in range(1, reach + 1)]
+    far = fit_linear(complete_rows(d, long_lags), sd.keys, "tm_u", long_lags, [candidate(fit_intercept=False)])
     d = attach(d, far.select(*sd.keys, F.col("coef").alias("far")), sd.keys)
-    d = d.withColumn("e", F.col("u") - dot(F.col("far"), long_lags))
-    d = _with_lags(d, sd, {"e": max_q})
-    terms = [*[f"u_{k}" for k in range(1, max_p + 1)], *[f"e_{k}" for k in range(1, max_q + 1)]]
-    cols = [*terms, "u"]
+    d = d.withColumn("tm_e", F.col("tm_u") - dot(F.col("far"), long_lags))
+    d = _with_lags(d, sd, {"tm_e": max_q})
+    terms = [*[f"tm_u_{k}" for k in range(1, max_p + 1)], *[f"tm_e_{k}" for k in range(1, max_q + 1)]]
+    cols = [*terms, "tm_u"]
     m = moments(complete_rows(d, cols), sd.keys, cols, [0.0] * len(cols))
     at, nk = np.zeros(len(cols)), len(sd.keys)
     schema = f"{_key_schema(rows, keys)}tm_d int, p int, q int, ar array<double>, ma array<double>, aic double, n long"
@@ -122,9 +127,9 @@ def _with_state(rows: DataFrame, s: Series, model: DataFrame, target: str, exog:
     """Attach the last rows of each series: bounded by the model orders."""
     need = lags + max_q + reach
     back = Window.partitionBy(*s.keys).orderBy(F.col(s.ts).desc())
-    tail = rows.select(*s.keys, s.ts, col(target).alias("y"), F.array(*[col(c).cast("double") for c in exog]).cast("array<double>").alias("x"))
-    tail = tail.withColumn("k", F.row_number().over(back)).filter(F.col("k") <= need)
-    tails = tail.groupBy(*s.keys).agg(F.array_sort(F.collect_list(F.struct("k", F.col("y").cast("double").alias("y"), "x"))).alias("tail"))
+    tail = rows.select(*s.keys, s.ts, col(target).alias("tm_y"), F.array(*[col(c).cast("double") for c in exog]).cast("array<double>").alias("tm_x"))
+    tail = tail.withColumn("tm_k", F.row_number().over(back)).filter(F.col("tm_k") <= need)
+    tails = tail.groupBy(*s.keys).agg(F.array_sort(F.collect_list(F.struct("tm_k", F.col("tm_y").cast("double").alias("y"), F.col("tm_x").alias("x")))).alias("tail"))
     return join_on(model, tails, list(s.keys)) if s.keys else model.withColumn("tail", tails.scalar())
 
 

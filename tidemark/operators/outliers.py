@@ -28,34 +28,34 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     the bracket, and only the distinct values inside it are ranked exactly.
     """
     keys, probs = list(keys), [float(p) for p in probs]
-    v = df.select(*keys, col(value).cast("double").alias("v")).filter("v IS NOT NULL AND NOT isnan(v)")
+    v = df.select(*keys, col(value).cast("double").alias("tm_v")).filter("tm_v IS NOT NULL AND NOT isnan(tm_v)")
     largest = v.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     if largest <= group_rows:
-        return v.groupBy(*keys).agg(F.percentile("v", F.array(*map(F.lit, probs))).alias("q"))
+        return v.groupBy(*keys).agg(F.percentile("tm_v", F.array(*map(F.lit, probs))).alias("q"))
     slack = 2.0 / accuracy
     edges = [max(p - slack, 0.0) for p in probs] + [min(p + slack, 1.0) for p in probs]
-    rough = v.groupBy(*keys).agg(F.percentile_approx("v", edges, accuracy).alias("e"), F.count(F.lit(1)).alias("n"))
+    rough = v.groupBy(*keys).agg(F.percentile_approx("tm_v", edges, accuracy).alias("tm_e"), F.count(F.lit(1)).alias("tm_n"))
     d = attach(v, rough, keys)
     m = len(probs)
-    low = [F.lit(float("-inf")) if p <= slack else F.col("e")[k] for k, p in enumerate(probs)]
-    high = [F.lit(float("inf")) if p >= 1 - slack else F.col("e")[m + k] for k, p in enumerate(probs)]
+    low = [F.lit(float("-inf")) if p <= slack else F.col("tm_e")[k] for k, p in enumerate(probs)]
+    high = [F.lit(float("inf")) if p >= 1 - slack else F.col("tm_e")[m + k] for k, p in enumerate(probs)]
     below = d.groupBy(*keys).agg(
-        F.first("n").alias("n"), F.array(*[F.count_if(F.col("v") < low[k]) for k in range(m)]).alias("below"))
+        F.first("tm_n").alias("tm_n"), F.array(*[F.count_if(F.col("tm_v") < low[k]) for k in range(m)]).alias("tm_below"))
     inside = F.array_compact(F.array(*[
-        F.when(F.col("v").between(low[k], high[k]), F.lit(k)) for k in range(m)]))
-    seen = d.select(*keys, "v", F.explode(inside).alias("k")).groupBy(*keys, "k", "v").count()
-    upto = Window.partitionBy(*keys, "k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = attach(seen.withColumn("upto", F.sum("count").over(upto)), below, keys)
-    ranked = ranked.withColumn("upto", F.col("upto") + F.col("below")[F.col("k")])
-    at = F.element_at(F.array(*map(F.lit, probs)), F.col("k") + 1) * (F.col("n") - 1)
-    ranked = ranked.withColumns({"at": at, "r": F.floor(at)})
-    pair = ranked.groupBy(*keys, "k").agg(
-        F.min(F.when(F.col("upto") > F.col("r"), F.col("v"))).alias("a"),
-        F.min(F.when(F.col("upto") > F.col("r") + 1, F.col("v"))).alias("b"),
-        F.first(F.col("at") - F.col("r")).alias("part"))
-    q = F.col("a") + F.when(F.col("part") > 0, F.col("part") * (F.col("b") - F.col("a"))).otherwise(0.0)
-    rows = pair.select(*keys, F.struct("k", q.alias("q")).alias("kq"))
-    return rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list("kq")), lambda e: e["q"]).alias("q"))
+        F.when(F.col("tm_v").between(low[k], high[k]), F.lit(k)) for k in range(m)]))
+    seen = d.select(*keys, "tm_v", F.explode(inside).alias("tm_k")).groupBy(*keys, "tm_k", "tm_v").count()
+    upto = Window.partitionBy(*keys, "tm_k").orderBy("tm_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = attach(seen.withColumn("tm_upto", F.sum("count").over(upto)), below, keys)
+    ranked = ranked.withColumn("tm_upto", F.col("tm_upto") + F.col("tm_below")[F.col("tm_k")])
+    at = F.element_at(F.array(*map(F.lit, probs)), F.col("tm_k") + 1) * (F.col("tm_n") - 1)
+    ranked = ranked.withColumns({"tm_at": at, "tm_r": F.floor(at)})
+    pair = ranked.groupBy(*keys, "tm_k").agg(
+        F.min(F.when(F.col("tm_upto") > F.col("tm_r"), F.col("tm_v"))).alias("tm_a"),
+        F.min(F.when(F.col("tm_upto") > F.col("tm_r") + 1, F.col("tm_v"))).alias("tm_b"),
+        F.first(F.col("tm_at") - F.col("tm_r")).alias("tm_part"))
+    q = F.col("tm_a") + F.when(F.col("tm_part") > 0, F.col("tm_part") * (F.col("tm_b") - F.col("tm_a"))).otherwise(0.0)
+    rows = pair.select(*keys, F.struct("tm_k", q.alias("q")).alias("tm_kq"))
+    return rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list("tm_kq")), lambda e: e["q"]).alias("q"))
 
 
 def boxplot_limits(df: DataFrame, keys: Sequence[str], value: str, group_rows: int = 1_000_000) -> DataFrame:
@@ -166,8 +166,8 @@ class IsolationForest:
         if not id_cols:
             raise ValueError("isolation forest needs id_cols that identify a row")
         cols = tuple(cols)
-        x = df.select(*[col(c) for c in id_cols], *[col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
-        x = x.na.drop(subset=[f"x{i}" for i in range(len(cols))])
+        x = df.select(*[col(c) for c in id_cols], *[col(c).cast("double").alias(f"tm_x{i}") for i, c in enumerate(cols)])
+        x = x.na.drop(subset=[f"tm_x{i}" for i in range(len(cols))])
         n = x.count()
         psi = min(sample, n)
         draw = lambda *salt: (F.xxhash64(*[col(c) for c in id_cols], *map(F.lit, salt)) / F.lit(2.0**64) + 0.5)
@@ -175,23 +175,23 @@ class IsolationForest:
         share = min(1.0, 8.0 * trees * sample / max(n, 1))
         pool = x.filter(draw(seed, -1) < share) if share < 1 else x
         rate = min(1.0, 2.0 * psi / max(n * share, 1))
-        tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
-        offered = pool.select("*", tree).withColumn("u", F.xxhash64(
-            *[col(c) for c in id_cols], F.lit(seed), F.col("tree")) / F.lit(2.0**64) + 0.5)
-        first = Window.partitionBy("tree").orderBy("u", *[col(c) for c in id_cols])
-        taken = offered.filter(F.col("u") < rate).withColumn("k", F.row_number().over(first)).filter(F.col("k") <= psi)
+        tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tm_tree")
+        offered = pool.select("*", tree).withColumn("tm_u", F.xxhash64(
+            *[col(c) for c in id_cols], F.lit(seed), F.col("tm_tree")) / F.lit(2.0**64) + 0.5)
+        first = Window.partitionBy("tm_tree").orderBy("tm_u", *[col(c) for c in id_cols])
+        taken = offered.filter(F.col("tm_u") < rate).withColumn("tm_k", F.row_number().over(first)).filter(F.col("tm_k") <= psi)
         depth = int(np.ceil(np.log2(max(psi, 2))))
         width = len(cols)
 
         def build(pdf: pd.DataFrame) -> pd.DataFrame:
-            t = int(pdf["tree"].iloc[0])
-            pdf = pdf.sort_values("k")
-            grown = _grow(pdf[[f"x{i}" for i in range(width)]].to_numpy(float), depth, np.random.default_rng([seed, t]))
+            t = int(pdf["tm_tree"].iloc[0])
+            pdf = pdf.sort_values("tm_k")
+            grown = _grow(pdf[[f"tm_x{i}" for i in range(width)]].to_numpy(float), depth, np.random.default_rng([seed, t]))
             return pd.DataFrame([{"tree": t, **grown}])
 
         schema = "tree int, feature array<int>, cut array<double>, path array<double>"
         # 100 trees of 511 numbers: a bounded model, as in any fit.
-        rows = taken.groupBy("tree").applyInPandas(build, schema).orderBy("tree").collect()
+        rows = taken.groupBy("tm_tree").applyInPandas(build, schema).orderBy("tree").collect()
         return cls(cols, tuple({k: list(r[k]) for k in ("feature", "cut", "path")} for r in rows), psi)
 
     def score(self) -> Column:
