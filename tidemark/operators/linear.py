@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidemark.columns import attach, col, join_on, small_side
-from tidemark.operators.folds import EXPANDING, SLIDING, folds_equal, folds_plain, rolling_defaults, series_length
+from tidemark.operators.folds import EXPANDING, SLIDING, folds_equal, folds_plain, rolling_defaults
 from tidemark.operators.metrics import metric_of
 from tidemark.operators.ordered import number_rows, over_neighbours, running_totals
 from tidemark.series import Series
@@ -309,12 +309,19 @@ def cross_validate(df: DataFrame, s: Series, target: str, cols: Sequence[str], c
     """
     names = [*cols, target]
     rows = complete_rows(df, names)
-    shift = centre(rows, names) if shift is None else shift
+    # One pass gives the length of every series and, from it, the column means.
+    measured = rows.groupBy(*s.keys).agg(F.count(F.lit(1)).alias("n"), *(
+        [F.sum(col(c).cast("double")).alias(f"tm_c{i}") for i, c in enumerate(names)] if shift is None else []))
+    measured = small_side(measured)
+    if shift is None:
+        total = measured.agg(F.sum("n"), *[F.sum(f"tm_c{i}") for i in range(len(names))]).first()
+        shift = [float(v / total[0]) for v in total[1:]] if total[0] else [0.0] * len(names)
+    lengths = measured.select(*s.keys, "n")
     if scheme == "rolling":
-        return _rolling(rows, s, names, shift, candidates, window, step, horizons, mode, metric, scaled, k)
+        return _rolling(rows, s, lengths, names, shift, candidates, window, step, horizons, mode, metric, scaled, k)
     if scheme not in ("equal", "kfold"):
         raise ValueError(f"unknown scheme {scheme!r}")
-    return _blocks(rows, s, names, shift, candidates, scheme, k, mode, max_train, metric, scaled)
+    return _blocks(rows, s, lengths, names, shift, candidates, scheme, k, mode, max_train, metric, scaled)
 
 
 def cv_score(scores: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -322,9 +329,8 @@ def cv_score(scores: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return scores.groupBy(*keys, "candidate").agg(F.avg("score").alias("cv_score"), F.count("score").alias("folds"))
 
 
-def _blocks(rows, s, names, shift, candidates, scheme, k, mode, max_train, metric, scaled):
+def _blocks(rows, s, lengths, names, shift, candidates, scheme, k, mode, max_train, metric, scaled):
     keys = list(s.keys)
-    lengths = series_length(rows, s)
     if scheme == "equal":
         if mode == SLIDING and max_train is None:
             lengths = lengths.withColumn("w", rolling_defaults(F.col("n"), k))
@@ -420,11 +426,11 @@ def _score_rows(tests: DataFrame, models: DataFrame, on: Sequence[str], keys: Se
         *keys, "candidate", "fold", "score")
 
 
-def _rolling(rows, s, names, shift, candidates, window, step, horizons, mode, metric, scaled, k):
+def _rolling(rows, s, lengths, names, shift, candidates, window, step, horizons, mode, metric, scaled, k):
     """Rolling-origin folds from running totals; never rows times folds."""
     keys, p = list(s.keys), len(names)
     if window is None or step is None or horizons is None:
-        n = series_length(rows, s).agg(F.min("n"), F.max("n")).first()
+        n = lengths.agg(F.min("n"), F.max("n")).first()
         if n[0] != n[1]:
             raise ValueError("series differ in length: give window, step and horizons")
         window, step = window or n[0] // (k + 1), step or n[0] // (k + 1)
@@ -444,8 +450,7 @@ def _rolling(rows, s, names, shift, candidates, window, step, horizons, mode, me
             return b.withColumns({o: _FOLD[kd](F.col(o)).over(w) for o, kd in kinds.items()})
         summed = over_neighbours(blocks, s, size - 1, frame) if size > 1 else blocks
     hi = (F.col("__b") + 1) * unit
-    n = series_length(rows, s)
-    cut = attach(summed, n.select(*keys, F.col("n").alias("__len")), keys).withColumn("__hi", hi)
+    cut = attach(summed, lengths.select(*keys, F.col("n").alias("__len")), keys).withColumn("__hi", hi)
     # The last block of a series may be short; a cut-off needs all its rows.
     cut = cut.filter((F.col("__hi") >= window) & ((F.col("__hi") - window) % step == 0)
                      & (F.col("__hi") - 1 + max(horizons) <= F.col("__len") - 1))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.columns import small_side
 from tidemark.functions import distributions as ds, nested as ne
 from tidemark.operators.aggregate import class_distribution
 from workloads.fixtures import table
@@ -21,8 +22,7 @@ def type_mix(spark, sf):
     e = table(spark, sf, "events")
     whole = class_distribution(e, [], "event_type", e.select("event_type")).withColumnRenamed("prob", "p")
     mine = class_distribution(e, ["user_id"], "event_type", e.select("event_type")).withColumnRenamed("prob", "a")
-    # One row per event type.
-    return mine.join(F.broadcast(whole), "event_type")
+    return mine.join(small_side(whole), "event_type")
 
 
 @query("l1_kl_divergence", _MIX + " SELECT user_id, round(sum(CASE WHEN a > 0 THEN a * ln(a / p) / ln(2) ELSE 0 END), 6) AS kl FROM mix GROUP BY 1")
