@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.operators.aggregate import conditional_sums, units_by_event_date
 from tidemark.operators.clean import clean_text, journey_legs, keep, leg_durations, map_values, rename, to_dates
@@ -78,15 +78,25 @@ def shipment_arrivals(t: Mapping[str, DataFrame], as_of: str, years: int = 2) ->
         & F.col("storetype").isin(list(STORE_TYPES)) & (F.col("spo_enabled") | F.col("breakbulk"))
         & (F.col("reasonid").isin([*STOCKING_REASONS, DOMESTIC_REASON, TRANSFER_REASON]) | F.col("levelcode").isNotNull())
         & (F.col("qty") > 0))
-    sums = [*conditional_sums("qty", "cartontype", CARTON_TYPES), F.sum("qty").alias("__units")]
-    arrived, by_level = arrivals(t["report"]), ["spoid", "servicelevel"]
-    first = lines.filter(eligible).groupBy(*by_level).agg(*sums).join(arrived, "spoid")
-    first = first.withColumn("Total_units", F.coalesce("arrived", "__units"))
-    rest = arrived.join(first.select("spoid"), "spoid", "left_anti")
-    second = lines.groupBy(*by_level).agg(*sums).join(rest, "spoid").withColumn("Total_units", F.col("arrived"))
-    # The two parts have no shipment in common, and each is unique by
-    # (spoid, servicelevel): a distinct union is the plain union.
-    both = first.unionByName(second).drop("__units", "arrived")
+    # Both parts come from one pass over the items: sums of the eligible items
+    # and sums of all items, side by side.
+    lines = lines.withColumn("__kept", F.when(eligible, F.col("qty")))
+    names = [f"Type_{k}_Units" for k in CARTON_TYPES] + ["No_Type_Units"]
+    by_level = lines.groupBy("spoid", "servicelevel").agg(
+        *conditional_sums("qty", "cartontype", CARTON_TYPES),
+        *conditional_sums("__kept", "cartontype", CARTON_TYPES, "__kept_Type_{}_Units", "__kept_No_Type_Units"),
+        F.sum("__kept").alias("__kept_units"), F.count("__kept").alias("__kept_items"))
+    both = by_level.join(arrivals(t["report"]), "spoid")
+    # A shipment with any eligible item counts only those; the others count all
+    # items. A shipment has few service levels, so this window is short.
+    expected = F.max("__kept_items").over(Window.partitionBy("spoid")) > 0
+    both = both.withColumn("__expected", expected).filter("NOT __expected OR __kept_items > 0")
+    pick = lambda kept, every: F.when(F.col("__expected"), kept).otherwise(every)
+    both = both.select(
+        "spoid", "servicelevel", "arrivaldate",
+        pick(F.coalesce("arrived", "__kept_units"), F.col("arrived")).alias("Total_units"),
+        *[pick(F.col(f"__kept_{c}"), F.col(c)).alias(c) for c in names])
+    # Each (shipment, level) appears once, so no distinct is needed.
     attributes = head.select("spoid", "warehouseid", "warehousename", "created", "breakbulk")
     out = both.join(attributes, "spoid").join(journeys(t["journey"]), "spoid", "left")
     return out.withColumnsRenamed({
