@@ -60,7 +60,7 @@ def b5_isolation_forest(spark, sf):
 
 
 def b6_pipeline_search(spark, sf):
-    return wp.experiment_trials(spark, sf, 20)
+    return wp.experiment_trials(spark, sf, 20, threads=spark.sparkContext.defaultParallelism)
 
 
 def b7_shipment_pipeline(spark, sf):

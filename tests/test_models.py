@@ -193,6 +193,13 @@ def test_arimax_forecast_equals_recursion_in_blocks(spark, monkeypatch):
     assert ((fitted.y - fitted.predicted) ** 2).mean() == pytest.approx(1.0, abs=0.1)
 
 
+def test_arimax_in_slices_equals_plain(spark):
+    d = spark_frame(spark, planted_arima(4, n=400))
+    plain, sliced = [arima.fit_arimax(d, Series.measure(d, ["k"], "d", rows=r), "y", ["x"], 1, 1, 1).first() for r in (1_000, 90)]
+    assert (plain.p, plain.d, plain.q, plain.n) == (sliced.p, sliced.d, sliced.q, sliced.n)
+    np.testing.assert_allclose([*plain.ar, *plain.ma, *plain.beta, plain.aic], [*sliced.ar, *sliced.ma, *sliced.beta, sliced.aic], rtol=1e-7)
+
+
 def test_sample_space_ranges_and_determinism(spark):
     space = {**se.SEARCH_SPACES["elasticnet"], **se.SEARCH_SPACES["sarimax"], "lr": ("float", 0.01, 0.3, None)}
     a = se.sample_space(spark, space, 400, seed=1).toPandas()

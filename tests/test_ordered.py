@@ -114,11 +114,23 @@ def test_gap_fill_matches_reindex(spark):
         pd.testing.assert_frame_equal(got[["y", "x"]], want, check_freq=False, check_names=False)
 
 
+def test_long_gaps_come_in_pieces(spark, monkeypatch):
+    d = spark.sql("SELECT DATE'2024-01-01' ts, 1 y UNION ALL SELECT DATE'2024-03-05', 2 UNION ALL SELECT DATE'2024-03-06', 3")
+    want = [(str(r.ts), r.y) for r in prepare.fill_gaps(d, Series.of((), "ts"), "y", "1 day", "ffill").orderBy("ts").collect()]
+    assert len(want) == 66 and len(set(want)) == 66
+    for chunk in (1, 7, 63, 64):
+        monkeypatch.setattr(prepare, "GRID_CHUNK", chunk)
+        got = [(str(r.ts), r.y) for r in prepare.fill_gaps(d, Series.of((), "ts"), "y", "1 day", "ffill").orderBy("ts").collect()]
+        assert got == want
+
+
 def test_gap_fill_on_dates_and_errors(spark):
     d = spark.sql("SELECT DATE'2024-01-01' ts, 1 y UNION ALL SELECT DATE'2024-01-05', 2")
     assert prepare.fill_gaps(d, Series.of((), "ts"), "y", "2 days", 0).count() == 3
     with pytest.raises(ValueError):
         require_unique(d.unionAll(d), Series.of((), "ts"))
+    with pytest.raises(Exception, match="duplicate timestamp"):
+        prepare.fill_gaps(d.unionAll(d), Series.of((), "ts"), "y", "1 day", 0).collect()
     with pytest.raises(ValueError):
         prepare.interval_micros("1 month")
 

@@ -173,11 +173,10 @@ def forecast_arimax(model: DataFrame, future: DataFrame, s: Series, exog: Sequen
     """
     keys = list(s.keys)
     d = number_rows(future, s, "__h").withColumn("__block", F.floor((F.col("__h") - 1) / FORECAST_BLOCK))
-    blocks = d.select(*keys, "__block").distinct()
+    blocks = d.groupBy(*keys, "__block").agg(F.max("__h").alias("__last"))
     cols = ["p", "d", "q", "ar", "ma", "beta", "far", "mean", "tail"]
     work = attach(blocks, model.select(*keys, F.struct(*cols).alias("__m")), keys)
-    ends = d.groupBy(*keys, "__block").agg(F.max("__h").alias("__last"))
-    work = join_on(work, ends, [*keys, "__block"]).select(*keys, "__block", "__last", "__m.*").filter("p IS NOT NULL")
+    work = work.select(*keys, "__block", "__last", "__m.*").filter("p IS NOT NULL")
     work = work.repartition(*keys, "__block")
     schema = f"{_key_schema(future, keys)}__h long, __v double"
     nk = len(keys)

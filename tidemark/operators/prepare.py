@@ -67,8 +67,10 @@ def fill_gaps(df: DataFrame, s: Series, target: str, every: str, how: str | floa
 
     Rows off the grid stay. A target that was NULL before stays NULL. Features
     are NULL on added rows. `how` is a constant or a fill direction computed
-    over the whole target column.
+    over the whole target column. Two rows for one timestamp are an error.
     """
+    if not s.sliced:
+        return _fill_between(df, s, target, every, how)
     if check:
         require_unique(df, s)
     literal = how not in FILLS
@@ -82,6 +84,37 @@ def fill_gaps(df: DataFrame, s: Series, target: str, every: str, how: str | floa
     return out.select(*df.columns)
 
 
+def _fill_between(df: DataFrame, s: Series, target: str, every: str, how: str | float | int) -> DataFrame:
+    """Gap fill of short series in one pass: each row brings along the grid
+    points between itself and the row before it."""
+    micros = interval_micros(every)
+    w = s.window()
+    upto, before, later = (w.rowsBetween(a, b) for a, b in (
+        (Window.unboundedPreceding, 0), (Window.unboundedPreceding, -1), (0, Window.unboundedFollowing)))
+    if how == "ffill":
+        value = F.last(target, ignorenulls=True).over(before)
+    elif how in FILLS:
+        value = F.first(target, ignorenulls=True).over(later)
+    else:
+        value = F.lit(how).cast(df.schema[target].dataType)
+    d = df.withColumns({"__prev": F.lag(s.ts).over(w), "__lo": F.first(s.ts).over(upto), "__value": value})
+    now, prev, lo = (epoch_micros(d, c) for c in (s.ts, "__prev", "__lo"))
+    twice = F.raise_error(F.concat(F.lit("duplicate timestamp in series: "), F.col(s.ts).cast("string"))).cast("long")
+    first = F.when(now == prev, twice).otherwise(F.floor((prev - lo) / F.lit(micros)) + 1)
+    d = d.withColumns({"__a": first, "__b": F.ceil((now - lo) / F.lit(micros)) - 1})
+    # Piece -1 is the row itself; the others are runs of grid points.
+    pieces = F.floor((F.coalesce(F.col("__b") - F.col("__a"), F.lit(-1)) + GRID_CHUNK) / GRID_CHUNK)
+    d = d.withColumn("__piece", F.explode(F.sequence(F.lit(-1).cast("long"), F.greatest(pieces, F.lit(0)) - 1)))
+    start = F.col("__a") + F.col("__piece") * GRID_CHUNK
+    run = F.sequence(start, F.least(F.col("__b"), start + (GRID_CHUNK - 1)))
+    d = d.withColumn("__i", F.explode(F.when(F.col("__piece") < 0, F.array(F.lit(-1).cast("long"))).otherwise(run)))
+    own = F.col("__i") < 0
+    out = {s.ts: F.when(own, F.col(s.ts)).otherwise(_step(df, s.ts, F.col("__lo"), F.col("__i"), micros)),
+           target: F.when(own, F.col(target)).otherwise(F.col("__value"))}
+    return d.select(*[
+        c if c in s.keys else out.get(c, F.when(own, F.col(c))).alias(c) for c in df.columns])
+
+
 def split(df: DataFrame, ts: str, d1: object, d2: object, out: str = "split") -> DataFrame:
     """train before d1, val in [d1, d2), test from d2; equal dates leave val empty."""
     as_col = lambda d: d if isinstance(d, Column) else F.lit(d).cast(df.schema[ts].dataType)
