@@ -211,7 +211,8 @@ def scale_sequences(train: DataFrame, others: Sequence[DataFrame] = (), seq: str
     change when repeats are dropped, so no distinct (and no shuffle) is needed.
     """
     steps = train.select(F.explode(seq).alias("e")).select(F.posexplode("e").alias("k", "v"))
-    ranges = steps.groupBy("k").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("k").collect()
+    ranges = steps.groupBy("k").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+    ranges.sort(key=lambda r: r["k"])
     lo, span = [float(r.lo) for r in ranges], [float(r.hi - r.lo) or 1.0 for r in ranges]
     low, wide = F.array(*map(F.lit, lo)), F.array(*map(F.lit, span))
     unit = lambda e: F.zip_with(F.zip_with(e, low, lambda v, a: v - a), wide, lambda v, b: v / b)

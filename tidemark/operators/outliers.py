@@ -172,14 +172,18 @@ class IsolationForest:
         psi = min(sample, n)
         draw = lambda *salt: (F.xxhash64(*[col(c) for c in id_cols], *map(F.lit, salt)) / F.lit(2.0**64) + 0.5)
         # A bounded pool of rows first; only the pool is offered to every tree.
-        share = min(1.0, 8.0 * trees * sample / max(n, 1))
+        share = min(1.0, 2.0 * trees * sample / max(n, 1))
         pool = x.filter(draw(seed, -1) < share) if share < 1 else x
         rate = min(1.0, 2.0 * psi / max(n * share, 1))
         tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tm_tree")
         offered = pool.select("*", tree).withColumn("tm_u", F.xxhash64(
             *[col(c) for c in id_cols], F.lit(seed), F.col("tm_tree")) / F.lit(2.0**64) + 0.5)
         first = Window.partitionBy("tm_tree").orderBy("tm_u", *[col(c) for c in id_cols])
-        taken = offered.filter(F.col("tm_u") < rate).withColumn("tm_k", F.row_number().over(first)).filter(F.col("tm_k") <= psi)
+        # A fixed number of tasks: the samples are small, growing them is not,
+        # and merging small partitions would grow all trees in one task.
+        tasks = min(trees, df.sparkSession.sparkContext.defaultParallelism)
+        offered = offered.filter(F.col("tm_u") < rate).repartition(tasks, "tm_tree")
+        taken = offered.withColumn("tm_k", F.row_number().over(first)).filter(F.col("tm_k") <= psi)
         depth = int(np.ceil(np.log2(max(psi, 2))))
         width = len(cols)
 
@@ -191,7 +195,7 @@ class IsolationForest:
 
         schema = "tree int, feature array<int>, cut array<double>, path array<double>"
         # 100 trees of 511 numbers: a bounded model, as in any fit.
-        rows = taken.groupBy("tm_tree").applyInPandas(build, schema).orderBy("tree").collect()
+        rows = sorted(taken.groupBy("tm_tree").applyInPandas(build, schema).collect(), key=lambda r: r["tree"])
         return cls(cols, tuple({k: list(r[k]) for k in ("feature", "cut", "path")} for r in rows), psi)
 
     def score(self) -> Column:

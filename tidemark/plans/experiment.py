@@ -135,7 +135,7 @@ def build_table(e: Experiment, p: Prepared, params: Mapping[str, Any]) -> DataFr
 def _inner_candidates(spark: SparkSession, e: Experiment, model: str) -> list[dict[str, Any]]:
     """The inner random search of one model: the same draws in every trial."""
     space = e.model_spaces[model]
-    drawn = search.sample_space(spark, space, e.inner_trials, e.seed).orderBy("trial").collect()
+    drawn = sorted(search.sample_space(spark, space, e.inner_trials, e.seed).collect(), key=lambda r: r["trial"])
     seen = {json.dumps({k: r[k] for k in space}, sort_keys=True, default=str): {k: r[k] for k in space} for r in drawn}
     return list(seen.values())
 
@@ -317,7 +317,7 @@ def search_pipelines(spark: SparkSession, e: Experiment, store: Store, n_trials:
     names = {"imputer": e.imputers, "outlier_method": e.outlier_methods, "scaler": e.scalers, "model": e.models}
     space = {k: ("cat", tuple(range(len(v)))) for k, v in names.items()}
     space |= {"min_frequency": ("float", 0.0, 0.5, None), **e.hook_space}
-    drawn = search.sample_space(spark, space, n_trials, e.seed).orderBy("trial").collect()
+    drawn = sorted(search.sample_space(spark, space, n_trials, e.seed).collect(), key=lambda r: r["trial"])
     trials = []
     for r in drawn:
         params = {**r.asDict(), **{k: v[r[k]] for k, v in names.items()}}
