@@ -18,7 +18,7 @@ from tidemark.functions.calendar import calendar_features
 from tidemark.operators import features as ft, linear as ln, ordered as o, outliers as ol, prepare as pr
 from tidemark.plans import shipments as ps
 from tidemark.series import Series
-from tidemark.session import local_session
+from tidemark.session import local_session, ship_package
 from workloads import fixtures as fx, pipelines as wp
 from workloads.fixtures import table
 from workloads.series import categorical
@@ -77,6 +77,7 @@ def main() -> None:
     only = set(sys.argv[1:])
     spark = local_session(cores=cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8, memory="16g", app="bench")
     spark.sparkContext.setLogLevel("OFF")
+    ship_package(spark)
     seconds = {}
     for w in WORKLOADS:
         name = w.__name__

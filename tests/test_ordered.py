@@ -147,3 +147,12 @@ def test_panel_equals_loop(df, both):
         one = rows(o.add_diffs(alone, Series.of((), "ts"), ["u"], [1, 2]))
         many = rows(o.add_diffs(df, both[0], ["u"], [1, 2]).filter(F.col("k") == key))
         pd.testing.assert_frame_equal(one, many)
+
+
+def test_fill_values_with_directions(spark):
+    d = spark.sql("""SELECT * FROM VALUES (1, NULL, 'x', 1.0D, NULL), (2, 5.0D, NULL, NULL, 7L), (3, NULL, NULL, NULL, NULL) AS t(i, v, c, w, n)""")
+    d = d.withColumn("ts", F.expr("date_add(DATE'2024-01-01', i)"))
+    got = prepare.fill_values(d, {"v": "bfill", "c": "ffill", "w": -1.0}, s=Series.of((), "ts")).orderBy("ts").collect()
+    assert [(r.v, r.c, r.w, r.n) for r in got] == [(5.0, "x", 1.0, 0), (5.0, "x", -1.0, 7), (None, "x", -1.0, 0)]
+    with pytest.raises(ValueError):
+        prepare.fill_values(d, {"v": "ffill"})

@@ -11,6 +11,7 @@ import importlib
 from pyspark.sql import SparkSession
 
 from tidemark.plans.experiment import search_pipelines
+from tidemark.session import ship_package
 from tidemark.sources.store import Store
 
 
@@ -25,6 +26,7 @@ def main(argv: list[str] | None = None) -> dict:
     module, _, name = args.experiment.partition(":")
     experiment = getattr(importlib.import_module(module), name or "EXPERIMENT")
     spark = SparkSession.builder.appName("tidemark").getOrCreate()
+    ship_package(spark)
     store = Store(spark, args.store, args.name) if args.name else Store(spark, args.store)
     _, best = search_pipelines(spark, experiment, store, args.trials, args.direction)
     print(f"experiment {store.experiment}")
