@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pathlib
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,32 +30,32 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint `df` in the folder the cluster names in `spark.checkpoint.dir`.
+def shared_dir(spark: SparkSession) -> str:
+    """A folder all executors share: `spark.checkpoint.dir`, or where that is
+    unset (as in tests) a folder under the session's warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tidemark-shared"
 
-    A folder is only chosen here when neither the setting nor an earlier call
-    named one, which is the case in local tests.
-    """
+
+def new_stage_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_path(spark: SparkSession, path: str) -> bool:
+    """Remove a stage from the store it was written to."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint `df` in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if named is None and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession) + "/checkpoints")
     return df.checkpoint()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder all executors can reach: the checkpoint setting, or a temporary
-    folder when the session is local and names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="tidemark-shared-")
-
-
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, once per Spark context.
 
