@@ -30,20 +30,37 @@ UNKNOWN = "und"
 MARKS = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
 
-def core(word: bytes) -> str:
+def core(word: bytes) -> bytes:
     """The word from its first letter to its last, in lower case."""
     w = word.decode()
-    return (w if w.isalpha() else MARKS.sub("", w)).lower()
+    return (w if w.isalpha() else MARKS.sub("", w)).lower().encode()
 
 
-def features(word: str, lexicon: frozenset[str] = frozenset()) -> list[int]:
-    """Buckets of prefixes and suffixes to three letters, n-grams to three, and the word if listed."""
-    w = f"^{word[:40]}$"
-    names = [w[i: i + n] for n in (2, 3) for i in range(len(w) - n + 1)] + list(set(word[:40]))
-    names += ["p" + word[:1], "p" + word[:3], "s" + word[-1:], "s" + word[-2:], "s" + word[-3:]]
-    if word in lexicon:
-        names.append("=" + word)
-    return [xxhash.xxh32_intdigest(x) & (BUCKETS - 1) for x in names]
+def features(words: list[bytes], lexicon: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all words' features, and where those of each word start.
+
+    Features are the n-grams of one to four bytes of the word between two
+    marks, so that those with a mark are its prefixes and suffixes, and the
+    word itself if the lexicon lists it.
+    """
+    joined = np.frombuffer(b"".join(b"^" + w + b"$" for w in words), np.uint8)
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    word = np.repeat(np.arange(len(words)), size)
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(joined))  # bytes to the end of the word
+    code, flat, owner = np.zeros(len(joined), np.uint64), [], []
+    padded = np.concatenate([joined, np.zeros(4, np.uint8)]).astype(np.uint64)
+    for n in range(1, 5):
+        code = code << np.uint64(8) | padded[n - 1: n - 1 + len(joined)]
+        ok = left >= n
+        h = (code[ok] + np.uint64(n << 40)) * np.uint64(0x9E3779B97F4A7C15)
+        flat.append((h >> np.uint64(48)).astype(np.int64))
+        owner.append(word[ok])
+    listed = np.fromiter((lexicon.get(w, -1) for w in words), np.int64, len(words))
+    flat.append(BUCKETS + listed[listed >= 0])
+    owner.append(np.flatnonzero(listed >= 0))
+    flat, owner = np.concatenate(flat), np.concatenate(owner)
+    order = np.argsort(owner, kind="stable")
+    return flat[order], np.searchsorted(owner[order], np.arange(len(words)))
 
 
 def posteriors(scores: np.ndarray, starts: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,74 +98,71 @@ def posteriors(scores: np.ndarray, starts: np.ndarray, transition: np.ndarray) -
 @dataclass
 class Model:
     labels: list[str]
-    weights: np.ndarray      # bucket x label
-    transition: np.ndarray   # label x label
-    lexicon: frozenset[str]
+    weights: np.ndarray        # bucket and listed word x label
+    transition: np.ndarray     # label x label
+    lexicon: dict[bytes, int]  # listed words
 
-    def word_scores(self, words: list[str]) -> np.ndarray:
+    def word_scores(self, words: list[bytes]) -> np.ndarray:
         """Exponentials of the scores of words, the best label at 1."""
-        found = [features(w, self.lexicon) for w in words]
-        if not found:
+        if not words:
             return np.zeros((0, len(self.labels)))
-        at = np.cumsum([0] + [len(f) for f in found[:-1]])
-        s = np.add.reduceat(self.weights[np.concatenate([np.array(f, np.int64) for f in found])], at)
+        flat, starts = features(words, self.lexicon)
+        s = np.add.reduceat(self.weights[flat], starts)
         return np.exp(s - s.max(1, keepdims=True))
 
 
-def fit(rows: list[tuple[str, list[str]]], rounds: int = 40, rate: float = 0.2, penalty: float = 1e-3,
+def fit(rows: list[tuple[str, list[str]]], rounds: int = 30, rate: float = 0.2, penalty: float = 1e-3,
         splice: int = 12, chain: int = 48, least: int = 3) -> Model:
     """Maximum likelihood by Adam over (label, words) rows."""
     labels = sorted({label for label, _ in rows})
     words = [(labels.index(label), [c for c in (core(w.encode()) for w in ws) if c]) for label, ws in rows]
-    counts: dict[str, int] = {}
+    counts: dict[bytes, int] = {}
     for _, ws in words:
         for w in ws:
             counts[w] = counts.get(w, 0) + 1
-    lexicon = frozenset(w for w, n in counts.items() if n >= least)
+    lexicon = {w: i for i, w in enumerate(w for w, n in counts.items() if n >= least)}
     number = {w: i for i, w in enumerate(counts)}
     # Runs of words of one document, shuffled and joined into chains.
-    rng = np.random.default_rng(7)
     runs = [(y, [number[w] for w in ws[i: i + splice]]) for y, ws in words for i in range(0, len(ws), splice)]
     x, y = [], []
-    for i in rng.permutation(len(runs)):
+    for i in np.random.default_rng(7).permutation(len(runs)):
         x += runs[i][1]
         y += [runs[i][0]] * len(runs[i][1])
     x, y, n = np.array(x, np.int64), np.array(y, np.int64), len(labels)
+    weights, transition = np.zeros((BUCKETS + len(lexicon), n)), np.zeros((n, n))
+    if n < 2 or not len(x):
+        return Model(labels, weights.astype(np.float32), transition, lexicon)
     starts = np.append(np.arange(0, len(x), chain), len(x)).astype(np.int64)
-    found = [features(w, lexicon) for w in counts]
-    size = np.array([len(f) for f in found], np.int64)
-    flat = np.concatenate([np.array(f, np.int64) for f in found]) if found else np.zeros(0, np.int64)
-    weights, transition = np.zeros((BUCKETS, n)), np.zeros((n, n))
+    flat, first = features(list(counts), lexicon)
+    used, flat = np.unique(flat, return_inverse=True)
+    owner = np.repeat(np.arange(len(counts)), np.diff(np.append(first, len(flat))))
     inner = np.ones(len(x), bool)
     inner[starts[:-1]] = False
     links = np.flatnonzero(inner)
-    state = [[np.zeros_like(p), np.zeros_like(p)] for p in (weights, transition)]
-    first = np.cumsum(size) - size
-    for r in range(1, rounds + 1 if n > 1 and len(x) else 1):
-        s = np.add.reduceat(weights[flat], first)
-        e = np.exp(s - s.max(1, keepdims=True))[x]
+    seen = np.bincount(y[links - 1] * n + y[links], minlength=n * n).reshape(n, n)
+    w = np.zeros((len(used), n))
+    state = [[np.zeros_like(p), np.zeros_like(p)] for p in (w, transition)]
+    for r in range(1, rounds + 1):
+        s = np.add.reduceat(w[flat], first)
         change = np.exp(transition)
-        p, forward = posteriors(e, starts, change)
+        p, forward = posteriors(np.exp(s - s.max(1, keepdims=True))[x], starts, change)
         g = p.copy()
         g[np.arange(len(x)), y] -= 1
-        by_word = np.column_stack([np.bincount(x, g[:, k], len(counts)) for k in range(n)])
-        spread = np.repeat(by_word, size, axis=0)
-        gw = np.column_stack([np.bincount(flat, spread[:, k], BUCKETS) for k in range(n)]) / len(x) + penalty * weights / BUCKETS
+        by_word = [np.bincount(x, g[:, k], len(counts)) for k in range(n)]
+        gw = np.column_stack([np.bincount(flat, b[owner], len(used)) for b in by_word]) / len(x) + penalty * w / len(used)
         # Posterior of a pair: forward, transition, and what the second place adds to the forward pass.
         before = forward[links - 1]
         pair = change * (before.T @ (p[links] / (before @ change)))
-        seen = np.zeros((n, n))
-        np.add.at(seen, (y[links - 1], y[links]), 1)
-        gt = (pair - seen) / len(x)
-        for param, grad, (m, v) in zip((weights, transition), (gw, gt), state):
+        for param, grad, (m, v) in zip((w, transition), (gw, (pair - seen) / len(x)), state):
             m += 0.1 * (grad - m)
             v += 0.01 * (grad * grad - v)
             param -= rate * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.99**r)) + 1e-8)
+    weights[used] = w
     return Model(labels, weights.astype(np.float32), transition, lexicon)
 
 
 def sample(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-           fit_docs: int = 600, fit_words: int = 200) -> list[tuple[str, list[str]]]:
+           fit_docs: int = 400, fit_words: int = 120) -> list[tuple[str, list[str]]]:
     """About `fit_docs` labelled documents of each language, evenly over all
     rows, and `fit_words` consecutive words from a place anywhere in each."""
     d = docs.filter(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
@@ -180,7 +194,7 @@ class Scores:
         new = [w for w in vocabulary if w not in self.place]
         if new:
             cores = [core(w) for w in new]
-            scores = self.model.word_scores([c or "?" for c in cores])
+            scores = self.model.word_scores(cores)
             scores[[not c for c in cores]] = -1  # no letters
             self.place.update(zip(new, range(len(self.table), len(self.table) + len(new))))
             self.table = np.concatenate([self.table, scores])
