@@ -218,7 +218,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
     d = docs.select(packed_row(docs.select(*keep) if keep else docs), F.col(text_col).alias("text"))
     kind = T.StructType([d.schema[0], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     if runs:
-        kind = kind.add("runs", "array<struct<lang:string,first:int,words:int>>")
+        run_type = T.StructType().add("lang", "string").add("first", "integer").add("words", "integer")
+        kind = kind.add("runs", T.ArrayType(run_type))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     key = xxhash.xxh64_hexdigest(model.weights.tobytes() + repr(model.labels).encode())
 

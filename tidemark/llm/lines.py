@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.tables import packed_row
+from tidemark.llm.tables import packed_row, written
 
 WHITE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -43,8 +43,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .select("_id", "_own", "_at", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(1), "_key").alias("_h2")))
     shared = (each.groupBy("_h1", "_h2").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last"))
               .filter("_first < _last").drop("_last"))
+    shared = written(shared, "shared-lines")  # on its own, so that Spark can split the hot side of the join
     lost = (each.join(shared, ["_h1", "_h2"]).filter("_id > _first")
-            .groupBy("_id", "_own").agg(F.collect_list("_at").alias("_lost")))
+            .groupBy("_id", "_own").agg(F.collect_set("_at").alias("_lost")))
     all_docs = docs.select(packed_row(docs), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     d = all_docs.withColumn("_own", own).join(lost, ["_id", "_own"], "left").withColumn("_lines", lines)
     kept = F.when(F.col("_lost").isNull(), F.coalesce("_text", F.lit(""))).otherwise(F.concat_ws("\n", F.transform(

@@ -124,7 +124,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                .dropDuplicates(["rep", "key"]).select("rep", "key", "sig"))
     # Only classes that share enough postings with others go on.
     posts = _posted(classes)
+    # Lists are written before they are joined, so that Spark can split a hot one.
     lists = posts.groupBy("post").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).filter("lead < last")
+    lists = written(lists.drop("last"), "lists")
     met = posts.join(lists, "post").groupBy("rep", "lead").agg(F.count("*").alias("n"))
     wins = F.collect_list(F.when((F.col("n") >= threshold) & (F.col("lead") < F.col("rep")), F.col("lead")))
     found = written(met.groupBy("rep").agg(F.sum("n").alias("n"), wins.alias("leads")).filter(F.col("n") >= threshold), "met")
@@ -139,7 +141,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         order = F.xxhash64(F.lit(r), F.col("rep"))
         posts = _posted(live, "comp")
-        lists = posts.groupBy("post").agg(F.min_by(F.struct("rep", "comp"), order).alias("lead"))
+        lists = written(posts.groupBy("post").agg(F.min_by(F.struct("rep", "comp"), order).alias("lead")), "lists")
         met = (posts.join(lists, "post").filter("comp <> lead.comp")
                .groupBy("rep", F.col("lead.rep").alias("lead")).count().filter(F.col("count") >= threshold))
         pairs = met.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
@@ -166,6 +168,7 @@ def _open(live: DataFrame, labels: DataFrame, threshold: int) -> DataFrame:
     named = live.join(labels.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     posts = _posted(named, "comp")
     shared = posts.groupBy("post").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("post")
+    shared = written(shared, "lists")
     enough = posts.join(shared, "post").groupBy("rep").count().filter(F.col("count") >= threshold).select("rep")
     return written(named.join(enough, "rep"), "open")
 
@@ -174,6 +177,7 @@ def _rest(live: DataFrame, threshold: int) -> DataFrame:
     """All pairs of open classes with enough collisions, by their rarest postings."""
     posts = _posted(live, "comp")
     lists = posts.groupBy("post").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
+    lists = written(lists, "lists")
     mine = posts.join(lists.select("post", "n"), "post")
     rank = F.row_number().over(Window.partitionBy("rep").orderBy("n", "post"))
     total = F.count("*").over(Window.partitionBy("rep"))

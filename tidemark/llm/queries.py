@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontam, langid, lines, minhash, packing
+from tidemark.llm import bwt, decontam, langid, lines, minhash, packing, substring
 
 QUERIES, ORACLES = {}, {}
 
@@ -46,11 +46,21 @@ def op4_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@_query()
+def op6_suffix_array_dedup(spark, sf_dir):
+    return bwt.digest(bwt.dedup_bytes(table(spark, sf_dir, "documents"), keep=["doc_id"]))
+
+
 @_query(lines.DIGEST_SQL)
 def op7_line_dedup(spark, sf_dir):
     return lines.digest(lines.dedup_lines(table(spark, sf_dir, "documents")))
 
 
+@_query(substring.DIGEST_SQL)
+def op8_substring_dedup(spark, sf_dir):
+    return substring.digest(substring.dedup_substrings(table(spark, sf_dir, "documents"), keep=["doc_id"]))
+
+
 @_query(decontam.DIGEST_SQL)
 def op9_decontamination(spark, sf_dir):
     d = decontam.find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
