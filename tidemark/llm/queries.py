@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bwt, decontam, langid, lines, minhash, packing, substring
+from tidemark.llm import bwt, decontam, embeddings, html, langid, lines, minhash, packing, substring
 
 QUERIES, ORACLES = {}, {}
 
@@ -46,6 +46,11 @@ def op4_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@_query(embeddings.DIGEST_SQL)
+def op5_embedding_dedup(spark, sf_dir):
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @_query()
 def op6_suffix_array_dedup(spark, sf_dir):
     return bwt.digest(bwt.dedup_bytes(table(spark, sf_dir, "documents"), keep=["doc_id"]))
@@ -65,3 +70,8 @@ def op8_substring_dedup(spark, sf_dir):
 def op9_decontamination(spark, sf_dir):
     d = decontam.find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return decontam.digest(d)
+
+
+@_query()
+def op10_html_extraction(spark, sf_dir):
+    return html.digest(html.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"]))
