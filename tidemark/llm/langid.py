@@ -25,7 +25,6 @@ from tidemark.llm import text as tx
 from tidemark.llm.tables import packed_row
 
 BUCKETS = 1 << 16
-REMEMBERED = 700_000
 UNKNOWN = "und"
 MARKS = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
@@ -184,22 +183,18 @@ class Scores:
     """Word scores that a worker remembers for one model."""
 
     def __init__(self, model: Model):
-        self.model, self.place = model, {}
-        self.table = np.zeros((0, len(model.labels)))
+        self.model, self.known = model, tx.Remembered(self._rows)
+
+    def _rows(self, words: list[bytes]) -> list[bytes]:
+        cores = [core(w) for w in words]
+        scores = self.model.word_scores(cores)
+        scores[[not c for c in cores]] = -1  # no letters
+        return [row.tobytes() for row in scores]
 
     def of(self, vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Scores of all words, and whether each has a letter."""
-        if len(self.place) > REMEMBERED:
-            self.place, self.table = {}, self.table[:0]
-        new = [w for w in vocabulary if w not in self.place]
-        if new:
-            cores = [core(w) for w in new]
-            scores = self.model.word_scores(cores)
-            scores[[not c for c in cores]] = -1  # no letters
-            self.place.update(zip(new, range(len(self.table), len(self.table) + len(new))))
-            self.table = np.concatenate([self.table, scores])
-        s = self.table[np.fromiter((self.place[w] for w in vocabulary), np.int64, len(vocabulary))]
-        return s, s[:, 0] >= 0 if len(s) else np.zeros(0, bool)
+        s = np.frombuffer(b"".join(self.known.of(vocabulary))).reshape(-1, len(self.model.labels))
+        return s, s[:, 0] >= 0
 
 
 _SCORES: dict[str, Scores] = {}

@@ -1,9 +1,11 @@
 """MinHash near-dedup by an inverted join over signature coordinates.
 
-A document is posted under each (coordinate, value) pair of its signature.
-Documents with equal shingle sets are one class with one posting list entry.
-Two classes are candidates when they collide in at least `threshold` of the
-coordinates; candidates are confirmed on their full shingle sets.
+A document is posted under each (coordinate, value) pair of its signature; a
+value joins the minima of two hash functions, so that common shingles alone
+rarely make two documents collide. Documents with equal shingle sets are one
+class with one posting list entry. Two classes are candidates when they collide
+in at least `threshold` of the coordinates; candidates are confirmed on their
+full shingle sets.
 
 Groups of near copies share most postings, so their pairs are not written
 out. Each posting list first proposes its leader to every member (one row per
@@ -15,7 +17,7 @@ is left is joined in full, by the rarest postings of each class only (any two
 classes with `threshold` collisions meet in these), skipping the long lists,
 whose collisions are then counted on the signatures. So no link is lost, but
 those whose collisions fall under the threshold by chance: for similarity 0.8
-and 28 of 64 coordinates fewer than one in 10^8.
+(two minima agree with 0.64) and 7 of 32 coordinates one in some million.
 """
 
 from __future__ import annotations
@@ -31,12 +33,12 @@ from tidemark.llm import text as tx
 from tidemark.llm.components import components
 from tidemark.llm.tables import written
 
-COORDINATES, THRESHOLD = 64, 28
+COORDINATES, MINIMA, THRESHOLD = 32, 2, 7
 ROUNDS = 4
 
 
 def _multipliers(n: int) -> np.ndarray:
-    return np.random.default_rng(64).integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return np.random.default_rng(n).integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
@@ -57,17 +59,17 @@ def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
 
 def signatures(docs: DataFrame, size: int, coordinates: int) -> DataFrame:
     """doc_id, n_shingles, key (of the whole set), sig; `docs` has doc_id and text."""
-    multipliers = _multipliers(coordinates)
+    multipliers = _multipliers(coordinates * MINIMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in tx.slices(batches, "text"):
             sets = shingle_sets(tx.strings(s.column("text")), size)
             sig, key = [], []
             for h in sets:
-                low = np.full(coordinates, np.iinfo(np.uint64).max, np.uint64)
+                low = np.full(len(multipliers), np.iinfo(np.uint64).max, np.uint64)
                 for i in range(0, len(h), 4096):
                     np.minimum(low, (h[i: i + 4096, None] * multipliers).min(0), out=low)
-                sig.append(low.view(np.int64) if len(h) else None)
+                sig.append(tx.windows(low, MINIMA)[::MINIMA].view(np.int64) if len(h) else None)
                 key.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
             yield pa.RecordBatch.from_arrays(
                 [s.column("doc_id"), pa.array([len(h) for h in sets], pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.list_(pa.int64()))],
@@ -76,14 +78,17 @@ def signatures(docs: DataFrame, size: int, coordinates: int) -> DataFrame:
     return docs.mapInArrow(run, f"{_id(docs)}, n_shingles long, key binary, sig array<long>")
 
 
-def full_sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, shingles: the whole set of each document."""
+def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """rep, shingles: the whole sets of the wanted classes (rep, key)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in tx.slices(batches, "text"):
-            sets = [h.view(np.int64) for h in shingle_sets(tx.strings(s.column("text")), size)]
-            yield pa.RecordBatch.from_arrays([s.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["rep", "shingles"])
+            sets = shingle_sets(tx.strings(s.column("text")), size)
+            own = [xxhash.xxh3_128_digest(h.tobytes()) == k for h, k in zip(sets, s.column("key").to_pylist())]
+            rows = [h.view(np.int64) for h, ok in zip(sets, own) if ok]
+            yield pa.RecordBatch.from_arrays([s.column("doc_id").filter(pa.array(own)), pa.array(rows, pa.list_(pa.int64()))], ["rep", "shingles"])
 
-    return docs.mapInArrow(run, f"{_id(docs).replace('doc_id', 'rep')}, shingles array<long>")
+    texts = docs.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "text", "key")
+    return written(texts.mapInArrow(run, f"{_id(docs).replace('doc_id', 'rep')}, shingles array<long>"), "sets")
 
 
 def _id(docs: DataFrame) -> str:
@@ -95,14 +100,19 @@ def _posted(classes: DataFrame, *more: str) -> DataFrame:
             .select("rep", *more, F.xxhash64("k", "v").alias("post")))
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets are similar enough."""
+def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) whose full sets are similar enough; only the texts of these pairs are read again."""
+    pairs = written(pairs, "pairs")
+    if pairs.isEmpty():
+        return pairs
+    ends = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    sets = full_sets(docs, classes.select("rep", "key").join(ends, "rep"), size)
     d = (pairs.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
          .join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a"))
     both = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - both
     fits = 100 * F.least(F.size("sa"), F.size("sb")) >= percent * F.greatest(F.size("sa"), F.size("sb"))
-    return d.filter(fits).filter(100 * both.cast("bigint") >= percent * union.cast("bigint")).select("a", "b")
+    return written(d.filter(fits).filter(100 * both.cast("bigint") >= percent * union.cast("bigint")).select("a", "b").distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80,
@@ -122,6 +132,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = own.groupBy("key").agg(F.min("doc_id").alias("rep"))
     classes = (named.join(own.select("doc_id", "key", "sig"), "key").filter("doc_id = rep")
                .dropDuplicates(["rep", "key"]).select("rep", "key", "sig"))
+    classes = written(classes, "classes")
     # Only classes that share enough postings with others go on.
     posts = _posted(classes)
     # Lists are written before they are joined, so that Spark can split a hot one.
@@ -131,9 +142,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wins = F.collect_list(F.when((F.col("n") >= threshold) & (F.col("lead") < F.col("rep")), F.col("lead")))
     found = written(met.groupBy("rep").agg(F.sum("n").alias("n"), wins.alias("leads")).filter(F.col("n") >= threshold), "met")
     live = written(classes.join(found.select("rep"), "rep"), "live")
-    sets = written(full_sets(d.join(live.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), size)
-                   .dropDuplicates(["rep"]), "sets")
-    edges = written(_confirmed(found.select(F.explode("leads").alias("a"), F.col("rep").alias("b")), sets, percent), "links")
+    edges = _confirmed(found.select(F.explode("leads").alias("a"), F.col("rep").alias("b")), d, classes, size, percent)
     labels = components(edges)
     for r in range(1, rounds + 1):
         live = _open(live.drop("comp"), labels, threshold)
@@ -145,14 +154,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         met = (posts.join(lists, "post").filter("comp <> lead.comp")
                .groupBy("rep", F.col("lead.rep").alias("lead")).count().filter(F.col("count") >= threshold))
         pairs = met.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
-        more = written(_confirmed(pairs, sets, percent), "links")
+        more = _confirmed(pairs, d, classes, size, percent)
         if more.isEmpty():
             break
         edges = edges.union(more)
         labels = components(edges)
     live = _open(live.drop("comp"), labels, threshold)
     if not live.isEmpty():
-        edges = edges.union(written(_confirmed(_rest(live, threshold), sets, percent), "links"))
+        edges = edges.union(_confirmed(_rest(live, threshold), d, classes, size, percent))
         labels = components(edges)
     names = (named.join(labels, named["rep"] == labels["node"], "left")
              .select("key", F.coalesce("comp", "rep").alias("component_id")))

@@ -27,8 +27,6 @@ from tidemark.llm.tables import written
 
 CAPACITY = 2048
 PLAN_ITEMS = 1 << 15
-# Distinct words a worker remembers the ids of.
-REMEMBERED = 700_000
 # Letters and closing marks: the tokenizer splits these words between the two.
 PLAIN = re.compile(rb"([A-Za-z]+)([.,;:!?]*)")
 
@@ -37,45 +35,30 @@ class WordIds:
     """Token ids of words between ASCII white space.
 
     The tokenizer's patterns never cross white space, so the ids of a text are
-    the ids of its words in order; a word is tokenized once per worker.
+    the ids of its words in order.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.forget()
-
-    def forget(self):
-        self.place: dict[bytes, int] = {}
-        self.ids, self.start = array("i"), array("q", [0])
+        self.known = tx.Remembered(self._ids)
 
     def _plain(self, word: bytes) -> list[int]:
         return [t.id for t in self.tokenizer.model.tokenize(word.decode())] if word else []
 
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        """Little-endian 32-bit ids of each word."""
+        plain = [PLAIN.fullmatch(w) for w in words]
+        odd = iter(self.tokenizer.encode_batch([w.decode() for w, m in zip(words, plain) if m is None], add_special_tokens=False))
+        each = [self._plain(m[1].lower()) + self._plain(m[2]) if m else next(odd).ids for m in plain]
+        return [array("i", ids).tobytes() for ids in each]
+
     def lookup(self, vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All remembered ids, and where the ids of each word start and end."""
-        if len(self.place) > REMEMBERED:
-            self.forget()
-        new = [w for w in vocabulary if w not in self.place]
-        odd = []
-        for w in new:
-            m = PLAIN.fullmatch(w)
-            if m is None:
-                odd.append(w)
-            else:
-                self._add(w, self._plain(m[1].lower()) + self._plain(m[2]))
-        if odd:
-            for w, e in zip(odd, self.tokenizer.encode_batch([w.decode() for w in odd], add_special_tokens=False)):
-                self._add(w, e.ids)
-        at = np.fromiter((self.place[w] for w in vocabulary), np.int64, len(vocabulary))
-        starts = np.array(self.start, np.int64)
-        return np.array(self.ids, np.int32), starts[at], starts[at + 1]
-
-    def _add(self, word: bytes, ids: list[int]) -> None:
-        self.place[word] = len(self.start) - 1
-        self.ids.extend(ids)
-        self.start.append(len(self.ids))
+        """Ids of all words, and where those of each word start and end."""
+        each = self.known.of(vocabulary)
+        ends = np.cumsum(np.fromiter(map(len, each), np.int64, len(each)) // 4)
+        return np.frombuffer(b"".join(each), np.int32), np.concatenate([[0], ends[:-1]]) if len(ends) else ends, ends
 
 
 _WORD_IDS: dict[str, WordIds] = {}
@@ -108,7 +91,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         from pyspark import TaskContext
 
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for s in tx.slices(batches, "text"):
+        for s in tx.slices(batches, "text", tx.SLICE_BYTES // 2):
             ids, starts = token_ids(tx.strings(s.column("text")), path, end_id)
             count = -(-np.diff(starts) // capacity)
             row = np.repeat(np.arange(len(count)), count)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bwt, decontam, embeddings, html, langid, lines, minhash, packing, substring
+from tidemark.llm import bwt, decontam, embeddings, html, langid, lines, minhash, packing, secrets, substring
 
 QUERIES, ORACLES = {}, {}
 
@@ -30,6 +30,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@_query()
+def op1_secret_scan(spark, sf_dir):
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents"), keep=["doc_id"]))
+
+
 @_query()
 def op2_language_id(spark, sf_dir):
     d = langid.identify(table(spark, sf_dir, "documents"), keep=["doc_id"])

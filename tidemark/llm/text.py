@@ -7,7 +7,7 @@ cut.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -110,3 +110,27 @@ def covered(at: np.ndarray, length: np.ndarray | int, n: int) -> np.ndarray:
     """Which of `n` places lie in [at, at + length) of any entry."""
     change = np.bincount(at, minlength=n + 1).astype(np.int64) - np.bincount(at + length, minlength=n + 1)[: n + 1]
     return np.cumsum(change[:n]) > 0
+
+
+class Remembered:
+    """What a worker has worked out for words, in two generations of at most
+    `limit` words: a word met again moves to the young one, the rest go with
+    the old one. Values are binary; `make` gives those of unknown words."""
+
+    def __init__(self, make: Callable[[list[bytes]], list[bytes]], limit: int = 100_000):
+        self.make, self.limit = make, limit
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def of(self, vocabulary: list[bytes]) -> list[bytes]:
+        out = [self.young.get(w) or self.old.get(w) for w in vocabulary]
+        new = [i for i, v in enumerate(out) if v is None]
+        for a in range(0, len(new), 5_000):
+            part = new[a: a + 5_000]
+            for i, v in zip(part, self.make([vocabulary[i] for i in part])):
+                out[i] = v
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+        if len(self.young) + len(vocabulary) <= 2 * self.limit:
+            self.young.update(zip(vocabulary, out))
+        return out
