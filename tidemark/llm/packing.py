@@ -160,7 +160,7 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY, plan_items: int = PLAN_IT
         sequence, offset, fill = place_all(lengths, capacity)
         if times > 1:
             full = fill == capacity
-            if 2 * fill[full].sum() >= fill.sum():
+            if 8 * fill[full].sum() >= fill.sum():
                 stay = full[sequence]
                 number = np.cumsum(full) - 1
                 lengths, sequence, offset, fill = lengths[stay], number[sequence[stay]], offset[stay], fill[full]

@@ -109,8 +109,11 @@ def _classes(alphabet: str) -> list[int]:
 
 def _with(items: Column, **fields) -> Column:
     """Add fields to every struct of an array, from the fields it has."""
+    def add(name: str, value):
+        return lambda x: x.withField(name, value(x))
+
     for name, value in fields.items():
-        items = F.transform(items, lambda x, value=value, name=name: x.withField(name, value(x)))
+        items = F.transform(items, add(name, value))
     return items
 
 
@@ -231,6 +234,9 @@ def joined(spans: Column) -> Column:
 
 
 def digest(result: DataFrame) -> DataFrame:
-    counts = [F.size(F.filter("base", lambda s, kind=kind: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}") for kind in KINDS]
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in KINDS]
     return result.select("row.doc_id", *counts, F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
                          joined(F.col("spans")).alias("spans"))
