@@ -67,7 +67,16 @@ def b7_shipment_pipeline(spark, sf):
     return ps.shipment_arrivals(wp.shipment_tables(spark, sf), as_of="2001-06-01")
 
 
-WORKLOADS = [b1_gap_fill_lags, b2_one_hot_scale, b3_ridge_cv, b4_rolling_cv, b5_isolation_forest, b6_pipeline_search, b7_shipment_pipeline]
+def b8_backward_fill(spark, sf):
+    """One series without any value to the end: every row looks all the way."""
+    d = table(spark, sf, "lineitem").select(F.lit(1).alias("k"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("n"),
+                                            F.when(F.col("l_orderkey") < 0, F.col("l_quantity")).alias("v"))
+    d = d.select("k", F.timestamp_seconds("n").alias("ts"), "v")
+    return o.fill(d, Series.of(["k"], "ts"), ["v"], "bfill")
+
+
+WORKLOADS = [b1_gap_fill_lags, b2_one_hot_scale, b3_ridge_cv, b4_rolling_cv, b5_isolation_forest, b6_pipeline_search, b7_shipment_pipeline,
+             b8_backward_fill]
 
 
 def main() -> None:

@@ -156,3 +156,12 @@ def test_fill_values_with_directions(spark):
     assert [(r.v, r.c, r.w, r.n) for r in got] == [(5.0, "x", 1.0, 0), (5.0, "x", -1.0, 7), (None, "x", -1.0, 0)]
     with pytest.raises(ValueError):
         prepare.fill_values(d, {"v": "ffill"})
+
+
+def test_backward_fill_takes_one_pass(spark):
+    """A frame that reaches forward would take time with the square of the series."""
+    d = spark.range(300_000).selectExpr("1 AS k", "timestamp_seconds(id) AS ts", "CAST(NULL AS DOUBLE) AS v")
+    d = d.union(spark.sql("SELECT 1, timestamp_seconds(300000), 5.0D"))
+    got = o.fill(d, Series.of(["k"], "ts"), ["v"], "bfill")
+    assert got.filter("v = 5").count() == 300_001
+    assert "UNBOUNDED FOLLOWING" not in got._jdf.queryExecution().optimizedPlan().toString().upper().replace("UNBOUNDEDFOLLOWING", "UNBOUNDED FOLLOWING")

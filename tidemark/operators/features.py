@@ -34,19 +34,22 @@ class OneHot:
     `1/min_frequency` values per column can pass a fractional threshold, so
     this list is short however many values the data has. Rare values share
     `{col}_infrequent_val`; they stay a table and are only looked up when they
-    are too many to list.
+    are too many to list. `rare_missing` names the columns whose missing value
+    is rare; it is kept beside such tables, which hold no NULL.
     """
 
     frequent: Mapping[str, tuple[str | None, ...]]
     rare: Mapping[str, tuple[str | None, ...] | DataFrame]
+    rare_missing: frozenset[str] = frozenset()
 
     @classmethod
     def from_counts(cls, cols: Sequence[str], counts: Sequence[tuple[str, str | None, int]],
-                    min_frequency: float | int | None = None, max_columns: int = 2_000) -> OneHot:
+                    min_frequency: float | int | None = None, max_columns: int | None = None) -> OneHot:
         """Pick categories from (column, value, count) triples of the train part.
 
         A fraction is a share of all rows, an integer a number of rows; below
-        it a category is rare.
+        it a category is rare. `max_columns` turns more columns of one category
+        into an error; there is no such limit unless it is given.
         """
         order = lambda values: tuple(sorted(values, key=lambda v: (v is None, v)))
         frequent, rare = {}, {}
@@ -57,14 +60,14 @@ class OneHot:
             few = order(v for v, n in mine if n < floor)
             if few:
                 rare[c] = few
-        wide = {c: len(v) for c, v in frequent.items() if len(v) > max_columns}
+        wide = {c: len(v) for c, v in frequent.items() if max_columns is not None and len(v) > max_columns}
         if wide:
             raise ValueError(f"too many categories for columns {wide}; raise min_frequency")
         return cls(frequent, rare)
 
     @classmethod
     def fit(cls, df: DataFrame, cols: Sequence[str], min_frequency: float | int | None = None,
-            max_columns: int = 2_000, max_listed: int = 2_000) -> OneHot:
+            max_columns: int | None = None, max_listed: int = 2_000) -> OneHot:
         if not cols:
             return cls({}, {})
         train = df.filter(F.col("split") == TRAIN) if "split" in df.columns else df
@@ -83,7 +86,7 @@ class OneHot:
             rated = counts.join(F.broadcast(total), "column").withColumn("rare", F.col("count") < floor)
             sizes = {(r["column"], r["rare"]): r["n"]
                      for r in rated.groupBy("column", "rare").agg(F.count(F.lit(1)).alias("n")).collect()}
-            wide = {c: n for (c, is_rare), n in sizes.items() if not is_rare and n > max_columns}
+            wide = {c: n for (c, is_rare), n in sizes.items() if not is_rare and max_columns is not None and n > max_columns}
             if wide:
                 raise ValueError(f"too many categories for columns {wide}; raise min_frequency")
 
@@ -97,7 +100,8 @@ class OneHot:
             rare: dict[str, tuple[str | None, ...] | DataFrame] = dict(listed(True, few))
             for c in many:
                 rare[c] = _rare_values(train, c, min_frequency)
-            return cls(listed(False, list(cols)), rare)
+            missing = rated.filter(F.col("rare") & F.col("value").isNull()).select("column").collect()
+            return cls(listed(False, list(cols)), rare, frozenset(r["column"] for r in missing))
         finally:
             counts.unpersist()
 
@@ -119,7 +123,7 @@ class OneHot:
                 continue
             held = self.rare[c]
             if isinstance(held, DataFrame):
-                df = _mark_rare(df, c, values, held)
+                df = _mark_rare(df, c, values, held, c in self.rare_missing)
                 flags[f"{c}_{INFREQUENT}"] = F.col(f"__rare_{c}")
             else:
                 known = [v for v in held if v is not None]
@@ -143,8 +147,8 @@ def _rare_values(train: DataFrame, c: str, min_frequency: float | int | None) ->
     return counts.filter(F.col("count") < min_frequency).select("__value")
 
 
-def _mark_rare(df: DataFrame, c: str, frequent: Sequence[str | None], rare: DataFrame) -> DataFrame:
-    """Look rare values up in a table; frequent (hot) values bypass the join."""
+def _mark_rare(df: DataFrame, c: str, frequent: Sequence[str | None], rare: DataFrame, missing: bool) -> DataFrame:
+    """Look rare values up in a table; frequent (hot) and missing values bypass the join."""
     text = col(c).cast("string")
     listed = [v for v in frequent if v is not None]
     hot = text.isNull() | (F.coalesce(text.isin(listed), F.lit(False)) if listed else F.lit(False))
@@ -152,7 +156,7 @@ def _mark_rare(df: DataFrame, c: str, frequent: Sequence[str | None], rare: Data
     side = small_side(rare.filter("__value IS NOT NULL").withColumn(flag, F.lit(True)))
     cold = df.filter(~hot).join(side, text == F.col("__value"), "left").drop("__value")
     cold = cold.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
-    return df.filter(hot).withColumn(flag, F.lit(False)).unionByName(cold)
+    return df.filter(hot).withColumn(flag, text.isNull() & F.lit(missing)).unionByName(cold)
 
 
 def one_hot(df: DataFrame, cols: Sequence[str] | None = None, min_frequency: float | int | None = None) -> DataFrame:

@@ -8,19 +8,21 @@ from typing import Any
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.columns import col
 from tidemark.operators.linear import complete_rows
 
-# Search ranges of the two boosted-tree adapters (fixed values), under the
-# parameter names their users know, and the Spark parameter each one sets.
+# Parameters of the two boosted-tree adapters (fixed names) and the Spark parameter each one sets.
 GBT_PARAMS = {
     "min_child_weight": "minInstancesPerNode", "gamma": "minInfoGain", "subsample": "subsamplingRate",
     "colsample_bytree": "featureSubsetStrategy", "max_depth": "maxDepth",
     "learning_rate": "stepSize", "max_bin": "maxBins", "min_data_in_leaf": "minInstancesPerNode",
+    "bagging_fraction": "subsamplingRate", "feature_fraction": "featureSubsetStrategy", "min_gain_to_split": "minInfoGain",
     "n_estimators": "maxIter", "seed": "seed",
 }
+# Stands for a missing feature: below all values, so that a split can set it apart.
+MISSING = -1e30
 
 
 def spark_params(params: Mapping[str, Any]) -> dict[str, Any]:
@@ -36,19 +38,24 @@ def spark_params(params: Mapping[str, Any]) -> dict[str, Any]:
 
 
 def fit_gbt(df: DataFrame, target: str, cols: Sequence[str], params: Mapping[str, Any] | None = None,
-            rounds: int = 20) -> PipelineModel:
-    """Fit on the train part (all rows if there is no split column)."""
+            rounds: int = 100) -> PipelineModel:
+    """Fit on the train part (all rows if there is no split column). Rows with
+    missing features take part; those without a target do not."""
     train = df.filter(F.col("split") == "train") if "split" in df.columns else df
     inputs = [f"x{i}" for i in range(len(cols))]
-    train = complete_rows(train, [*cols, target]).select(
-        *[col(c).cast("double").alias(x) for c, x in zip(cols, inputs)], col(target).cast("double").alias("label"))
+    train = complete_rows(train, [target]).select(
+        *[_known(c).alias(x) for c, x in zip(cols, inputs)], col(target).cast("double").alias("label"))
     settings = {"maxIter": rounds, "seed": 0, "cacheNodeIds": True, **spark_params(params or {})}
     stages = [VectorAssembler(inputCols=inputs, outputCol="features"),
               GBTRegressor(featuresCol="features", labelCol="label", predictionCol="predicted", **settings)]
     return Pipeline(stages=stages).fit(train)
 
 
+def _known(c: str) -> Column:
+    return F.coalesce(F.nanvl(col(c).cast("double"), F.lit(None).cast("double")), F.lit(MISSING))
+
+
 def predict_gbt(model: PipelineModel, df: DataFrame, cols: Sequence[str], out: str = "predicted") -> DataFrame:
-    inputs = {f"x{i}": col(c).cast("double") for i, c in enumerate(cols)}
-    kept = complete_rows(df, cols).withColumns(inputs)
-    return model.transform(kept).drop("features", *inputs).withColumnRenamed("predicted", out)
+    """A prediction for every row, also where features are missing."""
+    inputs = {f"x{i}": _known(c) for i, c in enumerate(cols)}
+    return model.transform(df.withColumns(inputs)).drop("features", *inputs).withColumnRenamed("predicted", out)

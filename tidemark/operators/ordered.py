@@ -130,11 +130,10 @@ def fill(df: DataFrame, s: Series, cols: Sequence[str], method: str) -> DataFram
     forward = method == "ffill"
 
     def nearest(c: str, part: Sequence[str], order: str, own: bool) -> Column:
-        edge = 0 if own else (-1 if forward else 1)
-        w = Window.partitionBy(*part).orderBy(order)
-        if forward:
-            return F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, edge))
-        return F.first(c, ignorenulls=True).over(w.rowsBetween(edge, Window.unboundedFollowing))
+        # The next value is the last one seen from the other end: a frame that
+        # reaches forward would be computed anew for every row.
+        w = Window.partitionBy(*part).orderBy(F.col(order).asc() if forward else F.col(order).desc())
+        return F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0 if own else -1))
 
     if not s.sliced:
         return df.withColumns({c: nearest(c, s.keys, s.ts, True) for c in cols})

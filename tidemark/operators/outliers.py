@@ -23,16 +23,25 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
                     group_rows: int = 1_000_000, accuracy: int = 50_000) -> DataFrame:
     """Linear-interpolated quantiles `q` (array, one per probability) per group.
 
-    Groups that fit in a task use `percentile`. If a count shows a larger group,
-    a sketch first brackets each wanted rank, one pass counts the rows below
-    the bracket, and only the distinct values inside it are ranked exactly.
+    Each group goes its own way by its own size: one that fits in a task uses
+    `percentile`. For a larger one a sketch first brackets each wanted rank,
+    one pass counts the rows below the bracket, and only the distinct values
+    inside it are ranked exactly. There are at most rows / `group_rows` such groups.
     """
     keys, probs = list(keys), [float(p) for p in probs]
     v = df.select(*keys, col(value).cast("double").alias("tm_v")).filter("tm_v IS NOT NULL AND NOT isnan(tm_v)")
-    largest = v.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest <= group_rows:
-        return v.groupBy(*keys).agg(F.percentile("tm_v", F.array(*map(F.lit, probs))).alias("q"))
-    slack = 2.0 / accuracy
+    exact = lambda d: d.groupBy(*keys).agg(F.percentile("tm_v", F.array(*map(F.lit, probs))).alias("q"))
+    large = v.groupBy(*keys).count().filter(F.col("count") > group_rows)
+    if large.isEmpty():
+        return exact(v)
+    if keys:
+        marked = attach(v, large.select(*keys, F.lit(True).alias("tm_large")), keys)
+        few = exact(marked.filter("tm_large IS NULL").drop("tm_large"))
+        v = marked.filter("tm_large").drop("tm_large")
+    else:
+        few = None
+    # The bracket is at least two ranks wide on either side.
+    slack = 2.0 / min(accuracy, group_rows)
     edges = [max(p - slack, 0.0) for p in probs] + [min(p + slack, 1.0) for p in probs]
     rough = v.groupBy(*keys).agg(F.percentile_approx("tm_v", edges, accuracy).alias("tm_e"), F.count(F.lit(1)).alias("tm_n"))
     d = attach(v, rough, keys)
@@ -55,7 +64,8 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
         F.first(F.col("tm_at") - F.col("tm_r")).alias("tm_part"))
     q = F.col("tm_a") + F.when(F.col("tm_part") > 0, F.col("tm_part") * (F.col("tm_b") - F.col("tm_a"))).otherwise(0.0)
     rows = pair.select(*keys, F.struct("tm_k", q.alias("q")).alias("tm_kq"))
-    return rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list("tm_kq")), lambda e: e["q"]).alias("q"))
+    many = rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list("tm_kq")), lambda e: e["q"]).alias("q"))
+    return many if few is None else few.unionByName(many)
 
 
 def boxplot_limits(df: DataFrame, keys: Sequence[str], value: str, group_rows: int = 1_000_000) -> DataFrame:

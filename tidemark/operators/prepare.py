@@ -67,7 +67,8 @@ def fill_gaps(df: DataFrame, s: Series, target: str, every: str, how: str | floa
 
     Rows off the grid stay. A target that was NULL before stays NULL. Features
     are NULL on added rows. `how` is a constant or a fill direction computed
-    over the whole target column. Two rows for one timestamp are an error.
+    over the whole target column. Two rows for one timestamp are an error;
+    rows without a timestamp stay as they are and bound no gap.
     """
     if not s.sliced:
         return _fill_between(df, s, target, every, how)
@@ -89,15 +90,16 @@ def _fill_between(df: DataFrame, s: Series, target: str, every: str, how: str |
     points between itself and the row before it."""
     micros = interval_micros(every)
     w = s.window()
-    upto, before, later = (w.rowsBetween(a, b) for a, b in (
-        (Window.unboundedPreceding, 0), (Window.unboundedPreceding, -1), (0, Window.unboundedFollowing)))
+    upto, before = (w.rowsBetween(Window.unboundedPreceding, b) for b in (0, -1))
+    # From the other end, as a frame that reaches forward is computed anew for every row.
+    back = Window.partitionBy(*s.keys).orderBy(F.col(s.ts).desc()).rowsBetween(Window.unboundedPreceding, 0)
     if how == "ffill":
         value = F.last(target, ignorenulls=True).over(before)
     elif how in FILLS:
-        value = F.first(target, ignorenulls=True).over(later)
+        value = F.last(target, ignorenulls=True).over(back)
     else:
         value = F.lit(how).cast(df.schema[target].dataType)
-    d = df.withColumns({"__prev": F.lag(s.ts).over(w), "__lo": F.first(s.ts).over(upto), "__value": value})
+    d = df.withColumns({"__prev": F.lag(s.ts).over(w), "__lo": F.min(s.ts).over(upto), "__value": value})
     now, prev, lo = (epoch_micros(d, c) for c in (s.ts, "__prev", "__lo"))
     twice = F.raise_error(F.concat(F.lit("duplicate timestamp in series: "), F.col(s.ts).cast("string"))).cast("long")
     first = F.when(now == prev, twice).otherwise(F.floor((prev - lo) / F.lit(micros)) + 1)

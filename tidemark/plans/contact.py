@@ -33,8 +33,8 @@ FEATURES = (
     "exp_mov_avg", "exp_ma_orders", "tot_na_fcst", "exp_cnt_orders_lag1", "holiday_wf", "memo_day", "bf_july",
     "july_4", "thanksgiving", "cyber_monday", "thanksgiving_christmas", "christmas_eve", "new_years_eve", "new_year",
 )
-# Fixed values of the daily source: report, stores, customers, dates.
-REPORT, STORE_TYPES, KNOWN_CUSTOMER, RETAIL_LEVEL = "CCPR_NAService", (1, 6), "Activated Customer", "None"
+# Fixed values of the daily source: stores, customers, dates.
+STORE_TYPES, KNOWN_CUSTOMER, RETAIL_LEVEL = (1, 6), "Activated Customer", "None"
 SINCE, B2B_UNTIL, LEVEL_CUT, WEEKS_AFTER = "2018-01-07", "2021-09-22", "2018-08-26", "2018-01-01"
 
 
@@ -100,7 +100,7 @@ def _day(c: str) -> Column:
     return F.to_date(c)
 
 
-def presented_by_day(t: Mapping[str, DataFrame], report: str = REPORT, since: str = SINCE, as_of: str | None = None) -> DataFrame:
+def presented_by_day(t: Mapping[str, DataFrame], report: str, since: str = SINCE, as_of: str | None = None) -> DataFrame:
     """Offered and abandoned contacts of one report: interval facts through the
     two mapping tables. The mapping chain is reduced first and is small."""
     chain = (t["queue_map"].select(F.col("queueid").cast("long").alias("queueid"), "router", "groupid")
@@ -115,7 +115,7 @@ def presented_by_day(t: Mapping[str, DataFrame], report: str = REPORT, since: st
 
 
 def contacts_by_day(t: Mapping[str, DataFrame], callback_report: str, source: int, routing: int, as_of: str,
-                    report: str = REPORT, since: str = SINCE, b2b_until: str = B2B_UNTIL) -> DataFrame:
+                    report: str, since: str = SINCE, b2b_until: str = B2B_UNTIL) -> DataFrame:
     """Offered contacts less callbacks and business calls, per day."""
     presented = presented_by_day(t, report, since, as_of)
     callbacks = t["callbacks"].filter(F.col("reportname") == callback_report).groupBy(
@@ -147,8 +147,8 @@ def new_customer_share(t: Mapping[str, DataFrame], as_of: str, since: str = SINC
     return share_by(counts, ["date"], "orders", F.col("new") == 1, "new_share")
 
 
-def daily_contacts(t: Mapping[str, DataFrame], as_of: str, callback_report: str = "NA Frontline", source: int = 2,
-                   routing: int = 6, report: str = REPORT, since: str = SINCE, b2b_until: str = B2B_UNTIL,
+def daily_contacts(t: Mapping[str, DataFrame], as_of: str, report: str, callback_report: str, source: int = 2,
+                   routing: int = 6, since: str = SINCE, b2b_until: str = B2B_UNTIL,
                    level_cut: str = LEVEL_CUT, weeks_after: str = WEEKS_AFTER, store_types: Sequence[int] = STORE_TYPES,
                    known: str = KNOWN_CUSTOMER, level: str = RETAIL_LEVEL) -> DataFrame:
     """The daily source table: adjusted contacts, orders, new-customer share and

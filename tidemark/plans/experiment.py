@@ -56,7 +56,7 @@ class Experiment:
     model_spaces: Mapping[str, Mapping[str, tuple]] = field(default_factory=lambda: search.SEARCH_SPACES)
     metric: str = "neg_mean_squared_error"
     scored_on: str = VAL
-    inner_trials: int = 20
+    inner_trials: int = 100
     cv_scheme: str = "equal"
     cv_folds: int = 5
     cv_mode: str = fold_ops.EXPANDING
@@ -296,14 +296,18 @@ def _run_trials(e: Experiment, p: Prepared, trials: Sequence[Mapping[str, Any]],
         finally:
             table.unpersist()
 
+    # No more feature tables are alive than threads.
+    waiting, out = list(shared.values()), []
     with ThreadPoolExecutor(max(1, e.threads)) as pool:
-        stages = list(pool.map(inheritable_thread_target(encoders), shared.values()))
-        jobs = [(d, encoder, members) for d, groups in stages for encoder, members in groups]
-        try:
-            return [r for part in pool.map(inheritable_thread_target(run_group), jobs) for r in part]
-        finally:
-            for d, _ in stages:
-                d.unpersist()
+        for k in range(0, len(waiting), max(1, e.threads)):
+            stages = list(pool.map(inheritable_thread_target(encoders), waiting[k: k + max(1, e.threads)]))
+            jobs = [(d, encoder, members) for d, groups in stages for encoder, members in groups]
+            try:
+                out += [r for part in pool.map(inheritable_thread_target(run_group), jobs) for r in part]
+            finally:
+                for d, _ in stages:
+                    d.unpersist()
+    return out
 
 
 def search_pipelines(spark: SparkSession, e: Experiment, store: Store, n_trials: int = 100,
@@ -314,6 +318,7 @@ def search_pipelines(spark: SparkSession, e: Experiment, store: Store, n_trials:
     parameters and cross-validation score.
     """
     prepared = prepare_data(spark, e, store)
+    store.write(prepared.missing, "missing")
     names = {"imputer": e.imputers, "outlier_method": e.outlier_methods, "scaler": e.scalers, "model": e.models}
     space = {k: ("cat", tuple(range(len(v)))) for k, v in names.items()}
     space |= {"min_frequency": ("float", 0.0, 0.5, None), **e.hook_space}

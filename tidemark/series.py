@@ -83,8 +83,8 @@ class Series:
 
 
 def require_unique(df: DataFrame, s: Series) -> DataFrame:
-    """Raise if a series has two rows for one timestamp."""
-    repeated = df.groupBy(*s.keys, s.ts).count().filter("count > 1").limit(1).collect()
+    """Raise if a series has two rows for one timestamp; a missing one is none."""
+    repeated = df.filter(F.col(s.ts).isNotNull()).groupBy(*s.keys, s.ts).count().filter("count > 1").limit(1).collect()
     if repeated:
         raise ValueError(f"duplicate timestamp in series: {repeated[0].asDict()}")
     return df

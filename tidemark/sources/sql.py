@@ -13,8 +13,10 @@ _lock = threading.Lock()
 
 
 def create_view(df: DataFrame, name: str) -> DataFrame:
-    """Name a result so that later statements can read it."""
+    """Name a result so that later statements can read it. Cached results go,
+    as they may have read what the name stood for before."""
     df.createOrReplaceTempView(name)
+    clear_cache()
     return df
 
 

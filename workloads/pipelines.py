@@ -76,7 +76,7 @@ fin AS (SELECT coalesce(al.d, ca.d) AS d, volume, orders, s, us, ca.name AS ca F
 SELECT CAST(d - CAST(dayofweek(d) AS INTEGER) AS VARCHAR) AS week, CAST(d AS VARCHAR) AS date, volume, orders, round(s, 6) AS new_share, us AS us_holiday, ca AS ca_holiday
 FROM fin WHERE d - CAST(dayofweek(d) AS INTEGER) < DATE '2001-03-04' + 14 AND d - CAST(dayofweek(d) AS INTEGER) > DATE '1996-01-01'""")
 def p3(spark, sf):
-    return flat(pc.daily_contacts(contact_tables(spark, sf), as_of="2001-03-07", report="ASIA", since="1996-01-07",
+    return flat(pc.daily_contacts(contact_tables(spark, sf), as_of="2001-03-07", report="ASIA", callback_report="NA Frontline", since="1996-01-07",
                                   b2b_until="1999-01-21", level_cut="1998-08-23", weeks_after="1996-01-01"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from tidemark.operators import features as ft, ordered as o, outliers as ol, prepare as pr
 from tidemark.plans.supplier import supplier_features
@@ -153,6 +153,34 @@ def i1o(spark, sf):
     return flat(pr.fill_gaps(e, s, "value", "1 hour", "bfill"))
 
 
+_TIMELESS = """
+WITH e AS (SELECT o_custkey AS k, CASE WHEN o_orderkey % 5 = 0 AND o_orderkey = (SELECT min(o_orderkey) FROM orders o WHERE o.o_custkey = p.o_custkey)
+                  THEN NULL ELSE CAST(o_orderdate AS DATE) END AS d, count(*) AS n FROM orders p WHERE o_custkey % 3 = 0 GROUP BY 1, 2),
+r AS (SELECT k, min(d) AS lo, max(d) AS hi FROM e GROUP BY 1 HAVING min(d) IS NOT NULL),
+g AS (SELECT k, CAST(unnest(generate_series(lo, hi, INTERVAL 30 DAY)) AS DATE) AS d FROM r)
+SELECT k, CAST(d AS VARCHAR) AS d, n FROM e UNION ALL
+SELECT k, CAST(d AS VARCHAR), 0 FROM g WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.k = g.k AND e.d = g.d)"""
+
+
+def _timeless(spark, sf, slice_micros):
+    p = table(spark, sf, "orders").filter("o_custkey % 3 = 0")
+    first = F.col("o_orderkey") == F.min("o_orderkey").over(Window.partitionBy("o_custkey"))
+    d = F.when(~((F.col("o_orderkey") % 5 == 0) & first), F.col("o_orderdate").cast("date"))
+    e = p.select(F.col("o_custkey").alias("k"), d.alias("d")).groupBy("k", "d").agg(F.count(F.lit(1)).alias("n"))
+    return flat(pr.fill_gaps(e, Series(("k",), "d", slice_micros), "n", "30 days", 0))
+
+
+@query("i1_gap_fill_timeless_rows", _TIMELESS)
+def i1t(spark, sf):
+    """Rows without a timestamp stay and bound no gap."""
+    return _timeless(spark, sf, None)
+
+
+@query("i1_gap_fill_timeless_rows_sliced", _TIMELESS)
+def i1s(spark, sf):
+    return _timeless(spark, sf, 100 * 86_400_000_000)
+
+
 @query("i2_split", ctes("daily_orders") + """
 SELECT CAST(d AS VARCHAR) AS d, n, CASE WHEN d < DATE '1999-01-01' THEN 'train' WHEN d < DATE '2000-06-01' THEN 'val' ELSE 'test' END AS split FROM daily_orders""")
 def i2(spark, sf):
@@ -262,6 +290,32 @@ def j2i(spark, sf):
     return flat(out.groupBy("split").agg(F.count(F.lit(1)).alias("n"), rare.cast("long").alias("rare"), F.lit(len(names)).alias("columns")))
 
 
+_RARE_MISSING = """
+WITH x AS (SELECT CASE WHEN o_custkey % 50 = 7 THEN NULL ELSE 'c' || o_custkey END AS c FROM orders),
+t AS (SELECT c, count(*) AS n FROM x GROUP BY 1), m AS (SELECT sum(n) AS total FROM t)
+SELECT CAST(sum(CASE WHEN n < 0.03 * total THEN n ELSE 0 END) AS BIGINT) AS rare,
+       CAST(sum(CASE WHEN n < 0.03 * total AND c IS NULL THEN n ELSE 0 END) AS BIGINT) AS missing FROM t, m"""
+
+
+def _rare_missing(spark, sf, max_listed):
+    c = F.when(F.col("o_custkey") % 50 != 7, F.concat(F.lit("c"), F.col("o_custkey").cast("string")))
+    d = table(spark, sf, "orders").select(c.alias("c"), c.isNull().cast("int").alias("gone"))
+    hit = F.col(f"c_{ft.INFREQUENT}")
+    out = ft.OneHot.fit(d, ["c"], 0.03, max_listed=max_listed).transform(d)
+    return flat(out.agg(F.sum(hit).cast("long").alias("rare"), F.sum(hit * F.col("gone")).cast("long").alias("missing")))
+
+
+@query("j2_one_hot_rare_missing", _RARE_MISSING)
+def j2m(spark, sf):
+    return _rare_missing(spark, sf, 10**9)
+
+
+@query("j2_one_hot_rare_missing_unlisted", _RARE_MISSING)
+def j2u(spark, sf):
+    """The path for more rare values than are listed."""
+    return _rare_missing(spark, sf, 5)
+
+
 @query("j3_min_max", """
 WITH r AS (SELECT min(l_quantity) AS a, max(l_quantity) AS b, min(l_extendedprice) AS c, max(l_extendedprice) AS e FROM lineitem WHERE l_shipdate < DATE '2000-01-01')
 SELECT l_orderkey, l_linenumber, l_partkey, round((l_quantity - a) / (b - a), 6) AS l_quantity, round((l_extendedprice - c) / (e - c), 6) AS l_extendedprice FROM lineitem, r""")
@@ -310,6 +364,20 @@ def j6l(spark, sf):
     return flat(q.select("l_returnflag", (F.col("q")[0] - 1.5 * iqr).alias("lower"), (F.col("q")[1] + 1.5 * iqr).alias("upper")), 4)
 
 
+_MIXED = """
+WITH x AS (SELECT CASE WHEN l_orderkey % 4 <> 0 THEN 0 ELSE l_orderkey % 600 END AS g, l_extendedprice AS price FROM lineitem),
+q AS (SELECT g, quantile_cont(price, 0.25) AS a, quantile_cont(price, 0.75) AS b FROM x GROUP BY 1)
+SELECT g, round(a - 1.5 * (b - a), 6) AS lower, round(b + 1.5 * (b - a), 6) AS upper FROM q"""
+
+
+@query("j6_boxplot_limits_mixed_groups", _MIXED)
+def j6m(spark, sf):
+    """A group over the limit beside many small ones, at the default accuracy."""
+    g = F.when(F.col("l_orderkey") % 4 != 0, 0).otherwise(F.col("l_orderkey") % 600).alias("g")
+    d = table(spark, sf, "lineitem").select(g, F.col("l_extendedprice").alias("price"))
+    return flat(ol.boxplot_limits(d, ["g"], "price", group_rows=1_000), 6)
+
+
 @query("j7_remove_boxplot", _PLANTED + """
 , q AS (SELECT quantile_cont(price, 0.25) AS a, quantile_cont(price, 0.75) AS b FROM x)
 SELECT l_orderkey, l_linenumber, l_partkey, round(price, 4) AS price FROM x, q WHERE price BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a)""")
