@@ -89,10 +89,24 @@ def test_near_duplicates(docs, rows, size):
     assert got.count() == docs.count()
 
 
-def test_near_duplicates_without_rounds(docs, rows):
-    """The full join of the rarest postings finds what leaders would."""
-    a = distinct(minhash.near_duplicates(docs, size=2))
-    assert distinct(minhash.near_duplicates(docs, size=2, rounds=0)) == a
+def test_near_duplicates_of_a_loose_group(spark):
+    """Variants around one text, many of them linked with few others: blocks of all kinds."""
+    ship_package(spark)
+    r = np.random.default_rng(8)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for k in r.choice(120, int(r.integers(1, 14)), replace=False):
+            w[k] = f"x{r.integers(10**6)}"
+        rows.append((int(i), " ".join(w)))
+    sets = {i: shingles(t, 2) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    low = components(list(sets), links)
+    assert 3 < len(set(low.values())) < 120
+    want = sorted(((i, len(s), low[i], low[i] == i) for i, s in sets.items()), key=repr)
+    for block in (16, 256):
+        assert distinct(minhash.near_duplicates(frame(spark, rows), size=2, block=block)) == want
 
 
 @pytest.mark.parametrize("run", [
