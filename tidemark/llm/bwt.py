@@ -176,14 +176,16 @@ def _index(size: int):
 def find_repeats(d: DataFrame, first: DataFrame, size: int) -> DataFrame:
     """id, own, answers (start and end of runs of repeated windows)."""
     n = ex.buckets(d)
-    originals = d.join(first, ["id", "own", "own2"], "left_semi").select("id", "own", "text")
+    texts = d.filter(F.col("id").isNotNull() & F.col("text").isNotNull()).select("id", "own", "text")
 
     def send(s: pa.RecordBatch, sender: ex.Sender) -> Iterator[pa.RecordBatch]:
         doc, h, _, _ = anchors(*_bytes(s), size)
         if len(doc):
             yield from sender.add(*ex.ids(s), doc, h, (h >> np.uint64(32)).astype(np.uint32))
 
-    shared = ex.deal(originals, send, _shared, n, [np.uint32])
+    shared = ex.deal(texts, send, _shared, n, [np.uint32])
+
+    found = written(shared.join(first.select("id", "own"), ["id", "own"], "left_semi"), "anchors")
 
     def stretch(s: pa.RecordBatch, sender: ex.Sender) -> Iterator[pa.RecordBatch]:
         data, starts = _bytes(s)
@@ -196,7 +198,7 @@ def find_repeats(d: DataFrame, first: DataFrame, size: int) -> DataFrame:
             yield from sender.add(*ex.ids(s), doc, h, (h >> np.uint64(32)).astype(np.uint32), (a - starts[doc]).astype(np.int32),
                                   length, ragged=(data, a))
 
-    return ex.deal(originals.join(written(shared, "anchors"), ["id", "own"]), stretch, _index(size), n,
+    return ex.deal(texts.join(found, ["id", "own"]), stretch, _index(size), n,
                    [np.uint32, np.int32, np.int32], ragged=True)
 
 

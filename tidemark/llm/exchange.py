@@ -3,10 +3,12 @@
 A row for every word or byte position would cost more than the text. Here a
 task packs the keys of several megabytes of text by bucket into binary columns;
 a bucket sees all equal keys together, as sorted arrays, and answers per
-document. A task combines nothing away: every occurrence is sent.
+document.
 
 Documents are named by `id` and `own`, a hash of the text, so that rows which
-repeat an id do not mix. Ids are whole numbers.
+repeat an id do not mix. Of the copies of a text in a slice only the one with
+the smallest id is sent, and a bucket keeps the smallest of what it got, so a
+text that a third of all rows hold is no hot key. Ids are whole numbers.
 """
 
 from __future__ import annotations
@@ -109,7 +111,10 @@ def deal(docs: DataFrame, send: Callable, solve: Callable, n: int, kinds: list,
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sender = Sender(n)
         for s in tx.slices(batches, "text"):
-            yield from send(s, sender)
+            id_, own = ids(s)
+            order = np.lexsort((id_, own))
+            first = np.flatnonzero(np.diff(own[order], prepend=own[order[:1]] - 1))
+            yield from send(s.take(pa.array(np.sort(order[first]))), sender)
         yield from sender.flush()
 
     def back(table: pa.Table) -> pa.Table:
@@ -118,16 +123,48 @@ def deal(docs: DataFrame, send: Callable, solve: Callable, n: int, kinds: list,
         doc = np.repeat(np.arange(len(ids)), counts)
         values = [_joined(table[f"v{i}"], k) for i, k in enumerate(kinds)]
         data = _joined(table["data"], np.uint8) if ragged else None
+        # Copies of a text send the same entries: those of the smallest id stay.
+        _, text = np.unique(np.column_stack([owns, counts]), axis=0, return_inverse=True)
+        low = np.full(text.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(low, text, ids)
+        if (ids != low[text]).any():
+            kept = (ids == low[text])[doc]
+            if ragged:
+                data = data[np.repeat(kept, values[-1])]
+            doc, values = doc[kept], [v[kept] for v in values]
         of, answers = solve(ids, owns, doc, values, data, table["bucket"][0].as_py())
         edges = np.flatnonzero(np.diff(of, prepend=-1, append=-1)) if len(of) else np.zeros(1, np.int64)
-        at = of[edges[:-1]]
-        return pa.table([pa.array(ids[at]), pa.array(owns[at]),
-                         pa.array([answers[a:e].tobytes() for a, e in zip(edges[:-1], edges[1:])], pa.binary())],
-                        names=["id", "own", "answer"])
+        at, size = of[edges[:-1]], np.diff(edges)
+        # Packed again by where the documents go, not a row for each.
+        dest = (tx.mixed(ids[at].astype(np.uint64)) % np.uint64(n)).astype(np.int64)
+        order = np.argsort(dest, kind="stable")
+        ends = np.flatnonzero(np.diff(dest[order], prepend=-1, append=-1))
+        take = edges[:-1][order]
+        rows: list[list] = [[], [], [], [], []]
+        for x, y in zip(ends[:-1], ends[1:]):
+            part = order[x:y]
+            picked = np.concatenate([answers[k: k + m] for k, m in zip(take[x:y].tolist(), size[part].tolist())])
+            for column, v in zip(rows, (int(dest[part[0]]), ids[at[part]].tobytes(), owns[at[part]].tobytes(),
+                                        size[part].tobytes(), picked.tobytes())):
+                column.append(v)
+        return pa.table([pa.array(rows[0], pa.int32()), *[pa.array(r, pa.binary()) for r in rows[1:]]],
+                        names=["dest", "ids", "owns", "sizes", "answers"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        by: dict[tuple[int, int], list[bytes]] = {}
+        for row in table.select(["ids", "owns", "sizes", "answers"]).to_pylist():
+            sizes = np.frombuffer(row["sizes"], np.int64)
+            width = len(row["answers"]) // int(sizes.sum())
+            ends = np.cumsum(sizes) * width
+            for i, o, a, e in zip(np.frombuffer(row["ids"], np.int64).tolist(), np.frombuffer(row["owns"], np.int64).tolist(),
+                                  (ends - sizes * width).tolist(), ends.tolist()):
+                by.setdefault((i, o), []).append(row["answers"][a:e])
+        return pa.table([pa.array([i for i, _ in by], pa.int64()), pa.array([o for _, o in by], pa.int64()),
+                         pa.array(list(by.values()), pa.list_(pa.binary()))], names=["id", "own", "answers"])
 
     sent = docs.mapInArrow(out, schema + ", data binary" * ragged)
-    return (sent.groupBy("bucket").applyInArrow(back, "id long, own long, answer binary")
-            .groupBy("id", "own").agg(F.collect_list("answer").alias("answers")))
+    back_again = sent.groupBy("bucket").applyInArrow(back, "dest int, ids binary, owns binary, sizes binary, answers binary")
+    return back_again.groupBy("dest").applyInArrow(merge, "id long, own long, answers array<binary>")
 
 
 def answers(s: pa.RecordBatch, kind) -> tuple[np.ndarray, np.ndarray]:

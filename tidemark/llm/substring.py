@@ -68,7 +68,7 @@ def _repeats(ids, owns, doc, values, data, bucket) -> tuple[np.ndarray, np.ndarr
 def find_repeats(d: DataFrame, first: DataFrame, size: int) -> DataFrame:
     """id, own, answers (starts of the repeated windows)."""
     block, n = size // 2, ex.buckets(d)
-    originals = d.join(first, ["id", "own", "own2"], "left_semi").select("id", "own", "text")
+    texts = d.filter(F.col("id").isNotNull() & F.col("text").isNotNull()).select("id", "own", "text")
 
     def probe(s: pa.RecordBatch, sender: ex.Sender) -> Iterator[pa.RecordBatch]:
         h, doc, place, starts = _words(s)
@@ -76,7 +76,9 @@ def find_repeats(d: DataFrame, first: DataFrame, size: int) -> DataFrame:
         aligned = (place[at] % block == 0).astype(np.uint64)
         yield from sender.add(*ex.ids(s), doc[at], w, ((w >> np.uint64(32)) & LOW | aligned).astype(np.uint32))
 
-    hits = ex.deal(originals, probe, _hits, n, [np.uint32])
+    hits = ex.deal(texts, probe, _hits, n, [np.uint32])
+
+    found = written(hits.join(first.select("id", "own"), ["id", "own"], "left_semi"), "hits")
 
     def extend(s: pa.RecordBatch, sender: ex.Sender) -> Iterator[pa.RecordBatch]:
         h, doc, place, starts = _words(s)
@@ -92,7 +94,7 @@ def find_repeats(d: DataFrame, first: DataFrame, size: int) -> DataFrame:
             yield from sender.add(*ex.ids(s), doc[begin], h1[begin], h1[begin], (h2[begin] >> np.uint64(32)).astype(np.uint32),
                                   place[begin].astype(np.int32))
 
-    return ex.deal(originals.join(written(hits, "hits"), ["id", "own"]), extend, _repeats, n, [np.uint64, np.uint32, np.int32])
+    return ex.deal(texts.join(found, ["id", "own"]), extend, _repeats, n, [np.uint64, np.uint32, np.int32])
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 20,
