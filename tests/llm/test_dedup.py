@@ -190,8 +190,9 @@ def test_suffix_order_and_search():
 def test_matching_statistics_are_those_of_neighbours():
     r = np.random.default_rng(5)
     t = np.concatenate([r.integers(0, 4, 200), [9], np.tile(r.integers(0, 4, 30), 8), [10]])
-    order = suffix_order(t, len(t))
-    got = bwt.matching_statistics(t, order, len(t))
+    levels = []
+    order = suffix_order(t, len(t), levels)
+    got = bwt.matching_statistics(t, order, levels)
     for k in range(1, len(t)):
         a, b = t[order[k - 1]:], t[order[k]:]
         n = min(len(a), len(b))

@@ -80,7 +80,7 @@ def _shared(ids, owns, doc, values, data, bucket) -> tuple[np.ndarray, np.ndarra
     return doc[hit], values[0][hit].astype(np.uint64) | np.uint64(bucket << 32)
 
 
-def matching_statistics(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
+def matching_statistics(text: np.ndarray, order: np.ndarray, levels: list[tuple[int, np.ndarray]]) -> np.ndarray:
     """For every place, how far its suffix matches the one before it in suffix order.
 
     The transform's runs are found, the match is measured at run borders only,
@@ -91,15 +91,15 @@ def matching_statistics(text: np.ndarray, order: np.ndarray, depth: int) -> np.n
     border[1:] = before[1:] != before[:-1]
     rows = np.flatnonzero(border)
     length = np.zeros(len(rows), np.int64)
-    length[1:] = shared_prefix(text, order[rows[1:] - 1], order[rows[1:]], depth)
+    length[1:] = shared_prefix(levels, order[rows[1:] - 1], order[rows[1:]])
     sample = np.full(len(text), -1, np.int64)
     sample[order[rows]] = length + order[rows]
     place = np.maximum.accumulate(np.where(sample >= 0, np.arange(len(text)), 0))
     return np.maximum(sample[place] - np.arange(len(text)), 0)
 
 
-def owners(stretches: list[bytes], least_id: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every window of every stretch, the smallest id whose stretches hold it; where each stretch's windows start."""
+def owners(stretches: list[bytes], least_id: np.ndarray, size: int) -> np.ndarray:
+    """For every window of every stretch, one after the other, the smallest id whose stretches hold it."""
     lengths = np.fromiter(map(len, stretches), np.int64, len(stretches))
     starts = np.cumsum(lengths + 1) - lengths - 1
     text = np.empty(int((lengths + 1).sum()), np.int64)
@@ -108,17 +108,16 @@ def owners(stretches: list[bytes], least_id: np.ndarray, size: int) -> tuple[np.
     inner[starts + lengths] = False
     text[inner] = np.frombuffer(b"".join(stretches), np.uint8)
     text[starts + lengths] = 256 + np.arange(len(stretches))  # an end of its own for each
-    depth = int(lengths.max()) + 1
-    order = suffix_order(text, depth)
-    match = matching_statistics(text, order, depth)[order]
+    levels: list[tuple[int, np.ndarray]] = []
+    order = suffix_order(text, int(lengths.max()) + 1, levels)
+    match = matching_statistics(text, order, levels)[order]
     head = np.flatnonzero(match < size)
     least = np.minimum.reduceat(least_id[of[order]], head)
     owner = np.empty(len(text), least_id.dtype)
     owner[order] = np.repeat(least, np.diff(np.append(head, len(order))))
     windows = lengths - size + 1
     first = np.cumsum(windows) - windows
-    pick = np.arange(int(windows.sum())) + np.repeat(starts - first, windows)
-    return owner[pick], np.append(first, windows.sum())
+    return owner[np.arange(int(windows.sum())) + np.repeat(starts - first, windows)]
 
 
 def _index(size: int):
@@ -127,48 +126,39 @@ def _index(size: int):
         ends = np.cumsum(length, dtype=np.int64)
         raw = data.tobytes()
         number: dict[bytes, int] = {}
-        stretches, keys = [], []
-        which = np.empty(len(key), np.int64)
-        for i, (a, e, k) in enumerate(zip((ends - length).tolist(), ends.tolist(), key.tolist())):
-            b = raw[a:e]
-            j = number.setdefault(b, len(number))
-            if j == len(stretches):
-                stretches.append(b)
-                keys.append(k)
-            which[i] = j
+        which = np.fromiter((number.setdefault(raw[a:e], len(number)) for a, e in zip((ends - length).tolist(), ends.tolist())),
+                            np.int64, len(key))
+        stretches = list(number)
         least = np.full(len(stretches), np.iinfo(np.int64).max)
         np.minimum.at(least, which, ids[doc])
-        most = np.full(len(stretches), np.iinfo(np.int64).min)
-        np.maximum.at(most, which, ids[doc])
+        keys = np.empty(len(stretches), key.dtype)
+        keys[which] = key
         # Indexes of whole anchors.
-        by_key = np.argsort(np.array(keys), kind="stable")
-        kept = np.cumsum([len(stretches[j]) + 1 for j in by_key])
-        sorted_keys = np.array(keys)[by_key]
-        found_of, found_at = [], []
-        begin, place = 0, np.argsort(which, kind="stable")
-        edge = np.searchsorted(which[place], np.arange(len(stretches) + 1))
+        by_key = np.argsort(keys, kind="stable")
+        sizes = np.fromiter(map(len, stretches), np.int64, len(stretches))[by_key]
+        last_of_key = np.searchsorted(keys[by_key], keys[by_key], side="right")
+        total, begin, found = np.cumsum(sizes + 1), 0, []
         while begin < len(by_key):
-            done = kept[begin - 1] if begin else 0
-            stop = max(begin + 1, int(np.searchsorted(kept, done + SHARD)))
-            stop = max(int(np.searchsorted(sorted_keys, sorted_keys[stop - 1], side="right")) if stop < len(by_key) else len(by_key), begin + 1)
-            mine = by_key[begin:stop]
-            owner, first = owners([stretches[j] for j in mine], least[mine], size)
-            for k, j in enumerate(mine):
-                o = owner[first[k]: first[k + 1]]
-                if o.min() >= most[j]:
-                    continue
-                for i in place[edge[j]: edge[j + 1]]:
-                    gone = o < ids[doc[i]]
-                    if gone.any():
-                        a, e = tx.spans(gone)
-                        found_of.append(np.full(len(a), doc[i]))
-                        found_at.append(np.column_stack([a + at[i], e + at[i]]).astype(np.int32))
+            done = total[begin - 1] if begin else 0
+            stop = int(last_of_key[max(begin, int(np.searchsorted(total, done + SHARD)) - 1)])
+            found.append(owners([stretches[j] for j in by_key[begin:stop]], least[by_key[begin:stop]], size))
             begin = stop
-        if not found_of:
-            return doc[:0], np.zeros((0, 2), np.int32)
-        of, spans = np.concatenate(found_of), np.concatenate(found_at)
-        order = np.argsort(of, kind="stable")
-        return of[order], spans[order]
+        owner = np.concatenate(found)
+        windows = sizes - size + 1
+        first = np.empty(len(stretches), np.int64)  # of each stretch among the owners
+        first[by_key] = np.cumsum(windows) - windows
+        # Windows of every occurrence whose owner is another, smaller document.
+        count = length.astype(np.int64) - size + 1
+        start = np.cumsum(count) - count
+        step = np.arange(int(count.sum())) - np.repeat(start, count)
+        gone = owner[step + np.repeat(first[which], count)] < np.repeat(ids[doc], count)
+        opens, closes = gone.copy(), gone.copy()
+        opens[1:] &= ~gone[:-1] | (step[1:] == 0)
+        closes[:-1] &= ~gone[1:] | (step[1:] == 0)
+        opens, closes = np.flatnonzero(opens), np.flatnonzero(closes)
+        occurrence = np.searchsorted(start, opens, side="right") - 1
+        spans = np.column_stack([at[occurrence] + step[opens], at[occurrence] + step[closes] + 1]).astype(np.int32)
+        return doc[occurrence], spans
 
     return solve
 

@@ -28,9 +28,10 @@ def _ranked(high: np.ndarray, low: np.ndarray) -> np.ndarray:
     return rank
 
 
-def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
+def suffix_order(text: np.ndarray, depth: int, levels: list[tuple[int, np.ndarray]] | None = None) -> np.ndarray:
     """Positions of `text` in the order of the suffixes, compared over `depth`
-    values at least; values are 0 or more, and the end counts as smaller."""
+    values at least; values are 0 or more, and the end counts as smaller.
+    `levels` collects the ranks of all substrings of 1, 2, 4, ... values."""
     n = len(text)
     rank, span = np.asarray(text, np.int64) + 1, 1
     if not n:
@@ -38,6 +39,8 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     if int(rank.max()) >= PACKED:
         rank = _ranked(rank, np.zeros(n, np.int64))
     while span < depth:
+        if levels is not None:
+            levels.append((span, rank.astype(np.int32)))
         later = np.zeros(n, np.int64)
         if span < n:
             later[:-span] = rank[span:]
@@ -49,17 +52,14 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     return np.argsort(rank, kind="stable")
 
 
-def shared_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
-    """How many of the first `depth` values agree at the places `a` and `b`."""
-    padded = np.concatenate([text, np.full(depth, -1, text.dtype)])
+def shared_prefix(levels: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many values agree at the places `a` and `b`, up to all levels together."""
     length = np.zeros(len(a), np.int64)
-    alive = np.arange(len(a))
-    for k in range(depth):
-        same = (padded[a[alive] + k] == padded[b[alive] + k]) & (padded[a[alive] + k] >= 0)
-        alive = alive[same]
-        if not len(alive):
-            break
-        length[alive] += 1
+    for span, rank in reversed(levels):
+        n = len(rank)
+        x, y = a + length, b + length
+        same = (x < n) & (y < n) & (rank[np.minimum(x, n - 1)] == rank[np.minimum(y, n - 1)])
+        length[same] += span
     return length
 
 
