@@ -187,7 +187,7 @@ class Scores:
 
     def _rows(self, words: list[bytes]) -> list[bytes]:
         cores = [core(w) for w in words]
-        scores = self.model.word_scores(cores)
+        scores = self.model.word_scores(cores).astype(np.float64)
         scores[[not c for c in cores]] = -1  # no letters
         return [row.tobytes() for row in scores]
 
