@@ -69,6 +69,28 @@ def test_same_result_in_any_order_and_thread_count(spark, tmp_path):
     pd.testing.assert_frame_equal(*tables, rtol=1e-9)
 
 
+@pytest.mark.parametrize("changes, want", [
+    ({"cv_folds": 2}, [(20, 20), (40, 20)]),
+    ({"cv_folds": 2, "cv_mode": "sliding", "cv_window": 10}, [(10, 20), (10, 20)]),
+    ({"cv_folds": 3, "cv_scheme": "kfold"}, [(40, 20), (40, 20), (40, 20)]),
+    ({"cv_scheme": "rolling", "cv_window": 30, "cv_step": 15, "horizons": (1, 3)}, [(30, 2), (45, 2)])])
+def test_folds_of_every_model_follow_the_settings(spark, changes, want):
+    """Train rows and used test rows of each fold; no row is copied."""
+    d = spark.range(60).selectExpr("'a' AS k", "date_add(DATE '2024-01-01', CAST(id AS INT)) AS d", "CAST(id AS DOUBLE) AS y")
+    folds = ex.Folds.of(settings(**changes), d.union(d.selectExpr("'b'", "d", "y")), ex.Series.of(["k"], "d"))
+    try:
+        got = []
+        for f in range(folds.count):
+            train, test = folds.parts(f)
+            got.append((train.filter("k = 'a'").count(), test.filter("__used AND k = 'a'").count()))
+            last = train.agg(F.max("y")).first()[0]
+            if changes.get("cv_scheme") == "rolling":
+                assert [r.y - last for r in test.filter("__used AND k = 'b'").orderBy("y").collect()] == [1, 3]
+        assert got == want
+    finally:
+        folds.release()
+
+
 def test_settings_are_checked():
     with pytest.raises(ValueError):
         settings(models=("prophet",))

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark.columns import attach, numeric_columns, quoted
 from tidemark.operators import arima, features, folds as fold_ops, linear, metrics, models, outliers, prepare, search
 from tidemark.operators.aggregate import MISSING_THRESHOLD, missing_profile
+from tidemark.operators.ordered import number_rows
 from tidemark.series import Series
 from tidemark.session import TEST, TRAIN, VAL
 from tidemark.sources.store import Store, land
@@ -210,45 +211,94 @@ def run_model(e: Experiment, table: DataFrame, s: Series, model: str, scaler: st
     return search.performance_row(params, loss[TRAIN], loss[VAL], loss[TEST], cv)
 
 
-def _numbered_folds(e: Experiment, train: DataFrame, s: Series) -> DataFrame:
-    return fold_ops.assign_folds(train, s, fold_ops.folds_equal(fold_ops.series_length(train, s), s.keys, e.cv_folds))
+@dataclass(frozen=True)
+class Folds:
+    """Numbered train rows and the row bounds of every fold of every series.
+
+    Rows are never copied per fold: a fold is a filter on the row number.
+    """
+
+    rows: DataFrame
+    bounds: DataFrame
+    keys: tuple[str, ...]
+    count: int
+
+    @classmethod
+    def of(cls, e: Experiment, train: DataFrame, s: Series) -> Folds:
+        n, keys = fold_ops.series_length(train, s), list(s.keys)
+        none = F.lit(None).cast("array<long>").alias("horizons")
+        if e.cv_scheme == "rolling":
+            d = fold_ops.folds_rolling(n, keys, e.cv_window, e.cv_step, e.horizons, e.cv_mode)
+            d = d.select(*keys, "fold", "train_lo", "train_hi", F.col("train_hi").alias("test_lo"),
+                         (F.col("train_hi") + F.array_max("horizons")).alias("test_hi"), "horizons")
+        elif e.cv_scheme == "kfold":
+            d = fold_ops.folds_plain(n, keys, e.cv_folds)
+            d = d.select(*keys, "fold", F.lit(0).cast("long").alias("train_lo"), F.lit(2**62).alias("train_hi"), "test_lo", "test_hi", none)
+        else:
+            d = fold_ops.folds_equal(n, keys, e.cv_folds)
+            if e.cv_mode == fold_ops.SLIDING:
+                # A window of test length, unless one is given.
+                width = F.lit(e.cv_window).cast("long") if e.cv_window else F.col("test_hi") - F.col("test_lo")
+                d = d.withColumn("train_lo", F.greatest(F.col("train_hi") - width, F.lit(0).cast("long")))
+            d = d.select(*keys, "fold", "train_lo", "train_hi", "test_lo", "test_hi", none)
+        d = d.persist()
+        last = d.agg(F.max("fold")).first()[0]
+        rows = number_rows(train, s, "__rn").persist()
+        return cls(rows, d, tuple(keys), 0 if last is None else int(last) + 1)
+
+    def parts(self, fold: int) -> tuple[DataFrame, DataFrame]:
+        """Train and test rows of one fold, the latter with `__used`, false
+        for rows that lie between the horizons asked for."""
+        d = attach(self.rows, self.bounds.filter(F.col("fold") == fold).drop("fold"), self.keys)
+        at = F.col("__rn") - 1
+        test = (at >= F.col("test_lo")) & (at < F.col("test_hi"))
+        used = F.col("horizons").isNull() | F.array_contains("horizons", at - F.col("train_hi") + 1)
+        names = [c for c in self.rows.columns if c != "__rn"]
+        train = d.filter((at >= F.col("train_lo")) & (at < F.col("train_hi")) & ~test).select(*names)
+        return train, d.filter(test).select(*names, used.alias("__used"))
+
+    def release(self) -> None:
+        self.rows.unpersist()
+        self.bounds.unpersist()
+
+
+def _mean_losses(e: Experiment, folds: Folds, candidates: int, loss: Callable[[int, DataFrame, DataFrame], DataFrame]) -> dict[int, float]:
+    """Mean loss of each candidate over all folds; `loss` gives predictions.
+    Independent fits share a thread pool."""
+    def one(job: tuple[int, int]) -> tuple[int, float | None]:
+        c, f = job
+        train, test = folds.parts(f)
+        got = loss(c, train, test).filter("__used")
+        return c, got.agg(metrics.metric_of(e.metric)(F.col(quoted(e.target)).cast("double"), F.col("predicted"))).first()[0]
+
+    jobs = [(c, f) for c in range(candidates) for f in range(folds.count)]
+    with ThreadPoolExecutor(max(1, e.threads)) as pool:
+        results = list(pool.map(inheritable_thread_target(one), jobs))
+    found = {c: [v for k, v in results if k == c and v is not None] for c in range(candidates)}
+    means = {c: sum(v) / len(v) for c, v in found.items() if v}
+    if not means:
+        raise ValueError("too few train rows for the cross-validation folds")
+    return means
 
 
 def _tune_boosted(e: Experiment, train: DataFrame, s: Series, cols: Sequence[str], candidates: Sequence[Mapping[str, Any]]) -> tuple[dict, float]:
-    """Fit every (candidate, fold) pair; independent fits share a thread pool."""
-    member = _numbered_folds(e, train, s).persist()
+    folds = Folds.of(e, train, s)
     try:
-        def loss(job: tuple[int, int]) -> tuple[int, float | None]:
-            c, f = job
-            part = member.filter(F.col("fold") == f)
-            model = models.fit_gbt(part.filter("role = 'train'").drop("split"), e.target, cols, candidates[c])
-            got = models.predict_gbt(model, part.filter("role = 'test'"), cols)
-            return c, got.agg(metrics.metric_of(e.metric)(F.col(e.target).cast("double"), F.col("predicted"))).first()[0]
-
-        jobs = [(c, f) for c in range(len(candidates)) for f in range(e.cv_folds)]
-        with ThreadPoolExecutor(e.threads) as pool:
-            results = list(pool.map(inheritable_thread_target(loss), jobs))
+        means = _mean_losses(e, folds, len(candidates), lambda c, fit, test: models.predict_gbt(
+            models.fit_gbt(fit.drop("split"), e.target, cols, candidates[c]), test, cols))
     finally:
-        member.unpersist()
-    means = {c: [v for k, v in results if k == c and v is not None] for c in range(len(candidates))}
-    means = {c: sum(v) / len(v) for c, v in means.items() if v}
+        folds.release()
     best = min(means, key=lambda c: (means[c], c))
     return dict(candidates[best]), means[best]
 
 
 def _tune_arima(e: Experiment, train: DataFrame, s: Series, cols: Sequence[str], candidates: Sequence[Mapping[str, Any]]) -> tuple[dict, float]:
-    """Each fold is one more key, so all folds of a candidate are fitted together."""
-    member = _numbered_folds(e, train, s).persist()
+    folds = Folds.of(e, train, s)
     try:
-        sf = s.within("fold")
-        means = {}
-        for c, params in enumerate(candidates):
-            fitted = arima.fit_arimax(member.filter("role = 'train'"), sf, e.target, cols, **params)
-            pred = arima.forecast_arimax(fitted, member.filter("role = 'test'"), sf, cols)
-            per_fold = pred.groupBy("fold").agg(metrics.metric_of(e.metric)(F.col(e.target).cast("double"), F.col("predicted")).alias("v"))
-            means[c] = per_fold.agg(F.avg("v")).first()[0]
+        means = _mean_losses(e, folds, len(candidates), lambda c, fit, test: arima.forecast_arimax(
+            arima.fit_arimax(fit, s, e.target, cols, **candidates[c]), test, s, cols))
     finally:
-        member.unpersist()
+        folds.release()
     best = min((c for c in means if means[c] is not None), key=lambda c: (means[c], c))
     return dict(candidates[best]), means[best]
 
@@ -290,7 +340,10 @@ def _run_trials(e: Experiment, p: Prepared, trials: Sequence[Mapping[str, Any]],
                 wanted = list(dict.fromkeys(t["model"] for t in members if t["scaler"] == scaler))
                 together = [m for m in wanted if m in LINEAR]
                 got = run_linear(e, table, p.series, together, scaler, drawn) if together else {}
-                got |= {m: run_model(e, table, p.series, m, scaler, drawn) for m in wanted if m not in LINEAR}
+                # Scaling changes neither trees nor ARIMA: one run serves all scalers.
+                for m in (m for m in wanted if m not in LINEAR):
+                    same = next((r for (name, _), r in done.items() if name == m), None)
+                    got[m] = same or run_model(e, table, p.series, m, scaler, drawn)
                 done |= {(m, scaler): r for m, r in got.items()}
             return [_trial_row(t, done[t["model"], t["scaler"]], e) for t in members]
         finally:
