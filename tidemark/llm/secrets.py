@@ -15,8 +15,8 @@ change; this gives each candidate a p-value of being text. Short tokens have
 little power and are many, so the false-discovery rate is controlled by
 Benjamini and Hochberg's rule within each length class (powers of two), over
 the candidates of the whole corpus. The counts behind it are a histogram of
-bounded size; the second pass applies its thresholds where the text is, so no
-text and no candidate is shuffled.
+bounded size. What was found is written once and the thresholds are applied to
+it, so no text and no candidate is shuffled.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.tables import packed_row
+from tidemark.llm.tables import packed_row, written
 
 # Kinds in the order of equal starts: pattern, and the group and least length that a match must have.
 KINDS = {
@@ -33,8 +33,6 @@ KINDS = {
     "access": (r"AKIA[A-Z0-9]+", 0, 20),
     "hex": (r"[0-9a-f]+", 0, 24),
 }
-# A quick test that a text has any match at all.
-HINTS = {"assign": r"(?i:passw|secret|token|api_?key)", "access": "AKIA", "hex": r"(?<![0-9a-f])[0-9a-f]{24}"}
 FOUND = "random"
 SYMBOLS = "[A-Za-z0-9+/_=-]"
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -77,10 +75,22 @@ def base_spans(text: Column) -> Column:
     for order, (kind, (pattern, group, least)) in enumerate(KINDS.items()):
         spans = F.transform(F.filter(_matches(text, pattern, group), lambda m: F.char_length(m["s"]) >= least), lambda m: F.struct(
             F.lit(kind).alias("kind"), F.lit(order).alias("order"), m["start"].alias("start"), m["end"].alias("end")))
-        out.append(F.when(text.rlike(HINTS[kind]), spans).otherwise(none))
+        out.append(F.when(_hint(text, kind), spans).otherwise(none))
     return F.concat(*out)
 
 
+def _hint(text: Column, kind: str) -> Column:
+    """A quick test that a text may have a match: most texts fail at the first
+    character class. A text starts as if after a blank."""
+    padded = F.concat(F.lit(" "), text)
+    if kind == "assign":
+        return text.rlike(r"""[dtnyDTNY]["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]""")
+    long_token = padded.rlike(f"{SYMBOLS.replace('[', '[^', 1)}{SYMBOLS}{{20}}")
+    if kind == "access":
+        return long_token & text.contains("AKIA")
+    return long_token & padded.rlike("[^0-9a-f][0-9a-f]{24}") if kind == "hex" else long_token
+
+
 def upper_tail(z: Column) -> Column:
     """Upper tail of the normal distribution (Abramowitz and Stegun 26.2.17)."""
     a = F.abs(z)
@@ -211,8 +221,9 @@ def scan(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None,
     d = docs.select(packed_row(docs.select(*keep) if keep else docs), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     d = d.withColumn("base", base_spans(F.col("text")))
     none = F.array().cast("array<struct<start:bigint,end:bigint,stratum:int,random:double,step:int>>")
-    hint = F.col("text").rlike(f"(?<!{SYMBOLS}){SYMBOLS}{{{min_length}}}")
+    hint = F.col("text").rlike(f"{SYMBOLS}{{{min_length}}}") if min_length < 20 else _hint(F.col("text"), FOUND)
     d = d.withColumn("found", F.when(hint, candidates(F.col("text"), F.col("base"), min_length)).otherwise(none))
+    d = written(d.select("row", "base", "found"), "secrets")
     counts = d.select(F.explode("found").alias("c")).groupBy("c.stratum", "c.step").count()
     least = discoveries([tuple(r) for r in counts.collect()], rate)  # at most 400 steps for each power of two
     if least:
