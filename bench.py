@@ -32,8 +32,7 @@ def b1_gap_fill_lags(spark, sf):
 
 
 def b2_one_hot_scale(spark, sf):
-    d = categorical(spark, sf).join(table(spark, sf, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"), ["l_orderkey", "l_linenumber", "l_partkey"])
+    d = categorical(spark, sf, "l_quantity", "l_extendedprice")
     d = ft.one_hot(d, ["flag", "p_brand", "p_type"], 0.039)
     return ft.scale(d, ["l_quantity", "l_extendedprice"])
 

@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # A lookup is broadcast only when a count proves it has at most this many rows.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 8_000_000
+# Rows read first, to learn their width.
+PROBE_ROWS = 1_000
 
 
 def numeric_columns(df: DataFrame, exclude: Iterable[str] = ()) -> list[str]:
@@ -66,14 +69,18 @@ def join_on(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "
     return joined if how in ("left_anti", "left_semi") else joined.drop(*[f"__r_{c}" for c in cols])
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast `df` if it is proven small, else leave the join to Spark.
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast `df` if it is proven small in rows and bytes, else leave the join to Spark.
 
-    The proof is reading at most `max_rows` + 1 rows. A table that passes is
-    kept as read, so its statistics are not computed a second time.
+    A first read of at most `PROBE_ROWS` + 1 rows tells how wide a row is; if
+    there are more, a second one reads only as many as fit `max_bytes`. A table
+    that passes is kept as read, so its statistics are not computed again.
     """
-    rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows:
+    rows = df.limit(min(max_rows, PROBE_ROWS) + 1).toArrow()
+    if rows.num_rows > PROBE_ROWS:
+        max_rows = min(max_rows, max_bytes * rows.num_rows // max(rows.nbytes, 1))
+        rows = df.limit(max_rows + 1).toArrow() if max_rows > PROBE_ROWS else rows
+    if rows.num_rows > max_rows or rows.nbytes > max_bytes:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 

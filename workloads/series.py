@@ -262,10 +262,10 @@ WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, p_type, CASE WHEN l_order
            CASE WHEN l_shipdate < DATE '2000-01-01' THEN 'train' ELSE 'test' END AS split FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
 
-def categorical(spark, sf):
+def categorical(spark, sf, *more):
     d = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
     return d.select("l_orderkey", "l_linenumber", "l_partkey", "p_type", F.when(F.col("l_orderkey") % 7 != 0, F.col("l_returnflag")).alias("flag"),
-                    "p_brand", F.when(F.col("l_shipdate") < "2000-01-01", "train").otherwise("test").alias("split"))
+                    "p_brand", F.when(F.col("l_shipdate") < "2000-01-01", "train").otherwise("test").alias("split"), *more)
 
 
 @query("j2_one_hot", _CATEGORICAL + """
