@@ -298,14 +298,15 @@ _FOLD_MODEL = "fold long, candidate int, coef array<double>, intercept double, y
 def cross_validate(df: DataFrame, s: Series, target: str, cols: Sequence[str], candidates: Sequence[Mapping[str, Any]],
                    scheme: str = "equal", k: int = 5, mode: str = EXPANDING, max_train: int | None = None,
                    window: int | None = None, step: int | None = None, horizons: Sequence[int] | None = None,
-                   metric: str = "mse", scaled: bool = False, shift: Sequence[float] | None = None) -> DataFrame:
+                   metric: str = "mse", scaled: bool = False, shift: Sequence[float] | None = None,
+                   target_units: bool = False) -> DataFrame:
     """Score of every candidate on every fold: keys, candidate, fold, score.
 
     Schemes: `equal` (k equal test blocks), `kfold` (contiguous blocks, train is
     the rest) and `rolling` (moving origin). With `scaled`, predictors and
     target are min-max scaled on the fold's train rows and the score is taken
-    in scaled units. `shift` are numbers near the column means (`centre`); they
-    only keep the arithmetic accurate.
+    in scaled units, or with `target_units` in those of the target. `shift` are
+    numbers near the column means (`centre`); they only keep the arithmetic accurate.
     """
     names = [*cols, target]
     rows = complete_rows(df, names)
@@ -318,10 +319,10 @@ def cross_validate(df: DataFrame, s: Series, target: str, cols: Sequence[str], c
         shift = [float(v / total[0]) for v in total[1:]] if total[0] else [0.0] * len(names)
     lengths = measured.select(*s.keys, "n")
     if scheme == "rolling":
-        return _rolling(rows, s, lengths, names, shift, candidates, window, step, horizons, mode, metric, scaled, k)
+        return _rolling(rows, s, lengths, names, shift, candidates, window, step, horizons, mode, metric, scaled, k, target_units)
     if scheme not in ("equal", "kfold"):
         raise ValueError(f"unknown scheme {scheme!r}")
-    return _blocks(rows, s, lengths, names, shift, candidates, scheme, k, mode, max_train, metric, scaled)
+    return _blocks(rows, s, lengths, names, shift, candidates, scheme, k, mode, max_train, metric, scaled, target_units)
 
 
 def cv_score(scores: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -329,7 +330,7 @@ def cv_score(scores: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return scores.groupBy(*keys, "candidate").agg(F.avg("score").alias("cv_score"), F.count("score").alias("folds"))
 
 
-def _blocks(rows, s, lengths, names, shift, candidates, scheme, k, mode, max_train, metric, scaled):
+def _blocks(rows, s, lengths, names, shift, candidates, scheme, k, mode, max_train, metric, scaled, target_units):
     keys = list(s.keys)
     if scheme == "equal":
         if mode == SLIDING and max_train is None:
@@ -389,7 +390,7 @@ def _blocks(rows, s, lengths, names, shift, candidates, scheme, k, mode, max_tra
             out = []
             for r in pdf.itertuples(index=False):
                 for fold, train, test in per_fold(r):
-                    err = test.squared_errors(*train.solve(candidates)) / test.n / train.unit[-1] ** 2
+                    err = test.squared_errors(*train.solve(candidates)) / test.n / _y_scale(train, target_units)[1] ** 2
                     out += [(*r[:nk], j, fold, float(v)) for j, v in enumerate(err)]
             yield pd.DataFrame(out, columns=[*keys, "candidate", "fold", "score"])
 
@@ -402,7 +403,7 @@ def _blocks(rows, s, lengths, names, shift, candidates, scheme, k, mode, max_tra
             for r in pdf.itertuples(index=False):
                 for fold, train, _ in per_fold(r):
                     w, b = train.solve(candidates)
-                    out += [(*r[:nk], fold, j, w[j], float(b[j]), float(train.lo[-1]), float(train.unit[-1])) for j in range(len(w))]
+                    out += [(*r[:nk], fold, j, w[j], float(b[j]), *_y_scale(train, target_units)) for j in range(len(w))]
             yield pd.DataFrame(out, columns=[*keys, "fold", "candidate", "coef", "intercept", "y_lo", "y_unit"])
 
     models = packed.mapInPandas(fit, f"{_key_schema(rows, keys)}{_FOLD_MODEL}")
@@ -412,6 +413,11 @@ def _blocks(rows, s, lengths, names, shift, candidates, scheme, k, mode, max_tra
     return _score_rows(tests, models, [*keys, "fold"], keys, names, metric)
 
 
+def _y_scale(train: Moments, target_units: bool) -> tuple[float, float]:
+    """Offset and unit in which errors are scored."""
+    return (0.0, 1.0) if target_units else (float(train.lo[-1]), float(train.unit[-1]))
+
+
 def _score_rows(tests: DataFrame, models: DataFrame, on: Sequence[str], keys: Sequence[str], names: Sequence[str], metric: str) -> DataFrame:
     """Score fold models on their test rows; all candidates of a fold ride along."""
     cand = F.struct("candidate", "coef", "intercept", "y_lo", "y_unit")
@@ -426,7 +432,7 @@ def _score_rows(tests: DataFrame, models: DataFrame, on: Sequence[str], keys: Se
         *keys, "candidate", "fold", "score")
 
 
-def _rolling(rows, s, lengths, names, shift, candidates, window, step, horizons, mode, metric, scaled, k):
+def _rolling(rows, s, lengths, names, shift, candidates, window, step, horizons, mode, metric, scaled, k, target_units):
     """Rolling-origin folds from running totals; never rows times folds."""
     keys, p = list(s.keys), len(names)
     if window is None or step is None or horizons is None:
@@ -464,7 +470,7 @@ def _rolling(rows, s, lengths, names, shift, candidates, window, step, horizons,
             for r in pdf.itertuples(index=False):
                 train = Moments(np.array(r.tm_m), at, np.array(r.tm_lo), np.array(r.tm_hi))
                 w, b = train.solve(candidates)
-                out += [(*r[:nk], r.fold, r[nk + 1], j, w[j], float(b[j]), float(train.lo[-1]), float(train.unit[-1])) for j in range(len(w))]
+                out += [(*r[:nk], r.fold, r[nk + 1], j, w[j], float(b[j]), *_y_scale(train, target_units)) for j in range(len(w))]
             yield pd.DataFrame(out, columns=[*keys, "fold", "cut_row", "candidate", "coef", "intercept", "y_lo", "y_unit"])
 
     schema = f"{_key_schema(rows, keys)}fold long, cut_row long, candidate int, coef array<double>, intercept double, y_lo double, y_unit double"

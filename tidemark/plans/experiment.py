@@ -161,7 +161,8 @@ def run_linear(e: Experiment, table: DataFrame, s: Series, names: Sequence[str],
     options = [linear.candidate(m, **c) for m, c in tried]
     shift = linear.centre(train, [*cols, e.target])
     scores = linear.cross_validate(train, s, e.target, cols, options, e.cv_scheme, e.cv_folds, e.cv_mode, None, e.cv_window,
-                                   e.cv_step, e.horizons, e.metric, scaled=scaler == "minmax", shift=shift)
+                                   e.cv_step, e.horizons, e.metric, scaled=scaler == "minmax", shift=shift,
+                                   target_units=True)  # one unit, whatever the scaler
     # One row per candidate.
     cv = {r["candidate"]: r["cv_score"] for r in linear.cv_score(scores).collect()}
     best = {}
