@@ -58,7 +58,7 @@ class Sender:
         before = sum(len(i) for i, _ in self.docs)
         self.docs.append((ids, owns))
         self.entries.append((doc + before, (key % np.uint64(self.n)).astype(np.int64), values, ragged))
-        self.size += len(doc)
+        self.size += len(doc) + (int(values[-1].sum()) // 16 if ragged is not None else 0)
         if self.size >= GATHER:
             yield from self.flush()
 
