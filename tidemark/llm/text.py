@@ -117,7 +117,7 @@ class Remembered:
     `limit` words: a word met again moves to the young one, the rest go with
     the old one. Values are binary; `make` gives those of unknown words."""
 
-    def __init__(self, make: Callable[[list[bytes]], list[bytes]], limit: int = 100_000):
+    def __init__(self, make: Callable[[list[bytes]], list[bytes]], limit: int = 250_000):
         self.make, self.limit = make, limit
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
