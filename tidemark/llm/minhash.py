@@ -12,9 +12,9 @@ Each posting list first proposes its leader to every member (one row per
 posting); the leaders that win enough collisions are confirmed, and classes so
 linked are one component. A posting list inside one component then says nothing
 more, and a class with fewer than `threshold` postings left can have no further
-link: both drop out. What is left is done in full. Classes with one leader are
-compared in blocks, component by component, giving links only; large groups try
-a few more leaders before. Classes of different leaders meet in the rarest
+link: both drop out. What is left is done in full. Classes that leaders tie
+together, confirmed or not, are compared in blocks, giving links only; large
+groups try a few more leaders before. Classes of different groups meet in the rarest
 postings of each (any two with `threshold` collisions meet in these), skipping
 the long lists, whose collisions are then counted on the signatures. So no link
 is lost, but those whose collisions fall under the threshold by chance: for
@@ -142,12 +142,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     posts = _posted(classes)
     lists = posts.groupBy("post").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).filter("lead < last")
     met = posts.join(written(lists.drop("last"), "lists"), "post").groupBy("rep", "lead").agg(F.count("*").alias("n"))
-    wins = F.collect_list(F.when((F.col("n") >= threshold) & (F.col("lead") < F.col("rep")), F.struct("n", "lead")))
+    wins = F.collect_list(F.when((F.col("n") >= threshold) & (F.col("lead") < F.col("rep")), F.col("lead")))
     found = met.groupBy("rep").agg(F.sum("n").alias("n"), wins.alias("leads")).filter(F.col("n") >= threshold)
-    home = F.coalesce(F.array_max("leads")["lead"], F.col("rep")).alias("home")
-    live = written(classes.join(found.select("rep", home, F.col("leads.lead").alias("leads")), "rep"), "live")
+    live = written(classes.join(found.select("rep", "leads"), "rep"), "live")
+    # Classes that leaders tie together, confirmed or not, are one group.
+    led = live.select(F.explode("leads").alias("a"), F.col("rep").alias("b"))
+    groups = components(led).withColumnsRenamed({"node": "rep", "comp": "home"})
+    live = live.join(groups, "rep", "left").withColumn("home", F.coalesce("home", "rep"))
     sets = full_sets(d, live.select("rep", "key"), size)
-    edges = _confirmed(live.select(F.explode("leads").alias("a"), F.col("rep").alias("b")), sets, percent)
+    edges = _confirmed(led, sets, percent)
     labels = components(edges)
     live = _open(live.select("rep", "n_shingles", "sig", "home"), labels, threshold)
     if not live.isEmpty():
@@ -244,7 +247,7 @@ def _in_blocks(live: DataFrame, sets: DataFrame, percent: int, block: int) -> Da
 
 
 def _apart(live: DataFrame, threshold: int) -> DataFrame:
-    """Pairs of open classes of different leaders with enough collisions, by their rarest postings."""
+    """Pairs of open classes of different groups with enough collisions, by their rarest postings."""
     posts = _posted(live, "comp", "home")
     lists = posts.groupBy("post").agg(F.count("*").alias("n"), F.min("home").alias("low"), F.max("home").alias("high")).filter("low < high")
     mine = posts.join(written(lists.select("post", "n"), "lists"), "post")
