@@ -7,7 +7,7 @@ import verify
 
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
-SLOW = {"p8_pipeline_search", "k13_search_on_cv_score"}
+SLOW = {"p8_pipeline_search", "k13_search_on_cv_score", "pipeline"}  # each has a test of its own
 
 
 @pytest.fixture(scope="module")
