@@ -297,6 +297,14 @@ def test_pages(spark):
     assert html.extract(d.limit(0)).count() == 0
 
 
+def test_dropped_asides_cut_no_page_in_two():
+    long = "Long text follows here and there. " * 9
+    for aside in ("<div class='ad'>buy</div>", "<aside>share</aside>", "<nav>menu</nav>" * 4):
+        page = f"<body><nav>n</nav><div><h1>Head</h1><p>Lead.</p>{aside}<p>{long}</p>{aside}<p>End.</p></div><footer>f</footer></body>"
+        assert html.main_text(page) == f"Head Lead. {long}End."
+        assert html.main_text(page.replace("Long text", "b")) == f"Head Lead. {long}End.".replace("Long text", "b")
+
+
 def test_line_weights_surge_and_dive():
     assert html.stretches([0, 0, 5, 0, 7, 0, 0, 0, 3, 0]) == [(2, 5), (8, 9)]
     assert html.stretches([]) == [] and html.stretches([0, 0]) == []
