@@ -305,6 +305,20 @@ def test_dropped_asides_cut_no_page_in_two():
         assert html.main_text(page.replace("Long text", "b")) == f"Head Lead. {long}End.".replace("Long text", "b")
 
 
+def test_links_inside_the_text_stay():
+    menu = "<div><a href=a>Menu</a> | <a href=b>More &amp; more</a></div>"
+    for inner, want in [
+        ("<p>By <a>\n Jane Doe\n </a> today</p>", "By Jane Doe today"),
+        ("<p>A&nbsp;<a>&quot;&eacute;&eacute;&quot;</a></p>", 'A "éé"'),
+        ("<h1><a href=x>Title</a></h1><p>Text.</p>", "Title Text."),
+        ("<h1><a href=x>Title</a></h1><p><a>Jane Doe</a></p><p>Text.</p>", "Title Jane Doe Text."),
+        ("<h2><a href=x>Title</a></h2><p>Text.</p>", "Title Text."),
+        ("<p>Text.</p><ul><li><a>one</a><li><a>two</a> <a>three</a></ul><p>End.</p>", "Text. one two three End."),
+        ("<p><a>only</a></p>", ""),
+    ]:
+        assert html.main_text(f"<body>{menu}<div>{inner}</div>{menu}</body>") == want
+
+
 def test_line_weights_surge_and_dive():
     assert html.stretches([0, 0, 5, 0, 7, 0, 0, 0, 3, 0]) == [(2, 5), (8, 9)]
     assert html.stretches([]) == [] and html.stretches([0, 0]) == []
