@@ -319,6 +319,25 @@ def test_links_inside_the_text_stay():
         assert html.main_text(f"<body>{menu}<div>{inner}</div>{menu}</body>") == want
 
 
+def test_names_put_aside_what_they_mean():
+    long = ("Long text follows here and there. " * 30).strip()
+    for name in ("content has-sidebar", "layout-no-sidebar", "with-comments", "post-header", "entry-header", "sidebar-right", "wrapper widget"):
+        assert html.main_text(f"<body><div class='{name}'><h1>Head</h1><p>{long}</p><div class=ad>buy</div></div></body>") == f"Head {long}"
+        assert html.main_text(f"<body><article><div class='{name}'><h1>Head</h1><p>{long}</p></div></article></body>") == f"Head {long}"
+    for name in ("post-header", "entry-header"):
+        assert html.main_text(f"<article><div class='{name}'><h1>Head</h1></div><p>{long}</p></article>") == f"Head {long}"
+    for name in ("sidebar", "ad-slot", "main-nav", "cookie-notice", "comments-area", "site_footer", "ad2"):
+        assert html.main_text(f"<div><p>{long}</p><div class='{name}'>{long[:300]}</div></div>") == long
+    assert html.main_text(f"<div><p>Short.</p></div><div class=comments>{long * 9}</div>") == "Short."
+
+
+def test_teaser_articles_hide_no_longer_text():
+    long = ("Long text follows here and there. " * 9).strip()
+    page = f"<div><h1>Head</h1><p>{long}</p></div><div><article><h3><a href=x>Other</a></h3></article><article><p>A card.</p></article></div>"
+    assert html.main_text(page) == f"Head {long} Other A card."
+    assert html.main_text(f"<div>By the way</div><article><p>{long}</p></article>") == long
+
+
 def test_line_weights_surge_and_dive():
     assert html.stretches([0, 0, 5, 0, 7, 0, 0, 0, 3, 0]) == [(2, 5), (8, 9)]
     assert html.stretches([]) == [] and html.stretches([0, 0]) == []
