@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tests.llm.data import SCHEMA, components, distinct, frame, lower, sha, texts, words
-from tidemark.llm import bwt, embeddings, lines, minhash, substring
+from tidemark.llm import bwt, embeddings, exchange, lines, minhash, substring
 from tidemark.llm.suffix import search, suffix_order
 from tidemark.session import ship_package
 
@@ -214,3 +214,51 @@ def test_long_texts_sort_without_packing(monkeypatch):
 def test_hot_line_join_can_be_split(docs):
     plan = lines.dedup_lines(docs)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_a_passage_of_many_texts_is_combined_before_it_is_sent():
+    """Entries of one bucket that a task sends for one key or stretch, from 500 texts that hold it."""
+    m = 500
+    ids, owns, doc, key = np.arange(m), np.arange(m) * 7919 % 503, np.arange(m), np.full(m, 5, np.uint64)
+    one, at = np.full(m, 5, np.uint32), np.arange(m, dtype=np.int32)
+    page = np.frombuffer(b"x" * 60 * m, np.uint8)
+    for combine, values, ragged in [
+        (bwt._combine_anchors, [one], None),
+        (bwt._combine_stretches(50), [one, at, np.full(m, 60, np.int32)], (page, np.arange(m) * 60)),
+        (substring._combine_probes, [one], None),
+        (substring._combine_windows, [key, one, at], None),
+    ]:
+        sender = exchange.Sender(4, combine)
+        batches = [*sender.add(ids, owns, doc, key, *values, ragged=ragged), *sender.flush()]
+        rows = [r for b in batches for r in b.to_pylist()]
+        sent = sum(int(np.frombuffer(r["counts"], np.int32).sum()) for r in rows if r["bucket"] >= 0)
+        told = sum(len(r["ids"]) // 8 for r in rows if r["bucket"] < 0)
+        assert sent <= 4 and sent + told >= m
+
+
+def test_a_passage_of_many_texts(spark):
+    """In several tasks, with copies, and against plain Python."""
+    ship_package(spark)
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    footer = " ".join(word() for _ in range(60))
+    rows = [(i, " ".join(word() for _ in range(int(rng.integers(1, 30)))) + " " + " ".join(footer.split()[i % 5:]) + " " + word()) for i in range(150)]
+    rows += [(1000 - i, rows[i][1]) for i in range(0, 40, 3)]
+    docs = frame(spark, rows).repartition(7).cache()
+    first, gone = {}, {}
+    for i, t in sorted(rows):
+        w = t.split()
+        for k in range(len(w) - 19):
+            first.setdefault(tuple(w[k: k + 20]), (i, k))
+    for i, t in rows:
+        w = t.split()
+        gone[i] = {p for k in range(len(w) - 19) if first[tuple(w[k: k + 20])] != (i, k) for p in range(k, k + 20)}
+    got = {r["row"]["doc_id"]: r["n_removed"] for r in substring.dedup_substrings(docs, keep=["doc_id"]).collect()}
+    assert got == {i: len(g) for i, g in gone.items()}
+    least: dict[bytes, int] = {}
+    for i, t in sorted(rows):
+        for k in range(len(t) - 49):
+            least.setdefault(t[k: k + 50], i)
+    want = {i: len({p for k in range(len(t) - 49) if least[t[k: k + 50]] < i for p in range(k, k + 50)}) for i, t in rows}
+    got = {r["row"]["doc_id"]: r["n_removed"] for r in bwt.dedup_bytes(docs, keep=["doc_id"]).collect()}
+    assert got == want

@@ -13,7 +13,8 @@ equal windows; the smallest document of a class keeps them, the others mark
 them. Long repeats cost one sample per run, however often they occur.
 
 Later copies of a whole text are found by its hash before anything is indexed,
-and stretches with equal bytes are indexed once.
+and stretches with equal bytes are indexed once. A task that gathers a passage
+from many documents sends the few entries that decide for other tasks.
 """
 
 from __future__ import annotations
@@ -69,12 +70,60 @@ def _bytes(s: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8), offsets
 
 
+def _combine_anchors(ids, owns, doc, bucket, values, raw) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of an anchor that several texts hold, those of the outermost ids and texts are sent, the others are shared for sure."""
+    sent = ex.first_copies(ids, owns)[doc]
+    entry = np.flatnonzero(sent)
+    i, o = ids[doc[entry]], owns[doc[entry]]
+    key = bucket[entry].astype(np.uint64) << np.uint64(32) | values[0][entry]
+    at, edge = ex.repeated(key, i, o)
+    if not len(at):
+        return sent, doc[:0], key[:0]
+    # Once for each document.
+    again = np.zeros(len(at), bool)
+    again[1:] = (key[at[1:]] == key[at[:-1]]) & (o[at[1:]] == o[at[:-1]])
+    sent[entry[at[again]]] = False
+    at = at[~again]
+    edge = np.flatnonzero(np.concatenate([[True], key[at[1:]] != key[at[:-1]]]))
+    size = np.diff(np.append(edge, len(at)))
+    least, most = np.minimum.reduceat(i[at], edge), np.maximum.reduceat(i[at], edge)
+    outer = (i[at] == np.repeat(least, size)) | (i[at] == np.repeat(most, size))
+    outer[edge] = outer[edge + size - 1] = True
+    inner = ~outer & np.repeat(least != most, size)
+    sent[entry[at[inner]]] = False
+    at = at[inner]
+    at = at[np.argsort(doc[entry[at]], kind="stable")]
+    return sent, doc[entry[at]], key[at]
+
+
+def _combine_stretches(size: int):
+    def combine(ids, owns, doc, bucket, values, raw) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of equal stretches those of the smallest id are sent; the others are repeats from end to end."""
+        key, at, length = values
+        starts, data = raw
+        sent = np.ones(len(doc), bool)
+        again, _ = ex.repeated(tx.mixed(bucket.astype(np.uint64) << np.uint64(32) | key) ^ length.astype(np.uint64))
+        if not len(again):
+            return sent, doc[:0], np.zeros((0, 2), np.int32)
+        number: dict[bytes, int] = {}
+        which = np.fromiter((number.setdefault(data[a: a + m].tobytes(), len(number)) for a, m in zip(starts[again].tolist(), length[again].tolist())),
+                            np.int64, len(again))
+        least = np.full(len(number), np.iinfo(np.int64).max)
+        np.minimum.at(least, which, ids[doc[again]])
+        gone = np.sort(again[ids[doc[again]] > least[which]])
+        sent[gone] = False
+        gone = gone[np.argsort(doc[gone], kind="stable")]
+        return sent, doc[gone], np.column_stack([at[gone], at[gone] + length[gone] - size + 1]).astype(np.int32)
+
+    return combine
+
+
 def _shared(ids, owns, doc, values, data, bucket) -> tuple[np.ndarray, np.ndarray]:
-    """Anchors that documents of different ids hold."""
+    """Anchors that different texts of different ids hold."""
     order = np.argsort(values[0], kind="stable")
-    key, of = values[0][order], ids[doc[order]]
+    key, of, text = values[0][order], ids[doc[order]], owns[doc[order]]
     edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    several = np.minimum.reduceat(of, edge) != np.maximum.reduceat(of, edge)
+    several = (np.minimum.reduceat(of, edge) != np.maximum.reduceat(of, edge)) & (np.minimum.reduceat(text, edge) != np.maximum.reduceat(text, edge))
     hit = np.zeros(len(order), bool)
     hit[order] = np.repeat(several, np.diff(np.append(edge, len(key))))
     return doc[hit], values[0][hit].astype(np.uint64) | np.uint64(bucket << 32)
@@ -173,7 +222,7 @@ def find_repeats(d: DataFrame, first: DataFrame, size: int) -> DataFrame:
         if len(doc):
             yield from sender.add(*ex.ids(s), doc, h, (h >> np.uint64(32)).astype(np.uint32))
 
-    shared = ex.deal(texts, send, _shared, n, [np.uint32])
+    shared = ex.deal(texts, send, _combine_anchors, _shared, n, [np.uint32], copies=True)
 
     found = written(shared.join(first.select("id", "own"), ["id", "own"], "left_semi"), "anchors")
 
@@ -188,7 +237,7 @@ def find_repeats(d: DataFrame, first: DataFrame, size: int) -> DataFrame:
             yield from sender.add(*ex.ids(s), doc, h, (h >> np.uint64(32)).astype(np.uint32), (a - starts[doc]).astype(np.int32),
                                   length, ragged=(data, a))
 
-    return ex.deal(texts.join(found, ["id", "own"]), stretch, _index(size), n,
+    return ex.deal(texts.join(found, ["id", "own"]), stretch, _combine_stretches(size), _index(size), n,
                    [np.uint32, np.int32, np.int32], ragged=True)
 
 

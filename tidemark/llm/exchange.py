@@ -5,6 +5,10 @@ task packs the keys of several megabytes of text by bucket into binary columns;
 a bucket sees all equal keys together, as sorted arrays, and answers per
 document.
 
+What many documents share is combined before it is sent: of the entries a task
+has gathered with one key, a few stand for all, the task answers the others
+itself, and a bucket gets a few entries a task for a key, however many hold it.
+
 Documents are named by `id` and `own`, a hash of the text, so that rows which
 repeat an id do not mix. Of the copies of a text in a slice only the one with
 the smallest id is sent, and a bucket keeps the smallest of what it got, so a
@@ -44,11 +48,53 @@ def buckets(d: DataFrame) -> int:
     return 2 * parts(d.sparkSession, text_bytes(d, "text"), BUCKET_BYTES)
 
 
+def first_copies(ids: np.ndarray, owns: np.ndarray) -> np.ndarray:
+    """Which documents have the smallest id of their text, each of them once."""
+    order = np.lexsort((ids, owns))
+    first = np.zeros(len(ids), bool)
+    first[order[np.flatnonzero(np.concatenate([[True], owns[order][1:] != owns[order][:-1]]))]] = True
+    return first
+
+
+def repeated(key: np.ndarray, *order_by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries whose key occurs again, sorted by key and what follows (last first), and where each key starts."""
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    same = k[1:] == k[:-1]
+    at = np.sort(order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]) if len(key) else order
+    at = at[np.lexsort((*(v[at] for v in order_by), key[at]))]
+    k = key[at]
+    return at, np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(at) else at
+
+
+def packed(ids: np.ndarray, owns: np.ndarray, of: np.ndarray, answers: np.ndarray, n: int) -> list[list]:
+    """dest, ids, owns, sizes, answers: answers of documents, packed by where the documents go; `of` is in order."""
+    edges = np.flatnonzero(np.diff(of, prepend=-1, append=-1)) if len(of) else np.zeros(1, np.int64)
+    at, size = of[edges[:-1]], np.diff(edges)
+    dest = (tx.mixed(ids[at].astype(np.uint64)) % np.uint64(n)).astype(np.int64)
+    order = np.argsort(dest, kind="stable")
+    ends = np.flatnonzero(np.diff(dest[order], prepend=-1, append=-1)) if len(dest) else np.zeros(1, np.int64)
+    take = edges[:-1][order]
+    rows: list[list] = [[], [], [], [], []]
+    for x, y in zip(ends[:-1], ends[1:]):
+        part = order[x:y]
+        picked = np.concatenate([answers[k: k + m] for k, m in zip(take[x:y].tolist(), size[part].tolist())])
+        for column, v in zip(rows, (int(dest[part[0]]), ids[at[part]].tobytes(), owns[at[part]].tobytes(),
+                                    size[part].tobytes(), picked.tobytes())):
+            column.append(v)
+    return rows
+
+
 class Sender:
-    """Gathers entries of documents and packs them by bucket."""
+    """Gathers entries of documents, combines them and packs them by bucket.
 
-    def __init__(self, n: int):
-        self.n, self.docs, self.entries, self.size = n, [], [], 0
+    `combine(ids, owns, doc, bucket, values, raw)` gets all that is gathered
+    (`raw`: starts and bytes of the stretches) and gives which entries are sent,
+    and answers that need no bucket: document of each in order, answers.
+    """
+
+    def __init__(self, n: int, combine: Callable):
+        self.n, self.combine, self.docs, self.entries, self.size = n, combine, [], [], 0
 
     def add(self, ids: np.ndarray, owns: np.ndarray, doc: np.ndarray, key: np.ndarray, *values: np.ndarray,
             ragged: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
@@ -67,15 +113,23 @@ class Sender:
             ids, owns = (np.concatenate(x) for x in zip(*self.docs))
             doc, bucket = (np.concatenate([e[i] for e in self.entries]) for i in (0, 1))
             values = [np.concatenate(x) for x in zip(*[e[2] for e in self.entries])]
-            order = np.argsort(bucket.astype(np.uint16) if self.n < 65536 else bucket, kind="stable")
-            bucket, doc, values = bucket[order], doc[order], [v[order] for v in values]
-            edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
-            data = None
+            data = starts = buffer = None
             if self.entries[0][3] is not None:
-                lengths = values[-1].astype(np.int64)
                 base = np.cumsum([0] + [len(e[3][0]) for e in self.entries])
-                starts = np.concatenate([e[3][1] + b for e, b in zip(self.entries, base)])[order]
+                starts = np.concatenate([e[3][1] + b for e, b in zip(self.entries, base)])
                 buffer = np.concatenate([e[3][0] for e in self.entries])
+            sent, of, said = self.combine(ids, owns, doc, bucket, values, (starts, buffer))
+            told = packed(ids, owns, of, said, self.n)
+            none = [[b""] * len(told[0])] * (len(values) - 1 + (starts is not None))
+            if told[0]:
+                yield pa.RecordBatch.from_arrays([pa.array([-1 - x for x in told[0]], pa.int32()), *[pa.array(c, pa.binary()) for c in told[1:] + none]],
+                                                 ["bucket", "ids", "owns", "counts", *[f"v{i}" for i in range(len(values))], *(["data"] if starts is not None else [])])
+            order = np.flatnonzero(sent)
+            order = order[np.argsort(bucket[order].astype(np.uint16) if self.n < 65536 else bucket[order], kind="stable")]
+            bucket, doc, values = bucket[order], doc[order], [v[order] for v in values]
+            edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)) if len(bucket) else np.zeros(1, np.int64)
+            if starts is not None and len(order):
+                lengths, starts = values[-1].astype(np.int64), starts[order]
                 ends = np.cumsum(lengths)
                 data = buffer[np.arange(ends[-1]) - np.repeat(ends - lengths - starts, lengths)]
                 ends = np.concatenate([[0], ends])
@@ -99,17 +153,19 @@ def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
-def deal(docs: DataFrame, send: Callable, solve: Callable, n: int, kinds: list, ragged: bool = False) -> DataFrame:
+def deal(docs: DataFrame, send: Callable, combine: Callable, solve: Callable, n: int, kinds: list, ragged: bool = False,
+         copies: bool = False) -> DataFrame:
     """id, own, answers (a list of binary) for every document with an answer.
 
-    `send(slice, sender)` yields what `sender.add` yields; `solve(ids, owns, doc,
+    `send(slice, sender)` yields what `sender.add` yields; `combine` is for the
+    sender; with `copies` a bucket gets texts under several ids. `solve(ids, owns, doc,
     values, data, bucket)` gets all entries of a bucket and gives (which entries
     answer, array of answers), or for its own order (doc of each answer, answers).
     """
     schema = "bucket int, ids binary, owns binary, counts binary" + "".join(f", v{i} binary" for i in range(len(kinds)))
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sender = Sender(n)
+        sender = Sender(n, combine)
         for s in tx.slices(batches, "text"):
             id_, own = ids(s)
             order = np.lexsort((id_, own))
@@ -118,37 +174,25 @@ def deal(docs: DataFrame, send: Callable, solve: Callable, n: int, kinds: list,
         yield from sender.flush()
 
     def back(table: pa.Table) -> pa.Table:
+        names = ["dest", "ids", "owns", "sizes", "answers"]
+        if (bucket := table["bucket"][0].as_py()) < 0:  # answers already
+            return pa.table([pa.array([-1 - bucket] * len(table), pa.int32()), *[table[c] for c in ("ids", "owns", "counts", "v0")]], names=names)
         counts = _joined(table["counts"], np.int32)
         ids, owns = _joined(table["ids"], np.int64), _joined(table["owns"], np.int64)
         doc = np.repeat(np.arange(len(ids)), counts)
         values = [_joined(table[f"v{i}"], k) for i, k in enumerate(kinds)]
         data = _joined(table["data"], np.uint8) if ragged else None
-        # Copies of a text send the same entries: those of the smallest id stay.
-        _, text = np.unique(np.column_stack([owns, counts]), axis=0, return_inverse=True)
+        # Of the copies of a text, those of the smallest id stay.
+        _, text = np.unique(owns, return_inverse=True)
         low = np.full(text.max() + 1, np.iinfo(np.int64).max)
         np.minimum.at(low, text, ids)
-        if (ids != low[text]).any():
+        if not copies and (ids != low[text]).any():
             kept = (ids == low[text])[doc]
             if ragged:
                 data = data[np.repeat(kept, values[-1])]
             doc, values = doc[kept], [v[kept] for v in values]
-        of, answers = solve(ids, owns, doc, values, data, table["bucket"][0].as_py())
-        edges = np.flatnonzero(np.diff(of, prepend=-1, append=-1)) if len(of) else np.zeros(1, np.int64)
-        at, size = of[edges[:-1]], np.diff(edges)
-        # Packed again by where the documents go, not a row for each.
-        dest = (tx.mixed(ids[at].astype(np.uint64)) % np.uint64(n)).astype(np.int64)
-        order = np.argsort(dest, kind="stable")
-        ends = np.flatnonzero(np.diff(dest[order], prepend=-1, append=-1))
-        take = edges[:-1][order]
-        rows: list[list] = [[], [], [], [], []]
-        for x, y in zip(ends[:-1], ends[1:]):
-            part = order[x:y]
-            picked = np.concatenate([answers[k: k + m] for k, m in zip(take[x:y].tolist(), size[part].tolist())])
-            for column, v in zip(rows, (int(dest[part[0]]), ids[at[part]].tobytes(), owns[at[part]].tobytes(),
-                                        size[part].tobytes(), picked.tobytes())):
-                column.append(v)
-        return pa.table([pa.array(rows[0], pa.int32()), *[pa.array(r, pa.binary()) for r in rows[1:]]],
-                        names=["dest", "ids", "owns", "sizes", "answers"])
+        rows = packed(ids, owns, *solve(ids, owns, doc, values, data, bucket), n)
+        return pa.table([pa.array(rows[0], pa.int32()), *[pa.array(r, pa.binary()) for r in rows[1:]]], names=names)
 
     def merge(table: pa.Table) -> pa.Table:
         by: dict[tuple[int, int], list[bytes]] = {}

@@ -41,6 +41,40 @@ def _probes(h: np.ndarray, starts: np.ndarray, block: int) -> tuple[np.ndarray,
     return w[ok], ok
 
 
+def _combine_probes(ids, owns, doc, bucket, values, raw) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Probes that meet each other here are hits; of their blocks, the first two are sent."""
+    sent = ex.first_copies(ids, owns)[doc]
+    entry = np.flatnonzero(sent)
+    key = bucket[entry].astype(np.uint64) << np.uint64(32) | (values[0][entry] & np.uint32(LOW)).astype(np.uint64)
+    at, edge = ex.repeated(key, owns[doc[entry]], ids[doc[entry]])
+    if not len(at):
+        return sent, doc[:0], key[:0]
+    block = (values[0][entry[at]] & 1).astype(np.int64)
+    before = np.cumsum(block) - block
+    before -= np.repeat(before[edge], np.diff(np.append(edge, len(at))))
+    sent[entry[at[(block == 0) | (before > 1)]]] = False
+    at = at[np.argsort(doc[entry[at]], kind="stable")]
+    return sent, doc[entry[at]], key[at]
+
+
+def _combine_windows(ids, owns, doc, bucket, values, raw) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of equal windows the first is sent; the others are repeated."""
+    h1, h2, at = values
+    sent = np.ones(len(doc), bool)
+    key = h1 ^ tx.mixed(h2.astype(np.uint64))
+    e, _ = ex.repeated(key)
+    e = e[np.lexsort((at[e], ids[doc[e]], h2[e], h1[e]))]
+    if not len(e):
+        return sent, doc[:0], at[:0]
+    new = np.ones(len(e), bool)
+    new[1:] = (h1[e[1:]] != h1[e[:-1]]) | (h2[e[1:]] != h2[e[:-1]])
+    first = e[np.maximum.accumulate(np.where(new, np.arange(len(e)), 0))]
+    later = e[(ids[doc[e]] != ids[doc[first]]) | (at[e] != at[first])]
+    sent[later] = False
+    later = later[np.argsort(doc[later], kind="stable")]
+    return sent, doc[later], at[later]
+
+
 def _hits(ids, owns, doc, values, data, bucket) -> tuple[np.ndarray, np.ndarray]:
     """Probes that meet a block at another place."""
     key = values[0] & np.uint32(LOW)
@@ -76,7 +110,7 @@ def find_repeats(d: DataFrame, first: DataFrame, size: int) -> DataFrame:
         aligned = (place[at] % block == 0).astype(np.uint64)
         yield from sender.add(*ex.ids(s), doc[at], w, ((w >> np.uint64(32)) & LOW | aligned).astype(np.uint32))
 
-    hits = ex.deal(texts, probe, _hits, n, [np.uint32])
+    hits = ex.deal(texts, probe, _combine_probes, _hits, n, [np.uint32])
 
     found = written(hits.join(first.select("id", "own"), ["id", "own"], "left_semi"), "hits")
 
@@ -94,7 +128,7 @@ def find_repeats(d: DataFrame, first: DataFrame, size: int) -> DataFrame:
             yield from sender.add(*ex.ids(s), doc[begin], h1[begin], h1[begin], (h2[begin] >> np.uint64(32)).astype(np.uint32),
                                   place[begin].astype(np.int32))
 
-    return ex.deal(texts.join(found, ["id", "own"]), extend, _repeats, n, [np.uint64, np.uint32, np.int32])
+    return ex.deal(texts.join(found, ["id", "own"]), extend, _combine_windows, _repeats, n, [np.uint64, np.uint32, np.int32])
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 20,
