@@ -5,6 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+
 from tidemark.operators import ordered as o
 from tidemark.operators import prepare
 from tidemark.series import Series, require_unique
@@ -165,3 +167,11 @@ def test_backward_fill_takes_one_pass(spark):
     got = o.fill(d, Series.of(["k"], "ts"), ["v"], "bfill")
     assert got.filter("v = 5").count() == 300_001
     assert "UNBOUNDED FOLLOWING" not in got._jdf.queryExecution().optimizedPlan().toString().upper().replace("UNBOUNDEDFOLLOWING", "UNBOUNDED FOLLOWING")
+
+
+@pytest.mark.parametrize("name", ["i1_gap_fill_timeless_rows_all", "i1_gap_fill_timeless_rows_all_sliced"])
+def test_timeless_rows_of_every_customer(spark, name):
+    sf = "/root/testdata/sf0.001"
+    got = {r[0] for r in entry.queries()[name](spark, sf).select("k").distinct().collect()}
+    want = {r[0] for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey").distinct().collect()}
+    assert got == want and len({k % 3 for k in want}) == 3

@@ -162,8 +162,11 @@ SELECT k, CAST(d AS VARCHAR) AS d, n FROM e UNION ALL
 SELECT k, CAST(d AS VARCHAR), 0 FROM g WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.k = g.k AND e.d = g.d)"""
 
 
-def _timeless(spark, sf, slice_micros):
-    p = table(spark, sf, "orders").filter("o_custkey % 3 = 0")
+_TIMELESS_ALL = _TIMELESS.replace(" WHERE o_custkey % 3 = 0 GROUP", " GROUP")
+
+
+def _timeless(spark, sf, slice_micros, customers="o_custkey % 3 = 0"):
+    p = table(spark, sf, "orders").filter(customers)
     first = F.col("o_orderkey") == F.min("o_orderkey").over(Window.partitionBy("o_custkey"))
     d = F.when(~((F.col("o_orderkey") % 5 == 0) & first), F.col("o_orderdate").cast("date"))
     e = p.select(F.col("o_custkey").alias("k"), d.alias("d")).groupBy("k", "d").agg(F.count(F.lit(1)).alias("n"))
@@ -181,6 +184,17 @@ def i1s(spark, sf):
     return _timeless(spark, sf, 100 * 86_400_000_000)
 
 
+@query("i1_gap_fill_timeless_rows_all", _TIMELESS_ALL)
+def i1ta(spark, sf):
+    """Over all orders."""
+    return _timeless(spark, sf, None, "true")
+
+
+@query("i1_gap_fill_timeless_rows_all_sliced", _TIMELESS_ALL)
+def i1sa(spark, sf):
+    return _timeless(spark, sf, 100 * 86_400_000_000, "true")
+
+
 @query("i2_split", ctes("daily_orders") + """
 SELECT CAST(d AS VARCHAR) AS d, n, CASE WHEN d < DATE '1999-01-01' THEN 'train' WHEN d < DATE '2000-06-01' THEN 'val' ELSE 'test' END AS split FROM daily_orders""")
 def i2(spark, sf):
