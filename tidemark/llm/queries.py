@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bwt, decontam, embeddings, html, langid, lines, minhash, packing, secrets, substring
+from tidemark.llm import (bwt, contentsort, covertree, decontam, embeddings, html, langid, lines, minhash, packing, prefixtrie,
+                          secrets, substring)
 
 QUERIES, ORACLES = {}, {}
 
@@ -80,3 +81,18 @@ def op9_decontamination(spark, sf_dir):
 @_query()
 def op10_html_extraction(spark, sf_dir):
     return html.digest(html.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"]))
+
+
+@_query(covertree.DIGEST_SQL)
+def op11_vector_codes(spark, sf_dir):
+    return covertree.digest(*covertree.compress(table(spark, sf_dir, "embeddings"), keep=["vec_id"]))
+
+
+@_query(contentsort.DIGEST_SQL)
+def op12_exact_dedup(spark, sf_dir):
+    return contentsort.digest(contentsort.dedup_exact(table(spark, sf_dir, "documents"), keep=["doc_id"]))
+
+
+@_query(prefixtrie.DIGEST_SQL)
+def op13_prefix_trie(spark, sf_dir):
+    return prefixtrie.prefix_trie(table(spark, sf_dir, "conversations"))
