@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import arima, folds as fo, linear as ln, metrics as mt, models as md, search as se
+from tidemark.operators import arima, folds as fo, linear as ln, metrics as mt, models as md, search as se, statespace as ss
 from tidemark.series import Series
 
 DAY = Series.of(["k"], "d")
@@ -189,7 +189,7 @@ def test_arimax_forecast_equals_recursion_in_blocks(spark, monkeypatch):
         u.append(sum(a * u[-1 - k] for k, a in enumerate(r.ar)))
     want = np.array(u[train.count():]) + r["mean"] + r.beta[0] * got.x
     np.testing.assert_allclose(got.predicted, want, atol=1e-9)
-    fitted = arima.fitted_arimax(m, train, DAY, "y", ["x"], 2, 0, 0).filter("predicted IS NOT NULL").toPandas()
+    fitted = arima.fitted_arimax(m, train, DAY, "y", ["x"]).filter("predicted IS NOT NULL").toPandas()
     assert ((fitted.y - fitted.predicted) ** 2).mean() == pytest.approx(1.0, abs=0.1)
 
 
@@ -200,6 +200,75 @@ def test_arimax_in_slices_equals_plain(spark):
     np.testing.assert_allclose([*plain.ar, *plain.ma, *plain.beta, plain.aic], [*sliced.ar, *sliced.ma, *sliced.beta, sliced.aic], rtol=1e-7)
 
 
+def plain_filter(v, ar, d, ma, mean):
+    """One-step expectations and the last state, one step at a time (None is a hole)."""
+    f, c, g, at = ss.transition(ar, d, ma, mean)
+    m, p = ss.before(ar, d, ma, mean, v[0])
+    out = []
+    for x in v:
+        m, p = f @ m + c, f @ p @ f.T + np.outer(g, g)
+        out.append(m[at])
+        if x is not None:
+            gain = p[:, at] / p[at, at]
+            m, p = m + gain * (x - m[at]), p - np.outer(gain, p[at])
+    return np.array(out), m
+
+
+@pytest.mark.parametrize("steps,fan", [(1024, 1024), (7, 3)])
+def test_scan_equals_the_plain_filter_over_holes(spark, monkeypatch, steps, fan):
+    monkeypatch.setattr(ss, "SLICE_STEPS", steps)
+    monkeypatch.setattr(ss, "FAN", fan)
+    rng = np.random.default_rng(5)
+    models = {"a": ([0.6], 0, [], 3.0), "b": ([0.5, -0.2], 1, [0.4], 0.1), "c": ([], 2, [0.3, 0.2], 0.0), None: ([], 0, [], 1.0)}
+    rows, want = [], {}
+    for k, (ar, d, ma, mean) in models.items():
+        v = rng.normal(size=90)
+        for _ in range(d):
+            v = v.cumsum()
+        v = [None if 0 < i < 89 and (rng.random() < 0.3 or 30 <= i < 55) else float(x) for i, x in enumerate(v + mean)]
+        rows += [(k, i + 4, x) for i, x in enumerate(v) if x is not None]
+        want[k] = plain_filter(v, ar, d, ma, mean)
+    model = spark.createDataFrame([(k, len(ar), d, len(ma), ar, ma, mean) for k, (ar, d, ma, mean) in models.items()],
+                                  "k string, p int, d int, q int, ar array<double>, ma array<double>, mean double")
+    scan = ss.Scan(spark.createDataFrame(rows, "k string, g long, v double"), model, ["k"])
+    for r in scan.last_states().collect():
+        np.testing.assert_allclose(r.state, want[r.k][1], atol=1e-5)
+    got = scan.one_step().collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.expected == pytest.approx(want[r.k][0][r.g - 4], abs=1e-5)
+
+
+def test_arimax_origin_survives_dropped_rows(spark):
+    d = spark_frame(spark, pd.DataFrame({"k": "a", "d": pd.date_range("2020-01-01", periods=110), "y": np.arange(110.0)}))
+    d = d.withColumn("g", F.datediff("d", F.lit("2020-01-01").cast("date")))
+    m = arima.fit_arimax(d.filter("g < 100"), DAY, "y", [], 1, 1, 0, step="g")
+    whole = {r.g: r.predicted for r in arima.forecast_arimax(m, d.filter("g >= 100"), DAY, step="g").collect()}
+    part = {r.g: r.predicted for r in arima.forecast_arimax(m, d.filter("g >= 107"), DAY, step="g").collect()}
+    assert part == {g: whole[g] for g in (107, 108, 109)}
+    assert whole[109] == pytest.approx(109, abs=0.2)
+
+
+def test_kpss_is_the_textbook_statistic(spark):
+    rng = np.random.default_rng(3)
+    walk, noise = rng.normal(size=300).cumsum(), rng.normal(size=300)
+
+    def plain(x):
+        e, n = x - x.mean(), len(x)
+        lag = int(3 * np.sqrt(n) / 13)
+        lr = (e @ e + 2 * sum((1 - j / (lag + 1)) * (e[j:] @ e[:-j]) for j in range(1, lag + 1))) / n
+        return (e.cumsum() ** 2).sum() / (n * n * lr)
+
+    pdf = pd.concat([pd.DataFrame({"k": k, "d": pd.date_range("2020-01-01", periods=300), "v": v})
+                     for k, v in (("walk", walk), ("noise", noise), ("flat", np.ones(300)))])
+    d = spark_frame(spark, pdf)
+    for s in (DAY, Series.measure(d, ["k"], "d", rows=70)):
+        got = {r.k: r.kpss for r in arima.kpss(d, s, "v").collect()}
+        assert got["walk"] == pytest.approx(plain(walk)) and got["noise"] == pytest.approx(plain(noise)) and got["flat"] is None
+        order = {r.k: r.d for r in arima.difference_order(d, s, "v", 2).collect()}
+        assert order == {"walk": 1, "noise": 0, "flat": 0}
+
+
 def test_sample_space_ranges_and_determinism(spark):
     space = {**se.SEARCH_SPACES["elasticnet"], **se.SEARCH_SPACES["sarimax"], "lr": ("float", 0.01, 0.3, None)}
     a = se.sample_space(spark, space, 400, seed=1).toPandas()

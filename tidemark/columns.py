@@ -44,10 +44,13 @@ def epoch_micros(df: DataFrame, col: str) -> Column:
     """Microseconds since 1970 as BIGINT, strictly increasing in `col`.
 
     Zone-less timestamps are taken apart by calendar field, so no session
-    time zone (and no daylight-saving jump) can change their order.
+    time zone (and no daylight-saving jump) can change their order. A whole
+    number (a grid step) stands for itself.
     """
     kind = df.schema[col].dataType
     c = F.col(col)
+    if isinstance(kind, T.IntegralType):
+        return c.cast("long")
     day = F.datediff(c, F.lit("1970-01-01").cast("date")).cast("long") * 86_400_000_000
     if isinstance(kind, T.DateType):
         return day
@@ -56,7 +59,7 @@ def epoch_micros(df: DataFrame, col: str) -> Column:
     if isinstance(kind, T.TimestampNTZType):
         second = (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("long")
         return day + (F.hour(c) * 60 + F.minute(c)).cast("long") * 60_000_000 + second
-    raise TypeError(f"{col} must be a date or timestamp, not {kind.simpleString()}")
+    raise TypeError(f"{col} must be a date, a timestamp or a whole number, not {kind.simpleString()}")
 
 
 def join_on(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "inner") -> DataFrame:

@@ -1,11 +1,16 @@
-"""ARIMA with exogenous columns, fitted by least squares in two stages.
-
-The model is a regression with ARIMA errors. Everything is done for all series
-and all differencing orders at once: differences and lags are windows, each
-regression is one aggregate of second moments, and orders are compared on
-sub-blocks of one moment matrix (Hannan and Rissanen 1982). A forecast is a
-power of the transition matrix, so a long horizon is cut into blocks that do
-not wait for each other.
+"""ARIMA with exogenous columns on a grid of time steps.
+
+The model is a regression with ARIMA errors. The differencing order is the
+first at which the KPSS test (Kwiatkowski and others 1992) finds the residuals
+of the regression stationary; the statistic needs running sums only. The other
+orders and the coefficients come from least squares on lags and lagged
+residuals, on sub-blocks of one moment matrix, so all orders of a series are
+compared on the same rows (Hannan and Rissanen 1982). Everything is done for
+all series at once.
+
+Rows carry a grid step. Steps without a complete row are holes: no lag reaches
+over one, and the Kalman filter (`statespace`) only moves its state there. A
+forecast is keyed by its step, so rows that are not asked for change nothing.
 """
 
 from __future__ import annotations
@@ -16,76 +21,163 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.columns import attach, col, join_on
 from tidemark.operators.linear import Moments, _key_schema, candidate, complete_rows, dot, fit_linear, least_squares, moments
-from tidemark.operators.ordered import number_rows, over_neighbours
+from tidemark.operators.ordered import number_rows, over_neighbours, running_totals
+from tidemark.operators.statespace import Scan, difference_weights, transition
 from tidemark.series import Series
+from tidemark.session import written
 
-# Rows one forecast task writes.
+# Steps one forecast task writes.
 FORECAST_BLOCK = 100_000
+# Critical value of the KPSS statistic (level) at 5 %. Fixed value.
+KPSS_LIMIT = 0.463
 # Columns of a model table; keys need other names.
-RESERVED = ("p", "d", "q", "ar", "ma", "aic", "n", "beta", "mean", "far", "tail")
-
-
-def _binomial(d: int) -> list[float]:
-    """Weights of lags 0..d in the d-th difference."""
-    return [(-1.0) ** k * math.comb(d, k) for k in range(d + 1)]
+RESERVED = ("p", "d", "q", "ar", "ma", "aic", "n", "beta", "mean", "last", "state", "kpss")
 
 
-def _differences(df: DataFrame, s: Series, cols: Sequence[str], max_d: int) -> DataFrame:
-    """One copy of the rows per order d = 0..max_d with `d`-times differenced columns."""
+def on_grid(df: DataFrame, s: Series, step: str | None) -> tuple[DataFrame, Series]:
+    """The rows with their grid step as `tm_g`, and the series ordered by it."""
+    d = number_rows(df, s, "tm_g") if step is None else df.withColumn("tm_g", col(step).cast("long"))
+    return d.filter(F.col("tm_g").isNotNull()), Series(s.keys, "tm_g", s.slice_rows if s.sliced else None, s.slice_rows)
 
-    def build(r: DataFrame, w: WindowSpec) -> DataFrame:
-        lagged = {(c, k): (F.lag(col(c), k).over(w) if k else col(c)) for c in cols for k in range(max_d + 1)}
-        r = r.withColumns({f"__{i}_{k}": v.cast("double") for (c, k), v in lagged.items() for i in [cols.index(c)]})
-        orders = [F.struct(F.lit(d).alias("tm_d"), *[
-            sum((F.col(f"__{i}_{k}") * b for k, b in enumerate(_binomial(d))), F.lit(0.0)).alias(f"tm_z{i}")
-            for i in range(len(cols))]) for d in range(max_d + 1)]
-        return r.withColumn("__o", F.explode(F.array(*orders)))
 
-    out = over_neighbours(df.select(*s.keys, s.ts, *[col(c) for c in cols]), s, max(max_d, 1), build)
-    return out.select(*s.keys, s.ts, "__o.tm_d", *[f"__o.tm_z{i}" for i in range(len(cols))])
+def with_holes(rows: DataFrame, g: Series) -> DataFrame:
+    """A row of NULLs for every absent step between two rows of a series."""
+    keep = [c for c in rows.columns if c not in (*g.keys, "tm_g")]
+    d = over_neighbours(rows, g, 1, lambda r, w: r.withColumn("tm_before", F.lag("tm_g").over(w)))
+    d = d.withColumnRenamed("tm_g", "tm_here")
+    d = d.withColumn("tm_g", F.explode(F.sequence(F.coalesce(F.col("tm_before") + 1, "tm_here"), "tm_here")))
+    own = F.col("tm_g") == F.col("tm_here")
+    return d.select(*[col(k) for k in g.keys], "tm_g", *[F.when(own, col(c)).alias(c) for c in keep])
 
 
-def _with_lags(df: DataFrame, s: Series, spec: Mapping[str, int]) -> DataFrame:
-    """Add `{c}_{k}` for k = 1..n of each column in `spec`."""
+def _lags(df: DataFrame, g: Series, spec: Mapping[str, int]) -> DataFrame:
+    """Add `{c}_{k}` for k = 1..n of each column in `spec`; rows are one a step."""
     reach = max([1, *spec.values()])
-    return over_neighbours(df, s, reach, lambda r, w: r.withColumns(
+    return over_neighbours(df, g, reach, lambda r, w: r.withColumns(
         {f"{c}_{k}": F.lag(c, k).over(w) for c, n in spec.items() for k in range(1, n + 1)}))
 
 
+def _difference(c: str, d: int) -> Column:
+    return sum((F.col(c if not k else f"{c}_{k}") * w for k, w in enumerate(difference_weights(d))), F.lit(0.0))
+
+
+def kpss(df: DataFrame, s: Series, value: str) -> DataFrame:
+    """One row a series: `n`, `kpss` (level stationarity; NULL for a constant series).
+
+    Residuals from the mean are summed up in order of `s`; NULL values are left
+    out. The long-run variance has Bartlett weights up to lag floor(3 sqrt(n) / 13):
+    it is the mean square of moving sums of one value more, and a moving sum is
+    a difference of two running sums.
+    """
+    keys = list(s.keys)
+    d = df.filter(col(value).isNotNull()).select(*[col(k) for k in keys], col(s.ts), col(value).cast("double").alias("tm_v"))
+    stats = d.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("tm_n"), F.avg("tm_v").alias("tm_mean"))
+    d = attach(d, stats, keys).withColumn("tm_e", F.col("tm_v") - F.col("tm_mean"))
+    d = running_totals(d, s, {"tm_s": ("sum", F.col("tm_e")), "tm_r": ("sum", F.lit(1).cast("long"))})
+    width = F.floor(F.sqrt("tm_n") * 3 / 13) + 1
+    d = d.select(*[col(k) for k in keys], "tm_r", "tm_n", "tm_s", width.alias("tm_width"))
+    far = d.select(*[col(k) for k in keys], (F.col("tm_r") + F.col("tm_width")).alias("tm_r"), F.col("tm_s").alias("tm_far"))
+    both = join_on(d, far, [*keys, "tm_r"], "left")
+    # The running sum ends at 0, so the moving sums past the end are those of the last rows.
+    moving = F.pow(F.col("tm_s") - F.coalesce("tm_far", F.lit(0.0)), 2)
+    tail = F.when(F.col("tm_r") > F.col("tm_n") - F.col("tm_width"), F.pow("tm_s", 2)).otherwise(0.0)
+    out = both.groupBy(*[col(k) for k in keys]).agg(
+        F.first("tm_n").alias("n"), F.sum(F.pow("tm_s", 2)).alias("tm_ss"),
+        (F.sum(moving + tail) / F.first("tm_width")).alias("tm_lr"))
+    tiny = F.col("tm_lr") <= 1e-12 * F.col("tm_ss")
+    return out.select(*[col(k) for k in keys], "n", F.when(~tiny, F.col("tm_ss") / (F.col("n") * F.col("tm_lr"))).alias("kpss"))
+
+
+def difference_order(df: DataFrame, s: Series, value: str, max_d: int) -> DataFrame:
+    """One row a series: `d`, the first order whose KPSS statistic is not above
+    the limit (else `max_d`), and the statistic there. Rows are one a step."""
+    g = s.within("tm_d")
+    levels = _lags(df.select(*[col(k) for k in s.keys], col(s.ts), col(value).alias("tm_v")), s, {"tm_v": max_d})
+    each = F.array(*[F.struct(F.lit(k).alias("tm_d"), _difference("tm_v", k).alias("tm_z")) for k in range(max_d + 1)])
+    tests = kpss(levels.select(*[col(k) for k in s.keys], col(s.ts), F.inline(each)), g, "tm_z")
+    passed = F.coalesce(F.col("kpss") <= KPSS_LIMIT, F.lit(True)) | (F.col("tm_d") == max_d)
+    found = tests.groupBy(*[col(k) for k in s.keys]).agg(
+        F.min_by(F.struct(F.col("tm_d").alias("d"), "kpss"), F.when(passed, F.col("tm_d"))).alias("tm_o"))
+    return found.select(*[col(k) for k in s.keys], "tm_o.*")
+
+
 def fit_arimax(df: DataFrame, s: Series, target: str, exog: Sequence[str] = (), max_p: int = 2, max_d: int = 1,
-               max_q: int = 2) -> DataFrame:
-    """One row per series: orders p, d, q chosen by AIC, coefficients, and the
-    last values a forecast starts from."""
+               max_q: int = 2, step: str | None = None) -> DataFrame:
+    """One row a series: orders d (by test) and p, q (by AIC), coefficients, and
+    the last step with the state a forecast starts from.
+
+    `step` names the grid step of a row, else rows are numbered. Rows with a
+    missing value are holes in the grid.
+    """
     keys = list(s.keys)
     taken = set(keys) & set(RESERVED)
     if taken:
         raise ValueError(f"key columns {sorted(taken)} have the names of model columns; rename them")
-    names = [target, *exog]
-    rows = complete_rows(df, names)
-    reach = max_p + max_q + 2
-    diffs = complete_rows(_differences(rows, s, names, max_d), [f"tm_z{i}" for i in range(len(names))])
-    sd = s.within("tm_d")
-    x = [f"tm_z{i}" for i in range(1, len(names))]
-    reg = fit_linear(diffs, sd.keys, "tm_z0", x, [candidate()]).select(
-        *sd.keys, F.col("coef").alias("beta"), F.col("intercept").alias("mean"))
-    d = attach(diffs, reg, sd.keys)
-    fitted = dot(F.col("beta"), x) if x else F.lit(0.0)
-    d = d.withColumn("tm_u", F.col("tm_z0") - F.col("mean") - fitted).select(*sd.keys, s.ts, "tm_u", "beta", "mean")
-    d = _with_lags(d, sd, {"tm_u": reach})
+    names, nk = [target, *exog], len(keys)
+    rows, g = on_grid(df, s, step)
+    rows = complete_rows(rows, names).select(*[col(k) for k in keys], "tm_g", *[
+        col(c).cast("double").alias(f"tm_c{i}") for i, c in enumerate(names)])
+    x = [f"tm_c{i}" for i in range(1, len(names))]
+    dense = with_holes(rows, g).persist()
+    try:
+        level = fit_linear(rows, keys, "tm_c0", x, [candidate()]).select(
+            *[col(k) for k in keys], F.col("coef").alias("tm_b"), F.col("intercept").alias("tm_a"))
+        flat = attach(dense, level, keys)
+        flat = flat.withColumn("tm_w", F.col("tm_c0") - F.col("tm_a") - (dot(F.col("tm_b"), x) if x else F.lit(0.0)))
+        orders = difference_order(flat, g, "tm_w", max_d)
+        d = attach(_lags(dense, g, {f"tm_c{i}": max_d for i in range(len(names))}), orders.select(*[col(k) for k in keys], F.col("d").alias("tm_d")), keys)
+        z = {f"tm_z{i}": F.when(F.col("tm_d") == 0, F.col(f"tm_c{i}")) for i in range(len(names))}
+        for k in range(1, max_d + 1):
+            z = {c: v.when(F.col("tm_d") == k, _difference(f"tm_c{c[4:]}", k)) for c, v in z.items()}
+        d = d.withColumns(z).select(*[col(k) for k in keys], "tm_g", *z)
+        zx = [f"tm_z{i}" for i in range(1, len(names))]
+        reg = fit_linear(complete_rows(d, list(z)), keys, "tm_z0", zx, [candidate()]).select(
+            *[col(k) for k in keys], F.col("coef").alias("beta"), F.col("intercept").alias("mean"))
+        d = attach(d, reg, keys)
+        d = d.withColumn("tm_u", F.col("tm_z0") - F.col("mean") - (dot(F.col("beta"), zx) if zx else F.lit(0.0)))
+        tried = _orders_tried(d.select(*[col(k) for k in keys], "tm_g", "tm_u"), g, max_p, max_q)
+        best = tried.groupBy(*[col(k) for k in keys]).agg(
+            F.min_by(F.struct("p", "q", "ar", "ma", "aic", "n"), F.struct("aic", "p", "q")).alias("o"))
+        best = best.select(*[col(k) for k in keys], "o.*")
+        model = best.crossJoin(orders).crossJoin(reg) if not nk else join_on(join_on(best, orders, keys), reg, keys)
+        model = written(model, "arima")
+        levels = _levels(rows, model, keys, x)
+        last = levels.groupBy(*[col(k) for k in keys]).agg(F.max("g").alias("last"))
+        states = Scan(levels, model, keys).last_states()
+        model = model.crossJoin(last).crossJoin(states) if not nk else join_on(join_on(model, last, keys), states, keys)
+        return written(model, "arima")
+    finally:
+        dense.unpersist()
+
+
+def _levels(rows: DataFrame, model: DataFrame, keys: Sequence[str], x: Sequence[str]) -> DataFrame:
+    """keys, g, v: the target less its regression part."""
+    d = attach(rows, model.select(*[col(k) for k in keys], F.col("beta").alias("tm_beta")), keys)
+    part = dot(F.col("tm_beta"), x) if x else F.lit(0.0)
+    d = d.filter("tm_beta IS NOT NULL") if keys else d
+    return d.select(*[col(k) for k in keys], F.col("tm_g").alias("g"), (F.col("tm_c0") - part).alias("v"))
+
+
+def _orders_tried(d: DataFrame, g: Series, max_p: int, max_q: int) -> DataFrame:
+    """Every p, q with its coefficients and AIC, all on the rows that the largest orders leave."""
+    keys, reach = list(g.keys), max_p + max_q + 2
+    nk = len(keys)
+    d = _lags(d, g, {"tm_u": reach})
     long_lags = [f"tm_u_{k}" for k in range(1, reach + 1)]
-    far = fit_linear(complete_rows(d, long_lags), sd.keys, "tm_u", long_lags, [candidate(fit_intercept=False)])
-    d = attach(d, far.select(*sd.keys, F.col("coef").alias("far")), sd.keys)
+    far = fit_linear(complete_rows(d, [*long_lags, "tm_u"]), keys, "tm_u", long_lags, [candidate(fit_intercept=False)])
+    d = attach(d, far.select(*[col(k) for k in keys], F.col("coef").alias("far")), keys)
     d = d.withColumn("tm_e", F.col("tm_u") - dot(F.col("far"), long_lags))
-    d = _with_lags(d, sd, {"tm_e": max_q})
+    d = _lags(d, g, {"tm_e": max_q})
     terms = [*[f"tm_u_{k}" for k in range(1, max_p + 1)], *[f"tm_e_{k}" for k in range(1, max_q + 1)]]
     cols = [*terms, "tm_u"]
-    m = moments(complete_rows(d, cols), sd.keys, cols, [0.0] * len(cols))
-    at, nk = np.zeros(len(cols)), len(sd.keys)
-    schema = f"{_key_schema(rows, keys)}tm_d int, p int, q int, ar array<double>, ma array<double>, aic double, n long"
+    # Innovations only stand at rows with all long lags, so every order meets the same rows.
+    m = moments(complete_rows(d, [*cols, *long_lags]), keys, cols, [0.0] * len(cols))
+    at = np.zeros(len(cols))
+    schema = f"{_key_schema(d, keys)}p int, q int, ar array<double>, ma array<double>, aic double, n long"
 
     def orders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -97,20 +189,15 @@ def fit_arimax(df: DataFrame, s: Series, target: str, exog: Sequence[str] = (),
                         ids = [*range(p), *range(max_p, max_p + q)]
                         if mom.n <= len(ids) + 2:
                             continue
-                        g, b = mom.m[np.ix_(ids, ids)], mom.m[ids, -1]
-                        w = least_squares(g, b) if ids else np.zeros(0)
+                        block, b = mom.m[np.ix_(ids, ids)], mom.m[ids, -1]
+                        w = least_squares(block, b) if ids else np.zeros(0)
                         rss = max(float(mom.m[-1, -1] - b @ w), 1e-300)
                         aic = mom.n * math.log(rss / mom.n) + 2 * (p + q + 1)
                         if _settled(w[:p]):
                             out.append((*r[:nk], p, q, w[:p], w[p:], aic, int(mom.n)))
-            yield pd.DataFrame(out, columns=[*keys, "tm_d", "p", "q", "ar", "ma", "aic", "n"])
+            yield pd.DataFrame(out, columns=[*keys, "p", "q", "ar", "ma", "aic", "n"])
 
-    tried = m.mapInPandas(orders, schema)
-    chosen = F.min_by(F.struct("p", "tm_d", "q", "ar", "ma", "aic", "n"), F.struct("aic", "tm_d", "p", "q"))
-    best = tried.groupBy(*keys).agg(chosen.alias("o")).select(*keys, "o.*")
-    parts = join_on(best, join_on(reg, far.select(*sd.keys, F.col("coef").alias("far")), sd.keys), sd.keys)
-    parts = parts.withColumnRenamed("tm_d", "d")
-    return _with_state(rows, s, parts, target, exog, max_p + max_d, max_q, reach)
+    return m.mapInPandas(orders, schema)
 
 
 def _settled(ar: np.ndarray) -> bool:
@@ -122,104 +209,67 @@ def _settled(ar: np.ndarray) -> bool:
     return bool(np.abs(np.linalg.eigvals(companion)).max() < 0.999)
 
 
-def _with_state(rows: DataFrame, s: Series, model: DataFrame, target: str, exog: Sequence[str], lags: int, max_q: int,
-                reach: int) -> DataFrame:
-    """Attach the last rows of each series: bounded by the model orders."""
-    need = lags + max_q + reach
-    back = Window.partitionBy(*s.keys).orderBy(F.col(s.ts).desc())
-    tail = rows.select(*s.keys, s.ts, col(target).alias("tm_y"), F.array(*[col(c).cast("double") for c in exog]).cast("array<double>").alias("tm_x"))
-    tail = tail.withColumn("tm_k", F.row_number().over(back)).filter(F.col("tm_k") <= need)
-    tails = tail.groupBy(*s.keys).agg(F.array_sort(F.collect_list(F.struct("tm_k", F.col("tm_y").cast("double").alias("y"), F.col("tm_x").alias("x")))).alias("tail"))
-    return join_on(model, tails, list(s.keys)) if s.keys else model.withColumn("tail", tails.scalar())
-
-
-def _start(r: Any) -> tuple[np.ndarray, np.ndarray]:
-    """Transition matrix and state [levels v_T, v_T-1, …, residuals e_T, …, 1]."""
-    p, d, q = int(r.p), int(r.d), int(r.q)
-    ar, ma, beta, far = (np.array(a, dtype=float) for a in (r.ar, r.ma, r.beta, r.far))
-    v = np.array([t["y"] - (np.dot(t["x"], beta) if len(beta) else 0.0) for t in r.tail])  # newest first
-    u = v.copy()
-    for _ in range(d):
-        u = u[:-1] - u[1:]
-    u = u - r.mean
-    e = np.array([u[t] - u[t + 1:t + 1 + len(far)] @ far if t + len(far) < len(u) else 0.0 for t in range(q)])
-    poly = np.concatenate([[1.0], -ar])
-    for _ in range(d):
-        poly = np.convolve(poly, [1.0, -1.0])
-    full = -poly[1:]
-    size = max(len(full), 1) + q + 1
-    a = np.zeros((size, size))
-    nv = max(len(full), 1)
-    a[0, :len(full)] = full
-    a[0, nv:nv + q] = ma
-    a[0, -1] = r.mean * (1 - ar.sum())
-    for k in range(1, nv):
-        a[k, k - 1] = 1.0
-    for k in range(nv + 1, nv + q):
-        a[k, k - 1] = 1.0
-    a[-1, -1] = 1.0
-    state = np.zeros(size)
-    state[:min(nv, len(v))] = v[:nv]
-    state[nv:nv + q] = e
-    state[-1] = 1.0
-    return a, state
-
-
-def forecast_arimax(model: DataFrame, future: DataFrame, s: Series, exog: Sequence[str] = (), out: str = "predicted") -> DataFrame:
-    """Forecast every row of `future`; its first row follows the last fitted one.
-
-    Rows are dealt into blocks of consecutive horizons. Each block jumps to its
-    first horizon by a matrix power and walks on from there.
+
+def _start(r: Any) -> tuple[np.ndarray, np.ndarray, int]:
+    """Transition matrix with the constant, the state after the last step, and where the level stands."""
+    f, c, _, at = transition(r.ar, int(r.d), r.ma, r.mean)
+    n = len(f)
+    a = np.eye(n + 1)
+    a[:n, :n], a[:n, n] = f, c
+    return a, np.append(r.state, 1.0), at
+
+
+def forecast_arimax(model: DataFrame, future: DataFrame, s: Series, exog: Sequence[str] = (), out: str = "predicted",
+                    step: str | None = None) -> DataFrame:
+    """Forecast every row of `future` by its distance from the last fitted step.
+
+    Without `step` the first row of `future` follows the last fitted one. Rows
+    at or before the last step have no forecast. Steps are dealt into blocks;
+    each jumps to its first horizon by a matrix power and walks on from there.
     """
-    keys = list(s.keys)
-    d = number_rows(future, s, "__h").withColumn("__block", F.floor((F.col("__h") - 1) / FORECAST_BLOCK))
-    blocks = d.groupBy(*keys, "__block").agg(F.max("__h").alias("__last"))
-    cols = ["p", "d", "q", "ar", "ma", "beta", "far", "mean", "tail"]
-    work = attach(blocks, model.select(*keys, F.struct(*cols).alias("__m")), keys)
-    work = work.select(*keys, "__block", "__last", "__m.*").filter("p IS NOT NULL")
-    work = work.repartition(*keys, "__block")
-    schema = f"{_key_schema(future, keys)}__h long, __v double"
+    keys = [*s.keys]
+    if step is None:
+        d = number_rows(future, s, "__h")
+    else:
+        last = model.select(*[col(k) for k in keys], F.col("last").alias("__from"))
+        d = attach(future, last, keys).withColumn("__h", col(step).cast("long") - F.col("__from")).drop("__from")
+    d = d.withColumn("__block", F.when(F.col("__h") > 0, F.floor((F.col("__h") - 1) / FORECAST_BLOCK)))
+    blocks = d.filter("__block IS NOT NULL").groupBy(*[col(k) for k in keys], "__block").agg(F.collect_set("__h").alias("__hs"))
+    work = attach(blocks, model.select(*[col(k) for k in keys], F.struct("d", "ar", "ma", "mean", "state").alias("__m")), keys)
+    work = work.select(*[col(k) for k in keys], "__block", "__hs", "__m.*").filter("state IS NOT NULL")
+    work = work.repartition(*[col(k) for k in keys], "__block").withColumnsRenamed({"__block": "block", "__hs": "hs"})
     nk = len(keys)
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.itertuples(index=False, name="R"):
-                first, last = int(r[nk]) * FORECAST_BLOCK + 1, int(r[nk + 1])
-                a, state = _start(r)
-                state = np.linalg.matrix_power(a, first - 1) @ state
-                values = np.empty(last - first + 1)
+                wanted = np.sort(np.asarray(r.hs))
+                a, state, at = _start(r)
+                first = int(r.block) * FORECAST_BLOCK
+                state = np.linalg.matrix_power(a, first) @ state
+                values = np.empty(int(wanted[-1]) - first)
                 for i in range(len(values)):
                     state = a @ state
-                    values[i] = state[0]
-                frame = {k: [r[i]] * len(values) for i, k in enumerate(keys)}
-                yield pd.DataFrame({**frame, "__h": np.arange(first, last + 1), "__v": values})
+                    values[i] = state[at]
+                frame = {k: [r[i]] * len(wanted) for i, k in enumerate(keys)}
+                yield pd.DataFrame({**frame, "__h": wanted, "__v": values[wanted - first - 1]})
 
-    levels = work.withColumnsRenamed({"__block": "block", "__last": "last"}).mapInPandas(walk, schema)
+    levels = work.mapInPandas(walk, f"{_key_schema(future, keys)}__h long, __v double")
     joined = join_on(d, levels, [*keys, "__h"], "left")
-    joined = attach(joined, model.select(*keys, F.col("beta").alias("__beta")), keys)
+    joined = attach(joined, model.select(*[col(k) for k in keys], F.col("beta").alias("__beta")), keys)
     x = dot(F.col("__beta"), exog) if exog else F.lit(0.0)
     return joined.withColumn(out, F.col("__v") + x).drop("__h", "__block", "__v", "__beta")
 
 
-def fitted_arimax(model: DataFrame, df: DataFrame, s: Series, target: str, exog: Sequence[str], max_p: int, max_d: int,
-                  max_q: int, out: str = "predicted") -> DataFrame:
-    """One-step predictions of the rows the model was fitted on; NULL at the start."""
-    reach = max_p + max_q + 2
-    pad = lambda c, n: F.concat(F.coalesce(F.col(c), F.array().cast("array<double>")), F.array_repeat(F.lit(0.0), n))
-    weights = F.when(F.col("d") == 0, F.array(*[F.lit(b) for b in _binomial(0)]))
-    for k in range(1, max_d + 1):
-        weights = weights.when(F.col("d") == k, F.array(*[F.lit(b) for b in _binomial(k)]))
-    m = model.select(*s.keys, F.col("beta").alias("__beta"), F.col("mean").alias("__mean"), F.col("far").alias("__far"),
-                     pad("ar", max_p).alias("__ar"), pad("ma", max_q).alias("__ma"),
-                     F.concat(weights, F.array_repeat(F.lit(0.0), max_d)).alias("__w"))
-    rows = attach(df, m, s.keys)
-    level = F.col(target).cast("double") - (dot(F.col("__beta"), exog) if exog else F.lit(0.0))
-    rows = _with_lags(rows.withColumn("__v", level), s, {"__v": max_d})
-    u = sum((F.col("__w")[k] * F.coalesce(F.col(f"__v_{k}"), F.when(F.col("__w")[k] == 0, F.lit(0.0)))
-             for k in range(1, max_d + 1)), F.col("__w")[0] * F.col("__v")) - F.col("__mean")
-    rows = _with_lags(rows.withColumn("__u", u), s, {"__u": max(reach, max_p)})
-    rows = rows.withColumn("__e", F.col("__u") - dot(F.col("__far"), [f"__u_{k}" for k in range(1, reach + 1)]))
-    rows = _with_lags(rows, s, {"__e": max_q})
-    guess = sum((F.col("__ar")[k] * F.col(f"__u_{k + 1}") for k in range(max_p)), F.lit(0.0))
-    guess = sum((F.col("__ma")[k] * F.col(f"__e_{k + 1}") for k in range(max_q)), guess)
-    return rows.withColumn(out, F.col(target) - (F.col("__u") - guess)).select(*[col(c) for c in df.columns], out)
+def fitted_arimax(model: DataFrame, df: DataFrame, s: Series, target: str, exog: Sequence[str], out: str = "predicted",
+                  step: str | None = None) -> DataFrame:
+    """One-step predictions from the rows before each; NULL where a row is incomplete."""
+    keys, names = list(s.keys), [target, *exog]
+    rows, _ = on_grid(df, s, step)
+    inner = complete_rows(rows, names).select(*[col(k) for k in keys], "tm_g", *[
+        col(c).cast("double").alias(f"tm_c{i}") for i, c in enumerate(names)])
+    expected = Scan(_levels(inner, model, keys, [f"tm_c{i}" for i in range(1, len(names))]), model, keys).one_step("tm_expected")
+    d = join_on(rows, expected.withColumnRenamed("g", "tm_g"), [*keys, "tm_g"], "left")
+    d = attach(d, model.select(*[col(k) for k in keys], F.col("beta").alias("__beta")), keys)
+    x = dot(F.col("__beta"), exog) if exog else F.lit(0.0)
+    return d.withColumn(out, F.col("tm_expected") + x).select(*[col(c) for c in df.columns], out)

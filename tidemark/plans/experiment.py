@@ -16,7 +16,7 @@ from typing import Any
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.columns import attach, numeric_columns, quoted
+from tidemark.columns import attach, join_on, numeric_columns, quoted
 from tidemark.operators import arima, features, folds as fold_ops, linear, metrics, models, outliers, prepare, search
 from tidemark.operators.aggregate import MISSING_THRESHOLD, missing_profile
 from tidemark.operators.ordered import number_rows
@@ -188,9 +188,28 @@ def run_linear(e: Experiment, table: DataFrame, s: Series, names: Sequence[str],
     return out
 
 
+# Grid step of a row in model tables of autoregressions.
+STEP = "tm_step"
+
+
+def with_steps(table: DataFrame, s: Series, grid: DataFrame | None) -> DataFrame:
+    """Number the rows of a model table by their place in the data before any
+    hook, so that rows a hook drops leave holes. Rows of a table whose hook made
+    other timestamps are numbered as they are."""
+    if grid is not None:
+        places = number_rows(grid.select(*s.keys, s.ts), s, STEP)
+        placed = join_on(table, places, [*s.keys, s.ts], "left")
+        if placed.filter(F.col(STEP).isNull()).isEmpty():
+            return placed
+    return number_rows(table, s, STEP)
+
+
 def run_model(e: Experiment, table: DataFrame, s: Series, model: str, scaler: str | None, drawn: Draws,
-              save: Callable[[DataFrame], Any] | None = None) -> dict[str, Any]:
-    """Tune by cross-validation on train, fit on all of train, score every split."""
+              save: Callable[[DataFrame], Any] | None = None, grid: DataFrame | None = None) -> dict[str, Any]:
+    """Tune by cross-validation on train, fit on all of train, score every split.
+
+    `grid` is the data before the hooks; autoregressions count its steps.
+    """
     if model in LINEAR:
         return run_linear(e, table, s, [model], scaler, drawn, save)[model]
     candidates = drawn[model]
@@ -200,11 +219,13 @@ def run_model(e: Experiment, table: DataFrame, s: Series, model: str, scaler: st
         params, cv = _tune_boosted(e, train, s, cols, candidates)
         pred = models.predict_gbt(models.fit_gbt(train, e.target, cols, params), table.na.drop(subset=[e.target]), cols)
     else:
+        table = with_steps(table, s, grid)
+        train = table.filter(F.col("split") == TRAIN)
         params, cv = _tune_arima(e, train, s, cols, candidates)
-        fitted = arima.fit_arimax(train, s, e.target, cols, **params)
+        fitted = arima.fit_arimax(train, s, e.target, cols, **params, step=STEP)
         later = table.filter(F.col("split") != TRAIN)
-        pred = arima.forecast_arimax(fitted, later, s, cols)
-        pred = pred.unionByName(arima.fitted_arimax(fitted, train, s, e.target, cols, **params)).filter("predicted IS NOT NULL")
+        pred = arima.forecast_arimax(fitted, later, s, cols, step=STEP)
+        pred = pred.unionByName(arima.fitted_arimax(fitted, train, s, e.target, cols, step=STEP)).filter("predicted IS NOT NULL")
     pred = metrics.actual_vs_predicted(pred, s.keys, s.ts, e.target)
     if save is not None:
         save(pred)
@@ -297,7 +318,7 @@ def _tune_arima(e: Experiment, train: DataFrame, s: Series, cols: Sequence[str],
     folds = Folds.of(e, train, s)
     try:
         means = _mean_losses(e, folds, len(candidates), lambda c, fit, test: arima.forecast_arimax(
-            arima.fit_arimax(fit, s, e.target, cols, **candidates[c]), test, s, cols))
+            arima.fit_arimax(fit, s, e.target, cols, **candidates[c], step=STEP), test, s, cols, step=STEP))
     finally:
         folds.release()
     best = min((c for c in means if means[c] is not None), key=lambda c: (means[c], c))
@@ -344,7 +365,7 @@ def _run_trials(e: Experiment, p: Prepared, trials: Sequence[Mapping[str, Any]],
                 # Scaling changes neither trees nor ARIMA: one run serves all scalers.
                 for m in (m for m in wanted if m not in LINEAR):
                     same = next((r for (name, _), r in done.items() if name == m), None)
-                    got[m] = same or run_model(e, table, p.series, m, scaler, drawn)
+                    got[m] = same or run_model(e, table, p.series, m, scaler, drawn, grid=p.data)
                 done |= {(m, scaler): r for m, r in got.items()}
             return [_trial_row(t, done[t["model"], t["scaler"]], e) for t in members]
         finally:
@@ -393,7 +414,7 @@ def search_pipelines(spark: SparkSession, e: Experiment, store: Store, n_trials:
     final_table = build_table(e, prepared, chosen)
     # The rerun keeps what the search did not: the predictions of every split.
     final = run_model(e, final_table, prepared.series, chosen["model"], chosen["scaler"], inner,
-                      save=lambda pred: store.write(pred, "modeling", chosen["trial"]))
+                      save=lambda pred: store.write(pred, "modeling", chosen["trial"]), grid=prepared.data)
     store.write_result(final, "_".join(["modeling", *[f"{k}_{v}" for k, v in final["best_params"].items()]]))
     return table, {**{k: chosen[k] for k in ("imputer", "outlier_method", "scaler", "min_frequency", *e.hook_space)},
                    "model": (chosen["model"], (json.loads(best.model_params), best.train_cv_score)), "performance": final}

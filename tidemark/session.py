@@ -48,6 +48,13 @@ def remove_path(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` as Parquet in the shared folder, and read again: its lineage is cut."""
+    path = new_stage_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint `df` in the shared folder."""
     sc = df.sparkSession.sparkContext

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import arima, folds as fo, linear as ln, metrics as mt, models as md, prepare as pr, search as se
+from tidemark.operators import arima, features as ft, folds as fo, linear as ln, metrics as mt, models as md, prepare as pr, search as se
+from tidemark.operators.ordered import add_lags, number_rows
 from tidemark.series import Series
 from workloads import fixtures as fx
 from workloads.fixtures import ctes, table
@@ -263,6 +264,60 @@ def k4(spark, sf):
     return flat(mt.evaluate(p.select("split", F.col("l_extendedprice").alias("actual"), "predicted"), {"mse": "mse", "mae": "mae"}))
 
 
+# An autoregression of one lag by the engine's rules, from `y` (k, g, v: series, grid step, value): NULL lags at holes.
+_AR1 = """
+, c AS (SELECT k, avg(v) AS mean FROM y GROUP BY 1),
+u AS (SELECT y.k, g, v - mean AS u, mean FROM y JOIN c USING (k)),
+l AS (SELECT a.k, a.u, b.u AS l1 FROM u a JOIN u b ON a.k = b.k AND b.g = a.g - 1 JOIN u e ON a.k = e.k AND e.g = a.g - 2
+      JOIN u f ON a.k = f.k AND f.g = a.g - 3),
+m AS (SELECT k, count(*) AS n, sum(u * u) AS s00, sum(u * l1) AS s01, sum(l1 * l1) AS s11 FROM l GROUP BY 1),
+ar AS (SELECT k, CASE WHEN n > 3 AND abs(s01 / s11) < 0.999 AND n * ln((s00 - s01 * s01 / s11) / n) + 4 < n * ln(s00 / n) + 2
+                      THEN s01 / s11 ELSE 0 END AS phi FROM m WHERE n > 2)"""
+
+
+@query("k5_one_step_over_holes", """
+WITH y AS (SELECT user_id AS k, datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS g, round(sum(value), 2) AS v FROM events GROUP BY 1, 2)""" + _AR1 + """
+SELECT k AS user_id, g, round(mean + CASE WHEN gap IS NULL THEN 0 ELSE pow(phi, gap) * before END, 6) AS predicted
+FROM (SELECT u.*, g - lag(g) OVER w AS gap, lag(u.u) OVER w AS before FROM u WINDOW w AS (PARTITION BY k ORDER BY g)) JOIN ar USING (k)""")
+def k5h(spark, sf):
+    d = table(spark, sf, "events").groupBy("user_id", F.to_date("ts").alias("d")).agg(F.round(F.sum("value"), 2).alias("v"))
+    d = d.withColumn("g", F.datediff("d", F.lit("2024-01-01").cast("date")))
+    s = Series.of(["user_id"], "d")
+    m = arima.fit_arimax(d, s, "v", [], max_p=1, max_d=0, max_q=0, step="g")
+    return flat(arima.fitted_arimax(m, d, s, "v", [], step="g").select("user_id", "g", "predicted").filter("predicted IS NOT NULL"))
+
+
+@query("k5_dropped_rows", SEG + """
+, z AS (SELECT *, row_number() OVER (PARTITION BY seg ORDER BY d) AS g,
+               CASE WHEN d < DATE '2000-06-01' THEN 'train' WHEN d < DATE '2000-12-01' THEN 'val' ELSE 'test' END AS split FROM segment_orders),
+r AS (SELECT *, row_number() OVER (PARTITION BY seg, split ORDER BY d) AS i FROM z),
+y AS (SELECT seg AS k, g, total AS v FROM r WHERE split = 'train' AND i > 7)""" + _AR1 + """
+, s AS (SELECT k, max(g) AS last, max_by(u, g) AS u, max(mean) AS mean FROM u GROUP BY 1)
+SELECT seg, CAST(d AS VARCHAR) AS d, split, round(mean + pow(phi, g - last) * u, 6) AS predicted
+FROM r JOIN s ON r.seg = s.k JOIN ar ON r.seg = ar.k WHERE split <> 'train' AND i > 7""")
+def k5d(spark, sf):
+    d = number_rows(fx.segment_orders(spark, sf), SEG_DAY, "g")
+    d = pr.split(d, "d", "2000-06-01", "2000-12-01")
+    d = ft.apply_features(d, SEG_DAY, lambda p, x, s: add_lags(x, s, ["n"], [1, 7]))
+    m = arima.fit_arimax(d.filter("split = 'train'"), SEG_DAY, "total", [], max_p=1, max_d=0, max_q=0, step="g")
+    p = arima.forecast_arimax(m, d.filter("split <> 'train'"), SEG_DAY, [], step="g")
+    return flat(p.select("seg", "d", "split", "predicted"))
+
+
+@query("k5_difference_order", SEG + """
+, z AS (SELECT seg, d, 0 AS o, total AS v FROM segment_orders
+        UNION ALL SELECT seg, d, 1, total - lag(total) OVER w FROM segment_orders WINDOW w AS (PARTITION BY seg ORDER BY d)
+        UNION ALL SELECT seg, d, 2, total - 2 * lag(total) OVER w + lag(total, 2) OVER w FROM segment_orders WINDOW w AS (PARTITION BY seg ORDER BY d)),
+e AS (SELECT seg, o, d, v - avg(v) OVER (PARTITION BY seg, o) AS e, count(*) OVER (PARTITION BY seg, o) AS n FROM z WHERE v IS NOT NULL),
+s AS (SELECT seg, o, n, sum(e) OVER w AS s, row_number() OVER w AS r, CAST(floor(3 * sqrt(n) / 13) + 1 AS BIGINT) AS width
+      FROM e WINDOW w AS (PARTITION BY seg, o ORDER BY d)),
+t AS (SELECT a.seg, a.o, a.n, sum(a.s * a.s) / (a.n * sum(pow(a.s - coalesce(b.s, 0), 2) + CASE WHEN a.r > a.n - a.width THEN a.s * a.s ELSE 0 END) / any_value(a.width)) AS kpss
+      FROM s a LEFT JOIN s b ON a.seg = b.seg AND a.o = b.o AND b.r = a.r - a.width GROUP BY 1, 2, 3)
+SELECT seg, min(o) AS d, round(min_by(kpss, o), 6) AS kpss FROM t WHERE kpss <= 0.463 OR o = 2 GROUP BY 1""")
+def k5k(spark, sf):
+    return flat(arima.difference_order(fx.segment_orders(spark, sf), SEG_DAY, "total", 2))
+
+
 @query("k5_arimax")
 def k5(spark, sf):
     d = pr.split(fx.segment_orders(spark, sf), "d", "2000-06-01", "2000-12-01")
