@@ -26,6 +26,8 @@ from tidemark.llm.tables import packed_row
 
 BUCKETS = 1 << 16
 UNKNOWN = "und"
+# Words times labels whose posteriors a task holds at a time.
+GROUP_CELLS = 1_000_000
 MARKS = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
 
@@ -229,21 +231,38 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
             table, letters = scores.of(vocabulary) if labels else (np.zeros((len(vocabulary), 1)), np.zeros(len(vocabulary), bool))
             use = letters[codes]
             begin = np.concatenate([[0], np.cumsum(use)])[starts]
-            p, _ = posteriors(table[codes[use]], begin, change)
-            size = np.diff(begin)
-            total = np.concatenate([np.zeros((1, p.shape[1])), np.cumsum(p, axis=0)])
-            mean = (total[begin[1:]] - total[begin[:-1]]) / np.maximum(size, 1)[:, None]
-            best = mean.argmax(1)
-            score = np.clip(mean[np.arange(len(best)), best], 0, 1)
+            size, best, score, along = np.diff(begin), [], [], []
+            for i, j in _groups(size, max(1, GROUP_CELLS // table.shape[1])):
+                part = slice(starts[i], starts[j])
+                p, _ = posteriors(table[codes[part][use[part]]], begin[i: j + 1] - begin[i], change)
+                full, n = size[i:j] > 0, np.maximum(size[i:j], 1)[:, None]
+                mean = np.zeros((j - i, p.shape[1]))
+                if full.any():
+                    mean[full] = np.add.reduceat(p, (begin[i:j] - begin[i])[full])
+                mean /= n
+                best.append(mean.argmax(1))
+                score.append(np.clip(mean.max(1), 0, 1))
+                if runs:
+                    along.append(_runs(p.argmax(1), use[part], starts[i: j + 1] - starts[i], begin[i: j + 1] - begin[i], labels))
+            best, score = np.concatenate(best), np.concatenate(score)
             columns = [s.column("row"), pa.array([labels[k] if n else UNKNOWN for k, n in zip(best, size)], pa.string()),
                        pa.array(np.where(size > 0, score, 0.0))]
             if runs:
-                columns.append(_runs(p.argmax(1), use, starts, begin, labels))
+                columns.append(pa.concat_arrays(along))
             yield pa.RecordBatch.from_arrays(columns, kind.fieldNames())
 
     return d.mapInArrow(run, kind)
 
 
+def _groups(size: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Neighbouring documents of at most `limit` words together, one document at least."""
+    ends, i = np.cumsum(size), 0
+    while i < len(size):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + limit, side="right")))
+        yield i, j
+        i = j
+
+
 def _runs(label: np.ndarray, use: np.ndarray, starts: np.ndarray, begin: np.ndarray, labels: list[str]) -> pa.Array:
     place = np.flatnonzero(use)
     out = []

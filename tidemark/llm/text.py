@@ -8,6 +8,7 @@ cut.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -113,24 +114,44 @@ def covered(at: np.ndarray, length: np.ndarray | int, n: int) -> np.ndarray:
 
 
 class Remembered:
-    """What a worker has worked out for words, in two generations of at most
-    `limit` words: a word met again moves to the young one, the rest go with
-    the old one. Values are binary; `make` gives those of unknown words."""
+    """What a worker has worked out for words, in two generations of about
+    `BYTES` each: a word met again moves to the young one, the rest go with
+    the old one. Values are binary; `make` gives those of unknown words. A
+    worker holds one such memory: the words of another operator go first."""
 
-    def __init__(self, make: Callable[[list[bytes]], list[bytes]], limit: int = 250_000):
-        self.make, self.limit = make, limit
+    BYTES = 28_000_000
+    # What a word and its value take besides their bytes.
+    ENTRY = 190
+    active: ClassVar[Remembered | None] = None
+
+    def __init__(self, make: Callable[[list[bytes]], list[bytes]]):
+        self.make = make
+        self.forget()
+
+    def forget(self) -> None:
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.held = 0
 
     def of(self, vocabulary: list[bytes]) -> list[bytes]:
-        out = [self.young.get(w) or self.old.get(w) for w in vocabulary]
-        new = [i for i, v in enumerate(out) if v is None]
+        if Remembered.active is not self:
+            if Remembered.active is not None:
+                Remembered.active.forget()
+            Remembered.active = self
+        out = list(map(self.young.get, vocabulary))
+        again = [i for i, v in enumerate(out) if v is None]
+        for i in again:
+            out[i] = self.old.get(vocabulary[i])
+        new = [i for i in again if out[i] is None]
         for a in range(0, len(new), 5_000):
             part = new[a: a + 5_000]
             for i, v in zip(part, self.make([vocabulary[i] for i in part])):
                 out[i] = v
-        if len(self.young) > self.limit:
-            self.old, self.young = self.young, {}
-        if len(self.young) + len(vocabulary) <= 2 * self.limit:
-            self.young.update(zip(vocabulary, out))
+        keys, values = [vocabulary[i] for i in again], [out[i] for i in again]
+        size = sum(map(len, keys)) + sum(map(len, values)) + self.ENTRY * len(again)
+        if self.held + size > self.BYTES:
+            self.old, self.young, self.held = self.young, {}, 0
+        if size <= self.BYTES:
+            self.young.update(zip(keys, values))
+            self.held += size
         return out
