@@ -13,13 +13,14 @@ one count per part and length. No group of equal lengths meets in one task.
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.llm import text as tx
@@ -27,57 +28,91 @@ from tidemark.llm.tables import written
 
 CAPACITY = 2048
 PLAN_ITEMS = 1 << 15
-# Letters and closing marks: the tokenizer splits these words between the two.
-PLAIN = re.compile(rb"([A-Za-z]+)([.,;:!?]*)")
-
-
-class WordIds:
-    """Token ids of words between ASCII white space.
-
-    The tokenizer's patterns never cross white space, so the ids of a text are
-    the ids of its words in order.
+# What the word-by-word way is made for, as the tokenizer's file has it. Fixed values.
+LETTERS_NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+LETTERS_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+# Closing marks after a letter and before white space are a token of their own.
+MARKS = r"([A-Za-z])([.,;:!?]+)([ \t\n\r\f]|$)"
+# Letters before this one are normal and in lower case one by one.
+LATIN_END = "\u0250"
+# The character that stands for each byte: printable ones for themselves, the rest in order from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: chr(b) for b in _PRINTED} | {
+    b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(_PRINTED))}
+
+
+class TextIds:
+    """Token ids of texts for any tokenizer file.
+
+    Where the file's patterns never cross white space and set letters apart,
+    the ids of a text are those of its words in order: distinct words are
+    looked up once a slice and remembered, and words of Latin letters go
+    straight to the merges. Any other tokenizer gets the whole texts.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        steps = (file.get("pre_tokenizer") or {}).get("pretokenizers") or []
+        self.by_word = (
+            file.get("normalizer") == LETTERS_NORMALIZER and [p.get("type") for p in steps] == ["Split", "ByteLevel"]
+            and (steps[0].get("pattern"), steps[0].get("behavior"), steps[0].get("invert")) == ({"Regex": LETTERS_SPLIT}, "Removed", True)
+            and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex"))
         self.known = tx.Remembered(self._ids)
 
-    def _plain(self, word: bytes) -> list[int]:
-        return [t.id for t in self.tokenizer.model.tokenize(word.decode())] if word else []
+    @staticmethod
+    def _letters(word: bytes) -> str | None:
+        """The merges' own spelling of a word of Latin letters."""
+        if word.isalpha():  # ASCII letters
+            return word.lower().decode()
+        w = word.decode()
+        if not w.isalpha() or max(w) >= LATIN_END:
+            return None
+        w = w.lower()
+        return w.encode().decode("latin-1").translate(BYTE_CHARS) if w.isalpha() else None
 
     def _ids(self, words: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each word."""
-        plain = [PLAIN.fullmatch(w) for w in words]
+        plain = list(map(self._letters, words))
         odd = iter(self.tokenizer.encode_batch([w.decode() for w, m in zip(words, plain) if m is None], add_special_tokens=False))
-        each = [self._plain(m[1].lower()) + self._plain(m[2]) if m else next(odd).ids for m in plain]
-        return [array("i", ids).tobytes() for ids in each]
-
-    def lookup(self, vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all words, and where those of each word start and end."""
+        flat, ends, merge = [], [], self.tokenizer.model.tokenize
+        for m in plain:
+            flat += [t.id for t in merge(m)] if m is not None else next(odd).ids
+            ends.append(4 * len(flat))
+        data = array("i", flat).tobytes()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and how many each has."""
+        if not self.by_word:
+            each = [e.ids for e in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+            return np.fromiter((i for ids in each for i in ids), np.int32), np.fromiter(map(len, each), np.int64, len(each))
+        codes, starts, vocabulary = tx.words(pc.replace_substring_regex(texts, pattern=MARKS, replacement=r"\1 \2\3"))
         each = self.known.of(vocabulary)
         ends = np.cumsum(np.fromiter(map(len, each), np.int64, len(each)) // 4)
-        return np.frombuffer(b"".join(each), np.int32), np.concatenate([[0], ends[:-1]]) if len(ends) else ends, ends
+        ids, a = np.frombuffer(b"".join(each), np.int32), np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+        size = (ends - a)[codes]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        flat = ids[np.arange(upto[-1]) - np.repeat(upto[:-1] - a[codes], size)]
+        return flat, np.diff(upto[starts])
 
 
-_WORD_IDS: dict[str, WordIds] = {}
+_TEXT_IDS: dict[str, TextIds] = {}
 
 
 def token_ids(texts: pa.Array, path: str, end_id: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, `end_id` after each, and where each text starts."""
-    if path not in _WORD_IDS:
-        _WORD_IDS[path] = WordIds(path)
-    codes, starts, vocabulary = tx.words(texts)
-    ids, a, e = _WORD_IDS[path].lookup(vocabulary)
-    size = (e - a)[codes]
-    ends = np.cumsum(size)
-    flat = ids[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size - a[codes], size)]
-    before = np.concatenate([[0], ends])[starts]  # ids before each text
-    n = len(starts) - 1
-    out = np.full(len(flat) + n, end_id, np.int32)
-    out[np.arange(len(flat)) + np.repeat(np.arange(n), np.diff(before))] = flat
-    return out, before + np.arange(n + 1)
+    if path not in _TEXT_IDS:
+        _TEXT_IDS[path] = TextIds(path)
+    flat, size = _TEXT_IDS[path].of(texts)
+    starts = np.concatenate([[0], np.cumsum(size + 1)])
+    out = np.full(starts[-1], end_id, np.int32)
+    out[np.arange(len(flat)) + np.repeat(np.arange(len(size)), size)] = flat
+    return out, starts
 
 
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
@@ -91,17 +126,18 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         from pyspark import TaskContext
 
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for s in tx.slices(batches, "text", tx.SLICE_BYTES // 2):
+        for s in tx.slices(batches, "text"):
             ids, starts = token_ids(tx.strings(s.column("text")), path, end_id)
             count = -(-np.diff(starts) // capacity)
             row = np.repeat(np.arange(len(count)), count)
             piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
             a = starts[row] + piece * capacity
             length = np.minimum(starts[row + 1] - a, capacity)
+            order = np.argsort(length, kind="stable")
+            many = np.bincount(length, minlength=capacity + 1)
             local = np.empty(len(row), np.int64)
-            for i, n in enumerate(length):
-                local[i] = seen[n]
-                seen[n] += 1
+            local[order] = np.arange(len(row)) - np.repeat(np.cumsum(many) - many - seen, many)
+            seen += many
             raw = memoryview(ids.astype("<u4").tobytes())
             crc = np.fromiter((zlib.crc32(raw[4 * i: 4 * (i + n)]) for i, n in zip(a.tolist(), length.tolist())), np.int64, len(a))
             columns = [s.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(piece * np.int64(capacity)),
