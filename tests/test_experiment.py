@@ -54,7 +54,7 @@ def test_search_beats_the_mean_and_keeps_everything(spark, tmp_path):
 
 
 @pytest.mark.parametrize("model, space", [
-    ("xgb", {"max_depth": ("int", 2, 4, 1), "subsample": ("float", 0.5, 1.0, 0.1)}),
+    ("xgb", {"max_depth": ("int", 2, 3, 1), "subsample": ("float", 0.5, 1.0, 0.1), "n_estimators": ("int", 8, 12, 1)}),
     ("sarimax", {"max_p": ("int", 1, 2, 1), "max_d": ("int", 0, 1, 1), "max_q": ("int", 0, 1, 1)})])
 def test_other_models_run(spark, tmp_path, model, space):
     e = settings(models=(model,), imputers=("mean",), outlier_methods=(None,), model_spaces={model: space}, inner_trials=2, cv_folds=2, scored_on="test")
@@ -64,6 +64,31 @@ def test_other_models_run(spark, tmp_path, model, space):
     assert set(best["model"][1][0]) == set(space)
 
 
+def test_grid_search_tries_every_combination(spark, tmp_path):
+    e = settings(models=("ridge",), imputers=("mean",), outlier_methods=(None,), inner_search="grid",
+                 model_grids={"ridge": {"alpha": [0.1, 50.0], "fit_intercept": [True]}})
+    assert ex._inner_candidates(spark, e, "ridge") == [{"alpha": 0.1, "fit_intercept": True}, {"alpha": 50.0, "fit_intercept": True}]
+    _, best = ex.search_pipelines(spark, e, Store(spark, str(tmp_path)), 1)
+    assert best["model"][1][0] == {"alpha": 0.1, "fit_intercept": True}
+    with pytest.raises(ValueError):
+        ex._inner_candidates(spark, settings(models=("lgbm",), inner_search="grid"), "lgbm")
+    with pytest.raises(ValueError):
+        settings(inner_search="bayes")
+
+
+def test_marks_follow_the_folds(spark):
+    d = spark.range(60).selectExpr("'a' AS k", "date_add(DATE '2024-01-01', CAST(id AS INT)) AS d", "CAST(id AS DOUBLE) AS y")
+    folds = ex.Folds.of(settings(cv_folds=2), d.union(d.limit(30).selectExpr("'b'", "d", "y")), ex.Series.of(["k"], "d"))
+    try:
+        rows = folds.marked().collect()
+        for k, n in (("a", 60), ("b", 30)):
+            t = n // 3
+            mine = sorted((r.y, list(r["__marks"])) for r in rows if r.k == k)
+            assert [m for _, m in mine] == [[2 if (f + 1) * t <= i < (f + 2) * t else int(i < (f + 1) * t) for f in range(2)] + [1] for i in range(n)]
+    finally:
+        folds.release()
+
+
 def test_same_result_in_any_order_and_thread_count(spark, tmp_path):
     tables = [ex.search_pipelines(spark, settings(threads=t), Store(spark, str(tmp_path)), 4)[0].orderBy("trial").toPandas() for t in (1, 4)]
     pd.testing.assert_frame_equal(*tables, rtol=1e-9)

@@ -1,61 +1,28 @@
-"""Boosted trees through `pyspark.ml`."""
+"""Boosted trees for one table: a thin face of `boost`."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame, functions as F
-
-from tidemark.columns import col
-from tidemark.operators.linear import complete_rows
-
-# Parameters of the two boosted-tree adapters (fixed names) and the Spark parameter each one sets.
-GBT_PARAMS = {
-    "min_child_weight": "minInstancesPerNode", "gamma": "minInfoGain", "subsample": "subsamplingRate",
-    "colsample_bytree": "featureSubsetStrategy", "max_depth": "maxDepth",
-    "learning_rate": "stepSize", "max_bin": "maxBins", "min_data_in_leaf": "minInstancesPerNode",
-    "bagging_fraction": "subsamplingRate", "feature_fraction": "featureSubsetStrategy", "min_gain_to_split": "minInfoGain",
-    "n_estimators": "maxIter", "seed": "seed",
-}
-# Stands for a missing feature: below all values, so that a split can set it apart.
-MISSING = -1e30
-
-
-def spark_params(params: Mapping[str, Any]) -> dict[str, Any]:
-    """Translate parameters; the column sample is drawn per node, not per tree."""
-    out: dict[str, Any] = {}
-    for name, v in params.items():
-        if name not in GBT_PARAMS:
-            raise ValueError(f"no boosted-tree parameter {name!r}; known: {sorted(GBT_PARAMS)}")
-        target = GBT_PARAMS[name]
-        out[target] = f"{float(v):.6f}" if target == "featureSubsetStrategy" and float(v) < 1 else (
-            "all" if target == "featureSubsetStrategy" else v)
-    return out
+from pyspark.sql import DataFrame, functions as F
+
+from tidemark.operators import boost
+
+# What the two adapters leave to their libraries: learning rate, leaves, ridge penalty.
+XGB = {"rate": 0.3, "l2": 1.0}
+LGBM = {"rate": 0.1, "leaves": 31, "depth": 12, "least": 20}
+ADAPTERS = {"xgb": XGB, "lgbm": LGBM}
 
 
 def fit_gbt(df: DataFrame, target: str, cols: Sequence[str], params: Mapping[str, Any] | None = None,
-            rounds: int = 100) -> PipelineModel:
+            rounds: int = 100, adapter: str = "xgb") -> boost.Boosted:
     """Fit on the train part (all rows if there is no split column). Rows with
     missing features take part; those without a target do not."""
     train = df.filter(F.col("split") == "train") if "split" in df.columns else df
-    inputs = [f"x{i}" for i in range(len(cols))]
-    train = complete_rows(train, [target]).select(
-        *[_known(c).alias(x) for c, x in zip(cols, inputs)], col(target).cast("double").alias("label"))
-    settings = {"maxIter": rounds, "seed": 0, "cacheNodeIds": True, **spark_params(params or {})}
-    stages = [VectorAssembler(inputCols=inputs, outputCol="features"),
-              GBTRegressor(featuresCol="features", labelCol="label", predictionCol="predicted", **settings)]
-    return Pipeline(stages=stages).fit(train)
-
-
-def _known(c: str) -> Column:
-    return F.coalesce(F.nanvl(col(c).cast("double"), F.lit(None).cast("double")), F.lit(MISSING))
+    return boost.fit_many(train, target, cols, [params or {}], **{"rounds": rounds, **ADAPTERS[adapter]})[0]
 
 
-def predict_gbt(model: PipelineModel, df: DataFrame, cols: Sequence[str], out: str = "predicted") -> DataFrame:
+def predict_gbt(model: boost.Boosted, df: DataFrame, out: str = "predicted") -> DataFrame:
     """A prediction for every row, also where features are missing."""
-    inputs = {f"x{i}": _known(c) for i, c in enumerate(cols)}
-    return model.transform(df.withColumns(inputs)).drop("features", *inputs).withColumnRenamed("predicted", out)
+    return boost.predict(model, df, 0, out)

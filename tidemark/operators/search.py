@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from typing import Any
@@ -19,8 +20,10 @@ SEARCH_SPACES: dict[str, dict[str, tuple]] = {
     "xgb": {"min_child_weight": ("int", 1, 100, 5), "gamma": ("float", 0.1, 5.0, 0.5),
             "subsample": ("float", 0.1, 1.0, 0.1), "colsample_bytree": ("float", 0.1, 1.0, 0.1),
             "max_depth": ("int", 1, 10, 1)},
-    "lgbm": {"learning_rate": ("float", 0.01, 0.3, None), "max_depth": ("int", 3, 12, 1),
-             "max_bin": ("int", 200, 300, 1), "min_data_in_leaf": ("int", 200, 10000, 1)},
+    "lgbm": {"learning_rate": ("float", 0.01, 0.3, None), "num_leaves": ("int", 20, 3000, 20), "max_depth": ("int", 3, 12, 1),
+             "min_data_in_leaf": ("int", 200, 10000, 100), "max_bin": ("int", 200, 300, 1), "lambda_l1": ("int", 0, 100, 5),
+             "lambda_l2": ("int", 0, 100, 5), "min_gain_to_split": ("float", 0.0, 15.0, None),
+             "bagging_fraction": ("float", 0.2, 0.95, 0.1), "feature_fraction": ("float", 0.2, 0.95, 0.1)},
     "sarimax": {"max_p": ("int", 2, 10, 2), "max_d": ("int", 2, 10, 2), "max_q": ("int", 2, 10, 2)},
 }
 
@@ -28,11 +31,30 @@ SEARCH_SPACES: dict[str, dict[str, tuple]] = {
 SEARCH_GRIDS: dict[str, dict[str, Sequence[Any]]] = {
     "linear_regression": {"fit_intercept": [True, False]},
     "ridge": {"alpha": [0.1, 0.5, 0.8, 1, 2]},
+    "lasso": {"alpha": [0.1, 0.5, 0.8, 1.0, 2.0], "fit_intercept": [True, False]},
+    "elasticnet": {"alpha": [0.1, 0.5, 0.8, 1.0, 2.0],
+                   "l1_ratio": [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0], "fit_intercept": [True, False]},
+    "xgb": {"min_child_weight": [1, 5, 10], "gamma": [0.5, 1, 1.5, 2, 5], "subsample": [0.6, 0.8, 1.0],
+            "colsample_bytree": [0.6, 0.8, 1.0], "max_depth": [3, 4, 5, 6, 7]},
+    "lgbm": {"n_estimators": [10, 100, 1000, 10000, 100000],
+             "learning_rate": [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0, 1.1, 1.2, 1.3, 1.4, 1.5, 1.6, 1.7, 1.8, 1.9],
+             "num_leaves": [20, 200, 2000, 30000], "max_depth": [3, 5, 7, 8, 10, 12], "min_data_in_leaf": [200, 1000, 5000, 10000],
+             "max_bin": [200, 250, 300], "lambda_l1": [0, 10, 50, 100], "lambda_l2": [0, 10, 50, 100],
+             "min_gain_to_split": [0, 1, 5, 10, 15], "bagging_fraction": [0.2, 0.4, 0.6, 0.8, 0.95],
+             "feature_fraction": [0.2, 0.4, 0.6, 0.8, 0.95]},
+    "sarimax": {"max_p": [2, 4, 6, 8], "max_d": [1, 3], "max_q": [2, 4, 6, 8]},
 }
 
+# More combinations than this are not a grid anyone can try.
+GRID_LIMIT = 100_000
+
 
 def expand_grid(spec: Mapping[str, Sequence[Any]]) -> list[dict[str, Any]]:
-    """Every combination of the listed values, last name fastest."""
+    """Every combination of the listed values, last name fastest; raises where
+    there are more than `GRID_LIMIT`."""
+    size = math.prod(len(v) for v in spec.values())
+    if size > GRID_LIMIT:
+        raise ValueError(f"a grid of {size} combinations; list fewer values or search at random")
     return [dict(zip(spec, values)) for values in itertools.product(*spec.values())]
 
 

@@ -14,10 +14,10 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.columns import attach, join_on, numeric_columns, quoted
-from tidemark.operators import arima, features, folds as fold_ops, linear, metrics, models, outliers, prepare, search
+from tidemark.operators import arima, boost, features, folds as fold_ops, linear, metrics, models, outliers, prepare, search
 from tidemark.operators.aggregate import MISSING_THRESHOLD, missing_profile
 from tidemark.operators.ordered import number_rows
 from tidemark.series import Series
@@ -58,6 +58,8 @@ class Experiment:
     metric: str = "neg_mean_squared_error"
     scored_on: str = VAL
     inner_trials: int = 100
+    inner_search: str = "random"
+    model_grids: Mapping[str, Mapping[str, Sequence[Any]]] = field(default_factory=lambda: search.SEARCH_GRIDS)
     cv_scheme: str = "equal"
     cv_folds: int = 5
     cv_mode: str = fold_ops.EXPANDING
@@ -77,6 +79,8 @@ class Experiment:
         object.__setattr__(self, "outlier_methods", tuple(m for m in self.outlier_methods if m in outliers.METHODS))
         if not self.outlier_methods:
             raise ValueError("no known outlier method is left")
+        if self.inner_search not in ("random", "grid"):
+            raise ValueError(f"unknown inner search {self.inner_search!r}")
         if self.scored_on not in (TRAIN, VAL, TEST, "train_cv_score"):
             raise ValueError(f"cannot score on {self.scored_on!r}")
 
@@ -134,7 +138,10 @@ def build_table(e: Experiment, p: Prepared, params: Mapping[str, Any]) -> DataFr
 
 
 def _inner_candidates(spark: SparkSession, e: Experiment, model: str) -> list[dict[str, Any]]:
-    """The inner random search of one model: the same draws in every trial."""
+    """The inner search of one model, the same in every trial: random draws, or
+    every combination of its grid."""
+    if e.inner_search == "grid":
+        return search.expand_grid(e.model_grids[model])
     space = e.model_spaces[model]
     drawn = sorted(search.sample_space(spark, space, e.inner_trials, e.seed).collect(), key=lambda r: r["trial"])
     seen = {json.dumps({k: r[k] for k in space}, sort_keys=True, default=str): {k: r[k] for k in space} for r in drawn}
@@ -216,8 +223,8 @@ def run_model(e: Experiment, table: DataFrame, s: Series, model: str, scaler: st
     cols = numeric_columns(table, {*s.keys, s.ts, e.target})
     train = table.filter(F.col("split") == TRAIN)
     if model in BOOSTED:
-        params, cv = _tune_boosted(e, train, s, cols, candidates)
-        pred = models.predict_gbt(models.fit_gbt(train, e.target, cols, params), table.na.drop(subset=[e.target]), cols)
+        params, cv, fitted = _tune_boosted(e, train, s, cols, candidates, model)
+        pred = models.predict_gbt(fitted, table.na.drop(subset=[e.target]))
     else:
         table = with_steps(table, s, grid)
         train = table.filter(F.col("split") == TRAIN)
@@ -279,6 +286,23 @@ class Folds:
         train = d.filter((at >= F.col("train_lo")) & (at < F.col("train_hi")) & ~test).select(*names)
         return train, d.filter(test).select(*names, used.alias("__used"))
 
+    def marked(self) -> DataFrame:
+        """The rows with `__marks`: for each fold whether they train or are tested
+        in it, and one entry more that trains on all."""
+        bound = F.struct("train_lo", "train_hi", "test_lo", "test_hi", "horizons")
+        of = self.bounds.groupBy(*self.keys).agg(F.map_from_entries(F.collect_list(F.struct(F.col("fold").cast("int"), bound))).alias("__of"))
+        d, at = attach(self.rows, of, self.keys), F.col("__rn") - 1
+
+        def mark(fold: Column) -> Column:
+            b = F.try_element_at("__of", fold)
+            test = (at >= b["test_lo"]) & (at < b["test_hi"])
+            used = b["horizons"].isNull() | F.array_contains(b["horizons"], at - b["train_hi"] + 1)
+            train = (at >= b["train_lo"]) & (at < b["train_hi"])
+            return F.when(test, F.when(used, boost.TESTED).otherwise(0)).when(train, boost.TRAINED).otherwise(0).cast("tinyint")
+
+        folds = F.transform(F.sequence(F.lit(0), F.lit(self.count - 1)), mark)
+        return d.withColumn("__marks", F.concat(folds, F.array(F.lit(boost.TRAINED).cast("tinyint")))).drop("__of", "__rn")
+
     def release(self) -> None:
         self.rows.unpersist()
         self.bounds.unpersist()
@@ -303,15 +327,24 @@ def _mean_losses(e: Experiment, folds: Folds, candidates: int, loss: Callable[[i
     return means
 
 
-def _tune_boosted(e: Experiment, train: DataFrame, s: Series, cols: Sequence[str], candidates: Sequence[Mapping[str, Any]]) -> tuple[dict, float]:
+def _tune_boosted(e: Experiment, train: DataFrame, s: Series, cols: Sequence[str], candidates: Sequence[Mapping[str, Any]],
+                  model: str) -> tuple[dict, float, boost.Boosted]:
+    """All candidates on all folds and on the whole of train grow together."""
     folds = Folds.of(e, train, s)
     try:
-        means = _mean_losses(e, folds, len(candidates), lambda c, fit, test: models.predict_gbt(
-            models.fit_gbt(fit.drop("split"), e.target, cols, candidates[c]), test, cols))
+        if not folds.count:
+            raise ValueError("too few train rows for the cross-validation folds")
+        n = folds.count + 1
+        row_id = F.xxhash64(*[F.col(quoted(c)) for c in (*s.keys, s.ts)])
+        fitted, blocks = boost.fit_many(folds.marked(), e.target, cols, candidates, F.col("__marks"), n, row_id, **models.ADAPTERS[model])
+        loss = metrics.metric_of(e.metric)(F.col("actual"), F.col("predicted"))
+        rows = boost.tested(fitted, blocks, n).groupBy("model").agg(loss.alias("loss")).collect()
     finally:
         folds.release()
+    found = {c: [r["loss"] for r in rows if r["model"] // n == c and r["loss"] is not None] for c in range(len(candidates))}
+    means = {c: sum(v) / len(v) for c, v in found.items() if v}
     best = min(means, key=lambda c: (means[c], c))
-    return dict(candidates[best]), means[best]
+    return dict(candidates[best]), means[best], fitted.only(best * n + folds.count)
 
 
 def _tune_arima(e: Experiment, train: DataFrame, s: Series, cols: Sequence[str], candidates: Sequence[Mapping[str, Any]]) -> tuple[dict, float]:
