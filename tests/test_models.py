@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import arima, folds as fo, linear as ln, metrics as mt, models as md, search as se, statespace as ss
+from tidemark.operators import arima, boost as bo, folds as fo, linear as ln, metrics as mt, models as md, search as se, statespace as ss
 from tidemark.series import Series
 
 DAY = Series.of(["k"], "d")
@@ -134,6 +134,33 @@ def test_folds_are_disjoint_and_ordered(spark):
     assert fo.folds_equal(fo.series_length(d.limit(4), DAY), ["k"]).count() == 0
 
 
+@pytest.mark.parametrize("mode", [fo.EXPANDING, fo.SLIDING])
+@pytest.mark.parametrize("window, step, horizons", [(None, None, None), (12, None, [1, 3]), (None, 4, None), (12, 8, [2])])
+def test_rolling_folds_of_ragged_series(spark, mode, window, step, horizons):
+    pdf = pd.concat([frame(n=n, p=2, seed=n, keys=(k,)) for n, k in ((60, "a"), (97, "b"), (5, "c"))])
+    got = {(r.k, r.fold): r.score for r in ln.cross_validate(
+        spark_frame(spark, pdf), DAY, "y", ["x0", "x1"], [ln.candidate("ridge", 1.0)], "rolling", mode=mode, window=window, step=step,
+        horizons=horizons, scaled=True, target_units=True).collect()}
+    want = {}
+    for k, g in pdf.groupby("k"):
+        n, x, y = len(g), g[["x0", "x1"]].to_numpy(), g.y.to_numpy()
+        w, st = window or n // 6, step or n // 6
+        hs = horizons or range(1, n // 6 + 1)
+        if min(w, st) < 1 or not len(list(hs)):
+            continue
+        for fold, c in enumerate(range(w - 1, n - max(hs), st)):
+            lo = c - w + 1 if mode == fo.SLIDING else 0
+            a, b = x[lo:c + 1], y[lo:c + 1]
+            span, top = np.ptp(a, axis=0), np.ptp(b)
+            coef, base = closed_form((a - a.min(0)) / span, (b - b.min()) / top, 1.0, True)
+            test = [c + h for h in hs]
+            guess = ((x[test] - a.min(0)) / span @ coef + base) * top + b.min()
+            want[k, fold] = ((y[test] - guess) ** 2).mean()
+    assert got.keys() == want.keys() and len(want) > 5
+    for key, v in want.items():
+        assert got[key] == pytest.approx(v, rel=1e-6)
+
+
 def test_metrics_and_empty_split(spark):
     d = spark.createDataFrame([("train", 0.0, 1.0), ("train", 2.0, 1.0), ("test", 4.0, 2.0)], "split string, actual double, predicted double")
     got = {r.split: r for r in mt.evaluate(d, {"mse": "mse", "mae": "mae", "wape": "wape", "mape": "mape"}).collect()}
@@ -149,12 +176,96 @@ def test_boosted_trees_beat_the_mean(spark):
     x = rng.uniform(-2, 2, size=(1500, 2))
     pdf = pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "y": np.sin(2 * x[:, 0]) + x[:, 1] ** 2, "split": ["train"] * 1000 + ["test"] * 500})
     d = spark.createDataFrame(pdf)
-    m = md.fit_gbt(d, "y", ["a", "b"], {"max_depth": 4, "learning_rate": 0.2, "colsample_bytree": 1.0})
-    p = md.predict_gbt(m, d.filter("split = 'test'"), ["a", "b"]).toPandas()
+    m = md.fit_gbt(d, "y", ["a", "b"], {"max_depth": 4, "learning_rate": 0.5, "colsample_bytree": 1.0}, rounds=10)
+    p = md.predict_gbt(m, d.filter("split = 'test'")).toPandas()
     assert ((p.y - p.predicted) ** 2).mean() < 0.2 * p.y.var()
-    assert md.spark_params({"colsample_bytree": 0.5, "min_child_weight": 3}) == {"featureSubsetStrategy": "0.500000", "minInstancesPerNode": 3}
     with pytest.raises(ValueError):
-        md.spark_params({"reg_lambda": 1})
+        md.fit_gbt(d, "y", ["a", "b"], {"nonsense": 1})
+
+
+def plain_boost(x, y, s, use, rounds, seed_model):
+    """Trees one row at a time of thought: exhaustive cuts, best leaf first."""
+    pred = np.full(len(y), y[use].mean())
+    score = lambda g, n: max(abs(g) - s["l1"], 0) ** 2 / (n + s["l2"]) if n + s["l2"] > 0 else 0.0
+    for _ in range(rounds):
+        g = pred - y
+
+        def best(rows, depth):
+            if depth == s["depth"]:
+                return None
+            top = None
+            r = rows[use[rows]]
+            for f in range(x.shape[1]):
+                for cut in np.unique(x[r, f][~np.isnan(x[r, f])]):
+                    for miss in (True, False):
+                        left = np.where(np.isnan(x[r, f]), miss, x[r, f] <= cut)
+                        nl, nr = left.sum(), (~left).sum()
+                        if min(nl, nr) < max(1, s["least"]):
+                            continue
+                        gain = (score(g[r][left].sum(), nl) + score(g[r][~left].sum(), nr) - score(g[r].sum(), len(r))) / 2
+                        if gain > 0 and gain >= s["gain"] and (top is None or gain > top[0] + 1e-9):
+                            top = (gain, f, cut, miss)
+            return top
+
+        leaves = [(np.arange(len(y)), 0, best(np.arange(len(y)), 0))]
+        while True:
+            open_ = [k for k, leaf in enumerate(leaves) if leaf[2] is not None]
+            if not open_ or (s["leaves"] and len(leaves) >= s["leaves"]):
+                break
+            k = max(open_, key=lambda k: leaves[k][2][0])
+            rows, depth, (_, f, cut, miss) = leaves.pop(k)
+            left = np.where(np.isnan(x[rows, f]), miss, x[rows, f] <= cut)
+            for part in (rows[left], rows[~left]):
+                leaves.append((part, depth + 1, best(part, depth + 1)))
+        for rows, _, _ in leaves:
+            r = rows[use[rows]]
+            total = g[r].sum()
+            pred[rows] -= s["rate"] * np.sign(total) * max(abs(total) - s["l1"], 0) / (len(r) + s["l2"])
+    return pred
+
+
+def test_many_boosted_models_equal_plain_trees(spark, monkeypatch):
+    monkeypatch.setattr(bo, "KEPT_TREES", 2)
+    monkeypatch.setattr(bo, "BLOCK", 50)
+    rng = np.random.default_rng(7)
+    x = rng.integers(0, 12, (240, 3)).astype(float)
+    y = x[:, 0] * 2 + (x[:, 1] > 5) * 7 - x[:, 2] * x[:, 0] / 5 + rng.normal(size=240)
+    x[rng.random((240, 3)) < 0.15] = np.nan
+    fold = np.arange(240) % 3
+    d = spark.createDataFrame([(*[None if np.isnan(v) else float(v) for v in r], float(t), int(f)) for r, t, f in zip(x, y, fold)],
+                              "a double, b double, c double, y double, f int")
+    params = [{"max_depth": 3, "min_child_weight": 5, "gamma": 1.0, "lambda_l2": 1.0},
+              {"max_depth": 6, "num_leaves": 5, "min_data_in_leaf": 10, "lambda_l1": 2.0, "learning_rate": 0.1}]
+    marks = F.array(*[F.when(F.col("f") == k, bo.TESTED).otherwise(bo.TRAINED).cast("tinyint") for k in range(2)])
+    got, blocks = bo.fit_many(d, "y", ["a", "b", "c"], params, marks, 2, rounds=3)
+    monkeypatch.setattr(bo, "CELLS", 5_000)  # two waves
+    again, _ = bo.fit_many(d, "y", ["a", "b", "c"], params, marks, 2, rounds=3)
+    bins = got.binned(x)
+    for m, p in enumerate(params):
+        for f in range(2):
+            s = bo.settings(p, rounds=3)
+            want = plain_boost(x, y, s, fold != f, 3, m)
+            np.testing.assert_allclose(got.predictions(bins, 2 * m + f), want, rtol=1e-9)
+            np.testing.assert_allclose(again.predictions(bins, 2 * m + f), want, rtol=1e-9)
+    assert max((t.feature < 0).sum() for t in got.trees[2]) == 5
+    held = bo.tested(got, blocks, 2).groupBy("model").agg(F.avg(F.pow(F.col("actual") - F.col("predicted"), 2)).alias("mse")).collect()
+    assert len(held) == 4
+    for r in held:
+        test = fold == r.model % 2
+        assert r.mse == pytest.approx(((y - got.predictions(bins, r.model)) ** 2)[test].mean())
+    out = bo.predict(got, d, 3).toPandas()
+    np.testing.assert_allclose(out.predicted, got.predictions(bins, 3))
+
+
+def test_boosted_samples_rows_and_columns_by_tree(spark):
+    rng = np.random.default_rng(2)
+    d = spark.createDataFrame(pd.DataFrame({**{c: rng.normal(size=400) for c in "abcd"}, "y": rng.normal(size=400)}))
+    m = bo.fit_many(d, "y", list("abcd"), [{"subsample": 0.5, "colsample_bytree": 0.25, "max_depth": 3, "max_bin": 4}], rounds=6)[0]
+    used = [{int(f) for f in t.feature if f >= 0} for t in m.trees[0]]
+    assert all(len(u) <= 1 for u in used) and len(set().union(*used)) > 1
+    assert all(len({(int(f), int(c)) for f, c in zip(t.feature, t.cut) if f >= 0}) <= 3 for t in m.trees[0])
+    empty = bo.fit_many(d.filter("y > 100"), "y", list("abcd"), [{}], rounds=2)[0]
+    assert bo.predict(empty, d).filter("predicted <> 0").isEmpty()
 
 
 def planted_arima(seed, n=1500, d=0):

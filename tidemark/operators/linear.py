@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from tidemark.columns import attach, col, join_on, small_side
 from tidemark.operators.folds import EXPANDING, SLIDING, folds_equal, folds_plain, rolling_defaults
 from tidemark.operators.metrics import metric_of
-from tidemark.operators.ordered import number_rows, over_neighbours, running_totals
+from tidemark.operators.ordered import number_rows, running_totals
 from tidemark.series import Series
 
 KINDS = ("linear_regression", "ridge", "lasso", "elasticnet")
@@ -432,36 +432,60 @@ def _score_rows(tests: DataFrame, models: DataFrame, on: Sequence[str], keys: Se
         *keys, "candidate", "fold", "score")
 
 
+@F.pandas_udf(T.LongType())
+def _gcd(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series(np.gcd(a.to_numpy(), b.to_numpy()))
+
+
+def _sliding(blocks: DataFrame, keys: Sequence[str], kinds: Mapping[str, str]) -> DataFrame:
+    """Totals of the last `__size` blocks of a series, each with its own size.
+
+    Blocks are cut into runs of `__size`: a window is the end of one run and the
+    start of the next, so it needs one running total from either side, whatever
+    its length, and sums are never taken apart again.
+    """
+    d = blocks.withColumn("__run", F.floor(F.col("__b") / F.col("__size")))
+    run = Window.partitionBy(*[col(k) for k in keys], "__run")
+    so_far = run.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
+    to_end = run.orderBy(F.col("__b").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumns({o: _FOLD[kd](F.col(o)).over(so_far) for o, kd in kinds.items()}
+                      | {f"__e_{o}": _FOLD[kd](F.col(o)).over(to_end) for o, kd in kinds.items()})
+    ends = d.select(*[col(k) for k in keys], (F.col("__b") + F.col("__size") - 1).alias("__b"), *[f"__e_{o}" for o in kinds])
+    d = join_on(d.drop(*[f"__e_{o}" for o in kinds]), ends, [*keys, "__b"], "left")
+    whole = F.col("__b") % F.col("__size") == F.col("__size") - 1
+    both = {"sum": lambda x, y: x + y, "min": F.least, "max": F.greatest}
+    return d.withColumns({o: F.when(whole, F.col(o)).otherwise(both[kd](F.col(o), F.col(f"__e_{o}"))) for o, kd in kinds.items()}).drop(
+        "__run", "__size", *[f"__e_{o}" for o in kinds])
+
+
 def _rolling(rows, s, lengths, names, shift, candidates, window, step, horizons, mode, metric, scaled, k, target_units):
-    """Rolling-origin folds from running totals; never rows times folds."""
+    """Rolling-origin folds from running totals; never rows times folds.
+
+    Window, step and horizons that are not given follow each series' length.
+    """
     keys, p = list(s.keys), len(names)
-    if window is None or step is None or horizons is None:
-        n = lengths.agg(F.min("n"), F.max("n")).first()
-        if n[0] != n[1]:
-            raise ValueError("series differ in length: give window, step and horizons")
-        window, step = window or n[0] // (k + 1), step or n[0] // (k + 1)
-        horizons = horizons or range(1, n[0] // (k + 1) + 1)
-    horizons = sorted({int(h) for h in horizons})
-    unit = math.gcd(window, step)
+    horizons = sorted({int(h) for h in horizons}) if horizons is not None else None
+    given = lambda v: rolling_defaults(F.col("n"), k) if v is None else F.lit(v).cast("long")
+    reach = rolling_defaults(F.col("n"), k) if horizons is None else F.lit(max(horizons)).cast("long")
+    plan = lengths.withColumns({"__w": given(window), "__st": given(step), "__reach": reach}).filter("__w >= 1 AND __st >= 1")
+    plan = small_side(plan.withColumn("__unit", _gcd("__w", "__st")).withColumnRenamed("n", "__len"))
+    settings = ["__len", "__w", "__st", "__reach", "__unit"]
     parts = {o: ("sum", c) for o, c in _terms(names, shift).items()} | (_extremes(names) if scaled else {})
-    d = number_rows(rows, s, "__rn").withColumn("__b", F.floor((F.col("__rn") - 1) / unit))
-    blocks = d.groupBy(*keys, "__b").agg(F.min(s.ts).alias(s.ts), *[_FOLD[kd](c).alias(o) for o, (kd, c) in parts.items()])
+    d = attach(number_rows(rows, s, "__rn"), plan, keys).filter("__unit IS NOT NULL")
+    d = d.withColumn("__b", F.floor((F.col("__rn") - 1) / F.col("__unit")))
+    blocks = d.groupBy(*keys, "__b").agg(F.min(s.ts).alias(s.ts), *[F.first(c).alias(c) for c in settings],
+                                         *[_FOLD[kd](c).alias(o) for o, (kd, c) in parts.items()])
     kinds = {o: kd for o, (kd, _) in parts.items()}
-    size = window // unit
     if mode == EXPANDING:
         summed = running_totals(blocks, s, {o: (kd, F.col(o)) for o, kd in kinds.items()})
     else:
-        def frame(b: DataFrame, w) -> DataFrame:
-            w = w.rowsBetween(-(size - 1), 0)
-            return b.withColumns({o: _FOLD[kd](F.col(o)).over(w) for o, kd in kinds.items()})
-        summed = over_neighbours(blocks, s, size - 1, frame) if size > 1 else blocks
-    hi = (F.col("__b") + 1) * unit
-    cut = attach(summed, lengths.select(*keys, F.col("n").alias("__len")), keys).withColumn("__hi", hi)
+        summed = _sliding(blocks.withColumn("__size", (F.col("__w") / F.col("__unit")).cast("long")), keys, kinds)
+    cut = summed.withColumn("__hi", (F.col("__b") + 1) * F.col("__unit"))
     # The last block of a series may be short; a cut-off needs all its rows.
-    cut = cut.filter((F.col("__hi") >= window) & ((F.col("__hi") - window) % step == 0)
-                     & (F.col("__hi") - 1 + max(horizons) <= F.col("__len") - 1))
-    cut = cut.withColumn("fold", F.floor((F.col("__hi") - window) / step))
-    packed = _packed(cut, [*keys, "fold", "__hi"], p, scaled)
+    past = F.col("__hi") - F.col("__w")
+    cut = cut.filter((past >= 0) & (past % F.col("__st") == 0) & (F.col("__hi") + F.col("__reach") <= F.col("__len")))
+    cut = cut.withColumn("fold", F.floor(past / F.col("__st")))
+    packed = _packed(cut, [*keys, "fold", "__hi", "__reach"], p, scaled)
     at, nk = np.array(shift), len(keys)
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -470,16 +494,18 @@ def _rolling(rows, s, lengths, names, shift, candidates, window, step, horizons,
             for r in pdf.itertuples(index=False):
                 train = Moments(np.array(r.tm_m), at, np.array(r.tm_lo), np.array(r.tm_hi))
                 w, b = train.solve(candidates)
-                out += [(*r[:nk], r.fold, r[nk + 1], j, w[j], float(b[j]), *_y_scale(train, target_units)) for j in range(len(w))]
-            yield pd.DataFrame(out, columns=[*keys, "fold", "cut_row", "candidate", "coef", "intercept", "y_lo", "y_unit"])
+                out += [(*r[:nk], r.fold, r[nk + 1], r[nk + 2], j, w[j], float(b[j]), *_y_scale(train, target_units)) for j in range(len(w))]
+            yield pd.DataFrame(out, columns=[*keys, "fold", "cut_row", "reach", "candidate", "coef", "intercept", "y_lo", "y_unit"])
 
-    schema = f"{_key_schema(rows, keys)}fold long, cut_row long, candidate int, coef array<double>, intercept double, y_lo double, y_unit double"
+    schema = f"{_key_schema(rows, keys)}fold long, cut_row long, reach long, candidate int, coef array<double>, intercept double, y_lo double, y_unit double"
     models = packed.mapInPandas(fit, schema)
     cand = F.struct("candidate", "coef", "intercept", "y_lo", "y_unit")
-    per_fold = models.groupBy(*keys, "fold", "cut_row").agg(F.collect_list(cand).alias("__c"))
+    per_fold = models.groupBy(*keys, "fold", "cut_row", "reach").agg(F.collect_list(cand).alias("__c"))
     # Test rows of a fold: row number cut_row + h (rows count from 1).
-    wanted = per_fold.withColumn("__rn", F.explode(F.array(*[F.col("cut_row") + h for h in horizons])))
-    t = join_on(d.select(*keys, "__rn", *[col(c) for c in dict.fromkeys(names)]), wanted.drop("cut_row"), [*keys, "__rn"])
+    one = F.lit(1).cast("long")
+    ahead = F.sequence(one, F.col("reach")) if horizons is None else F.array(*[F.lit(h).cast("long") for h in horizons])
+    wanted = per_fold.withColumn("__rn", F.explode(F.transform(ahead, lambda h: F.col("cut_row") + h)))
+    t = join_on(d.select(*keys, "__rn", *[col(c) for c in dict.fromkeys(names)]), wanted.drop("cut_row", "reach"), [*keys, "__rn"])
     t = t.withColumn("__c", F.explode("__c"))
     scale = lambda v: (v - F.col("__c.y_lo")) / F.col("__c.y_unit")
     t = t.select(*keys, "fold", F.col("__c.candidate").alias("candidate"), scale(col(names[-1]).cast("double")).alias("y"),

@@ -8,10 +8,10 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F, types as T
 
 from tidemark.columns import attach, col
-from tidemark.session import TRAIN
+from tidemark.session import TRAIN, written
 
 # Fixed names and limits of the outlier step.
 METHODS = (None, "boxplot", "zscore", "isolationforest")
@@ -120,11 +120,18 @@ def remove_outliers(df: DataFrame, method: str | None, cols: Sequence[str], seq_
     if method is None:
         return df
     flagged = flag_outliers(df, method, cols, **options)
-    total, out = _train(flagged).agg(F.count(F.lit(1)), F.count_if("is_outlier")).first()
+    train = F.col("split") == TRAIN if "split" in df.columns else F.lit(True)
+    if method == "isolationforest":
+        # Scoring is costly: rows are scored once, and counted while they are written.
+        seen = Observation()
+        flagged = written(flagged.observe(seen, F.count_if(train).alias("total"), F.count_if(train & F.col("is_outlier")).alias("out")), "outliers")
+        total, out = seen.get["total"], seen.get["out"]
+        df = flagged.drop("is_outlier")
+    else:
+        total, out = flagged.filter(train).agg(F.count(F.lit(1)), F.count_if("is_outlier")).first()
     if not (out < MAX_REMOVED_SHARE * total and total - out > seq_len + seq_sampling):
         return df
-    dropped = F.col("is_outlier") & (F.col("split") == TRAIN) if "split" in df.columns else F.col("is_outlier")
-    return flagged.filter(~dropped).drop("is_outlier")
+    return flagged.filter(~(F.col("is_outlier") & train)).drop("is_outlier")
 
 
 def average_path(n: np.ndarray) -> np.ndarray:

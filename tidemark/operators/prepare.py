@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import datetime as dt
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from typing import Any
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidemark.columns import attach, epoch_micros, join_on, numeric_columns
+from tidemark.operators.linear import moments
 from tidemark.operators.ordered import fill, over_neighbours
 from tidemark.series import Series, require_unique
-from tidemark.session import TEST, TRAIN, VAL, cut_lineage
+from tidemark.session import TEST, TRAIN, VAL, written
 
 FILLS = ("ffill", "bfill", "backfill")
 _UNIT_MICROS = {"microsecond": 1, "millisecond": 1000, "second": 1_000_000, "minute": 60_000_000,
@@ -192,17 +194,67 @@ class MeanImputer:
         return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float(m))) for c, m in known.items()})
 
 
+# Patterns of missing columns whose moments the driver holds; more stay in a table.
+DRIVER_PATTERNS = 20_000
+Step = tuple[int, tuple[float, ...], float]
+
+
+class Patterns:
+    """Rows by which columns they lack: moments and ranges of the others, centred.
+
+    What the steps so far put into the holes of a pattern is linear in its
+    observed columns, so the moments of the filled rows follow from those of
+    the observed ones, without a look at any row.
+    """
+
+    def __init__(self, rows: Sequence[Any], means: np.ndarray):
+        p = len(means)
+        self.holes = np.array([[c == "1" for c in r["tm_pattern"]] for r in rows], bool).reshape(len(rows), p)
+        packed = np.array([r["tm_m"] for r in rows]).reshape(len(rows), -1)
+        self.moments = np.zeros((len(rows), p + 1, p + 1))
+        i, j = np.triu_indices(p)
+        self.moments[:, 0, :] = packed[:, : p + 1]
+        self.moments[:, :, 0] = packed[:, : p + 1]
+        self.moments[:, i + 1, j + 1] = self.moments[:, j + 1, i + 1] = packed[:, p + 1:]
+        self.low, self.high = (np.array([r[c] for r in rows]).reshape(-1, p) - means for c in ("tm_lo", "tm_hi"))
+        # Row k + 1 gives column k of a filled row from 1 and its observed columns; holes start at the mean.
+        self.filled = np.repeat(np.eye(p + 1)[None], len(rows), axis=0)
+        self.filled[:, 1:, 1:][self.holes] = 0.0
+
+    def apply(self, steps: Sequence[Step]) -> Patterns:
+        for j, w, b0 in steps:
+            at, rest = self.holes[:, j], [k + 1 for k in range(self.holes.shape[1]) if k != j]
+            self.filled[at, j + 1] = np.einsum("k,hkc->hc", np.array(w), self.filled[at][:, rest])
+            self.filled[at, j + 1, 0] += b0
+        return self
+
+    def gram(self, j: int) -> np.ndarray:
+        """Moments of the filled rows in which column `j` is observed."""
+        own = ~self.holes[:, j]
+        f = self.filled[own]
+        return (f @ self.moments[own] @ f.transpose(0, 2, 1)).sum(axis=0)
+
+    def moved(self, before: np.ndarray) -> float:
+        """The most that a filled value can have changed since `before`."""
+        d = self.filled - before
+        low, high = d[:, :, 1:] * self.low[:, None], d[:, :, 1:] * self.high[:, None]
+        up, down = d[:, :, 0] + np.maximum(low, high).sum(2), d[:, :, 0] + np.minimum(low, high).sum(2)
+        return float(max(np.abs(up).max(initial=0), np.abs(down).max(initial=0)))
+
+
 @dataclass(frozen=True)
 class ChainedImputer:
     """Round-robin ridge regressions of each column on the others.
 
-    Fitted on the train part. Every step is one aggregate of second moments,
-    so the driver only sees matrices the size of the column list.
+    Fitted on the train part in two passes: one for means, one for the moments
+    of each pattern of missing columns. All rounds are matrix algebra on those.
+    It stops early when no filled value can have moved by more than `tol` times
+    the largest value.
     """
 
     cols: tuple[str, ...]
     means: tuple[float, ...]
-    steps: tuple[tuple[int, tuple[float, ...], float], ...] = field(repr=False)
+    steps: tuple[Step, ...] = field(repr=False)
 
     @classmethod
     def fit(cls, df: DataFrame, cols: Sequence[str], rounds: int = 10, alpha: float = 1e-3,
@@ -215,55 +267,24 @@ class ChainedImputer:
         means, holes, scale = stats[:p], stats[p:2 * p], stats[-1]
         if any(m is None for m in means):
             raise ValueError("a column without any value cannot be imputed")
-        order = [j for j in np.argsort(holes, kind="stable") if holes[j] > 0]
+        order = [int(j) for j in np.argsort(holes, kind="stable") if holes[j] > 0]
         if not order:
             return cls(cols, tuple(means), ())
-        pairs = [(i, j) for i in range(p) for j in range(i, p)]
-        # Centred, complete rows never change; their moments are taken once.
-        full = F.lit(True)
-        for c in cols:
-            full = full & F.col(c).isNotNull()
-        moments = [F.coalesce(F.sum(F.col(f"v{i}") * F.col(f"v{j}")), F.lit(0.0)).alias(f"m{i}_{j}") for i, j in pairs]
-        firsts = [F.coalesce(F.sum(f"v{i}"), F.lit(0.0)).alias(f"s{i}") for i in range(p)]
-
-        def gram(d: DataFrame) -> np.ndarray:
-            row = d.agg(F.count(F.lit(1)).alias("n"), *firsts, *moments).first()
-            g = np.zeros((p + 1, p + 1))
-            g[0, 0] = row["n"]
-            g[0, 1:] = g[1:, 0] = [row[f"s{i}"] for i in range(p)]
-            for i, j in pairs:
-                g[i + 1, j + 1] = g[j + 1, i + 1] = row[f"m{i}_{j}"]
-            return g
-
-        centred = lambda d: d.select(*[(F.col(c) - m).alias(f"v{i}") for i, (c, m) in enumerate(zip(cols, means))])
-        known = gram(centred(train.filter(full)))
-        # Rows with holes are kept once, with a mark per hole, and refreshed per round.
-        open_rows = train.filter(~full).select(
-            *[F.coalesce(F.col(c) - m, F.lit(0.0)).alias(f"v{i}") for i, (c, m) in enumerate(zip(cols, means))],
-            *[F.col(c).isNull().alias(f"h{i}") for i, c in enumerate(cols)])
-        open_rows = cut_lineage(open_rows)
-        steps: list[tuple[int, tuple[float, ...], float]] = []
+        marks = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in cols]).alias("tm_pattern")
+        known = train.select(marks, *[F.coalesce(c, F.lit(float(m))).alias(f"tm_c{i}") for i, (c, m) in enumerate(zip(cols, means))])
+        table = written(moments(known, ["tm_pattern"], [f"tm_c{i}" for i in range(p)], [float(m) for m in means], ranges=True), "patterns")
+        at, steps = np.array(means, float), []
+        here = Patterns(table.collect(), at) if table.count() <= DRIVER_PATTERNS else None
         for _ in range(rounds):
-            change = 0.0
+            done, before = len(steps), here.filled.copy() if here else None
             for j in order:
-                g = known + gram(open_rows.filter(f"NOT h{j}")) if holes[j] else known
-                rest = [k for k in range(p) if k != j]
-                x = [k + 1 for k in rest]
-                n, sx, sy = g[0, 0], g[0, x], g[0, j + 1]
-                a = g[np.ix_(x, x)] - np.outer(sx, sx) / n + alpha * np.eye(len(x))
-                b = g[x, j + 1] - sx * sy / n
-                w = np.linalg.solve(a, b)
-                b0 = float(sy / n - w @ (sx / n))
-                steps.append((int(j), tuple(float(v) for v in w), b0))
-                guess = F.lit(b0)
-                for k, wk in zip(rest, w):
-                    guess = guess + F.col(f"v{k}") * float(wk)
-                open_rows = open_rows.withColumn(f"old{j}", F.col(f"v{j}")).withColumn(
-                    f"v{j}", F.when(F.col(f"h{j}"), guess).otherwise(F.col(f"v{j}")))
-            open_rows = cut_lineage(open_rows)
-            change = open_rows.agg(*[F.max(F.abs(F.col(f"v{j}") - F.col(f"old{j}"))) for j in order]).first()
-            open_rows = open_rows.drop(*[f"old{j}" for j in order])
-            if max(v or 0.0 for v in change) < tol * (scale or 1.0):
+                g = here.gram(j) if here else _gram_of(table, at, steps, j)
+                step = _ridge_step(g, j, alpha)
+                steps.append(step)
+                if here:
+                    here.apply([step])
+            moved = here.moved(before) if here else _moved_of(table, at, steps, done)
+            if moved < tol * (scale or 1.0):
                 break
         return cls(cols, tuple(float(m) for m in means), tuple(steps))
 
@@ -296,6 +317,39 @@ class ChainedImputer:
         return done.unionByName(open_rows)
 
 
+def _ridge_step(g: np.ndarray, j: int, alpha: float) -> Step:
+    """Regression of column `j` on the others from their moments."""
+    x = [k + 1 for k in range(len(g) - 1) if k != j]
+    n, sx, sy = g[0, 0], g[0, x], g[0, j + 1]
+    w = np.linalg.solve(g[np.ix_(x, x)] - np.outer(sx, sx) / n + alpha * np.eye(len(x)), g[x, j + 1] - sx * sy / n)
+    return j, tuple(float(v) for v in w), float(sy / n - w @ (sx / n))
+
+
+def _gram_of(table: DataFrame, means: np.ndarray, steps: Sequence[Step], j: int) -> np.ndarray:
+    """`Patterns.gram` of a table of patterns, added up in its tasks."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((len(means) + 1,) * 2)
+        for pdf in batches:
+            if len(pdf):
+                total += Patterns(pdf.to_dict("records"), means).apply(steps).gram(j)
+        yield pd.DataFrame({"g": [total.ravel()]})
+
+    rows = table.mapInPandas(run, "g array<double>").collect()
+    return sum(np.array(r["g"]) for r in rows).reshape(len(means) + 1, -1)
+
+
+def _moved_of(table: DataFrame, means: np.ndarray, steps: Sequence[Step], done: int) -> float:
+    """`Patterns.moved` of the steps from `done` on, over a table of patterns."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                some = Patterns(pdf.to_dict("records"), means).apply(steps[:done])
+                before = some.filled.copy()
+                yield pd.DataFrame({"m": [some.apply(steps[done:]).moved(before)]})
+
+    return table.mapInPandas(run, "m double").agg(F.max("m")).first()[0] or 0.0
+
+
 def impute(df: DataFrame, how: object, s: Series, target: str, cols: Sequence[str] | None = None, rounds: int = 10) -> DataFrame:
     """Impute by name (`ffill`, `bfill`, `backfill`, `mean`, `iterative`, None) or
     with a `pyspark.ml` estimator, which is fitted on the train part."""

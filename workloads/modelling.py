@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import arima, features as ft, folds as fo, linear as ln, metrics as mt, models as md, prepare as pr, search as se
+from tidemark.operators import arima, boost as bo, features as ft, folds as fo, linear as ln, metrics as mt, models as md, prepare as pr, search as se
 from tidemark.operators.ordered import add_lags, number_rows
 from tidemark.series import Series
 from workloads import fixtures as fx
@@ -255,12 +255,81 @@ def k14(spark, sf):
 # --- boosted trees and autoregression: rows only
 
 
+_RAGGED = """
+WITH r AS (SELECT user_id, d, n, v, row_number() OVER (PARTITION BY user_id ORDER BY d) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS len FROM (
+  SELECT user_id, CAST(ts AS DATE) AS d, CAST(count(*) AS DOUBLE) AS n, round(sum(value), 2) AS v FROM events GROUP BY 1, 2)),
+f AS (SELECT user_id, len, len // 6 AS w, unnest(range(len)) AS fold FROM (SELECT DISTINCT user_id, len FROM r) WHERE len // 6 >= 1),
+c AS (SELECT * FROM f WHERE w + fold * w + w <= len),
+m AS (SELECT c.user_id, fold, w, w + fold * w AS hi, avg(v) AS my, avg(n) AS mx, sum(n * v) - sum(n) * sum(v) / count(*) AS sxy,
+             sum(n * n) - sum(n) * sum(n) / count(*) AS sxx
+      FROM c JOIN r ON r.user_id = c.user_id AND i < w + fold * w AND i >= LOW GROUP BY 1, 2, 3)
+SELECT m.user_id, fold, count(*) AS rows, round(avg(pow(v - my - sxy / (sxx + 1) * (n - mx), 2)), 1) AS score
+FROM m JOIN r ON r.user_id = m.user_id AND i >= hi AND i < hi + w GROUP BY 1, 2"""
+
+
+def _ragged(spark, sf, mode):
+    d = table(spark, sf, "events").groupBy("user_id", F.to_date("ts").alias("d")).agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.round(F.sum("value"), 2).alias("v"))
+    s = Series.of(["user_id"], "d")
+    scores = ln.cross_validate(d, s, "v", ["n"], [ln.candidate("ridge", 1.0)], "rolling", mode=mode, target_units=True)
+    width = F.floor(F.count(F.lit(1)) / 6).alias("rows")
+    return flat(scores.join(d.groupBy("user_id").agg(width), "user_id").select("user_id", "fold", "rows", "score"), 1)
+
+
+@query("k9_rolling_ragged", _RAGGED.replace("LOW", "0"))
+def k9r(spark, sf):
+    """Series of different lengths: each has its own window, step and horizons."""
+    return _ragged(spark, sf, fo.EXPANDING)
+
+
+@query("k9_rolling_ragged_sliding", _RAGGED.replace("LOW", "fold * w"))
+def k9rs(spark, sf):
+    return _ragged(spark, sf, fo.SLIDING)
+
+
+_ITEMS = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+# Every cut between two values of a column, with the halved gain of squared error.
+_CUTS = """
+WITH t AS (SELECT *, l_extendedprice - avg(l_extendedprice) OVER () AS r FROM lineitem WHERE l_shipdate < TIMESTAMP '1999-06-01'),
+x AS (""" + " UNION ALL ".join(f"SELECT {i} AS f, CAST({c} AS DOUBLE) AS x, r FROM t" for i, c in enumerate(_ITEMS)) + """),
+v AS (SELECT f, x, sum(r) AS g, count(*) AS n FROM x GROUP BY 1, 2),
+c AS (SELECT f, x, sum(g) OVER w AS gl, sum(n) OVER w AS nl, sum(g) OVER (PARTITION BY f) AS ga, sum(n) OVER (PARTITION BY f) AS na,
+             row_number() OVER (PARTITION BY f ORDER BY x DESC) AS back FROM v WINDOW w AS (PARTITION BY f ORDER BY x)),
+s AS (SELECT f, x, nl, na, (gl * gl / (nl + 1) + (ga - gl) * (ga - gl) / (na - nl + 1) - ga * ga / (na + 1)) / 2 AS gain FROM c WHERE back > 1)"""
+
+
+@query("k4_first_cut", _CUTS + """
+SELECT f AS feature, x AS upper, CAST(nl AS BIGINT) AS rows_left, CAST(na AS BIGINT) AS rows_all, round(gain / 1e6, 2) AS gain FROM s ORDER BY gain DESC, f LIMIT 1""")
+def k4f(spark, sf):
+    d = pr.split(table(spark, sf, "lineitem"), "l_shipdate", "1999-06-01", "2000-06-01").filter("split = 'train'")
+    m, blocks = bo.fit_many(d, "l_extendedprice", _ITEMS, [{"max_depth": 1, "lambda_l2": 1.0}], rounds=0)
+    wave = bo.Wave(m, [bo.settings({"max_depth": 1, "lambda_l2": 1.0})], [0], [[]])
+    first = bo.first_cuts(blocks, wave)
+    upper = F.element_at(F.array(*[F.array(*[F.lit(float(v)) for v in e]) for e in m.edges]), F.col("feature") + 1)
+    return flat(first.select("feature", F.element_at(upper, F.col("cut") + 1).alias("upper"), F.col("n_left").alias("rows_left"),
+                             F.col("n_all").alias("rows_all"), F.round(F.col("gain") / 1e6, 2).alias("gain")))
+
+
+@query("k4_stump_losses", _CUTS + """
+, b AS (SELECT f, x FROM s ORDER BY gain DESC, f LIMIT 1),
+m AS (SELECT avg(l_extendedprice) AS base FROM lineitem WHERE l_shipdate < TIMESTAMP '1999-06-01'),
+d AS (SELECT CASE WHEN l_shipdate < TIMESTAMP '1999-06-01' THEN 'train' WHEN l_shipdate < TIMESTAMP '2000-06-01' THEN 'val' ELSE 'test' END AS split,
+             l_extendedprice AS y, CASE f WHEN 0 THEN l_quantity WHEN 1 THEN l_discount WHEN 2 THEN l_tax ELSE l_linenumber END <= x AS lefts
+      FROM lineitem, b),
+l AS (SELECT lefts, sum(y - base) / (count(*) + 1) AS step FROM d, m WHERE split = 'train' GROUP BY 1)
+SELECT split, count(*) AS rows, round(avg(pow(y - base - 0.5 * step, 2)) / 1e6, 2) AS mse FROM d JOIN l USING (lefts), m GROUP BY 1""")
+def k4s(spark, sf):
+    d = pr.split(table(spark, sf, "lineitem"), "l_shipdate", "1999-06-01", "2000-06-01")
+    m = md.fit_gbt(d, "l_extendedprice", _ITEMS, {"max_depth": 1, "lambda_l2": 1.0, "learning_rate": 0.5}, rounds=1)
+    p = md.predict_gbt(m, d).select("split", F.col("l_extendedprice").alias("actual"), "predicted")
+    return flat(mt.evaluate(p, {"mse": "mse"}).withColumn("mse", F.round(F.col("mse") / 1e6, 2)))
+
+
 @query("k4_boosted_trees")
 def k4(spark, sf):
     d = pr.split(table(spark, sf, "lineitem"), "l_shipdate", "1999-06-01", "2000-06-01")
-    cols = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
-    m = md.fit_gbt(d, "l_extendedprice", cols, {"max_depth": 4, "subsample": 0.8}, rounds=10)
-    p = md.predict_gbt(m, d, cols)
+    m = md.fit_gbt(d, "l_extendedprice", _ITEMS, {"max_depth": 4, "subsample": 0.8}, rounds=10)
+    p = md.predict_gbt(m, d)
     return flat(mt.evaluate(p.select("split", F.col("l_extendedprice").alias("actual"), "predicted"), {"mse": "mse", "mae": "mae"}))
 
 

@@ -155,44 +155,30 @@ def i1o(spark, sf):
 
 _TIMELESS = """
 WITH e AS (SELECT o_custkey AS k, CASE WHEN o_orderkey % 5 = 0 AND o_orderkey = (SELECT min(o_orderkey) FROM orders o WHERE o.o_custkey = p.o_custkey)
-                  THEN NULL ELSE CAST(o_orderdate AS DATE) END AS d, count(*) AS n FROM orders p WHERE o_custkey % 3 = 0 GROUP BY 1, 2),
+                  THEN NULL ELSE CAST(o_orderdate AS DATE) END AS d, count(*) AS n FROM orders p GROUP BY 1, 2),
 r AS (SELECT k, min(d) AS lo, max(d) AS hi FROM e GROUP BY 1 HAVING min(d) IS NOT NULL),
 g AS (SELECT k, CAST(unnest(generate_series(lo, hi, INTERVAL 30 DAY)) AS DATE) AS d FROM r)
 SELECT k, CAST(d AS VARCHAR) AS d, n FROM e UNION ALL
 SELECT k, CAST(d AS VARCHAR), 0 FROM g WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.k = g.k AND e.d = g.d)"""
 
 
-_TIMELESS_ALL = _TIMELESS.replace(" WHERE o_custkey % 3 = 0 GROUP", " GROUP")
-
-
-def _timeless(spark, sf, slice_micros, customers="o_custkey % 3 = 0"):
-    p = table(spark, sf, "orders").filter(customers)
+def _timeless(spark, sf, slice_micros):
+    p = table(spark, sf, "orders")
     first = F.col("o_orderkey") == F.min("o_orderkey").over(Window.partitionBy("o_custkey"))
     d = F.when(~((F.col("o_orderkey") % 5 == 0) & first), F.col("o_orderdate").cast("date"))
     e = p.select(F.col("o_custkey").alias("k"), d.alias("d")).groupBy("k", "d").agg(F.count(F.lit(1)).alias("n"))
     return flat(pr.fill_gaps(e, Series(("k",), "d", slice_micros), "n", "30 days", 0))
 
 
-@query("i1_gap_fill_timeless_rows", _TIMELESS)
-def i1t(spark, sf):
+@query("i1_gap_fill_timeless_rows_all", _TIMELESS)
+def i1ta(spark, sf):
     """Rows without a timestamp stay and bound no gap."""
     return _timeless(spark, sf, None)
 
 
-@query("i1_gap_fill_timeless_rows_sliced", _TIMELESS)
-def i1s(spark, sf):
-    return _timeless(spark, sf, 100 * 86_400_000_000)
-
-
-@query("i1_gap_fill_timeless_rows_all", _TIMELESS_ALL)
-def i1ta(spark, sf):
-    """Over all orders."""
-    return _timeless(spark, sf, None, "true")
-
-
-@query("i1_gap_fill_timeless_rows_all_sliced", _TIMELESS_ALL)
+@query("i1_gap_fill_timeless_rows_all_sliced", _TIMELESS)
 def i1sa(spark, sf):
-    return _timeless(spark, sf, 100 * 86_400_000_000, "true")
+    return _timeless(spark, sf, 100 * 86_400_000_000)
 
 
 @query("i2_split", ctes("daily_orders") + """
@@ -236,6 +222,22 @@ def i5(spark, sf):
     return flat(pr.impute(d, "mean", TYPE_DAY, "v", ["v", "a"]).select("event_type", "d", "split", "v", "a"))
 
 
+@query("i6_impute_one_column", """
+WITH x AS (SELECT l_orderkey, l_linenumber, l_quantity AS q, CASE WHEN l_orderkey % 7 <> 0 THEN l_extendedprice END AS p,
+                  CASE WHEN l_shipdate < DATE '2000-01-01' THEN 'train' WHEN l_shipdate < DATE '2001-01-01' THEN 'val' ELSE 'test' END AS split FROM lineitem),
+m AS (SELECT avg(p) AS mp, avg(q) AS mq FROM x WHERE split = 'train'),
+s AS (SELECT count(*) AS n, sum(q - mq) AS sx, sum(p - mp) AS sy, sum((q - mq) * (q - mq)) AS sxx, sum((q - mq) * (p - mp)) AS sxy
+      FROM x, m WHERE split = 'train' AND p IS NOT NULL),
+w AS (SELECT (sxy - sx * sy / n) / (sxx - sx * sx / n + 1e-3) AS w, n, sx, sy FROM s)
+SELECT l_orderkey, l_linenumber, split, round(coalesce(p, mp + (sy - w * sx) / n + w * (q - mq)), 4) AS price, round(q, 4) AS quantity FROM x, m, w""")
+def i6o(spark, sf):
+    """One column with holes: the chained regressions are a single one."""
+    li = table(spark, sf, "lineitem").withColumns({
+        "price": F.when(F.col("l_orderkey") % 7 != 0, F.col("l_extendedprice")), "quantity": F.col("l_quantity")})
+    d = pr.split(li, "l_shipdate", "2000-01-01", "2001-01-01").select("l_orderkey", "l_linenumber", "split", "price", "quantity")
+    return flat(pr.impute(d, "iterative", Series.of((), "l_shipdate"), "price", ["price", "quantity"]), 4)
+
+
 @query("i6_impute_chained")
 def i6(spark, sf):
     li = table(spark, sf, "lineitem").withColumns({
@@ -413,6 +415,18 @@ def j8(spark, sf):
                                    id_cols=["l_orderkey", "l_linenumber", "l_partkey"]), 4)
 
 
+@query("j8_planted_recall", _PLANTED + """
+, m AS (SELECT max(price) AS most FROM x WHERE l_orderkey % 97 <> 0)
+SELECT l_returnflag, count(*) AS planted, count(*) AS found FROM x, m WHERE price > most GROUP BY 1""")
+def j8r(spark, sf):
+    """Every row whose planted price is above all others is told apart."""
+    d = planted(spark, sf)
+    most = d.filter(F.col("l_orderkey") % 97 != 0).select(F.max("price").alias("most"))
+    marked = ol.flag_outliers(d, "isolationforest", ["price"], id_cols=["l_orderkey", "l_linenumber", "l_partkey"])
+    far = marked.filter(F.col("price") > most.scalar())
+    return flat(far.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("planted"), F.count_if("is_outlier").alias("found")))
+
+
 @query("j9_flag_outliers", _PLANTED + """
 , q AS (SELECT quantile_cont(price, 0.25) AS a, quantile_cont(price, 0.75) AS b, quantile_cont(l_quantity, 0.25) AS c, quantile_cont(l_quantity, 0.75) AS e FROM x)
 SELECT l_orderkey, l_linenumber, l_partkey, CAST(price < a - 1.5 * (b - a) OR price > b + 1.5 * (b - a) OR l_quantity < c - 1.5 * (e - c) OR l_quantity > e + 1.5 * (e - c) AS BIGINT) AS is_outlier FROM x, q""")
