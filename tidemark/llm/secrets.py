@@ -30,9 +30,11 @@ from tidemark.llm.tables import packed_row, written
 # Kinds in the order of equal starts: pattern, and the group and least length that a match must have.
 KINDS = {
     "assign": (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
-    "access": (r"AKIA[A-Z0-9]+", 0, 20),
-    "hex": (r"[0-9a-f]+", 0, 24),
+    "access": (r"AKIA[A-Z0-9]{16,}", 0, 20),
+    "hex": (r"[0-9a-f]{24,}", 0, 24),
 }
+# Matches whose places are worked out together.
+MATCH_BLOCK = 256
 FOUND = "random"
 SYMBOLS = "[A-Za-z0-9+/_=-]"
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -63,9 +65,17 @@ def _matches(text: Column, pattern: str, group: int) -> Column:
         one = F.array(F.struct(start.cast("bigint").alias("start"), end.cast("bigint").alias("end"), x["g"].alias("s")))
         return F.struct(end.cast("bigint").alias("at"), F.concat(acc["out"], one).alias("out"))
 
-    # The last gap follows the last match and has none.
-    steps = F.slice(zipped, 1, F.greatest(F.size(gaps) - 1, F.lit(0)))
-    return F.aggregate(steps, F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out")), step, lambda a: a["out"])
+    # The last gap follows the last match and has none. Appending copies what is
+    # there, so matches are gathered in blocks and only blocks are appended.
+    count, empty = F.size(gaps) - 1, F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out"))
+
+    def block(acc: Column, b: Column) -> Column:
+        first = F.struct(acc["at"].alias("at"), none.alias("out"))
+        some = F.aggregate(F.slice(zipped, b * MATCH_BLOCK + 1, F.least(F.lit(MATCH_BLOCK), count - b * MATCH_BLOCK)), first, step)
+        return F.struct(some["at"].alias("at"), F.concat(acc["out"], some["out"]).alias("out"))
+
+    blocks = F.sequence(F.lit(0), F.floor((F.greatest(count, F.lit(1)) - 1) / MATCH_BLOCK).cast("int"))
+    return F.when(count > 0, F.aggregate(blocks, empty, block, lambda a: a["out"])).otherwise(none)
 
 
 def base_spans(text: Column) -> Column:
