@@ -82,10 +82,13 @@ def shipment_arrivals(t: Mapping[str, DataFrame], as_of: str, years: int = 2) ->
     # and sums of all items, side by side.
     lines = lines.withColumn("__kept", F.when(eligible, F.col("qty")))
     names = [f"Type_{k}_Units" for k in CARTON_TYPES] + ["No_Type_Units"]
+    # What depends on the shipment only rides along: its tables are joined once.
+    attributes = ["warehouseid", "warehousename", "created", "breakbulk"]
     by_level = lines.groupBy("spoid", "servicelevel").agg(
         *conditional_sums("qty", "cartontype", CARTON_TYPES),
         *conditional_sums("__kept", "cartontype", CARTON_TYPES, "__kept_Type_{}_Units", "__kept_No_Type_Units"),
-        F.sum("__kept").alias("__kept_units"), F.count("__kept").alias("__kept_items"))
+        F.sum("__kept").alias("__kept_units"), F.count("__kept").alias("__kept_items"),
+        *[F.any_value(c).alias(c) for c in attributes])
     both = by_level.join(arrivals(t["report"]), "spoid")
     # A shipment with any eligible item counts only those; the others count all
     # items. A shipment has few service levels, so this window is short.
@@ -95,10 +98,9 @@ def shipment_arrivals(t: Mapping[str, DataFrame], as_of: str, years: int = 2) ->
     both = both.select(
         "spoid", "servicelevel", "arrivaldate",
         pick(F.coalesce("arrived", "__kept_units"), F.col("arrived")).alias("Total_units"),
-        *[pick(F.col(f"__kept_{c}"), F.col(c)).alias(c) for c in names])
+        *[pick(F.col(f"__kept_{c}"), F.col(c)).alias(c) for c in names], *attributes)
     # Each (shipment, level) appears once, so no distinct is needed.
-    attributes = head.select("spoid", "warehouseid", "warehousename", "created", "breakbulk")
-    out = both.join(attributes, "spoid").join(journeys(t["journey"]), "spoid", "left")
+    out = both.join(journeys(t["journey"]), "spoid", "left")
     return out.withColumnsRenamed({
         "warehouseid": "Original_WH", "warehousename": "Original_WH_Name", "Origin": "OriginPortCode",
         "Destination": "DestinationPortCode", "created": "DateEntered"})
