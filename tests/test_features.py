@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.ml.feature import Imputer
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tidemark.operators import aggregate as ag, clean, features as ft, outliers as ol, prepare as pr
 from tidemark.series import Series
@@ -76,6 +76,14 @@ def test_imputers_by_name_and_estimator(spark):
         pr.impute(d, "nearest", Series.of((), "v"), "v")
 
 
+def test_many_rare_values_stay_a_table_whatever_the_limit(spark):
+    n = ft.MOST_LISTED + 1
+    d = spark.range(2 * n).select(F.when(F.col("id") < n, F.concat(F.lit("r"), F.col("id"))).when(F.col("id") > n, "hot").alias("c"))
+    enc = ft.OneHot.fit(d, ["c"], 0.01, max_listed=10**9)
+    assert isinstance(enc.rare["c"], DataFrame) and enc.names() == ["c_hot", "c_infrequent_val"]
+    assert tuple(enc.transform(d).agg(F.sum("c_hot"), F.sum("c_infrequent_val"), F.count(F.lit(1))).first()) == (n - 1, n + 1, 2 * n)
+
+
 def test_one_hot_rules(spark):
     rows = [("train", "x")] * 6 + [("train", "y")] * 3 + [("train", "z")] + [("train", None)] * 5 + [("test", v) for v in ("x", "z", "new", None)]
     d = spark.createDataFrame(rows, "split string, c string")

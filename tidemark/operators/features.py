@@ -13,6 +13,8 @@ from tidemark.session import TRAIN
 
 # Label of the column that gathers rare categories, and of the missing category.
 INFREQUENT, NO_VALUE = "infrequent_val", "None"
+# Rare values of a column that the driver lists at most, whatever limit a caller gives.
+MOST_LISTED = 10_000
 
 
 def apply_features(df: DataFrame, s: Series, hook: Callable[[Mapping, DataFrame, Series], DataFrame],
@@ -34,8 +36,9 @@ class OneHot:
     `1/min_frequency` values per column can pass a fractional threshold, so
     this list is short however many values the data has. Rare values share
     `{col}_infrequent_val`; they stay a table and are only looked up when they
-    are too many to list. `rare_missing` names the columns whose missing value
-    is rare; it is kept beside such tables, which hold no NULL.
+    are too many to list (`max_listed`, `MOST_LISTED` at most). `rare_missing`
+    names the columns whose missing value is rare; it is kept beside such
+    tables, which hold no NULL.
     """
 
     frequent: Mapping[str, tuple[str | None, ...]]
@@ -70,6 +73,7 @@ class OneHot:
             max_columns: int | None = None, max_listed: int = 2_000) -> OneHot:
         if not cols:
             return cls({}, {})
+        max_listed = min(max_listed, MOST_LISTED)
         train = df.filter(F.col("split") == TRAIN) if "split" in df.columns else df
         counts = category_counts(train, cols).persist()
         try:
