@@ -78,6 +78,18 @@ def test_probabilities_sum_to_one(spark):
     assert ds.nb_params(d).filter("nb_p IS NULL").count() == 2
 
 
+def test_variance_equal_to_the_mean_is_no_overdispersion(spark):
+    # Their deviation, rounded and squared, is above 2.5; both moments are 2.5.
+    even = [3, 5, 1, 2, 2, 1, 7, 1, 1, 4, 2, 2, 1, 1, 2, 4, 5, 4, 1, 3, 4, 2, 2, 2, 2, 1]
+    rows = [("even", n) for n in even] + [("back", n) for n in even[::-1]] + [("over", n) for n in [*even, 8]] + [("one", 3)]
+    rows += [("large", n * 10**15 + 1) for n in (1, 2, 4)]
+    m = ds.count_moments(spark.createDataFrame(rows, "k string, n long").repartition(5), ["k"], "n")
+    got = {r.k: r for r in ds.nb_params(m, var="var").collect()}
+    assert (got["even"].mean, got["even"].var) == (got["back"].mean, got["back"].var) == (2.5, 2.5)
+    assert {k for k, r in got.items() if r.nb_p is None} == {"even", "back", "one"} and got["one"].std is None
+    assert got["large"].var == pytest.approx(7e30 / 3, rel=1e-15)
+
+
 def test_row_wise_operators_on_a_stream(spark, tmp_path):
     spark.range(20).select(F.expr("date_add(DATE'2024-01-01', int(id))").alias("date"), F.col("id").alias("q")).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("date date, q long").parquet(str(tmp_path / "in"))

@@ -38,9 +38,28 @@ def js_divergence_rows(df: DataFrame, dist: str, classes: Sequence[str], out: st
     return df.withColumn(out, sum(terms[1:], terms[0]))
 
 
-def nb_params(df: DataFrame, mean: str = "mean", std: str = "std") -> DataFrame:
-    """Negative-binomial `nb_p`, `nb_n` from moments; NULL unless variance > mean."""
-    mu, var = F.col(mean), F.col(std) * F.col(std)
+def count_moments(df: DataFrame, keys: Sequence[str], count: str) -> DataFrame:
+    """`mean`, `std` and `var` (sample moments) of whole numbers per group.
+
+    They come from whole sums, so equal fractions are equal numbers and the order
+    of rows changes nothing; `std` and `var` are NULL for a single row.
+    """
+    n = F.col(count).cast("decimal(19,0)")
+    d = df.filter(n.isNotNull()).groupBy(*keys).agg(
+        F.count(F.lit(1)).cast("decimal(19,0)").alias("__k"), F.sum(n).alias("__s"), F.sum(n * n).alias("__q"))
+    k, s, q = F.col("__k"), F.col("__s"), F.col("__q")
+    real = lambda c: c.cast("double")
+    return d.withColumn("var", F.when(k > 1, real(k * q - s * s) / real(k * (k - 1)))).select(
+        *keys, (real(s) / real(k)).alias("mean"), F.sqrt("var").alias("std"), "var")
+
+
+def nb_params(df: DataFrame, mean: str = "mean", std: str = "std", var: str | None = None) -> DataFrame:
+    """Negative-binomial `nb_p`, `nb_n` from moments; NULL unless variance > mean.
+
+    The square of a rounded deviation can pass a mean that the variance equals:
+    give the variance itself as `var` (see `count_moments`) where that matters.
+    """
+    mu, var = F.col(mean), F.col(var) if var else F.col(std) * F.col(std)
     ok = (var > mu) & (mu > 0)
     return df.withColumns({"nb_p": F.when(ok, mu / var), "nb_n": F.when(ok, mu * mu / (var - mu))})
 

@@ -56,12 +56,12 @@ nb AS (SELECT *, CASE WHEN std * std > mean THEN mean / (std * std) END AS p, CA
 
 def moments(spark, sf):
     c = table(spark, sf, "events").groupBy("user_id", F.to_date("ts").alias("d")).agg(F.count(F.lit(1)).alias("n"))
-    return c.groupBy("user_id").agg(F.avg("n").alias("mean"), F.stddev_samp("n").alias("std"))
+    return ds.count_moments(c, ["user_id"], "n")
 
 
 @query("l4_nb_params", _MOMENTS + " SELECT user_id, round(p, 6) AS nb_p, CAST(CASE WHEN k IS NULL THEN 0 ELSE 1 END AS BIGINT) AS known FROM nb")
 def l4(spark, sf):
-    d = ds.nb_params(moments(spark, sf))
+    d = ds.nb_params(moments(spark, sf), var="var")
     return flat(d.select("user_id", "nb_p", F.col("nb_n").isNotNull().alias("known")))
 
 
