@@ -88,6 +88,8 @@ def test_variance_equal_to_the_mean_is_no_overdispersion(spark):
     assert (got["even"].mean, got["even"].var) == (got["back"].mean, got["back"].var) == (2.5, 2.5)
     assert {k for k, r in got.items() if r.nb_p is None} == {"even", "back", "one"} and got["one"].std is None
     assert got["large"].var == pytest.approx(7e30 / 3, rel=1e-15)
+    p = ds.nb_probabilities(m.filter("k <> 'large'"), ["k"], 3, var="var")
+    assert {r.k for r in p.select("k").distinct().collect()} == {"over"}
 
 
 def test_row_wise_operators_on_a_stream(spark, tmp_path):

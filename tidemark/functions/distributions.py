@@ -77,14 +77,15 @@ def _normalised(df: DataFrame, keys: Sequence[str], log_weight: str) -> DataFram
     return d.withColumn("prob", F.col("__w") / F.sum("__w").over(all_rows)).select(*keys, "support", "prob")
 
 
-def nb_probabilities(df: DataFrame, keys: Sequence[str], spread: float, mean: str = "mean", std: str = "std") -> DataFrame:
+def nb_probabilities(df: DataFrame, keys: Sequence[str], spread: float, mean: str = "mean", std: str = "std",
+                     var: str | None = None) -> DataFrame:
     """Negative-binomial shares on the integers within `spread` deviations.
 
     `keys` identify one distribution. Shares are normalised over the support,
     so only ratios of neighbouring probabilities are needed:
     pmf(k)/pmf(k-1) = (n+k-1)/k · (1-p).
     """
-    d = _support(nb_params(df, mean, std).filter("nb_p IS NOT NULL"), mean, std, spread)
+    d = _support(nb_params(df, mean, std, var).filter("nb_p IS NOT NULL"), mean, std, spread)
     w = Window.partitionBy(*keys).orderBy("support")
     k = F.col("support")
     step = F.when(F.lag("support").over(w).isNull(), F.lit(0.0)).otherwise(

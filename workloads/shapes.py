@@ -72,7 +72,7 @@ _SUPPORT = ", s AS (SELECT *, unnest(generate_series(CAST(greatest(floor(mean -
 q AS (SELECT *, exp(lgamma(k + support) - lgamma(support + 1) - lgamma(k) + k * ln(p) + support * ln(1 - p)) AS pmf FROM s)
 SELECT user_id, support, round(pmf / sum(pmf) OVER (PARTITION BY user_id), 5) AS prob FROM q""")
 def l5(spark, sf):
-    return flat(ds.nb_probabilities(moments(spark, sf), ["user_id"], 3), 5)
+    return flat(ds.nb_probabilities(moments(spark, sf), ["user_id"], 3, var="var"), 5)
 
 
 @query("l6_norm_probabilities", _MOMENTS + _SUPPORT + """ WHERE std > 0),
