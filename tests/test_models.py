@@ -62,6 +62,22 @@ def test_absolute_penalty_satisfies_optimality():
         assert (np.abs(slope[~on]) <= a * r + 1e-8).all()
 
 
+@pytest.mark.parametrize("unit", [1e5, 1e7])
+def test_light_penalty_on_dependent_columns_satisfies_optimality(unit):
+    # Full sets of indicators sum to a constant; against such a target the penalty is tiny.
+    k = np.arange(200)
+    x = np.column_stack([np.eye(5)[k % 5], np.eye(4)[(k // 30) % 4], np.ones(200)])
+    y = unit * (k % 5 + np.sin(k))
+    x, y = x - x.mean(0), y - y.mean()
+    g, q = x.T @ x, x.T @ y
+    alpha, l1 = np.array([1.0, 3.9, 0.1]), np.array([1.0, 1.0, 0.9])
+    for w, a, r in zip(ln.solve_all(g, q, 200, alpha, l1), alpha, l1):
+        slope = (q - g @ w) / 200 - a * (1 - r) * w
+        on = w != 0
+        np.testing.assert_allclose(slope[on], a * r * np.sign(w[on]), atol=1e-3 * a)
+        assert (np.abs(slope[~on]) <= a * r + 1e-3 * a).all()
+
+
 def test_singular_columns_still_predict(spark):
     pdf = frame(keys=("a",))
     pdf["x2"] = pdf["x0"] + pdf["x1"]
