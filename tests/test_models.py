@@ -273,6 +273,33 @@ def test_many_boosted_models_equal_plain_trees(spark, monkeypatch):
     np.testing.assert_allclose(out.predicted, got.predictions(bins, 3))
 
 
+@pytest.mark.parametrize("depth", [0, 1, 4, 6, 8])
+def test_rows_reach_the_leaf_that_a_walk_reaches(depth, monkeypatch):
+    rng = np.random.default_rng(depth)
+    n, bins = 2 ** (depth + 1) - 1, rng.integers(0, 30, (500, 3)).astype(np.uint16)
+    feature = np.where(np.arange(n) < n // 2, rng.integers(0, 3, n), -1)
+    t = bo.Tree(feature, rng.integers(0, 28, n), rng.random(n) < 0.5, rng.normal(size=n), 2 * np.arange(n) + 1, 1 + np.arange(n))
+    want = []
+    for b in bins:
+        k = 0
+        while t.feature[k] >= 0:
+            v = int(b[t.feature[k]]) - 1
+            k = t.left[k] + (not (t.missing_left[k] if v < 0 else v <= t.cut[k]))
+        want.append(k)
+    assert t.nodes(bins).tolist() == want and t.nodes(bins[:0]).shape == (0,)
+    # Trees of few leaves are looked up, not walked.
+    assert ("masks" in vars(t)) == (depth <= 6)
+
+
+def test_rows_are_not_written_again_after_the_last_tree(spark, monkeypatch):
+    stages, write = [], bo.written
+    monkeypatch.setattr(bo, "written", lambda d, name: stages.append(name) or write(d, name))
+    monkeypatch.setattr(bo, "KEPT_TREES", 2)
+    d = spark.range(50).select(F.col("id").cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("y"))
+    models, _ = bo.fit_many(d, "y", ["a"], [{"max_depth": 1}], rounds=4)
+    assert len(models.trees[0]) == 4 and len(stages) == 2
+
+
 def test_boosted_samples_rows_and_columns_by_tree(spark):
     rng = np.random.default_rng(2)
     d = spark.createDataFrame(pd.DataFrame({**{c: rng.normal(size=400) for c in "abcd"}, "y": rng.normal(size=400)}))

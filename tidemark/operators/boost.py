@@ -19,6 +19,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import cached_property, reduce
 from typing import Any
 
 import numpy as np
@@ -32,6 +33,8 @@ from tidemark.operators.linear import complete_rows
 from tidemark.session import written
 
 BLOCK = 4096
+# Leaves of a tree that fit a word.
+BITS = 64
 KEPT_TREES = 10
 # Cells (model, node, feature, bin) that one pass of one wave of models may fill.
 CELLS = 4_000_000
@@ -80,8 +83,37 @@ class Tree:
     left: np.ndarray
     heap: np.ndarray
 
+    @cached_property
+    def masks(self) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+        """The leaves, and for each feature cut the leaves that a value's bin leaves
+        open, as bits (Lucchese et al. 2015); of at most `BITS` leaves."""
+        leaves = np.flatnonzero(self.feature < 0)
+        under = [0] * len(self.feature)
+        for i, k in enumerate(leaves):
+            under[k] = 1 << i
+        inner = np.flatnonzero(self.feature >= 0)
+        for k in inner[::-1]:
+            under[k] = under[self.left[k]] | under[self.left[k] + 1]
+        tables = []
+        for f in np.unique(self.feature[inner]):
+            mine = inner[self.feature[inner] == f]
+            bins = np.arange(-1, self.cut[mine].max() + 2)
+            open_ = np.full(len(bins), under[0], np.uint64)
+            for k in mine:
+                left = np.where(bins < 0, self.missing_left[k], bins <= self.cut[k])
+                open_ &= np.where(left, np.uint64(under[0] ^ under[self.left[k] + 1]), np.uint64(under[0] ^ under[self.left[k]]))
+            tables.append((int(f), open_))
+        return leaves, tables
+
     def nodes(self, bins: np.ndarray) -> np.ndarray:
         """The leaf of each row."""
+        if len(self.feature) < 2 * BITS:
+            leaves, tables = self.masks
+            if not tables:
+                return np.zeros(len(bins), np.int64)
+            # One leaf is open in all of them, so its bit is a power of two.
+            found = reduce(np.bitwise_and, (t.take(bins[:, f], mode="clip") for f, t in tables))
+            return leaves.take(np.frexp(found.astype(float))[1] - 1)
         at, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
         while True:
             f = self.feature[at]
@@ -134,8 +166,8 @@ def bin_edges(df: DataFrame, cols: Sequence[str], bins: int = 256) -> list[np.nd
 
 def _blocks(df: DataFrame, target: str, cols: Sequence[str], shape: Boosted, marks: Column, row_id: Column) -> DataFrame:
     """Blocks of rows: binned columns, target, marks of folds, row ids, no predictions yet."""
-    x = F.array(*[col(c).cast("double") for c in cols]).cast("array<double>")
-    d = df.select(x.alias("x"), col(target).cast("double").alias("y"), marks.alias("marks"), row_id.alias("id"))
+    x = [col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)]
+    d = df.select(*x, col(target).cast("double").alias("y"), marks.alias("marks"), row_id.alias("id"))
     schema = "n int, bins binary, y binary, marks binary, id binary, pred binary"
     p = len(cols)
 
@@ -143,7 +175,7 @@ def _blocks(df: DataFrame, target: str, cols: Sequence[str], shape: Boosted, mar
         for batch in batches:
             for a in range(0, batch.num_rows, BLOCK):
                 b = batch.slice(a, BLOCK)
-                x = b.column("x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, p)
+                x = np.array([b.column(i).to_numpy(zero_copy_only=False) for i in range(p)], float).reshape(p, b.num_rows).T
                 marks = b.column("marks").flatten().to_numpy(zero_copy_only=False).astype(np.int8)
                 ids = b.column("id").to_numpy(zero_copy_only=False)
                 parts = [shape.binned(x), b.column("y").to_numpy(zero_copy_only=False).astype(float), marks, ids.astype(np.int64)]
@@ -197,7 +229,7 @@ def _histograms(blocks: DataFrame, wave: Wave, growing: Mapping[int, Tree], tree
     level = {m: np.flatnonzero(t.heap >= 1 << depth) for m, t in growing.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = {m: np.zeros((2, len(at) * p * width)) for m, at in level.items()}
+        cells = {m: np.zeros((2, len(at), p, width)) for m, at in level.items()}
         place = {m: np.full(len(t.heap), -1) for m, t in growing.items()}
         for m, at in level.items():
             place[m][at] = np.arange(len(at))
@@ -208,11 +240,12 @@ def _histograms(blocks: DataFrame, wave: Wave, growing: Mapping[int, Tree], tree
                     node = place[m][t.nodes(bins[use])]
                     use, node = use[node >= 0], node[node >= 0]
                     g = pred[m][use] - y[use]
+                    shape = len(level[m]), width
                     for f in range(p):
-                        at = (node * p + f) * width + bins[use, f]
-                        cells[m][0] += np.bincount(at, g, cells[m].shape[1])
-                        cells[m][1] += np.bincount(at, minlength=cells[m].shape[1])
-        for m, (g, n) in cells.items():
+                        at = node * width + bins[use, f]
+                        cells[m][0, :, f] += np.bincount(at, g, shape[0] * width).reshape(shape)
+                        cells[m][1, :, f] += np.bincount(at, minlength=shape[0] * width).reshape(shape)
+        for m, (g, n) in ((m, c.reshape(2, -1)) for m, c in cells.items()):
             at = np.flatnonzero(n)
             node, rest = np.divmod(at, p * width)
             columns = [np.full(len(at), m), growing[m].heap[level[m][node]], rest // width, rest % width - 1]
@@ -398,13 +431,14 @@ def fit_many(df: DataFrame, target: str, cols: Sequence[str], params: Sequence[M
         part = models[a: a + size]
         wave = Wave(Boosted(list(cols), edges, out.base[a: a + size]), [s for s, _ in part], [f for _, f in part], [[] for _ in part])
         now, alive = blocks, list(range(len(part)))
-        for tree in range(max(int(s["rounds"]) for s, _ in part)):
+        rounds = max(int(s["rounds"]) for s, _ in part)
+        for tree in range(rounds):
             alive = [m for m in alive if tree < int(part[m][0]["rounds"])]
             grown = _grow(now, wave, tree, alive)
             for m, t in grown.items():
                 out.trees[a + m].append(t)
                 wave.pending[m].append(t)
-            if (tree + 1) % KEPT_TREES == 0:
+            if (tree + 1) % KEPT_TREES == 0 and tree + 1 < rounds:
                 now = written(_kept(now, wave), "boost-rows")
                 wave.pending = [[] for _ in part]
     return out, blocks
@@ -433,9 +467,9 @@ def predict(models: Boosted, df: DataFrame, model: int = 0, out: str = "predicte
     shared = df.sparkSession.sparkContext.broadcast(one)
 
     @F.pandas_udf(T.DoubleType())
-    def guess(x: pd.Series) -> pd.Series:
+    def guess(x: pd.DataFrame) -> pd.Series:
         m = shared.value
-        rows = np.array([[np.nan if v is None else v for v in r] for r in x], float).reshape(len(x), len(m.cols))
-        return pd.Series(m.predictions(m.binned(rows), 0))
+        return pd.Series(m.predictions(m.binned(x.to_numpy(float)[:, 1:]), 0))
 
-    return df.withColumn(out, guess(F.array(*[col(c).cast("double") for c in models.cols]).cast("array<double>")))
+    # A struct of no columns has no rows, so there is one more.
+    return df.withColumn(out, guess(F.struct(F.lit(0.0).alias("x"), *[col(c).cast("double").alias(f"x{i}") for i, c in enumerate(models.cols)])))
