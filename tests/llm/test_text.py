@@ -338,6 +338,21 @@ def test_teaser_articles_hide_no_longer_text():
     assert html.main_text(f"<div>By the way</div><article><p>{long}</p></article>") == long
 
 
+def test_menus_between_stretches_go_and_lists_of_the_text_stay():
+    long = ("Long text follows here and there. " * 30).strip()
+    menu = lambda n: "<ul>" + "".join(f"<li><a href={k}>Item {k}</a>" for k in range(n)) + "</ul>"
+    items = lambda n: " ".join(f"Item {k}" for k in range(n))
+    few, many = html.WINDOW - 1, html.WINDOW
+    for n, shown in ((few, f" {items(few)} "), (many, " ")):
+        page = f"<body>{menu(9)}<div>Welcome to us</div>{menu(n)}<div><p>{long}</p></div>{menu(n)}<div>All rights kept</div>{menu(9)}</body>"
+        assert html.main_text(page) == f"Welcome to us{shown}{long}{shown}All rights kept"
+        # Not where much text goes on, and not in an article.
+        assert html.main_text(f"<div><p>{long}</p>{menu(n)}<p>{long[:400]}</p></div>") == f"{long} {items(n)} {long[:400].strip()}"
+        assert html.main_text(f"<article><p>Lead.</p>{menu(n)}<p>{long}</p></article>") == f"Lead. {items(n)} {long}"
+    assert html.joined([5, 0, 0, 0, 9, 0, 0, 0, 1, 0, 0, 0, 8, 0]) == [(0, 13)] and html.joined([0, 0]) == []
+    assert html.joined([1, 0, 0, 0, 9, 0, 0, 0, 1, 0, 0, 0, 8, 0, 0, 0, 2]) == [(0, 1), (4, 13), (16, 17)]
+
+
 def test_line_weights_surge_and_dive():
     assert html.stretches([0, 0, 5, 0, 7, 0, 0, 0, 3, 0]) == [(2, 5), (8, 9)]
     assert html.stretches([]) == [] and html.stretches([0, 0]) == []

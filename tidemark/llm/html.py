@@ -6,8 +6,10 @@ comments are dropped, and lines of nothing but links weigh nothing. The
 weights are summed over a sliding window of lines: where the sum rises from
 nothing is a surge point, where it falls to nothing a dive point. Where article
 and main elements hold most of the text, their lines are kept; any other page
-keeps what lies between its first surge and its last dive, links and short
-parts with it.
+keeps every stretch from a surge to a dive, with the few links in it. A longer
+run of lines of nothing but links, which parts two stretches, is a menu where
+one side of it has little text, as between a slogan or a copyright line and the
+article, and a list of the article where both sides have much.
 
 An element is beside the text by its tag, its role, or a class or id that says
 nothing else ("ad-slot", but not "has-sidebar" or "post-header"). One that its
@@ -33,6 +35,8 @@ from tidemark.llm.tables import packed_row
 WINDOW = 3
 # Characters outside links, and the share of the page's, from which a name puts no element aside.
 LARGE, MOST = 500, 0.8
+# Share of the largest stretch's characters from which a stretch has much text.
+MUCH = 0.25
 
 # Inside of a tag. A tag without its end ends before the next one, or with the page.
 INSIDE, END = r"(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+", r"(?:>|(?=<)|\Z)"
@@ -192,6 +196,17 @@ def stretches(weights: list[int], window: int = WINDOW) -> list[tuple[int, int]]
     return found
 
 
+def joined(weights: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
+    """The stretches, those with much text and all between them as one."""
+    found = stretches(weights, window)
+    sizes = [sum(weights[a:b]) for a, b in found]
+    much = [k for k, n in enumerate(sizes) if n >= MUCH * max(sizes)]
+    if not much:
+        return found
+    first, last = much[0], much[-1]
+    return [*found[:first], (found[first][0], found[last][1]), *found[last + 1:]]
+
+
 def main_text(page: str | None) -> str:
     """The blocks of the main text, joined by a blank."""
     text_at: frozenset[int] = frozenset()
@@ -205,8 +220,8 @@ def main_text(page: str | None) -> str:
     # Lines outside articles are left only where those hold most of the text.
     if any(inside for _, _, inside in all_lines) and 2 * sum(w for _, w, inside in all_lines if inside) >= total:
         return " ".join(t for t, _, inside in all_lines if inside)
-    found = stretches([w for _, w, _ in all_lines])
-    return " ".join(t for t, _, _ in all_lines[found[0][0]: found[-1][1]]) if found else ""
+    found = joined([w for _, w, _ in all_lines])
+    return " ".join(t for a, b in found for t, _, _ in all_lines[a:b])
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
