@@ -306,9 +306,10 @@ def _key_schema(df: DataFrame, keys: Sequence[str]) -> str:
 
 
 def _dealt(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Rows over all shuffle partitions: a row of moments has few bytes and takes long to
+    """Rows over a few tasks a core: a row of moments has few bytes and takes long to
     solve, so its partitions must not be merged by their size."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = df.sparkSession
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     return df.repartition(parts, *[col(c) for c in by]) if by else df
 
 
