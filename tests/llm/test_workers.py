@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import langid, packing, text as tx
+from tidemark.llm import decontam, langid, minhash, packing, tables, text as tx
 
 AWKWARD = ["", "Don't stop. It's 12,5 o'clock!?", "ÉCOLE, straße. İstanbul ǅ ﬁn ªº", "x.<|endoftext|>y. <|ENDOFTEXT|>.", "a\x0bb.\x0bc; d…",
            "école. é", "word.\nword,\tWord?!", "日本語。 слово, λόγος.", "\x1c a. b. ", "it's. we'll... 'd", "\0 a\0b."]
@@ -45,3 +49,57 @@ def test_language_groups_hold_a_bounded_number_of_words():
     groups = list(langid._groups(size, 10))
     assert [k for i, j in groups for k in range(i, j)] == list(range(8))
     assert all(size[i:j].sum() <= 10 or j == i + 1 for i, j in groups)
+
+
+def anonymous_mb() -> float:
+    return int(re.search(r"RssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1]) / 1024
+
+
+def test_a_worker_gives_back_what_a_task_no_longer_uses():
+    kept = []
+
+    def run(batches):
+        for b in batches:
+            held = [np.ones(5_000) for _ in range(5_000)]  # 200 MB
+            kept.append(held[-1])  # the last one keeps the rest from going by itself
+            del held
+            yield b
+
+    before, batch = anonymous_mb(), pa.RecordBatch.from_pydict({"n": [1]})
+    assert list(run([batch])) == [batch]
+    assert anonymous_mb() > before + 100
+    assert list(tables.freeing(run)(iter([batch]))) == [batch]
+    assert anonymous_mb() < before + 60
+
+
+@pytest.fixture
+def unset(spark):
+    before = spark.conf.getAll.get(tables._BATCH)
+    spark.conf.unset(tables._BATCH)
+    yield
+    spark.conf.unset(tables._BATCH)
+    if before is not None:
+        spark.conf.set(tables._BATCH, before)
+
+
+def test_texts_reach_the_workers_in_batches_of_bounded_bytes(spark, unset):
+    docs = spark.range(3_000).coalesce(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 1_000).alias("text"))  # 33 MB
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [b.num_rows], "bytes": [b.nbytes]})
+
+    sizes = tables.map_texts(docs, run, "rows long, bytes long").collect()
+    assert sum(r["rows"] for r in sizes) == 3_000 and max(r["bytes"] for r in sizes) < 1.1 * tables.BATCH_BYTES
+    spark.conf.set(tables._BATCH, "1000000")  # what the session sets stays
+    sizes = tables.map_texts(docs, run, "rows long, bytes long").collect()
+    assert sum(r["rows"] for r in sizes) == 3_000 and max(r["bytes"] for r in sizes) < 1_100_000
+
+
+@pytest.mark.parametrize("operator", [
+    lambda d: langid.predict(d, langid.fit([])), lambda d: decontam.find_benchmark(d, d, item_col="doc_id"),
+    lambda d: packing.pieces(d, public_tokenizers.path("word_bpe_49k.json")), lambda d: minhash.signatures(d, 2, 4),
+    lambda d: minhash.full_sets(d, d.select(F.col("doc_id").alias("rep"), F.lit(b"").alias("key")), 2)])
+def test_operators_on_texts_bound_their_batches(spark, unset, operator):
+    operator(spark.createDataFrame([(1, "a b c")], "doc_id long, text string"))
+    assert spark.conf.getAll[tables._BATCH] == str(tables.BATCH_BYTES)

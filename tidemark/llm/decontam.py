@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidemark.llm import text as tx
 from tidemark.llm.suffix import search, suffix_order
-from tidemark.llm.tables import packed_row, text_bytes
+from tidemark.llm.tables import map_texts, packed_row, text_bytes
 
 BLOCK_BYTES = 8_000_000
 
@@ -110,7 +110,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
                 columns = {"row": s.column("row"), "found": pa.array(out, kind)} | ({} if last else {"text": s.column("text")})
                 yield pa.RecordBatch.from_pydict(columns)
 
-        d = d.mapInArrow(run, T.StructType([row, T.StructField("found", found), *([] if b == blocks - 1 else [text])]))
+        d = map_texts(d, run, T.StructType([row, T.StructField("found", found), *([] if b == blocks - 1 else [text])]))
     lost = F.aggregate("found.hits", F.lit(0).cast("bigint"), lambda a, x: x - a)  # ends less starts, in order
     return d.select("row", "found.n_words", lost.alias("n_hit"), "found.items", "found.hits")
 

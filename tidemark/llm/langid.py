@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark.llm import text as tx
-from tidemark.llm.tables import packed_row
+from tidemark.llm.tables import map_texts, packed_row
 
 BUCKETS = 1 << 16
 UNKNOWN = "und"
@@ -251,7 +251,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
                 columns.append(pa.concat_arrays(along))
             yield pa.RecordBatch.from_arrays(columns, kind.fieldNames())
 
-    return d.mapInArrow(run, kind)
+    return map_texts(d, run, kind)
 
 
 def _groups(size: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.llm import text as tx
 from tidemark.llm.components import components
-from tidemark.llm.tables import written
+from tidemark.llm.tables import map_texts, written
 
 COORDINATES, MINIMA, THRESHOLD = 40, 4, 3
 # Classes in a block, shingles in a block, further leaders of a group larger than a block.
@@ -84,7 +84,7 @@ def signatures(docs: DataFrame, size: int, coordinates: int) -> DataFrame:
                 [s.column("doc_id"), pa.array([len(h) for h in sets], pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.list_(pa.int64()))],
                 ["doc_id", "n_shingles", "key", "sig"])
 
-    return docs.mapInArrow(run, f"{_id(docs)}, n_shingles long, key binary, sig array<long>")
+    return map_texts(docs, run, f"{_id(docs)}, n_shingles long, key binary, sig array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -97,7 +97,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([s.column("doc_id").filter(pa.array(own)), pa.array(rows, pa.list_(pa.int64()))], ["rep", "shingles"])
 
     texts = docs.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "text", "key")
-    return written(texts.mapInArrow(run, f"{_id(docs).replace('doc_id', 'rep')}, shingles array<long>"), "sets")
+    return written(map_texts(texts, run, f"{_id(docs).replace('doc_id', 'rep')}, shingles array<long>"), "sets")
 
 
 def _id(docs: DataFrame) -> str:

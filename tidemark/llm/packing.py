@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.llm import text as tx
-from tidemark.llm.tables import written
+from tidemark.llm.tables import map_texts, written
 
 CAPACITY = 2048
 PLAN_ITEMS = 1 << 15
@@ -148,7 +148,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 columns, names = [*columns, pa.ListArray.from_arrays(bounds, pa.array(ids))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return d.mapInArrow(run, kind + ", ids array<int>" * keep_ids)
+    return map_texts(d, run, kind + ", ids array<int>" * keep_ids)
 
 
 def place_all(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

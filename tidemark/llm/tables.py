@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.session import new_stage_path
 
+BATCH_BYTES = 8_000_000
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as Parquet in the folder that all executors share, and read again.
@@ -30,3 +37,26 @@ def text_bytes(docs: DataFrame, text: str) -> int:
 def packed_row(df: DataFrame) -> "F.Column":
     """All columns in one struct, so that no internal name clashes with them."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+
+
+def freeing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run`, after which the worker gives what it no longer uses back to the system.
+
+    Workers outlive their tasks; what they hold then is missing beside the heap of the next stages.
+    """
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+        if trim is not None:
+            trim(0)
+
+    return task
+
+
+def map_texts(d: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], kind: T.StructType | str) -> DataFrame:
+    """`d.mapInArrow`, in batches of about `BATCH_BYTES` unless the session sets other ones,
+    since a batch is held several times: by the JVM, on its way and by the worker."""
+    if _BATCH not in d.sparkSession.conf.getAll:
+        d.sparkSession.conf.set(_BATCH, str(BATCH_BYTES))
+    return d.mapInArrow(freeing(run), kind)
