@@ -1,11 +1,17 @@
 """Dedup operators against plain Python on awkward documents."""
 
+import pathlib
+import time
+
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.data import SCHEMA, components, distinct, frame, lower, sha, texts, words
 from tidemark.llm import bwt, embeddings, exchange, lines, minhash, substring
 from tidemark.llm.suffix import search, suffix_order
+from tidemark.llm.tables import written
 from tidemark.session import ship_package
 
 
@@ -262,3 +268,33 @@ def test_a_passage_of_many_texts(spark):
     want = {i: len({p for k in range(len(t) - 49) if least[t[k: k + 50]] < i for p in range(k, k + 50)}) for i, t in rows}
     got = {r["row"]["doc_id"]: r["n_removed"] for r in bwt.dedup_bytes(docs, keep=["doc_id"]).collect()}
     assert got == want
+
+
+def test_stretches_are_packed_before_they_are_sent():
+    """Text without repeats takes less room on its way, and comes out as it was."""
+    rng = np.random.default_rng(4)
+    m, size = 3000, 66
+    page = rng.choice(np.frombuffer(b"etaoin shrdlu", np.uint8), m * size)
+    ids, at, key = np.arange(m), np.arange(m, dtype=np.int32), np.arange(m, dtype=np.uint32)
+    sender = exchange.Sender(4, bwt._combine_stretches(50))
+    batches = [*sender.add(ids, ids, ids, key.astype(np.uint64), key, at, np.full(m, size, np.int32), ragged=(page, ids * size)), *sender.flush()]
+    assert sum(len(r["data"]) for b in batches for r in b.to_pylist()) < 0.6 * len(page)
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        of = np.concatenate([np.frombuffer(x, np.int32) for x in t["v1"].to_pylist()])
+        assert (exchange._stretches(t["data"], t["v2"], np.int32) == page.reshape(m, size)[of].ravel()).all()
+
+
+def test_shuffle_files_go_once_a_table_is_written(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    there = lambda: {p.name for d in folders for p in pathlib.Path(d.getPath()).rglob("shuffle_*")}
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, set_before = there(), spark.conf.get(setting, None)
+    d = spark.range(10_000).groupBy((F.col("id") % 7).alias("k"))
+    table = written(d.agg(F.sum("id").alias("n")).join(d.count().hint("merge"), "k"), "test")
+    until = time.time() + 10
+    while (left := there() - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left
+    assert spark.conf.get(setting, None) == set_before
+    assert table.count() == 7 and table.agg(F.sum("count")).first()[0] == 10_000

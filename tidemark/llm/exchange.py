@@ -30,6 +30,8 @@ from tidemark.llm.tables import parts, text_bytes, written
 # Entries that a task gathers before it sends them.
 GATHER = 3_000_000
 BUCKET_BYTES = 64_000_000
+# For the bytes of stretches: Spark's LZ4 looks for repeats, of which a row has few.
+STRETCHES = pa.Codec("zstd", 1)
 
 
 def named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -142,7 +144,7 @@ class Sender:
                     row = [int(bucket[a]), ids[seen].tobytes(), owns[seen].tobytes(),
                            np.diff(at, append=e - a).astype(np.int32).tobytes(), *[v[a:e].tobytes() for v in values]]
                     if data is not None:
-                        row.append(data[ends[a]: ends[e]].tobytes())
+                        row.append(STRETCHES.compress(data[ends[a]: ends[e]], asbytes=True))
                     for column, v in zip(rows, row):
                         column.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(r, pa.binary()) for r in rows[1:]]], names)
@@ -153,6 +155,12 @@ def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
+def _stretches(data: pa.ChunkedArray, lengths: pa.ChunkedArray, kind) -> np.ndarray:
+    """The bytes of all stretches, which were packed row by row."""
+    sizes = [int(np.frombuffer(x, kind).sum()) for x in lengths.to_pylist()]
+    return np.frombuffer(b"".join([STRETCHES.decompress(x, n, asbytes=True) for x, n in zip(data.to_pylist(), sizes)]), np.uint8)
+
+
 def deal(docs: DataFrame, send: Callable, combine: Callable, solve: Callable, n: int, kinds: list, ragged: bool = False,
          copies: bool = False) -> DataFrame:
     """id, own, answers (a list of binary) for every document with an answer.
@@ -181,7 +189,7 @@ def deal(docs: DataFrame, send: Callable, combine: Callable, solve: Callable, n:
         ids, owns = _joined(table["ids"], np.int64), _joined(table["owns"], np.int64)
         doc = np.repeat(np.arange(len(ids)), counts)
         values = [_joined(table[f"v{i}"], k) for i, k in enumerate(kinds)]
-        data = _joined(table["data"], np.uint8) if ragged else None
+        data = _stretches(table["data"], table[f"v{len(kinds) - 1}"], kinds[-1]) if ragged else None
         # Of the copies of a text, those of the smallest id stay.
         _, text = np.unique(owns, return_inverse=True)
         low = np.full(text.max() + 1, np.iinfo(np.int64).max)

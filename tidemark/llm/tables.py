@@ -12,15 +12,24 @@ from tidemark.session import new_stage_path
 
 BATCH_BYTES = 8_000_000
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as Parquet in the folder that all executors share, and read again.
 
-    This cuts the lineage: what is written survives the loss of executors.
+    This cuts the lineage: what is written survives the loss of executors. Its
+    shuffle files go at once; else they stay beside those of the next steps
+    until the driver happens to collect its garbage.
     """
     path = new_stage_path(df.sparkSession, f"llm-{name}")
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
